@@ -117,8 +117,11 @@ class Bpe:
         rows, out = np.arange(len(pieces)), [np.empty(0, "<u4")] * len(pieces)
 
         def leave(which: np.ndarray) -> None:
-            for r in np.flatnonzero(which):
-                out[rows[r]] = ids[r][ids[r] >= 0].astype("<u4")
+            left = ids[which]
+            ends = np.cumsum((left >= 0).sum(1)).tolist()
+            flat, start = left[left >= 0].astype("<u4"), 0
+            for r, end in zip(rows[which].tolist(), ends, strict=True):
+                out[r], start = flat[start:end], end
 
         while len(rows) and ids.shape[1] > 1:
             ranks = np.full((len(rows), ids.shape[1] - 1), _NONE)
@@ -135,7 +138,7 @@ class Bpe:
             ids[np.arange(len(rows)), at] = least
             column = np.arange(ids.shape[1] - 1)
             ids = np.take_along_axis(ids, column + (column > at[:, None]), 1)  # compaction: each row lost one
-        leave(np.ones(len(rows), bool))
+        leave(slice(None))
         return out
 
     def _long(self, piece: bytes) -> np.ndarray:
@@ -211,7 +214,7 @@ class PieceCache:
     """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = CACHED) -> None:
-        self.find, self.blank = regex.compile(pattern).findall, regex.compile(r"\s").match
+        self.find = regex.compile(pattern).findall
         self.encode_pieces = encode_pieces
         self.chunks, self.pieces = Memo(limit), Memo(limit)
 
@@ -226,7 +229,7 @@ class PieceCache:
         cut = [x.split(" ") for x in texts]
         heads = [x[0] for x in cut]
         fresh = self.chunks.missing(set().union(*(x[1:] for x in cut)))
-        split = [self.find(" " + c) if c and not self.blank(c) and not self.blank(c[-1]) else () for c in fresh]
+        split = [self.find(" " + c) if c and not c[0].isspace() and not c[-1].isspace() else () for c in fresh]
         known = self._known([p for p in split if p])
         held = self.chunks.young
         held.update((c, b"".join([known[p] for p in pieces]) if pieces else None) for c, pieces in zip(fresh, split, strict=True))
@@ -234,7 +237,7 @@ class PieceCache:
         bodies: list[list[bytes] | None] = []
         for text, chunks, head in zip(texts, cut, heads, strict=True):
             body = [held[c] for c in chunks[1:]]
-            plain = (not body or (head and not self.blank(head[-1]))) and None not in body
+            plain = (not body or (head and not head[-1].isspace())) and None not in body
             bodies.append(body if plain else None)
             whole.append(self.find(head if plain else text))
         known = self._known(whole)

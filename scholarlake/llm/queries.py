@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholarlake.llm.bpe import op8_byte_bpe
 from scholarlake.llm.chat_format import OP7_SQL, op7_chat_format
 from scholarlake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from scholarlake.llm.quality import op10_quality
+from scholarlake.llm.token_file import op3_token_ids
 from scholarlake.llm.url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_ids": op3_token_ids,
     "op4_url_filter": op4_url_filter,
     "op7_chat_format": op7_chat_format,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
