@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholarlake.llm.bpe import op8_byte_bpe
 from scholarlake.llm.chat_format import OP7_SQL, op7_chat_format
 from scholarlake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from scholarlake.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from scholarlake.llm.quality import op10_quality
 from scholarlake.llm.token_file import op3_token_ids
 from scholarlake.llm.url_filter import op4_url_filter
@@ -16,10 +17,11 @@ from scholarlake.llm.url_filter import op4_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_ids": op3_token_ids,
     "op4_url_filter": op4_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op7_chat_format": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_exact_dedup": OP9_SQL}
