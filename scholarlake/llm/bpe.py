@@ -16,7 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ WIDEST = 256
 #: Cells of one matrix.
 CELLS = 1 << 19
 #: Cached entries of each kind in a Python worker; what was not used lately goes first.
-CACHED = 500_000
+CACHED = 300_000
 
 _NONE = np.int64(1 << 40)
 
@@ -205,49 +205,59 @@ class Memo:
             self.old, self.young = self.young, {}
 
 
-class PieceCache:
-    """ids of whole texts from ids of their distinct pieces, with bounded caches.
+class ChunkCache:
+    """ids of whole texts from ids of their distinct chunks, with a bounded cache.
 
-    A text is first cut before each space that stands between two other characters: the pattern starts a new piece at
-    every such space, so a chunk with its space has the same pieces alone as in its text. Texts with other runs of
-    white space around a space are split as a whole.
-    """
+    A text is cut before each space that stands between two other characters: the pattern starts a new piece at every
+    such space, so a chunk with its space has the same ids alone as in its text. First chunks, and texts with other runs
+    of white space around a space, are encoded as they are.
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = CACHED) -> None:
-        self.find = regex.compile(pattern).findall
-        self.encode_pieces = encode_pieces
-        self.chunks, self.pieces = Memo(limit), Memo(limit)
+    encode_chunks gets chunks without their leading space, encode_whole gets texts; both return little-endian unsigned
+    32-bit ids.
+    """
 
-    def _known(self, split: list[list[str]]) -> dict[str, bytes]:
-        fresh = self.pieces.missing(set().union(*split))
-        self.pieces.young.update(zip(fresh, self.encode_pieces(fresh), strict=True))
-        return self.pieces.young
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = CACHED) -> None:
+        self.encode_chunks, self.encode_whole, self.chunks = encode_chunks, encode_whole, Memo(limit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        self.chunks.turn(), self.pieces.turn()
+        self.chunks.turn()
         cut = [x.split(" ") for x in texts]
-        heads = [x[0] for x in cut]
-        fresh = self.chunks.missing(set().union(*(x[1:] for x in cut)))
-        split = [self.find(" " + c) if c and not c[0].isspace() and not c[-1].isspace() else () for c in fresh]
-        known = self._known([p for p in split if p])
+        heads = [x.pop(0) for x in cut]
+        fresh = self.chunks.missing(set().union(*cut))
         held = self.chunks.young
-        held.update((c, b"".join([known[p] for p in pieces]) if pieces else None) for c, pieces in zip(fresh, split, strict=True))
-        whole = []  # texts, or their first chunks, that are split directly
-        bodies: list[list[bytes] | None] = []
-        for text, chunks, head in zip(texts, cut, heads, strict=True):
-            body = [held[c] for c in chunks[1:]]
-            plain = (not body or (head and not head[-1].isspace())) and None not in body
-            bodies.append(body if plain else None)
-            whole.append(self.find(head if plain else text))
-        known = self._known(whole)
-        return [b"".join([known[p] for p in first] + (body or [])) for first, body in zip(whole, bodies, strict=True)]
+        good = [c for c in fresh if c and not (c[0].isspace() or c[-1].isspace())]
+        held.update(zip(good, self.encode_chunks(good), strict=True))
+        if len(good) < len(fresh):
+            held.update((c, None) for c in set(fresh).difference(good))
+        bodies = [[held[c] for c in chunks] for chunks in cut]
+        plain = [not body or (head != "" and not head[-1].isspace() and None not in body) for head, body in zip(heads, bodies, strict=True)]
+        firsts = self.encode_whole([head if ok else text for head, ok, text in zip(heads, plain, texts, strict=True)])
+        return [b"".join([first, *body]) if ok else first for first, body, ok in zip(firsts, bodies, plain, strict=True)]
+
+
+class BpeCoder:
+    """Whole texts by a rank file and a splitting pattern."""
+
+    def __init__(self, bpe: Bpe, pattern: str) -> None:
+        self.bpe, self.find = bpe, regex.compile(pattern).findall
+        self.pieces, self.cache = Memo(CACHED // 2), ChunkCache(self._chunks, self._whole)
+        self.encode = self.cache.encode
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        self.pieces.turn()
+        split = [self.find(x) for x in texts]
+        fresh = self.pieces.missing(set().union(*split))
+        known = self.pieces.young
+        known.update((p, ids.tobytes()) for p, ids in zip(fresh, self.bpe.encode_pieces([p.encode() for p in fresh]), strict=True))
+        return [b"".join([known[p] for p in pieces]) for pieces in split]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._whole([" " + c for c in chunks])
 
 
 @functools.lru_cache(maxsize=2)
-def bpe_cache(path: str, pattern: str) -> PieceCache:
-    bpe = load_ranks(path)
-    return PieceCache(pattern, lambda pieces: [x.tobytes() for x in bpe.encode_pieces([p.encode() for p in pieces])])
+def bpe_cache(path: str, pattern: str) -> BpeCoder:
+    return BpeCoder(load_ranks(path), pattern)
 
 
 def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:

@@ -4,9 +4,9 @@ Documents are range-partitioned and sorted by id, so that files and stripes hold
 by row index and Bloom filter; a read is split by stripes. Each file also keeps its number and, per document, the
 tokens before it in that file; a document's global start is that plus the totals of the files before.
 
-Texts are split into the tokenizer's own pieces and each distinct piece is encoded by the tokenizers library once while
-it is cached (a piece alone is split into itself, so ids are those of the whole text); texts that hold a special
-token's string are encoded whole.
+Texts are cut at single spaces, where the tokenizer always splits, and each distinct chunk is encoded by the tokenizers
+library once while it is cached, so ids are those of the whole text; texts that hold a special token's string are
+encoded whole.
 
 Defined cases: null text is the empty text (its one token is the end id); a null id comes first; rows that repeat an id
 follow each other in text order; an empty table writes and reads nothing; other columns are not written.
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.bpe import PieceCache
+from scholarlake.llm.bpe import ChunkCache
 from scholarlake.llm.common import new_path, steps, table
 
 END_ID = 0
@@ -41,7 +41,7 @@ SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>
 
 
 class FileTokenizer:
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -49,45 +49,45 @@ class FileTokenizer:
         vocab = self.whole.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the mark of a space
-        self.cache = PieceCache(pattern, self._pieces)
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that start with their only space are encoded joined, and cut again before each id whose token has one."""
-        out: list[bytes] = [b""] * len(pieces)
-        spaced = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        for start in range(0, len(spaced), 4096):
-            part = spaced[start : start + 4096]
-            ids = np.array(self.whole.encode_batch_fast(["".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.starts[ids])
-            assert len(cuts) == len(part)
+        self.cache = ChunkCache(self._chunks, self._whole)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks hold no space, so joined with spaces each starts at the next id whose token has the mark of a space."""
+        out: list[bytes] = []
+        for start in range(0, len(chunks), 256):
+            part = chunks[start : start + 256]
+            ids = np.array(self.whole.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.starts[ids]) * 4).tolist()
             raw = ids.tobytes()
-            for i, a, b in zip(part, (cuts * 4).tolist(), [*(cuts[1:] * 4).tolist(), len(raw)], strict=True):
-                out[i] = raw[a:b]
-        alone = [i for i, x in enumerate(out) if not x]
-        for i, x in zip(alone, self.whole.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, "<u4").tobytes()
+            if len(cuts) != len(part):  # a special token's string among them
+                out += self._whole([" " + c for c in part])
+            else:
+                out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = self.cache.encode(texts)
         for at, text in enumerate(texts):
             if any(s in text for s in self.special):
-                out[at] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                out[at] = self._whole([text])[0]
         return out
 
 
 @functools.lru_cache(maxsize=1)
-def load_tokenizer(path: str, pattern: str) -> FileTokenizer:
-    return FileTokenizer(path, pattern)
+def load_tokenizer(path: str) -> FileTokenizer:
+    return FileTokenizer(path)
 
 
-def write_token_ids(docs: DataFrame, out: str, tokenizer: str, pattern: str, end_id: int = END_ID) -> None:
+def write_token_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write docs (doc_id, text) to `out` in ascending doc_id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        coder = load_tokenizer(tokenizer, pattern)
+        coder = load_tokenizer(tokenizer)
         for batch in batches:
             for part in steps(batch):
                 coded = [x + end for x in coder.encode([x or "" for x in part.column("text").to_pylist()])]
@@ -125,5 +125,5 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = new_path(spark, "token-ids")
-    write_token_ids(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    write_token_ids(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_ids(spark, out).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
