@@ -12,10 +12,12 @@ from scholarlake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from scholarlake.llm.hmm import op5_hmm_score
 from scholarlake.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from scholarlake.llm.quality import op10_quality
+from scholarlake.llm.suffix_dedup import op1_suffix_dedup
 from scholarlake.llm.token_file import op3_token_ids
 from scholarlake.llm.url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_url_filter": op4_url_filter,
     "op5_hmm_score": op5_hmm_score,
