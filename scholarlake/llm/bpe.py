@@ -17,6 +17,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Callable
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -218,17 +219,27 @@ class ChunkCache:
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = CACHED) -> None:
         self.encode_chunks, self.encode_whole, self.chunks = encode_chunks, encode_whole, Memo(limit)
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.chunks.turn()
         cut = [x.split(" ") for x in texts]
         heads = [x.pop(0) for x in cut]
+        held, marks = self.chunks.young, self.marks
         fresh = self.chunks.missing(set().union(*cut))
-        held = self.chunks.young
-        good = [c for c in fresh if c and not (c[0].isspace() or c[-1].isspace())]
+        marked = [(c, stem, c[len(stem) :]) for c in fresh if len(stem := c.rstrip(punctuation)) < len(c) and stem.isalpha()]
+        rest = set(fresh).difference([c for c, _, _ in marked])
+        new = list({run for _, _, run in marked} - marks.keys())
+        if len(marks) + len(new) > 10_000:
+            marks.clear()
+            new = list({run for _, _, run in marked})
+        marks.update(zip(new, self.encode_whole(new), strict=True))
+        rest.update(self.chunks.missing({stem for _, stem, _ in marked}))
+        good = [c for c in rest if c and not (c[0].isspace() or c[-1].isspace())]
         held.update(zip(good, self.encode_chunks(good), strict=True))
-        if len(good) < len(fresh):
-            held.update((c, None) for c in set(fresh).difference(good))
+        if len(good) < len(rest):
+            held.update((c, None) for c in rest.difference(good))
+        held.update([(c, held[stem] + marks[run]) for c, stem, run in marked])
         bodies = [[held[c] for c in chunks] for chunks in cut]
         plain = [not body or (head != "" and not head[-1].isspace() and None not in body) for head, body in zip(heads, bodies, strict=True)]
         firsts = self.encode_whole([head if ok else text for head, ok, text in zip(heads, plain, texts, strict=True)])
@@ -240,7 +251,8 @@ class BpeCoder:
 
     def __init__(self, bpe: Bpe, pattern: str) -> None:
         self.bpe, self.find = bpe, regex.compile(pattern).findall
-        self.pieces, self.cache = Memo(CACHED // 2), ChunkCache(self._chunks, self._whole)
+        self.pieces = Memo(CACHED // 2)
+        self.cache = ChunkCache(self._chunks, self._whole)
         self.encode = self.cache.encode
 
     def _whole(self, texts: list[str]) -> list[bytes]:
