@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholarlake.llm.bpe import op8_byte_bpe
 from scholarlake.llm.chat_format import OP7_SQL, op7_chat_format
+from scholarlake.llm.decontaminate import op2_decontaminate
 from scholarlake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from scholarlake.llm.hmm import op5_hmm_score
 from scholarlake.llm.jaccard_join import OP6_SQL, op6_jaccard_join
@@ -18,6 +19,7 @@ from scholarlake.llm.url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_ids": op3_token_ids,
     "op4_url_filter": op4_url_filter,
     "op5_hmm_score": op5_hmm_score,
