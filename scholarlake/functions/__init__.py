@@ -1 +1 @@
-
+"""Scalar functions as column expressions; nothing here runs Python on rows."""

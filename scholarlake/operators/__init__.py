@@ -1 +1 @@
-
+"""Operators over papers, jobs, logs, layout and vectors."""

@@ -1 +1 @@
-
+"""Sources and sinks: files, layout blocks, outside services."""
