@@ -111,6 +111,16 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def plain(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that clashing extra columns never meet an operator's own."""
-    return docs.select(*[F.col(c) for c in columns])
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in `dropped` (doc_id); null ids stay. Broadcast only if counted small."""
+    key = unused(docs, "dropped_id")
+    keys = small(dropped.select(F.col("doc_id").alias(key)).distinct(), 24)
+    return docs.join(keys, docs[id_col].cast("long") == keys[key], "left_anti")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import mapped, materialize, small, table, texts
+from scholarlake.llm.common import mapped, materialize, table, texts, without_ids
 
 STRIDE = 24
 STOP_SHARE = 0.02
@@ -300,8 +300,7 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id leaks an item; columns as they are. Rows with a null id are kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    leaks = materialize(find_leaks(rows, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(small(leaks, 24), docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    return without_ids(docs, materialize(find_leaks(rows, benchmark).select("doc_id").distinct(), "leaks"), id_col)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import materialize, small, table
+from scholarlake.llm.common import materialize, small, table, unused
 
 #: Counters of a summary; a text with at least 2/COUNTERS of all rows is sure to be found.
 COUNTERS = 1024
@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalize(text) if normalize else text
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")).withColumn("row_no", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")).withColumn("row_no", F.monotonically_increasing_id())
     rows = materialize(rows, "digests")
     best = (F.max(F.struct("doc_id", "row_no")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     found, _ = frequent(rows, counters)
@@ -70,17 +70,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that another row with the same text and a larger id makes redundant; columns as they are."""
     groups = materialize(exact_groups(docs, id_col, text_col), "groups")
-    key = F.struct(F.col("doc_id"), F.col("text_sha256"))
-    of = groups.groupBy(key.alias("_key")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    dropped, repeated = of.where(~F.col("_kept")).select("_key"), of.where("_kept AND _rows > 1").select("_key")
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256")))
-    # `dropped` is broadcast only when its counted size is small; the join is null-safe on the whole key
-    kept = keyed.alias("d").join(small(dropped, 96).alias("x"), F.expr("d._key <=> x._key"), "left_anti")
+    key = unused(docs, "dedup_key")
+    of = groups.groupBy(F.struct("doc_id", "text_sha256").alias(key)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    dropped, repeated = of.where(~F.col("kept")).select(key), of.where("kept AND rows > 1").select(key)
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("doc_id"), sha.alias("text_sha256")))
+    on = F.expr(f"d.{key} <=> x.{key}")  # ids may be null
+    kept = keyed.alias("d").join(small(dropped, 96).alias("x"), on, "left_anti")
     if not repeated.isEmpty():
         again = small(repeated, 96)
-        on = F.expr("d._key <=> x._key")
-        kept = kept.alias("d").join(again.alias("x"), on, "left_anti").unionByName(kept.alias("d").join(again.alias("x"), on, "left_semi").dropDuplicates(["_key"]))
-    return kept.drop("_key")
+        once = kept.alias("d").join(again.alias("x"), on, "left_semi").dropDuplicates([key])
+        kept = kept.alias("d").join(again.alias("x"), on, "left_anti").unionByName(once)
+    return kept.drop(key)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import mapped, materialize, small, table, texts
+from scholarlake.llm.common import mapped, materialize, small, table, texts, without_ids
 from scholarlake.llm.graph import components
 from scholarlake.llm.shingles import mix, shingle_set
 
@@ -245,9 +245,7 @@ def _outside(many: DataFrame, links: DataFrame, t: Fraction) -> DataFrame:
 def near_dedup(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with only the rows whose id is their component's least; columns as they are. Rows with a null id stay."""
     found = jaccard_components(docs, n, threshold, id_col, text_col)
-    dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    keys = small(dropped.select(F.col("doc_id").alias("_id")), 24)
-    return docs.join(keys, docs[id_col].cast("long") == keys["_id"], "left_anti")
+    return without_ids(docs, materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped"), id_col)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

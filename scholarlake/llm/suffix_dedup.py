@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlake.llm.common import BROADCAST_BYTES, mapped, materialize, steps, table, texts
-from scholarlake.llm.shingles import _BYTE, mix
+from scholarlake.llm.shingles import _BASE, _BYTE, mix
 
 WINDOW = 100
 GRAM = 32
@@ -43,12 +43,18 @@ LEAST = -(1 << 63)
 #: Runs of one anchor beyond this share of all are spread over SALTS tasks.
 HOT_SHARE = 1 / 2000
 SALTS = 32
+#: Text bytes of one numpy step: its arrays stay in a core's cache.
+STEP = 64 << 10
 _K = np.uint64(0xD1342543DE82EF95)
 
 
 def double(ranks: np.ndarray, h: int) -> np.ndarray:
     """Ranks of 2h bytes from ranks of h bytes, along the last axis; shorter by h."""
-    return mix(ranks[..., :-h] * _K + ranks[..., h:] + np.uint64(h))
+    x = ranks[..., :-h] * _K
+    x += ranks[..., h:]
+    x ^= x >> np.uint64(32)
+    x *= _BASE
+    return x
 
 
 def ranks_of(raw: np.ndarray, length: int) -> np.ndarray:
@@ -142,9 +148,9 @@ def _runs(part: pa.RecordBatch) -> pa.RecordBatch | None:
 RUN = "g long, x long, did long, fp long, at long"
 
 
-def _firsts(columns: int, keep_alone: bool):
-    """Over rows sorted by their first two columns (a pair of ranks), then position: repeats, and firsts that share the
-    first column with a different pair (with keep_alone: all firsts). kind 0: repeated, 1: first."""
+def _firsts(columns: int, salted: np.ndarray | None):
+    """Over rows sorted by their first two columns (a pair of ranks), then position. kind 0: repeated; 1: the first of a
+    pair whose first column has another pair, too; 2: the first of a pair under a salted first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: np.ndarray | None = None  # the last row
@@ -153,6 +159,12 @@ def _firsts(columns: int, keep_alone: bool):
         def out(rows: np.ndarray, kind: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in rows.T), pa.array(np.full(len(rows), kind, np.int32))], [*"abcdefgh"[:columns], "kind"])
 
+        def split(rows: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+            hot = np.isin(rows[:, 0], salted) if salted is not None else np.zeros(len(rows), bool)
+            for kind, chosen in ((1, rows[shares & ~hot]), (2, rows[hot])):
+                if len(chosen):
+                    yield out(chosen, kind)
+
         was_equal = False
         for batch in batches:
             if not batch.num_rows:
@@ -175,27 +187,26 @@ def _firsts(columns: int, keep_alone: bool):
                 firsts = np.concatenate([pending, firsts])
             next_equal = firsts[1:, 0] == firsts[:-1, 0]
             prev_equal = np.concatenate([[was_equal], next_equal])
-            chosen = firsts[:-1][(prev_equal[:-1] | next_equal) | keep_alone]
             pending, was_equal = firsts[-1:], bool(prev_equal[-1])
-            if len(chosen):
-                yield out(chosen, 1)
-        if pending is not None and (was_equal or keep_alone):
-            yield out(pending, 1)
+            yield from split(firsts[:-1], prev_equal[:-1] | next_equal)
+        if pending is not None:
+            yield from split(pending, np.array([was_equal]))
 
     return run
 
 
-def _sorted_firsts(rows: DataFrame, keys: list[str], keep_alone: bool = False) -> DataFrame:
+def _sorted_firsts(rows: DataFrame, keys: list[str], salted: list[int] | None = None) -> DataFrame:
     """rows' columns and kind; keys decide the task, columns the order."""
     names = [c for c in rows.columns if c != "salt"]
+    hot = np.array(sorted(salted), np.int64) if salted else None
     ordered = rows.repartition(*keys).sortWithinPartitions(*names)
-    back = ordered.select(*names).mapInArrow(_firsts(len(names), keep_alone), ", ".join(f"{c} long" for c in "abcdefgh"[: len(names)]) + ", kind int")
+    back = ordered.select(*names).mapInArrow(_firsts(len(names), hot), ", ".join(f"{c} long" for c in "abcdefgh"[: len(names)]) + ", kind int")
     return back.toDF(*names, "kind")
 
 
 def _hot_anchors(keyed: DataFrame) -> list[int]:
     """Anchors over HOT_SHARE of the runs of every 16th document by hash: at most 1/HOT_SHARE of them; for balance only."""
-    sample = mapped(keyed.where("pmod(xxhash64(did, 5), 16) = 0"), _runs, RUN)
+    sample = mapped(keyed.where("pmod(xxhash64(did, 5), 16) = 0"), _runs, RUN, limit=STEP)
     counts = sample.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts.where("n >= 8"), "anchors")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -256,15 +267,13 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fp = F.xxhash64("text") if many else F.lit(0).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), fp.alias("fp"), "text")
     hot = _hot_anchors(keyed)
-    runs = mapped(keyed, _runs, RUN)
+    runs = mapped(keyed, _runs, RUN, limit=STEP)
     hot_g = F.array_contains(F.lit(hot), F.col("g")) if hot else F.lit(False)
     salted = runs.withColumn("salt", F.when(hot_g, F.pmod(F.xxhash64("did", "at"), F.lit(SALTS))).otherwise(0))
-    if hot:  # two rounds: within salts, then the firsts of hot anchors by pair
-        sorted_runs = materialize(_sorted_firsts(salted.where(~hot_g), ["g"]).unionByName(_sorted_firsts(salted.where(hot_g), ["g", "salt"], True).withColumn("kind", F.col("kind") + 2)), "runs")
-        again = _sorted_firsts(sorted_runs.where("kind = 3").drop("kind"), ["g", "x"], True)
-        sorted_runs = materialize(sorted_runs.where("kind < 3").withColumn("kind", F.when(F.col("kind") == 2, 0).otherwise(F.col("kind"))).unionByName(again), "runs")
-    else:
-        sorted_runs = materialize(_sorted_firsts(salted, ["g"]), "runs")
+    sorted_runs = materialize(_sorted_firsts(salted, ["g", "salt"], hot), "runs")
+    if hot:  # firsts of hot anchors within their salts meet by pair; that their anchor has other pairs is taken for granted
+        again = _sorted_firsts(sorted_runs.where("kind = 2").drop("kind"), ["g", "x"], hot).withColumn("kind", F.least("kind", F.lit(1)))
+        sorted_runs = materialize(sorted_runs.where("kind < 2").unionByName(again), "runs")
     _free(spark)
     whole = sorted_runs.where("kind = 0").select("did", "fp", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 8).bitwiseAND(255) + WINDOW).alias("size"))
     firsts = sorted_runs.where("kind = 1").select("g", "did", "fp", "at")
