@@ -4,10 +4,6 @@ Documents are range-partitioned and sorted by id, so that files and stripes hold
 by row index and Bloom filter; a read is split by stripes. Each file also keeps its number and, per document, the
 tokens before it in that file; a document's global start is that plus the totals of the files before.
 
-Texts are cut at single spaces, where the tokenizer always splits, and each distinct chunk is encoded by the tokenizers
-library once while it is cached, so ids are those of the whole text; texts that hold a special token's string are
-encoded whole.
-
 Defined cases: null text is the empty text (its one token is the end id); a null id comes first; rows that repeat an id
 follow each other in text order; an empty table writes and reads nothing; other columns are not written.
 """
@@ -17,18 +13,23 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.bpe import ChunkCache
 from scholarlake.llm.common import new_path, steps, table
 
 END_ID = 0
+#: Text bytes of one step.
+STEP = 12 << 20
+#: Distinct parts that a Python worker holds the ids of.
+HELD = 600_000
 OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -40,40 +41,108 @@ OPTIONS = {
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
 
 
+def spread(flat: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of flat (run i has counts[i] items) in the order given; a run may be named often."""
+    starts = np.cumsum(counts) - counts
+    sizes = counts[order]
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(starts[order] - (ends - sizes), sizes) + np.arange(ends[-1])]
+
+
 class FileTokenizer:
+    """Whole texts by the tokenizers library, each distinct part of a step once.
+
+    A text is cut before each space that stands between two other characters, where the tokenizer always starts a new
+    piece; letters and a run of marks after them are two pieces. So ids of a text are those of its parts. Texts with
+    other white space around a space, or with a special token's string, are encoded whole.
+    """
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        vocab = self.whole.get_vocab()
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.places: dict[str, int] = {}
+        self.flat, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+        vocab = self.library.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the mark of a space
-        self.cache = ChunkCache(self._chunks, self._whole)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Chunks hold no space, so joined with spaces each starts at the next id whose token has the mark of a space."""
-        out: list[bytes] = []
-        for start in range(0, len(chunks), 256):
-            part = chunks[start : start + 256]
-            ids = np.array(self.whole.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(self.starts[ids]) * 4).tolist()
-            raw = ids.tobytes()
-            if len(cuts) != len(part):  # a special token's string among them
-                out += self._whole([" " + c for c in part])
-            else:
-                out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
-        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = self.cache.encode(texts)
-        for at, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[at] = self._whole([text])[0]
-        return out
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _after_space(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids after a space of each part; parts of earlier steps are looked up while they are held."""
+        if len(self.places) + len(parts) > HELD:
+            self.places, self.flat, self.counts = {}, np.empty(0, np.uint32), np.empty(0, np.int64)
+        places = self.places
+        fresh = [p for p in parts if p not in places]
+        flat, counts = self._joined(fresh)
+        places.update(zip(fresh, range(len(places), len(places) + len(fresh)), strict=True))
+        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+        order = np.fromiter(map(places.__getitem__, parts), np.int64, len(parts))
+        return spread(self.flat, self.counts, order), self.counts[order]
+
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts hold no space, so joined with spaces each starts at the next id whose token has the mark of a space."""
+        flat, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for start in range(0, len(parts), 256):
+            some = parts[start : start + 256]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.starts[ids])
+            if len(cuts) == len(some):
+                flat.append(ids), counts.append(np.diff(cuts, append=len(ids)))
+            else:
+                one, n = self._alone([" " + x for x in some])
+                flat.append(one), counts.append(n)
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _parts(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids after a space of each distinct part."""
+        stems = pc.utf8_rtrim(distinct, punctuation)
+        marked = pc.and_(pc.utf8_is_alpha(stems), pc.not_equal(stems, distinct)).to_numpy(zero_copy_only=False)
+        base = pc.if_else(pa.array(marked), stems, distinct).dictionary_encode()
+        flat, counts = self._after_space(base.dictionary.to_pylist())
+        runs = [c[len(s) :] for c, s in zip(distinct.filter(pa.array(marked)).to_pylist(), stems.filter(pa.array(marked)).to_pylist(), strict=True)]
+        known = {r: i for i, r in enumerate(dict.fromkeys(runs))}
+        mark_flat, mark_counts = self._alone(list(known))
+        n, none = len(counts), len(counts) + len(mark_counts)
+        flat, counts = np.concatenate([flat, mark_flat]), np.concatenate([counts, mark_counts, [0]])
+        pairs = np.full((len(distinct), 2), none)
+        pairs[:, 0] = base.indices.to_numpy()
+        pairs[marked, 1] = n + np.array([known[r] for r in runs], np.int64)
+        return spread(flat, counts, pairs.ravel()), counts[pairs].sum(1)
+
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and ids of each; end_id is put after each text."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
+        parts, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        coded = parts.dictionary_encode()
+        order, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        first, last = pc.utf8_slice_codeunits(distinct, 0, 1), pc.utf8_slice_codeunits(distinct, -1)
+        blank = pc.or_(pc.or_(pc.utf8_is_space(first), pc.utf8_is_space(last)), pc.equal(distinct, "")).to_numpy(zero_copy_only=False)
+        heads = bounds[:-1]
+        odd = blank[order]
+        odd[heads] = pc.utf8_is_space(pc.utf8_slice_codeunits(parts.take(pa.array(heads)), -1)).to_numpy(zero_copy_only=False)
+        odd[heads] |= pc.equal(parts.take(pa.array(heads)), "").to_numpy(zero_copy_only=False) & (np.diff(bounds) > 1)
+        whole = np.logical_or.reduceat(odd, heads) if len(heads) else np.empty(0, bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        flat, counts = self._parts(distinct)
+        own = pc.if_else(pa.array(whole), texts, parts.take(pa.array(heads)))  # encoded as they stand
+        own_flat, own_counts = self._alone(own.to_pylist())
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        n = len(counts)
+        flat, counts = np.concatenate([flat, own_flat, end]), np.concatenate([counts, own_counts, [len(end), 0]])
+        order[np.repeat(whole, np.diff(bounds))] = len(counts) - 1  # nothing but the text itself
+        order[heads] = n + np.arange(len(heads))
+        order = np.insert(order, bounds[1:], len(counts) - 2)
+        sizes = np.add.reduceat(counts[order], bounds[:-1] + np.arange(len(heads))) if len(heads) else np.empty(0, np.int64)
+        return spread(flat, counts, order), sizes
 
 
 @functools.lru_cache(maxsize=1)
@@ -86,16 +155,14 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         coder = load_tokenizer(tokenizer)
         for batch in batches:
-            for part in steps(batch):
-                coded = [x + end for x in coder.encode([x or "" for x in part.column("text").to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in coded], np.int64)
+            for part in steps(batch, limit=STEP):
+                flat, sizes = coder.encode(part.column("text"), end_id)
                 ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(len(coded), shard, np.int32)), pa.array(before + ends - sizes), pa.array(sizes.astype(np.int32)), ids],
+                    [part.column("doc_id"), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(before + ends - sizes), pa.array(sizes.astype(np.int32)), ids],
                     ["doc_id", "shard", "local_start", "n_tokens", "ids"],
                 )
                 before += int(ends[-1])

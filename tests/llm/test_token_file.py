@@ -2,6 +2,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -13,8 +16,19 @@ TRUTH = Tokenizer.from_file(PATH)
 
 def test_ids_are_the_librarys():
     texts = ["", "Hello, world. it's  fine\n\nok", "a <|endoftext|> b", "<|endoftext|>", "x" * 3000, "é日本 語!!! ??", "one two, three. four*** five", " lead", "trail "]
-    got = T.load_tokenizer(PATH).encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [TRUTH.encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids_of(texts) == [TRUTH.encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids_of([]) == [] and ids_of([None], 0) == [[0]]
+
+
+def ids_of(texts, end=None):
+    flat, sizes = T.load_tokenizer(PATH).encode(pa.array(texts, pa.string()), end)
+    return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs", "Cn"]), st.sampled_from(" \n.,'abcé")), max_size=60), max_size=8))
+def test_any_texts(texts):
+    assert ids_of(texts) == [TRUTH.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_file_round_trip(spark, frame, tmp_path):
