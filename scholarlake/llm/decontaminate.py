@@ -3,7 +3,7 @@
 Words are lower-cased runs between white space and ASCII punctuation. Documents become word ids of the benchmark's
 vocabulary once (other words keep their place as -1). Passages are windows of two neighbouring STRIDE-word chunks.
 
-Randomised SVD of the passages' TF-IDF matrix A (columns: benchmark words in at most STOP_SHARE of all passages): every
+Randomised SVD of the passages' TF-IDF matrix A (columns: benchmark words in at most STOP_SHARE of all chunks, weighted by their inverse chunk frequency): every
 task adds up its part of A'A Omega for a Gaussian Omega, so one pass over all passages gives a subspace iteration step;
 the sums (words x SKETCH) are orthonormalised together with the items' own vectors, which are rows of infinite weight.
 Cosines do not depend on the rotation within that subspace, so singular values are not needed. Passages are projected
@@ -26,6 +26,7 @@ import functools
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,9 +86,9 @@ def _code(docs: DataFrame, items: Items) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         get = shared.value.get
         ids = []
-        for text in texts(batch):
-            words = text.decode().lower().encode().translate(_SPLIT).split()
-            ids.append(np.array([get(w, -1) for w in words], np.int32))
+        for text in batch.column("text").to_pylist():
+            words = words_of(text or "")
+            ids.append(np.fromiter(map(get, words, repeat(-1)), np.int32, len(words)))
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
 
@@ -127,7 +128,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int = 300_000) -> Iterator
             first = np.concatenate([[0], np.cumsum(counts)])
             at = np.flatnonzero(f >= 0)
             of = np.searchsorted(e, at, side="right") - 1
-            yield batch.slice(start, stop - start), Chunks(f[at], first[of] + (at - e[of]) // STRIDE, np.repeat(np.arange(len(sizes)), counts), first, f, e)
+            yield batch.slice(start, stop - start), Chunks(f[at], (first[of] + (at - e[of]) // STRIDE).astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), counts), first, f, e)
             start = stop
 
 
@@ -143,16 +144,15 @@ def _bag(c: Chunks, rows: np.ndarray, keep: np.ndarray) -> np.ndarray:
 
 
 def passage_counts(coded: DataFrame, n_words: int) -> tuple[int, np.ndarray]:
-    """All passages, and those that hold each word."""
+    """All chunks, and those that hold each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(n_words + 1, np.int64)
         for _, c in _chunks(batches):
-            before = np.concatenate([[False], c.doc[1:] == c.doc[:-1]])
-            pair = c.word.astype(np.int64) * len(c.doc) + c.chunk
-            inside = np.unique(np.concatenate([pair, (pair - 1)[before[c.chunk]]]))  # a chunk is in its own window and the one before
-            held[:-1] += np.bincount(inside // len(c.doc), minlength=n_words)
-            held[-1] += len(c.doc)
+            n = len(c.doc)
+            place = c.word.astype(np.int32 if n_words * n < 1 << 31 else np.int64) * n + c.chunk
+            held[:-1] += np.bincount(np.unique(place) // n, minlength=n_words)
+            held[-1] += n
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["word", "n"])
 
