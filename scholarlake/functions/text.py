@@ -137,3 +137,31 @@ def none_to_null(x: Column | str) -> Column:
     """Answers that mean nothing was found."""
     x = col(x)
     return F.when(~F.lower(F.trim(x)).isin("none", "not found", "n/a", "na", ""), x)
+
+
+def merge_headings(paragraphs: Column | str) -> Column:
+    """A paragraph under 80 characters that ends with a colon takes the next one; one that was taken takes none."""
+
+    def fold(held: Column, p: Column) -> Column:
+        out, last = held["out"], F.element_at(held["out"], -1)
+        merged = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.lit(" "), p)))
+        opens = p.endswith(":") & (F.length(p) < 80)
+        return F.when(held["open"], F.struct(merged.alias("out"), F.lit(False).alias("open"))).otherwise(F.struct(F.concat(out, F.array(p)).alias("out"), opens.alias("open")))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
+    return F.aggregate(col(paragraphs), start, fold)["out"]
+
+
+def merge_broken_urls(paragraphs: Column | str, most: int = 2) -> Column:
+    """A paragraph that ends with a bare scheme takes up to `most` followers until the URL has a host."""
+
+    def fold(held: Column, p: Column) -> Column:
+        out, last = held["out"], F.element_at(held["out"], -1)
+        broken = (F.size(out) > 0) & last.rlike(r"(?i)https?:(?:\s*/\s*/)?\s*$") & (held["taken"] < most)
+        joined = repair_scheme(F.concat(F.regexp_replace(last, r"\s+$", ""), p))
+        merged = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))
+        grown = F.struct(F.concat(out, F.array(p)).alias("out"), F.lit(0).alias("taken"))
+        return F.when(broken, F.struct(merged.alias("out"), (held["taken"] + 1).alias("taken"))).otherwise(grown)
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("taken"))
+    return F.aggregate(col(paragraphs), start, fold)["out"]

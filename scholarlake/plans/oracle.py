@@ -59,9 +59,9 @@ valid AS ({doi_of("raws", "raw", "doc_id, text, i")}),
 kept AS (SELECT doc_id, text, doi, min(i) AS i FROM valid WHERE doi IS NOT NULL AND NOT ({" OR ".join(f"starts_with(doi, '{p}/')" for p in DATASET_PREFIXES)}) GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal, instr(text, doi) AS ix FROM kept),
 around AS (SELECT *, substr(text, greatest(1, ix - 30), least(30, ix - 1)) AS before FROM placed),
-candidates AS (SELECT doc_id, ordinal, doi, round(CASE WHEN ix > 0 AND ix <= 5000 THEN 1.0 ELSE 0.6 END + CASE WHEN ix > 0 AND regexp_matches(before, '(?i)doi:\s*$') THEN 0.4 ELSE 0 END
- + CASE WHEN ix > 0 AND regexp_matches(before, '(?i)https?://(?:dx\.)?doi\.org/$') THEN 0.3 ELSE 0 END, 3) AS score FROM around),
-best AS (SELECT doc_id, doi, least(1.0, score) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS n FROM candidates) WHERE n = 1)"""
+candidates AS (SELECT doc_id, ordinal, doi, CAST(round(CASE WHEN ix > 0 AND ix <= 5000 THEN 1.0 ELSE 0.6 END + CASE WHEN ix > 0 AND regexp_matches(before, '(?i)doi:\s*$') THEN 0.4 ELSE 0 END
+ + CASE WHEN ix > 0 AND regexp_matches(before, '(?i)https?://(?:dx\.)?doi\.org/$') THEN 0.3 ELSE 0 END, 3) AS DOUBLE) AS score FROM around),
+best AS (SELECT doc_id, doi, CAST(least(1.0, score) AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS n FROM candidates) WHERE n = 1)"""
 
 SEGMENTS = rf"""
 g0 AS (SELECT doc_id, seq, regexp_split_to_array(text, '\n{{2,}}') AS a FROM papers_view),
@@ -160,7 +160,7 @@ ln0 AS (SELECT doc_id, seq, string_split(text, chr(10)) AS a FROM papers_view WH
 ln1 AS (SELECT doc_id, seq, unnest(range(1, len(a) + 1)) AS i, trim(unnest(a)) AS line FROM ln0),
 ln2 AS (SELECT doc_id, {collapse("line")} AS line, row_number() OVER (PARTITION BY doc_id ORDER BY seq, i) AS n FROM ln1 WHERE line <> '' AND NOT regexp_matches(line, '{HEADER}')),
 ok AS (SELECT doc_id, line, n, length(line) BETWEEN 8 AND 280 AND {n_words("line")} BETWEEN 2 AND 50 AND NOT regexp_matches(line, '(?i)\b(?:{"|".join(RESOLVER_STOPWORDS)})\b') AND {alpha("line")} >= 0.4 AS good FROM ln2 WHERE n <= 4),
-title AS (SELECT doc_id, min_by(line, n) FILTER (good) AS title, CASE WHEN bool_or(good) THEN 0.6 ELSE 0 END AS confidence FROM ok GROUP BY doc_id)"""
+title AS (SELECT doc_id, min_by(line, n) FILTER (good) AS title, CAST(CASE WHEN bool_or(good) THEN 0.6 ELSE 0 END AS DOUBLE) AS confidence FROM ok GROUP BY doc_id)"""
 
 _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '([a-z0-9]+)', 1), lambda t: length(t) >= 3))"
 _MATCH = f"""
@@ -204,7 +204,7 @@ _LAYOUT = (
     + """,
 wcol AS (SELECT w.*, CASE WHEN (x0 + x1) / 2 > split THEN 1 ELSE 0 END AS col FROM words_view w LEFT JOIN splits USING (page_id)),
 w1 AS (SELECT *, CASE WHEN abs(top - lag(top) OVER (PARTITION BY page_id, col ORDER BY top, x0, word_id)) > 2.5 THEN 1 ELSE 0 END AS opens FROM wcol),
-lines AS (SELECT * EXCLUDE (opens), sum(opens) OVER (PARTITION BY page_id, col ORDER BY top, x0, word_id ROWS UNBOUNDED PRECEDING) AS line FROM w1)"""
+lines AS (SELECT * EXCLUDE (opens), CAST(sum(opens) OVER (PARTITION BY page_id, col ORDER BY top, x0, word_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM w1)"""
 )
 
 _D = "docs_view"
@@ -276,14 +276,14 @@ SELECT doc_id, substr(string_agg(text, chr(10) ORDER BY ord), 1, 300) AS context
     "layout_tokens": f"""
 WITH {_LAYOUT}, t0 AS (SELECT *, greatest(1.0, 0.6 * median(x1 - x0) OVER (PARTITION BY page_id, col, line)) AS lim FROM lines),
 t1 AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_id, col, line ORDER BY x0, word_id) > lim THEN 1 ELSE 0 END AS opens FROM t0),
-t2 AS (SELECT *, sum(opens) OVER (PARTITION BY page_id, col, line ORDER BY x0, word_id ROWS UNBOUNDED PRECEDING) AS token FROM t1)
+t2 AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY page_id, col, line ORDER BY x0, word_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS token FROM t1)
 SELECT page_id, col, line, token, min(x0) AS x0, max(x1) AS x1, count(*) AS words FROM t2 GROUP BY page_id, col, line, token""",
     "layout_paragraphs": f"""
 WITH {_LAYOUT}, p0 AS (SELECT page_id, col, line, min(top) AS top, arg_max(bottom, (top, x0, word_id)) AS bottom, count(*) AS words FROM lines GROUP BY page_id, col, line),
 p1 AS (SELECT *, CASE WHEN top - lag(bottom) OVER (PARTITION BY page_id, col ORDER BY line) > 12 THEN 1 ELSE 0 END AS opens FROM p0),
-p2 AS (SELECT *, sum(opens) OVER (PARTITION BY page_id, col ORDER BY line ROWS UNBOUNDED PRECEDING) AS paragraph FROM p1)
-SELECT page_id, col, paragraph, count(*) AS lines, sum(words) AS words FROM p2 GROUP BY page_id, col, paragraph""",
-    "llm_response_parse": "SELECT doc_id, CASE WHEN k IN (0, 2) THEN text END AS statement, CASE WHEN k IN (0, 2) THEN 0.9 END AS confidence FROM papers_view WHERE seq = 5",
+p2 AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY page_id, col ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM p1)
+SELECT page_id, col, paragraph, count(*) AS lines, CAST(sum(words) AS BIGINT) AS words FROM p2 GROUP BY page_id, col, paragraph""",
+    "llm_response_parse": "SELECT doc_id, CASE WHEN k IN (0, 2) THEN text END AS statement, CAST(CASE WHEN k IN (0, 2) THEN 0.9 END AS DOUBLE) AS confidence FROM papers_view WHERE seq = 5",
     "list_jobs_newest": "SELECT job_id, user_id, status, created_at FROM jobs_view ORDER BY created_at DESC, job_id DESC LIMIT 100",
     "list_user_jobs": "SELECT job_id, user_id, status, created_at FROM jobs_view WHERE user_id = 7 ORDER BY created_at DESC, job_id DESC LIMIT 100",
     "list_pending": "SELECT job_id, user_id, status, created_at FROM jobs_view WHERE status = 'pending' ORDER BY created_at, job_id LIMIT 100",
@@ -322,7 +322,7 @@ FROM docs_view d WHERE status IN ('done', 'error') AND EXISTS (SELECT 1 FROM job
     "logs_tumbling": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, op, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM logs_view GROUP BY 1, 2",
     "logs_session": """
 WITH o AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM logs_view),
-s AS (SELECT job_id, ts, sum(opens) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+s AS (SELECT job_id, ts, CAST(sum(opens) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM o)
 SELECT job_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY job_id, s""",
     "registry_cache_distinct": f"SELECT DISTINCT lower(trim(doi)) AS key FROM ({doi_of('(SELECT text AS raw FROM papers_view WHERE seq = 2)', 'raw', 'raw')}) WHERE doi IS NOT NULL",
     "paper_record": f"""

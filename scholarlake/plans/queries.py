@@ -20,8 +20,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+#: Positions and counts that are longs in results, as SQL has them.
+_LONGS = {"ordinal", "idx", "rank", "n_links", "pos", "chunk", "data_links", "code_links"}
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = fn(spark, sf_dir)
+        return out.withColumns({c: F.col(c).cast("long") for c, kind in out.dtypes if c in _LONGS and kind == "int"})
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
