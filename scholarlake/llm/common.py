@@ -50,6 +50,23 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many intermediates were written so far."""
+    return len(_written)
+
+
+def drop_written(since: int) -> None:
+    """Remove the intermediates written after `since` but for the last, which holds the result."""
+    for spark, path in _written[since:-1]:
+        remove(spark, path)
+    del _written[since:-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import BROADCAST_BYTES, mapped, materialize, steps, table, texts
+from scholarlake.llm.common import BROADCAST_BYTES, mapped, materialize, release, steps, table, texts
 from scholarlake.llm.shingles import _BASE, _BYTE, mix
 
 WINDOW = 100
@@ -255,14 +255,8 @@ def _with_lists(keyed: DataFrame, rows: DataFrame, entry: list[str], name: str)
     return keyed.join(lists, ["did", "fp"])
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> texts keyed by (did, fp), and repeated byte ranges (did, fp, start, size), which may overlap."""
-    spark = docs.sparkSession
     many = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     fp = F.xxhash64("text") if many else F.lit(0).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), fp.alias("fp"), "text")
@@ -274,7 +268,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if hot:  # firsts of hot anchors within their salts meet by pair; that their anchor has other pairs is taken for granted
         again = _sorted_firsts(sorted_runs.where("kind = 2").drop("kind"), ["g", "x"], hot).withColumn("kind", F.least("kind", F.lit(1)))
         sorted_runs = materialize(sorted_runs.where("kind < 2").unionByName(again), "runs")
-    _free(spark)
+    release(docs.sparkSession)
     whole = sorted_runs.where("kind = 0").select("did", "fp", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 8).bitwiseAND(255) + WINDOW).alias("size"))
     firsts = sorted_runs.where("kind = 1").select("g", "did", "fp", "at")
     sides = materialize(mapped(_with_lists(keyed, firsts, ["g", "at"], "runs"), lambda b: _around(b, "sides"), "g long, left long, right long, did long, fp long, at long"), "sides")
