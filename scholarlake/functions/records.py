@@ -109,4 +109,4 @@ def position_text(n: Column | str) -> Column:
 def confidence(x: Column | str, base: float = 0.75) -> Column:
     """A number clamped to 0..1; base for anything else."""
     number = F.coalesce(F.when(F.lower(col(x).cast("string")).isin("true", "false"), (F.lower(col(x).cast("string")) == "true").cast("double")), col(x).try_cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(base))
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(base)  # least() skips nulls
