@@ -44,11 +44,11 @@ def segment(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("idx", F.row_number().over(_in_order("seq", "part", "piece")) - 1).select("doc_id", "idx", "label", "text")
 
 
-def context_points(kind: str, denied) -> Column:
-    """Score of a paragraph in tenths: whole numbers, so that ties and the cut are exact. Needs label, text, near."""
+def context_points(kind: str, denied, near: Column) -> Column:
+    """Score of a paragraph (label, text) in tenths: whole numbers, so that ties and the cut are exact."""
     low = F.lower(F.col("text"))
     has = lambda *words: T.any_of(low, words)
-    points = F.when(F.col("label") == kind, 50).when(F.col("label") == "generic", 10).otherwise(0) + F.when(F.col("near"), 22).otherwise(0)
+    points = F.when(F.col("label") == kind, 50).when(F.col("label") == "generic", 10).otherwise(0) + F.when(near, 22).otherwise(0)
     for word in DATA_KEYWORDS if kind == "data" else CODE_KEYWORDS:
         points = points + F.when(low.contains(word), 14).otherwise(0)
     return (
@@ -61,60 +61,72 @@ def context_points(kind: str, denied) -> Column:
     )
 
 
-def rank_contexts(paragraphs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """doc_id, kind, rank, points, source, idx, text: the best paragraphs for data and for code; without any, all text as one."""
+def grouped_contexts(paragraphs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """doc_id, kind, contexts: for data and for code the best paragraphs (array of points, source, idx, text, the best first);
+    without any, all text as one. Windows and the group share the shuffle by doc_id."""
     order = _in_order("idx")
-    out = None
+    kinds = []
     for kind in ("data", "code"):
-        head = F.col("label").eqNullSafe(F.lit(kind))
-        near = paragraphs.withColumn("near", F.coalesce(F.lag(head, 1).over(order), F.lit(False)) | F.coalesce(F.lag(head, 2).over(order), F.lit(False)))
-        rows = near.withColumn("points", context_points(kind, settings.denied)).withColumn("any", F.max(F.col("points") > 5).over(Window.partitionBy("doc_id")))
-        best = rows.where("points > 5").select("doc_id", F.lit(kind).alias("kind"), "points", F.when(head, "heading").otherwise("phrase").alias("source"), "idx", "text")
-        whole = rows.where("NOT any").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda p: p["text"]), " ").alias("text"))
-        whole = whole.select("doc_id", F.lit(kind).alias("kind"), F.lit(10).alias("points"), F.lit("global").alias("source"), F.lit(0).alias("idx"), T.collapse("text").alias("text"))
-        found = best.unionByName(whole)
-        out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.desc("points"), "idx"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= settings.max_contexts).select("doc_id", "kind", "rank", "points", "source", "idx", "text")
-
-
-def _trimmed(kind: str) -> Column:
+        head = F.coalesce(F.col("label") == kind, F.lit(False))
+        near = F.lag(head, 1, False).over(order) | F.lag(head, 2, False).over(order)
+        paragraphs = paragraphs.withColumn(f"near_{kind}", near)
+        points = context_points(kind, settings.denied, F.col(f"near_{kind}"))
+        kinds.append(F.struct(F.lit(kind).alias("kind"), points.alias("points"), F.when(head, "heading").otherwise("phrase").alias("source")))
+    rows = paragraphs.select("doc_id", "idx", "text", F.explode(F.array(*kinds)).alias("k"))
+    fields = (-F.col("k.points")).alias("minus"), F.col("idx").cast("int").alias("idx"), "text", "k.source"
+    all_ranked = rows.groupBy("doc_id", "k.kind").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("p"))
+    best = F.transform(F.filter("p", lambda x: x["minus"] < -5), lambda x: F.struct((-x["minus"]).alias("points"), x["source"].alias("source"), x["idx"].alias("idx"), x["text"].alias("text")))
+    in_order = F.array_sort("p", lambda x, y: x["idx"] - y["idx"])
+    whole = T.collapse(F.array_join(F.transform(in_order, lambda x: x["text"]), " "))
+    one = F.array(F.struct(F.lit(10).alias("points"), F.lit("global").alias("source"), F.lit(0).alias("idx"), whole.alias("text")))
+    return all_ranked.select("doc_id", "kind", F.when(F.size(best) > 0, F.slice(best, 1, settings.max_contexts)).otherwise(one).alias("contexts"))
+
+
+def rank_contexts(paragraphs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """doc_id, kind, rank, points, source, idx, text: a row for each of grouped_contexts()."""
+    rows = grouped_contexts(paragraphs, settings).select("doc_id", "kind", F.posexplode("contexts").alias("at", "c"))
+    return rows.select("doc_id", "kind", (F.col("at") + 1).alias("rank"), "c.points", "c.source", "c.idx", "c.text")
+
+
+def _trimmed(text: Column, kind: str) -> Column:
     """The first sentence, else the first pair of neighbours, that states availability."""
-    s = T.statement_sentences("text")
+    s = T.statement_sentences(text)
     pairs = F.zip_with(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     ok = lambda x: R.states_availability(x, kind)
     return F.coalesce(F.get(F.filter(s, ok), F.lit(0)), F.get(F.filter(pairs, ok), F.lit(0)))
 
 
-def statements(contexts: DataFrame) -> DataFrame:
-    """doc_id, kind, statement, confidence: from the best context with a trimmed statement, else from the best context that
-    states availability as a whole; papers without either have null."""
-    trimmed = F.when(F.col("kind") == "data", _trimmed("data")).otherwise(_trimmed("code"))
-    whole = F.when(F.col("kind") == "data", R.states_availability("text", "data")).otherwise(R.states_availability("text", "code"))
-    rows = contexts.withColumns({"trimmed": trimmed, "whole": whole & (F.col("rank") == 1)})
-    best = rows.groupBy("doc_id", "kind").agg(
-        F.min(F.when(F.col("trimmed").isNotNull(), F.struct("rank", F.col("trimmed").alias("text"), "points"))).alias("a"),
-        F.min(F.when(F.col("whole"), F.struct("rank", "text", "points"))).alias("b"),
-    )
-    sure = F.when(F.col("a").isNotNull(), F.least(F.lit(0.6), F.col("a.points") / 80)).when(F.col("b").isNotNull(), F.least(F.lit(0.4), F.col("b.points") / 100))
-    return best.select("doc_id", "kind", T.repair_spacing(F.coalesce("a.text", "b.text")).alias("statement"), F.round(sure, 6).alias("confidence"))
+def _by_kind(fn) -> Column:
+    return F.when(F.col("kind") == "data", fn("data")).otherwise(fn("code"))
+
+
+def statements(grouped: DataFrame) -> DataFrame:
+    """grouped_contexts() with statement and confidence: from the best context with a trimmed statement, else from the best
+    context if it states availability as a whole, else null."""
+    first = F.get("contexts", F.lit(0))
+    sure = _by_kind(lambda k: F.get(F.filter(F.transform("contexts", lambda c: F.struct(_trimmed(c["text"], k).alias("text"), c["points"].alias("points"))), lambda x: x["text"].isNotNull()), F.lit(0)))
+    rows = grouped.withColumn("sure", sure).withColumn("weak", F.when(F.col("sure").isNull() & _by_kind(lambda k: R.states_availability(first["text"], k)), first))
+    confidence = F.when(F.col("sure").isNotNull(), F.least(F.lit(0.6), F.col("sure.points") / 80)).when(F.col("weak").isNotNull(), F.least(F.lit(0.4), F.col("weak.points") / 100))
+    statement = T.repair_spacing(F.coalesce("sure.text", "weak.text"))
+    return rows.withColumns({"statement": statement, "confidence": F.round(confidence, 6)}).drop("sure", "weak")
+
+
+def with_links(grouped: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """grouped_contexts() with links: accepted links of the contexts in rank order, each once."""
+    text = U.glue_host(F.array_join(F.transform("contexts", lambda c: c["text"]), " "))
+    return grouped.withColumn("links", _by_kind(lambda k: U.links(text, k, settings)))
 
 
-def paper_links(contexts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """doc_id, kind, pos, url: accepted links of a paper's contexts, in rank order, each once."""
-    glued = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda c: c["text"]), " ")
-    text = contexts.groupBy("doc_id", "kind").agg(glued.alias("text")).withColumn("text", U.glue_host("text"))
-    urls = F.when(F.col("kind") == "data", U.links("text", "data", settings)).otherwise(U.links("text", "code", settings))
-    return text.select("doc_id", "kind", F.posexplode(urls).alias("pos", "url"))
+def paper_links(grouped: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """doc_id, kind, pos, url."""
+    return with_links(grouped, settings).select("doc_id", "kind", F.posexplode("links").alias("pos", "url"))
 
 
 def availability(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """doc_id, kind, statement, confidence, links (array), status."""
-    contexts = rank_contexts(segment(blocks), settings)
-    found = paper_links(contexts, settings).groupBy("doc_id", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("links"))
-    rows = statements(contexts).join(found, ["doc_id", "kind"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
-    n = F.size("links")
-    return rows.withColumn("status", F.when(F.col("kind") == "data", R.availability_status("statement", n, "data")).otherwise(R.availability_status("statement", n, "code")))
+    rows = statements(with_links(grouped_contexts(segment(blocks), settings), settings))
+    status = _by_kind(lambda k: R.availability_status("statement", F.size("links"), k))
+    return rows.select("doc_id", "kind", "statement", "confidence", "links", status.alias("status"))
 
 
 # --- DOIs

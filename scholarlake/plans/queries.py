@@ -45,6 +45,10 @@ def _contexts(spark: SparkSession, sf: str) -> DataFrame:
     return papers.rank_contexts(papers.segment(_blocks(spark, sf)))
 
 
+def _grouped(spark: SparkSession, sf: str) -> DataFrame:
+    return papers.grouped_contexts(papers.segment(_blocks(spark, sf)))
+
+
 @query
 def validate_doi(spark, sf):
     return _blocks(spark, sf).where("seq = 2").select("doc_id", F.col("text").alias("raw"), D.validate_doi("text").alias("doi"))
@@ -93,7 +97,7 @@ def rank_contexts_topk(spark, sf):
 
 @query
 def availability_statement(spark, sf):
-    return papers.statements(_contexts(spark, sf))
+    return papers.statements(_grouped(spark, sf)).drop("contexts")
 
 
 @query
@@ -103,7 +107,7 @@ def availability_status(spark, sf):
 
 @query
 def extract_links(spark, sf):
-    return papers.paper_links(_contexts(spark, sf))
+    return papers.paper_links(_grouped(spark, sf))
 
 
 @query
