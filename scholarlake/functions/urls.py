@@ -36,6 +36,22 @@ def repair_urls(x: Column | str, passes: int = 10) -> Column:
     return x
 
 
+def unwrap(x: Column | str) -> Column:
+    """Links rewritten by a mail gateway, as the links they stand for."""
+    return F.regexp_replace(col(x), r"(?i)https?://urldefense\.(?:proofpoint\.)?com/v\d/__(https?://\S+?)__;\S*", "$1")
+
+
+def layout_urls(x: Column | str, most: int = 20) -> Column:
+    """For text from page layout: links unwrapped, then white space after a scheme swallowed while what follows still looks
+    like a URL (it has a dot, slash or other URL mark within its next characters) and is no common word."""
+    x = unwrap(F.regexp_replace(col(x), "[​‌‍⁠﻿]", ""))
+    x = F.regexp_replace(x, r"(?i)\b(https?)\s*:\s*/\s*/\s*", "$1://")
+    stop = r"(?!(?:and|or|the|in|at|is|are|for|from|with)\b)"
+    for _ in range(most):
+        x = F.regexp_replace(x, r"(?i)(https?://\S{0,200})\s+" + stop + r"(?=[A-Za-z0-9]*[./_=?&%#~-])([A-Za-z0-9./_=?&%#~-])", "$1$2")
+    return x
+
+
 def glue_host(x: Column | str) -> Column:
     """One pass over a spaced host name after a scheme, up to its top-level domain."""
     return F.regexp_replace(col(x), r"(https?://[a-z]+)\s+([a-z]+\.(?:org|com|io))", "$1$2")

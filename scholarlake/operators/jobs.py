@@ -24,6 +24,15 @@ def newest_jobs(jobs: DataFrame, limit: int = 100, user_id=None, status: str | N
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(limit)
 
 
+def is_admin(email: Column, admins: tuple[str, ...]) -> Column:
+    return F.coalesce(F.lower(F.trim(email)).isin(*(a.strip().lower() for a in admins)), F.lit(False)) if admins else F.lit(False)
+
+
+def owned(rows: DataFrame, user_id, admin: bool = False) -> DataFrame:
+    """Rows that a user may see: their own; all of them for an admin."""
+    return rows if admin else rows.where(F.col("user_id") == user_id)
+
+
 def pending_jobs(jobs: DataFrame, limit: int = 100) -> DataFrame:
     return jobs.where("status = 'pending'").orderBy("created_at", "job_id").limit(limit)
 

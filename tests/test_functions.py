@@ -70,6 +70,9 @@ CASES = [
     (lambda c: U.links(c, "code"), "https://www.github.com/a/b https://doi.org/10.5281/z https://gitlab.com/c", ["https://www.github.com/a/b", "https://gitlab.com/c"]),
     (U.repair_urls, "at https://zenod o.org/record/12?a= 5 now", "at https://zenodo.org/record/12?a=5 now"),
     (U.repair_urls, "videos for all", "videos for all"),
+    (U.unwrap, "see https://urldefense.com/v3/__https://zenodo.org/record/1__;!!N11eV! ok", "see https://zenodo.org/record/1 ok"),
+    (U.layout_urls, "at http : // zen odo.org/rec ord/12 and more", "at http://zenodo.org/record/12 and more"),
+    (U.layout_urls, "at https://x.org/a in the end", "at https://x.org/a in the end"),
     (U.inspected, "www.x.org/a,", "https://www.x.org/a"),
     (U.inspected, "mailto:x", None),
     (U.link_kind, "https://doi.org/10.1/x", "data"),

@@ -102,6 +102,13 @@ def test_queue(spark):
     assert [r.job_id for r in jobs.newest_jobs(j, 2).collect()] == [4, 3] and [r.job_id for r in jobs.newest_jobs(j, user_id=7, status="pending").collect()] == [2]
 
 
+def test_ownership(spark):
+    j, _ = tables(spark)
+    assert jobs.owned(j, 7).count() == 2 and jobs.owned(j, 7, admin=True).count() == 5
+    users = spark.createDataFrame([(" A@x.org ",), ("b@x.org",), (None,)], "email string")
+    assert [r.a for r in users.select(jobs.is_admin(F.col("email"), ("a@X.org",)).alias("a")).collect()] == [True, False, False]
+
+
 def test_transitions(spark):
     j, d = tables(spark)
     one = spark.createDataFrame([(1,), (1,)], "job_id long")
