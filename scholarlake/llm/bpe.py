@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding on padded numpy matrices.
 
-Texts are split by the vocabulary's pattern; each distinct piece of a step that is not cached is encoded once. Pieces
-are bucketed by byte length into matrices padded with -1. In each round every row looks up all its adjacent pairs in a
+Texts are split by the vocabulary's pattern; each distinct piece of a step that is not held from before is encoded once.
+Pieces are bucketed by byte length into matrices padded with -1. In each round every row looks up all its adjacent pairs in a
 hashed pair table, merges its leftmost pair of least rank and is compacted by one column; rows without a known pair
 leave the matrix. Pieces longer than WIDEST bytes take the same merges with a heap over a linked list, so that one very
 long run costs n log n.
@@ -16,22 +16,23 @@ import base64
 import functools
 import hashlib
 import heapq
-from collections.abc import Callable
-from string import punctuation
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlake.llm.common import mapped, table
+from scholarlake.llm.parts import PartCoder, spread
 
 WIDEST = 256
 #: Cells of one matrix.
-CELLS = 1 << 19
-#: Cached entries of each kind in a Python worker; what was not used lately goes first.
-CACHED = 300_000
+CELLS = 1 << 18
+#: Text bytes of one step.
+STEP = 4 << 20
 
 _NONE = np.int64(1 << 40)
 
@@ -188,87 +189,27 @@ def load_ranks(path: str) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
-class Memo:
-    """A bounded dictionary of two generations: what was used since the last turn survives the next."""
-
-    def __init__(self, limit: int) -> None:
-        self.half, self.young, self.old = limit // 2, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Keys that must be computed; the others are in `young` after this call."""
-        fresh = keys - self.young.keys()
-        known = fresh & self.old.keys()
-        self.young.update((k, self.old[k]) for k in known)
-        return list(fresh - known)
-
-    def turn(self) -> None:
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
-
-
-class ChunkCache:
-    """ids of whole texts from ids of their distinct chunks, with a bounded cache.
-
-    A text is cut before each space that stands between two other characters: the pattern starts a new piece at every
-    such space, so a chunk with its space has the same ids alone as in its text. First chunks, and texts with other runs
-    of white space around a space, are encoded as they are.
-
-    encode_chunks gets chunks without their leading space, encode_whole gets texts; both return little-endian unsigned
-    32-bit ids.
-    """
-
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = CACHED) -> None:
-        self.encode_chunks, self.encode_whole, self.chunks = encode_chunks, encode_whole, Memo(limit)
-        self.marks: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.chunks.turn()
-        cut = [x.split(" ") for x in texts]
-        heads = [x.pop(0) for x in cut]
-        held, marks = self.chunks.young, self.marks
-        fresh = self.chunks.missing(set().union(*cut))
-        marked = [(c, stem, c[len(stem) :]) for c in fresh if len(stem := c.rstrip(punctuation)) < len(c) and stem.isalpha()]
-        rest = set(fresh).difference([c for c, _, _ in marked])
-        new = list({run for _, _, run in marked} - marks.keys())
-        if len(marks) + len(new) > 10_000:
-            marks.clear()
-            new = list({run for _, _, run in marked})
-        marks.update(zip(new, self.encode_whole(new), strict=True))
-        rest.update(self.chunks.missing({stem for _, stem, _ in marked}))
-        good = [c for c in rest if c and not (c[0].isspace() or c[-1].isspace())]
-        held.update(zip(good, self.encode_chunks(good), strict=True))
-        if len(good) < len(rest):
-            held.update((c, None) for c in rest.difference(good))
-        held.update([(c, held[stem] + marks[run]) for c, stem, run in marked])
-        bodies = [[held[c] for c in chunks] for chunks in cut]
-        plain = [not body or (head != "" and not head[-1].isspace() and None not in body) for head, body in zip(heads, bodies, strict=True)]
-        firsts = self.encode_whole([head if ok else text for head, ok, text in zip(heads, plain, texts, strict=True)])
-        return [b"".join([first, *body]) if ok else first for first, body, ok in zip(firsts, bodies, plain, strict=True)]
-
-
-class BpeCoder:
-    """Whole texts by a rank file and a splitting pattern."""
+class BpeCoder(PartCoder):
+    """By a rank file and a splitting pattern."""
 
     def __init__(self, bpe: Bpe, pattern: str) -> None:
+        super().__init__()
         self.bpe, self.find = bpe, regex.compile(pattern).findall
-        self.pieces = Memo(CACHED // 2)
-        self.cache = ChunkCache(self._chunks, self._whole)
-        self.encode = self.cache.encode
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        self.pieces.turn()
+    def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.find(x) for x in texts]
-        fresh = self.pieces.missing(set().union(*split))
-        known = self.pieces.young
-        known.update((p, ids.tobytes()) for p, ids in zip(fresh, self.bpe.encode_pieces([p.encode() for p in fresh]), strict=True))
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        return self._whole([" " + c for c in chunks])
+        places = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        ids = self.bpe.encode_pieces([p.encode() for p in places])
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        order = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.int64)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        total = np.concatenate([[0], np.cumsum(counts[order])])
+        ends = np.cumsum(sizes)
+        return spread(np.concatenate([np.empty(0, "<u4"), *ids]), counts, order), total[ends] - total[ends - sizes]
 
 
 @functools.lru_cache(maxsize=2)
-def bpe_cache(path: str, pattern: str) -> BpeCoder:
+def bpe_coder(path: str, pattern: str) -> BpeCoder:
     return BpeCoder(load_ranks(path), pattern)
 
 
@@ -277,12 +218,19 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     rows = docs.drop("ids")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coded = bpe_cache(path, pattern).encode([x or "" for x in batch.column(text_col).to_pylist()])
-        ends = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        flat, sizes = bpe_coder(path, pattern).encode(batch.column(text_col))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int32)))
         return pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
-    return mapped(rows, run, rows.withColumn("ids", F.lit(None).cast("array<int>")).schema, text_col)
+    return mapped(rows, run, rows.withColumn("ids", F.lit(None).cast("array<int>")).schema, text_col, STEP)
+
+
+def _decoded(bpe: Bpe, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bytes of each run of ids."""
+    raw = bpe.decode(flat)
+    length = np.concatenate([[0], np.cumsum(bpe.length[flat])])
+    ends = np.cumsum(sizes)
+    return [raw[a:b] for a, b in zip(length[ends - sizes].tolist(), length[ends].tolist(), strict=True)]
 
 
 def decode_bpe(coded: DataFrame, path: str) -> DataFrame:
@@ -292,7 +240,8 @@ def decode_bpe(coded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = load_ranks(path)
         for batch in batches:
-            out = [bpe.decode(np.array(x, np.int64)) if x else b"" for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            out = _decoded(bpe, ids.flatten().to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit(None).cast("binary")).schema)
@@ -302,15 +251,13 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, in one pass."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coded = bpe_cache(path, pattern).encode([x or "" for x in batch.column("text").to_pylist()])
-        bpe = load_ranks(path)
-        decoded = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in coded]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array(decoded)],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        flat, sizes = bpe_coder(path, pattern).encode(batch.column("text"))
+        raw, ends = flat.astype("<u4").tobytes(), np.cumsum(sizes) * 4
+        ids = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip((ends - sizes * 4).tolist(), ends.tolist(), strict=True)]
+        decoded = [hashlib.sha256(x).hexdigest() for x in _decoded(load_ranks(path), flat.astype(np.int64), sizes)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "text", STEP)
 
 
 def multi_path() -> tuple[str, str]:

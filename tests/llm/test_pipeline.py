@@ -1,10 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
 from scholarlake.llm import decontaminate as D
 from scholarlake.llm import quality as Q
-from scholarlake.llm.bpe import bpe_cache, multi_path
+from scholarlake.llm.bpe import bpe_coder, multi_path
 from tests.llm.conftest import prose
 from tests.llm.test_decontaminate import ITEMS
 from tests.llm.test_jaccard_join import edited, shingles
@@ -52,8 +53,8 @@ def test_equals_a_plain_loop(spark, sf_dir):
     leaks = {r.doc_id for r in D.find_leaks(spark.createDataFrame(list(keep.items()), "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
     assert leaks == {400 + i for i in range(10)}
     want = {i: t for i, t in keep.items() if i not in leaks}
-    coded = bpe_cache(*multi_path()).encode(list(want.values()))
-    assert {i: r.ids for i, r in got.items()} == {i: np.frombuffer(c, "<u4").tolist() for i, c in zip(want, coded, strict=True)}
+    flat, sizes = bpe_coder(*multi_path()).encode(pa.array(list(want.values())))
+    assert {i: r.ids for i, r in got.items()} == {i: x.tolist() for i, x in zip(want, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
     assert all(r.exact and r.n_tokens == len(r.ids) for r in got.values())
 
 
