@@ -163,5 +163,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranker = train(docs, learned_from(table(spark, sf_dir, "labels")))
     return score_quality(docs, ranker).select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted")
     )
