@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,6 +65,7 @@ def drop_written(since: int) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files that nothing refers to any more."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -1,25 +1,34 @@
-"""Connected components by minimum labels with pointer jumping; nothing but a convergence count reaches the driver."""
+"""Connected components by contraction; nothing but row counts reaches the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import materialize
+from scholarlake.llm.common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node of its component) for every node of edges (a long, b long)."""
-    both = materialize(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
+    """node, component (the least node of its component) for every node of edges (a long, b long).
+
+    In each round every node moves to its least neighbour, or stays if it is less than all of them; edges are redrawn
+    between the nodes moved to, until none are left. Least neighbours are combined before the shuffle, so a node with
+    many edges does no harm; only local minima stay, so rounds are few.
+    """
+    proper = edges.where("a <> b")
+    left = materialize(proper.select("a", "b").unionByName(proper.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    moves = []
     while True:
-        # neighbours' labels, combined before the shuffle
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        # jump: the label of the label
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = materialize(step.join(up, "component").select("node", "was", F.least("component", "up").alias("component")), "labels")
-        changed = after.where("was <> component").limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+        move = materialize(left.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")), "moves")
+        moves.append(move)
+        at = lambda end: move.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}"))  # noqa: B023, E731
+        redrawn = left.join(at("a"), "a").join(at("b"), "b").where("to_a <> to_b")
+        left = materialize(redrawn.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "edges")
+        release(edges.sparkSession)
+        if left.isEmpty():
+            break
+    found = moves[0].select("node", F.col("to").alias("component"))
+    for move in moves[1:]:
+        step = move.select(F.col("node").alias("component"), "to")
+        found = found.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(found, "components")

@@ -3,10 +3,13 @@
 1. Each whole text becomes its set of shingle hashes; equal sets form one class, joined once.
 2. Candidate blocks. Sets of sizes a and b with Jaccard similarity of at least t differ in at most (a + b)(1 - t)/(1 + t)
    elements. Sets are put into size ranges (each also into the range below if a partner may be there); in a range whose
-   largest such difference is d, elements are dealt by hash into more than d parts, so linked sets agree on a whole
-   part. Part hashes are the keys; sets that share one are candidates. A few parts beyond d are added so that agreeing
-   on empty parts alone is impossible unless a set has more empty parts than that; only such sets emit empty parts.
-3. A key's sets are tied to one pivot (rows linear in keys), and connected candidates form a family.
+   largest such difference is d, elements are dealt by hash into 1.5 (d + 1) parts, so linked sets agree on more parts
+   than d + 1 leaves empty, and on a part with elements if one of the two has over d such parts. Part hashes are the
+   keys; sets that share one are candidates. Shingles that are frequent in a hash sample are left out here, since parts
+   of nothing else would tie all documents that share a common passage; any set of them may be left out. A set with
+   too few parts then also emits keys over all its shingles, in d + 1 + d/16 parts, empty ones included where there are
+   over d/16 of them: two such sets agree on one of those.
+3. Sorted by key, a key's sets are tied to one pivot (rows linear in keys), and connected candidates form a family.
 4. Each family is cut into blocks bounded in documents and shingles, and the sparse products of blocks accumulate overlap counts:
    columns of most rows by a dense product, the others by sorted runs; pairs below the size-derived bound are dropped. Every
    block meets itself and the family's first block; sets outside the largest component found so far then meet all
@@ -26,10 +29,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import mapped, materialize, small, table, texts, without_ids
+from scholarlake.llm.common import mapped, materialize, release, small, table, texts, without_ids
 from scholarlake.llm.graph import components
 from scholarlake.llm.shingles import mix, shingle_set
 
@@ -38,6 +42,11 @@ BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 400_000
 #: Ratio of a size range.
 RANGE = 1.4
+#: Most shingles that are left out of keys as frequent: 8 bytes each travel with the tasks.
+FREQUENT = 1_000_000
+#: Keys looked after for balance, the most frequent of a hash sample, and the tasks that each is spread over.
+HOT_KEYS = 4_096
+SALTS = 16
 
 
 def size_ranges(limit: int = 1 << 40) -> list[int]:
@@ -51,49 +60,135 @@ def size_ranges(limit: int = 1 << 40) -> list[int]:
 _STARTS = np.array(size_ranges(), np.int64)
 
 
-def part_keys(hashes: np.ndarray, t: Fraction) -> np.ndarray:
-    """Keys of one set: sets with Jaccard similarity of at least t share one."""
+def _parts(hashes: np.ndarray, parts: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the non-empty ones among `parts` hash parts of a set, and the key of each empty part."""
+    part = (mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
+    sums, count = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
+    np.add.at(sums, part, mix(hashes))
+    keys = mix(sums ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(tag << 40)) ^ (count.astype(np.uint64) << np.uint64(7)))
+    return keys[count > 0], keys[count == 0]
+
+
+def part_keys(hashes: np.ndarray, t: Fraction, frequent: np.ndarray) -> np.ndarray:
+    """Keys of one set: sets with Jaccard similarity of at least t share one, whatever `frequent` (sorted hashes) is."""
     n = len(hashes)
     own = int(np.searchsorted(_STARTS, n, side="right")) - 1
     ranges = [own]
     if own and -(-n * t.numerator // t.denominator) < _STARTS[own]:  # the least size of a partner is in the range below
         ranges.append(own - 1)
+    rare = hashes[frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] != hashes] if len(frequent) else hashes
     keys = []
     for r in ranges:
         # both sizes at most: a set of range r, and a partner as large as the bound allows
         most = int(_STARTS[r + 1]) - 1
         d = int((most + most * t.denominator // t.numerator) * (1 - t) / (1 + t))
-        spare = d // 16
-        parts = d + 1 + spare
-        part = (mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mix(hashes))
-        count = np.bincount(part, minlength=parts)
-        key = mix(sums ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(r << 40)) ^ (count.astype(np.uint64) << np.uint64(7)))
-        keys.append(key[count > 0] if (count == 0).sum() <= spare else key)
+        full, _ = _parts(rare, d + 1 + (d + 1) // 2, 2 * r)
+        keys.append(full)
+        if len(full) <= d:  # agreement may be on empty parts only, unless the partner has enough
+            more, empty = _parts(hashes, d + 1 + d // 16, 2 * r + 1)
+            keys += [more] if len(empty) <= d // 16 else [more, empty]
     return np.concatenate(keys).astype(np.int64)
 
 
-def shingle_rows(docs: DataFrame, n: int, t: Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, c1, c2 (a 128-bit fingerprint of the set) and keys of each row."""
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set, whatever its order."""
+    if not len(s):
+        return np.uint64(0), np.uint64(0)
+    return np.add.reduce(mix(s + np.uint64(1))), np.add.reduce(mix(s ^ np.uint64(0x5DEECE66D1234567)))
+
+
+def _longs(x: list) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
+    """doc_id, n, c1, c2 (the fingerprint) of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        size, c1, c2, keys = [], [], [], []
-        for text in texts(batch):
-            s = shingle_set(text, n)
-            size.append(len(s))
-            c1.append(np.add.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0))
-            c2.append(np.add.reduce(mix(s ^ np.uint64(0x5DEECE66D1234567))) if len(s) else np.uint64(0))
-            keys.append(part_keys(s, t) if len(s) else np.empty(0, np.int64))
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        as_long = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), as_long(c1), as_long(c2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-            ["doc_id", "n", "c1", "c2", "keys"],
-        )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return mapped(rows, run, "doc_id long, n long, c1 long, c2 long, keys array<long>")
+        sets = [shingle_set(x, n) for x in texts(batch)]
+        c1, c2 = zip(*map(fingerprint, sets), strict=True)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _longs(c1), _longs(c2)], ["doc_id", "n", "c1", "c2"])
+
+    return mapped(rows, run, "doc_id long, n long, c1 long, c2 long")
+
+
+def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of shingles in at least three documents of a hash sample, or in so many more that at most FREQUENT are left."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(x, n) for x in texts(batch)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["g"])
+
+    sample = rows.where("pmod(xxhash64(doc_id, 3), 16) = 0")
+    counts = materialize(mapped(sample.select("text"), run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m >= 3"), "frequent")
+    least = 3
+    if counts.count() > FREQUENT:
+        above = 0
+        for r in counts.groupBy("m").count().orderBy(F.desc("m")).toLocalIterator():
+            above += r["count"]
+            if above > FREQUENT:
+                break
+            least = r["m"]
+    return np.sort(np.array(counts.where(F.col("m") >= least).limit(FREQUENT).select("g").toArrow()["g"].to_numpy(), np.int64).view(np.uint64))
+
+
+def key_rows(rows: DataFrame, n: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
+    """key, c1: a row for each part key of each row's set."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sets = [s for s in (shingle_set(x, n) for x in texts(batch)) if len(s)]
+        if not sets:
+            return None
+        keys = [part_keys(s, t, shared.value) for s in sets]
+        owner = np.repeat(np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64), [len(k) for k in keys])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owner)], ["key", "c1"])
+
+    return mapped(rows, run, "key long, c1 long")
+
+
+def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by key, salt and c1: c1 and the first c1 of its key and salt, where they differ."""
+    last_key = last_salt = last_c = pivot = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, c = (batch.column(x).to_numpy() for x in ("key", "salt", "c1"))
+        fresh = np.concatenate([[(key[0], salt[0]) != (last_key, last_salt)], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+        again = np.concatenate([[not fresh[0] and c[0] == last_c], (c[1:] == c[:-1]) & ~fresh[1:]])
+        at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+        pivots = np.where(at >= 0, c[at], pivot if pivot is not None else 0)
+        last_key, last_salt, last_c, pivot = key[-1], salt[-1], c[-1], pivots[-1]
+        tied = ~again & ~fresh & (c != pivots)
+        if tied.any():
+            pairs = np.unique(np.stack([c[tied], pivots[tied]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+
+def ties_of(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """a, b: fingerprints of sets that share a key, each with a pivot of it; each pair once.
+
+    The HOT_KEYS most frequent keys of a hash sample of documents are spread over SALTS tasks, whose pivots are tied by
+    a row for each salt.
+    """
+    frequent = frequent_shingles(rows, n)
+    sample = key_rows(rows.where("pmod(xxhash64(doc_id, 7), 16) = 0"), n, t, frequent)
+    counts = materialize(sample.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m >= 16"), "keys")
+    hot = [r.key for r in counts.orderBy(F.desc("m")).limit(HOT_KEYS).collect()]
+    keyed = key_rows(rows, n, t, frequent)
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    salted = keyed.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("c1"), F.lit(SALTS))).otherwise(0))
+    dealt = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "c1")
+    ties = dealt.mapInArrow(_tie, "a long, b long").distinct()
+    if hot:
+        firsts = salted.where(is_hot).groupBy("key", "salt").agg(F.min("c1").alias("c1"))
+        across = firsts.join(firsts.groupBy("key").agg(F.min("c1").alias("b")), "key").where("c1 <> b").select(F.col("c1").alias("a"), "b")
+        ties = ties.unionByName(across).distinct()
+    return materialize(ties, "ties")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -183,22 +278,21 @@ def _multiply(placed: DataFrame, t: Fraction) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs; threshold is a decimal number as text, kept exact."""
     t = Fraction(threshold)
-    rows = materialize(shingle_rows(docs, n, t, id_col, text_col), "shingles")
+    source = _identified(docs, id_col, text_col)
+    rows = materialize(shingle_rows(source, n), "shingles")
     classes = materialize(
         rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes"
     )
-    keyed = rows.where("n > 0").select("c1", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("c1").alias("pivot"), F.max("c1").alias("last")).where("pivot < last").select("key", "pivot")
-    ties = materialize(keyed.join(shared, "key").where("c1 <> pivot").select(F.col("c1").alias("a"), F.col("pivot").alias("b")).distinct(), "ties")
+    ties = ties_of(source, n, t)
+    release(docs.sparkSession)
     families = components(ties).select(F.col("node").alias("c1"), F.col("component").alias("family"))
     members = materialize(classes.join(families, "c1").select("node", "rep", "n", "family", "c1", "c2"), "members")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
     wanted = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    source = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     # text meets its class by id; where rows repeat an id the fingerprint decides
-    texts_of = source.join(small(wanted.select("rep").distinct(), 24), "rep", "left_semi")
-    sets = materialize(_sets(texts_of, n), "sets")
-    placed = materialize(wanted.join(sets.dropDuplicates(["c1", "c2"]), ["c1", "c2"]).select("family", "blocks", "block", "node", "hashes"), "blocks")
+    wanted = wanted.select(F.col("rep").alias("wanted_id"), "c1", "c2", "family", "blocks", "block", "node")
+    placed = materialize(_sets(source.join(small(wanted, 96), F.expr("doc_id <=> wanted_id")), n), "blocks")
+    release(docs.sparkSession)
     own = placed.select("family", F.col("block").alias("left"), F.col("block").alias("right"), "node", "hashes")
     many = placed.where("blocks > 1")
     first = many.where("block > 0").select("family", F.lit(0).alias("left"), F.col("block").alias("right"), "node", "hashes").unionByName(
@@ -216,14 +310,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
 
 
 def _sets(texts_of: DataFrame, n: int) -> DataFrame:
+    """family, blocks, block, node, hashes of the rows whose text is that of their class."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, n) for x in texts(batch)]
+        c1, c2 = (_longs(x) for x in zip(*map(fingerprint, sets), strict=True))
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        total = lambda f: pa.array(np.array([np.add.reduce(mix(f(s))) if len(s) else 0 for s in sets], np.uint64).astype(np.int64))
-        hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).astype(np.int64)))
-        return pa.RecordBatch.from_arrays([total(lambda s: s + np.uint64(1)), total(lambda s: s ^ np.uint64(0x5DEECE66D1234567)), hashes], ["c1", "c2", "hashes"])
+        hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+        own = pc.and_(pc.equal(c1, batch.column("c1")), pc.equal(c2, batch.column("c2")))
+        names = ["family", "blocks", "block", "node"]
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), hashes], [*names, "hashes"]).filter(own)
 
-    return mapped(texts_of.select("text"), run, "c1 long, c2 long, hashes array<long>")
+    return mapped(texts_of.select("text", "c1", "c2", "family", "blocks", "block", "node"), run, "family long, blocks int, block int, node long, hashes array<long>")
 
 
 def _outside(many: DataFrame, links: DataFrame, t: Fraction) -> DataFrame:

@@ -262,7 +262,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), fp.alias("fp"), "text")
     hot = _hot_anchors(keyed)
     runs = mapped(keyed, _runs, RUN, limit=STEP)
-    hot_g = F.array_contains(F.lit(hot), F.col("g")) if hot else F.lit(False)
+    hot_g = F.col("g").isin(hot) if hot else F.lit(False)
     salted = runs.withColumn("salt", F.when(hot_g, F.pmod(F.xxhash64("did", "at"), F.lit(SALTS))).otherwise(0))
     sorted_runs = materialize(_sorted_firsts(salted, ["g", "salt"], hot), "runs")
     if hot:  # firsts of hot anchors within their salts meet by pair; that their anchor has other pairs is taken for granted

@@ -1,6 +1,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from scholarlake.llm import jaccard_join as J
@@ -48,7 +49,7 @@ ROWS = (
     family(prose(1, 300), 40, 12, 100)
     + family(prose(2, 60), 20, 4, 200)
     + family(prose(3, 12), 8, 1, 300)
-    + [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "one two"), (7, "one  TWO"), (8, "two one"), (9, "a b c"), (9, "a b c"), (None, "a b c"), (None, prose(2, 60))]
+    + [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "one two"), (7, "one  TWO"), (8, "two one"), (9, "a b c"), (9, "a b c"), (None, "a b c"), (None, prose(2, 60)), (None, edited(prose(1, 300), 77, 1)), (None, edited(prose(77, 90), 1, 0)), (98, edited(prose(77, 90), 1, 1))]
     + [(400 + i, prose(50 + i, 200) + " " + prose(9, 100)) for i in range(6)]
     + [(500, prose(11, 30_000)), (501, edited(prose(11, 30_000), 1, 500)), (502, prose(11, 30_000) + " end")]
 )
@@ -60,22 +61,29 @@ def test_equals_brute_force(frame, n, t):
     assert got == brute(ROWS, n, Fraction(t))
 
 
-def test_families_over_many_blocks(frame, monkeypatch):
+@pytest.mark.parametrize("common", [False, True])
+def test_families_over_many_blocks(frame, monkeypatch, common):
     monkeypatch.setattr(J, "BLOCK_DOCS", 7)
+    if common:  # most shingles of the families count as frequent
+        monkeypatch.setattr(J, "frequent_shingles", lambda rows, n: np.union1d(shingle_set(prose(4, 200).encode(), n), shingle_set(prose(5, 40).encode(), n)))
     rows = family(prose(4, 200), 60, 25, 1000) + family(prose(5, 40), 30, 4, 2000)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(frame(rows), 3, "0.9").collect()), key=str)
     assert got == brute(rows, 3, Fraction("0.9"))
 
 
 def test_linked_sets_share_a_key():
+    r = np.random.default_rng(2)
     for words in (1, 2, 9, 10, 11, 25, 90, 400):
         base = prose(words, words)
         for edits in range(0, 6):
             a, b = shingle_set(base.encode(), 3), shingle_set(edited(base, edits, edits).encode(), 3)
+            inter = len(set(a.tolist()) & set(b.tolist()))
             for t in ("0.9", "0.8", "0.5"):
-                inter = len(set(a.tolist()) & set(b.tolist()))
-                if Fraction(inter, len(a) + len(b) - inter) >= Fraction(t):
-                    assert set(J.part_keys(a, Fraction(t)).tolist()) & set(J.part_keys(b, Fraction(t)).tolist())
+                for share in (0, 0.3, 0.7, 1):  # whatever counts as frequent
+                    frequent = np.unique(np.concatenate([a, b]))
+                    frequent = frequent[r.random(len(frequent)) < share]
+                    if Fraction(inter, len(a) + len(b) - inter) >= Fraction(t):
+                        assert set(J.part_keys(a, Fraction(t), frequent).tolist()) & set(J.part_keys(b, Fraction(t), frequent).tolist())
 
 
 def test_word_hashes_follow_the_definition():
