@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlake.llm.bpe import decode_bpe, encode_bpe, multi_path
-from scholarlake.llm.common import materialize, table
+from scholarlake.llm.common import drop_written, materialize, table, written
 from scholarlake.llm.decontaminate import decontaminate
 from scholarlake.llm.exact_dedup import exact_dedup
 from scholarlake.llm.jaccard_join import near_dedup
@@ -60,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = written()
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_written(before)
     return docs
