@@ -32,7 +32,7 @@ WIDEST = 256
 #: Cells of one matrix.
 CELLS = 1 << 18
 #: Text bytes of one step.
-STEP = 4 << 20
+STEP = 2 << 20
 
 _NONE = np.int64(1 << 40)
 

@@ -38,8 +38,8 @@ from scholarlake.llm.graph import components
 from scholarlake.llm.shingles import mix, shingle_set
 
 #: Bounds of one block.
-BLOCK_DOCS = 1024
-BLOCK_SHINGLES = 400_000
+BLOCK_DOCS = 512
+BLOCK_SHINGLES = 200_000
 #: Ratio of a size range.
 RANGE = 1.4
 #: Most shingles that are left out of keys as frequent: 8 bytes each travel with the tasks.

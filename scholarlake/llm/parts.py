@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct parts that a Python worker holds the ids of, unless a coder says otherwise.
-HELD = 150_000
+HELD = 100_000
 
 
 def spread(flat: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
