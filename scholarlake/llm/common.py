@@ -43,11 +43,21 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts lineage and outlives lost executors."""
+def materialize(df: DataFrame, what: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write df into the shared folder and read it back: cuts lineage and outlives lost executors.
+
+    arrow_rows: at most so many rows in a batch that goes to Python, for wide rows."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if arrow_rows:
+        spark.conf.set(key, str(arrow_rows))
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        if arrow_rows:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,6 +40,8 @@ from scholarlake.llm.shingles import mix, shingle_set
 #: Bounds of one block.
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 200_000
+#: Rows of a batch with whole texts or sets on its way to Python.
+WIDE_ROWS = 1_500
 #: Ratio of a size range.
 RANGE = 1.4
 #: Most shingles that are left out of keys as frequent: 8 bytes each travel with the tasks.
@@ -124,7 +126,7 @@ def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["g"])
 
     sample = rows.where("pmod(xxhash64(doc_id, 3), 16) = 0")
-    counts = materialize(mapped(sample.select("text"), run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m >= 3"), "frequent")
+    counts = materialize(mapped(sample.select("text"), run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m >= 3"), "frequent", WIDE_ROWS)
     least = 3
     if counts.count() > FREQUENT:
         above = 0
@@ -177,7 +179,7 @@ def ties_of(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
     """
     frequent = frequent_shingles(rows, n)
     sample = key_rows(rows.where("pmod(xxhash64(doc_id, 7), 16) = 0"), n, t, frequent)
-    counts = materialize(sample.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m >= 16"), "keys")
+    counts = materialize(sample.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m >= 16"), "keys", WIDE_ROWS)
     hot = [r.key for r in counts.orderBy(F.desc("m")).limit(HOT_KEYS).collect()]
     keyed = key_rows(rows, n, t, frequent)
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
@@ -188,7 +190,7 @@ def ties_of(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
         firsts = salted.where(is_hot).groupBy("key", "salt").agg(F.min("c1").alias("c1"))
         across = firsts.join(firsts.groupBy("key").agg(F.min("c1").alias("b")), "key").where("c1 <> b").select(F.col("c1").alias("a"), "b")
         ties = ties.unionByName(across).distinct()
-    return materialize(ties, "ties")
+    return materialize(ties, "ties", WIDE_ROWS)
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -279,7 +281,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     """doc_id, n_shingles, component_id of each row of docs; threshold is a decimal number as text, kept exact."""
     t = Fraction(threshold)
     source = _identified(docs, id_col, text_col)
-    rows = materialize(shingle_rows(source, n), "shingles")
+    rows = materialize(shingle_rows(source, n), "shingles", WIDE_ROWS)
     classes = materialize(
         rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes"
     )
@@ -291,14 +293,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     wanted = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # text meets its class by id; where rows repeat an id the fingerprint decides
     wanted = wanted.select(F.col("rep").alias("wanted_id"), "c1", "c2", "family", "blocks", "block", "node")
-    placed = materialize(_sets(source.join(small(wanted, 96), F.expr("doc_id <=> wanted_id")), n), "blocks")
+    placed = materialize(_sets(source.join(small(wanted, 96), F.expr("doc_id <=> wanted_id")), n), "blocks", WIDE_ROWS)
     release(docs.sparkSession)
     own = placed.select("family", F.col("block").alias("left"), F.col("block").alias("right"), "node", "hashes")
     many = placed.where("blocks > 1")
     first = many.where("block > 0").select("family", F.lit(0).alias("left"), F.col("block").alias("right"), "node", "hashes").unionByName(
         many.where("block = 0").select("family", F.lit(0).alias("left"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("right"), "node", "hashes")
     )
-    links = materialize(_multiply(own.unionByName(first), t), "links")
+    links = materialize(_multiply(own.unionByName(first), t), "links", WIDE_ROWS)
     if not many.isEmpty():
         links = links.unionByName(_outside(many.select("family", "blocks", "block", "node", "hashes"), links, t))
     found = components(links)
@@ -337,7 +339,7 @@ def _outside(many: DataFrame, links: DataFrame, t: Fraction) -> DataFrame:
     out = many.join(outside, ["family", "node"]).join(groups, "family")
     left = out.select("family", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), "node", "hashes")
     right = many.join(groups, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("left"), F.col("block").alias("right"), "node", "hashes")
-    return materialize(_multiply(left.unionByName(right), t), "links")
+    return materialize(_multiply(left.unionByName(right), t), "links", WIDE_ROWS)
 
 
 def near_dedup(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
