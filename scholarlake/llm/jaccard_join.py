@@ -38,8 +38,8 @@ from scholarlake.llm.graph import components
 from scholarlake.llm.shingles import mix, shingle_set
 
 #: Bounds of one block.
-BLOCK_DOCS = 512
-BLOCK_SHINGLES = 200_000
+BLOCK_DOCS = 1024
+BLOCK_SHINGLES = 400_000
 #: Rows of a batch with whole texts or sets on its way to Python.
 WIDE_ROWS = 1_500
 #: Ratio of a size range.
