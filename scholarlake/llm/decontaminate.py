@@ -7,7 +7,11 @@ Randomised SVD of the passages' TF-IDF matrix A (columns: benchmark words in at
 task adds up its part of A'A Omega for a Gaussian Omega, so one pass over all passages gives a subspace iteration step;
 the sums (words x SKETCH) are orthonormalised together with the items' own vectors, which are rows of infinite weight.
 Cosines do not depend on the rotation within that subspace, so singular values are not needed. Passages are projected
-and searched for items with a cosine of at least COSINE.
+and searched for items with a cosine of at least COSINE. Items whose words are nearly all that frequent (they stand in
+many copies themselves) keep the weights of all their words.
+
+No leak depends on weights or cosines: a region that matches PARAPHRASE of an item's words holds enough of its rarest
+words, however its other words are chosen (`Overlap`), and every window whose region does is a candidate as well.
 
 A candidate is a leak if the longest common subsequence of the item and the passage with a chunk on either side reaches
 SURE of the item's words, or PARAPHRASE of them and half of the item's answer: the ANSWER_WORDS rarest words of its
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -42,6 +47,8 @@ COSINE = 0.4
 SURE, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS = 4
 LEAST_WORDS = 5
+#: Items with a smaller share of weighted words get the weights of all their words, of LEAST_WEIGHT at least.
+WEIGHTED, LEAST_WEIGHT = 0.25, 0.1
 ITEMS = 2_000
 #: Most directions of the items' own space.
 ITEM_DIRECTIONS = 512
@@ -207,6 +214,49 @@ def latent_basis(coded: DataFrame, items: Items, weight: np.ndarray, sketch: int
     return left[:, size > 1e-9].astype(np.float32)
 
 
+@dataclass(frozen=True)
+class Overlap:
+    """An exact bound: a region where item i can reach PARAPHRASE holds words of `item == i` whose `times` sum up to least[i].
+
+    Of an item of n words a match has PARAPHRASE * n; the most frequent words that together make up at most two thirds
+    of those are left out, so the other third comes from the rest."""
+
+    begins: np.ndarray  # of each word's part of item and times
+    item: np.ndarray
+    times: np.ndarray
+    least: np.ndarray
+
+    @classmethod
+    def of(cls, items: Items, df: np.ndarray) -> Overlap:
+        held, least = [], []
+        for i, words in enumerate(items.words):
+            need = next(m for m in range(int(PARAPHRASE * len(words)), len(words) + 1) if m / len(words) >= PARAPHRASE)
+            spare = need * 2 // 3
+            for w, n in sorted(Counter(words).items(), key=lambda x: (-df[x[0]], x[0])):
+                if n <= spare:
+                    spare -= n
+                    need -= n
+                else:
+                    held.append((w, i, n))
+                    spare = 0
+            least.append(need)
+        word, item, times = np.array(sorted(held), np.int64).reshape(-1, 3).T
+        return cls(np.searchsorted(word, np.arange(len(items.vocabulary) + 1)), item, times, np.array(least))
+
+    def candidates(self, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items where the window with a chunk on either side holds `least`."""
+        size = np.diff(self.begins)[c.word]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begins[c.word] - ends + size, size) + np.arange(size.sum())
+        n, k = len(c.doc), len(self.least)
+        held = np.bincount(np.repeat(c.chunk.astype(np.int64), size) * k + self.item[at], self.times[at], n * k).reshape(n, k).astype(np.int32)
+        total = np.zeros((n + 1, k), np.int32)
+        np.cumsum(held, axis=0, out=total[1:], dtype=np.int32)
+        chunk = np.arange(n)
+        low, high = np.maximum(c.first[c.doc], chunk - 1), np.minimum(c.first[c.doc + 1], chunk + 3)
+        return np.nonzero(total[high] - total[low] >= self.least)
+
+
 def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Longest common subsequence of words with an item of n words, whose places by word are `masks` (bit-parallel)."""
     full = (1 << n) - 1
@@ -241,17 +291,18 @@ def _leaks_of(docs: DataFrame, items: Items) -> DataFrame:
     passages, df = passage_counts(coded, len(items.vocabulary))
     idf = np.log((passages + 1) / (df + 1.0)).astype(np.float32)
     weight = np.where(df <= max(STOP_SHARE * passages, 50), idf, 0).astype(np.float32)
-    if not weight.any():
-        weight = idf
+    for words in items.words:
+        if np.count_nonzero(weight[words]) < WEIGHTED * len(words):
+            weight[words] = np.maximum(idf[words], LEAST_WEIGHT)
     basis = latent_basis(coded, items, weight)
     latent = items.vectors(weight) @ basis
     norms = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((items, weight, weight[:, None] * basis, (latent / norms[:, None]).T, idf))
+    shared = docs.sparkSession.sparkContext.broadcast((items, weight, weight[:, None] * basis, (latent / norms[:, None]).T, idf, Overlap.of(items, df)))
     return coded.mapInArrow(functools.partial(_search, shared=shared), "doc_id long, item_id long, matched long, item_words long, ratio double, cosine double")
 
 
 def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    items, weight, rows, latent, idf = shared.value
+    items, weight, rows, latent, idf, overlap = shared.value
     masks = []
     for words in items.words:
         mask: dict[int, int] = {}
@@ -264,15 +315,17 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         keep = weight[c.word] > 0
         norm = np.sqrt(c.windows(_bag(c, square, keep))[:, 0])
         some = np.flatnonzero(norm > 0)
-        if not len(some):
-            continue
         z = c.windows(_bag(c, rows, keep))
-        hits = []
+        window, item = overlap.candidates(c)
+        found = [window * len(items.ids) + item]
         for start in range(0, len(some), 4096):
             part = some[start : start + 4096]
             cosine = z[part] @ latent / norm[part][:, None]
             w, i = np.nonzero(cosine >= COSINE)
-            hits += zip(part[w].tolist(), i.tolist(), cosine[w, i].tolist())
+            found.append(part[w] * len(items.ids) + i)
+        window, item = np.divmod(np.unique(np.concatenate(found)), len(items.ids))
+        cosines = np.einsum("ij,ij->i", z[window], latent.T[item]) / np.maximum(norm[window], 1e-9)
+        hits = zip(window.tolist(), item.tolist(), cosines.tolist(), strict=True)
         best: dict[tuple[int, int], tuple[float, int, float]] = {}
         for window, item, cosine in hits:
             doc = int(c.doc[window])

@@ -78,3 +78,19 @@ def test_empty(spark, frame):
 def test_lcs():
     masks = {1: 0b1001, 2: 0b0010, 3: 0b0100}  # the item 1 2 3 1
     assert [D.lcs(masks, 4, w) for w in ([1, 2, 3, 1], [3, 2, 1], [9], [1, 1], [2, 9, 3, 9, 1])] == [4, 2, 0, 2, 3]
+
+
+def test_item_in_a_third_of_all_rows(spark, frame):
+    docs = [(i, prose(i, 60)) for i in range(200)] + [(1000 + i, prose(7, 30) + " " + ITEMS[0][1] + " " + prose(8, 100)) for i in range(100)]
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame(docs), bench(spark)).collect()}
+    assert got == {(1000 + i, 0) for i in range(100)}
+
+
+def test_copy_among_rarer_benchmark_words(spark, frame):
+    hot = ITEMS[0][1]
+    other = " ".join(text for _, text in ITEMS[1:])
+    docs = [(i, prose(i, 60)) for i in range(200)] + [(1000 + i, hot) for i in range(100)]
+    words = other.split()
+    docs.append((5000, " ".join(words[:200:2] + hot.split() + words[1:200:2])))
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame(docs), bench(spark)).collect()}
+    assert got >= {(1000 + i, 0) for i in range(100)} | {(5000, 0)}
