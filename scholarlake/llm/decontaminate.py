@@ -17,7 +17,8 @@ A candidate is a leak if the longest common subsequence of the item and the pass
 SURE of the item's words, or PARAPHRASE of them and half of the item's answer: the ANSWER_WORDS rarest words of its
 last sentence.
 
-The benchmark is read in blocks of ITEMS rows, each with its own pass, so its size is no bound.
+The benchmark is read in blocks of about ITEMS distinct rows, each with its own pass, so its size is no bound; a block
+keeps all directions of its items, so that projecting them loses nothing.
 
 Defined cases: null texts are empty and hold nothing; items of fewer than LEAST_WORDS words are not searched for; rows
 that repeat an item or a document's id are merged into one result row with the best match; a null doc_id is reported as
@@ -49,9 +50,8 @@ ANSWER_WORDS = 4
 LEAST_WORDS = 5
 #: Items with a smaller share of weighted words get the weights of all their words, of LEAST_WEIGHT at least.
 WEIGHTED, LEAST_WEIGHT = 0.25, 0.1
-ITEMS = 2_000
-#: Most directions of the items' own space.
-ITEM_DIRECTIONS = 512
+#: Items of a block, all of whose directions are kept.
+ITEMS = 512
 
 _SPLIT = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
 
@@ -207,8 +207,6 @@ def latent_basis(coded: DataFrame, items: Items, weight: np.ndarray, sketch: int
     for word, sums in zip(rows["word"].to_pylist(), rows["sums"].to_pylist(), strict=True):
         spread[word] = np.frombuffer(sums, np.float64)
     own = items.vectors(weight).astype(np.float64)
-    if len(own) > ITEM_DIRECTIONS:
-        own = np.linalg.svd(own, full_matrices=False)[2][:ITEM_DIRECTIONS]
     scale = lambda x: x / np.maximum(np.linalg.norm(x, axis=0), 1e-12)
     left, size, _ = np.linalg.svd(np.concatenate([scale(own.T), 1e-3 * scale(spread)], 1), full_matrices=False)
     return left[:, size > 1e-9].astype(np.float32)
@@ -273,7 +271,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched (words of the longest common subsequence), item_words, ratio, cosine: the best match of each pair that leaks."""
     spark = docs.sparkSession
     out = None
-    items_all = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items_all = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, -(-items_all.count() // ITEMS))
     for block in range(blocks):
         items = read_items(items_all.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect())

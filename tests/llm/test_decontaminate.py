@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from scholarlake.llm import decontaminate as D
 from tests.llm.conftest import prose
 
@@ -80,6 +82,20 @@ def test_lcs():
     assert [D.lcs(masks, 4, w) for w in ([1, 2, 3, 1], [3, 2, 1], [9], [1, 1], [2, 9, 3, 9, 1])] == [4, 2, 0, 2, 3]
 
 
+def test_directions_of_many_items_are_kept(spark, frame):
+    items = D.read_items([type("Row", (), {"item_id": i, "text": prose(3000 + i, 25)}) for i in range(600)])
+    weight = np.ones(len(items.vocabulary), np.float32)
+    basis = D.latent_basis(D._code(frame([(i, prose(3000 + i, 25)) for i in range(10)]), items), items, weight, 8)
+    vectors = items.vectors(weight)
+    assert np.allclose(np.linalg.norm(vectors @ basis, axis=1), np.linalg.norm(vectors, axis=1), rtol=1e-3)
+
+
+def test_more_items_than_a_block(spark, frame):
+    items = [(i, prose(3000 + i, 25)) for i in range(D.ITEMS + 88)]
+    docs = [(i, prose(i, 40) + " " + text + " " + prose(-i, 40)) for i, text in items]
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(frame(docs), bench(spark, items)).collect()} >= {(i, i) for i, _ in items}
+
+
 def test_item_in_a_third_of_all_rows(spark, frame):
     docs = [(i, prose(i, 60)) for i in range(200)] + [(1000 + i, prose(7, 30) + " " + ITEMS[0][1] + " " + prose(8, 100)) for i in range(100)]
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame(docs), bench(spark)).collect()}
