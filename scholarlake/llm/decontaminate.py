@@ -13,8 +13,8 @@ many copies themselves) keep the weights of all their words.
 No leak depends on weights or cosines: a region that matches PARAPHRASE of an item's words holds enough of its rarest
 words, however its other words are chosen (`Overlap`), and every window whose region does is a candidate as well.
 
-A candidate is a leak if the longest common subsequence of the item and the passage with a chunk on either side reaches
-SURE of the item's words, or PARAPHRASE of them and half of the item's answer: the ANSWER_WORDS rarest words of its
+A candidate is a leak if the longest common subsequence of the item and the passage with a chunk on either side, or as
+many chunks as the item has if it is longer than a passage (`reach`), reaches SURE of the item's words, or PARAPHRASE of them and half of the item's answer: the ANSWER_WORDS rarest words of its
 last sentence.
 
 The benchmark is read in blocks of about ITEMS distinct rows, each with its own pass, so its size is no bound; a block
@@ -87,6 +87,11 @@ def read_items(rows: list) -> Items:
     return Items(ids, words, answers, vocabulary)
 
 
+def reach(n: int) -> int:
+    """Chunks on either side of a passage that an item of n words is compared with."""
+    return 1 if n <= 2 * STRIDE else -(-n // STRIDE)
+
+
 def _code(docs: DataFrame, items: Items) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
 
@@ -223,6 +228,7 @@ class Overlap:
     item: np.ndarray
     times: np.ndarray
     least: np.ndarray
+    reach: np.ndarray
 
     @classmethod
     def of(cls, items: Items, df: np.ndarray) -> Overlap:
@@ -239,10 +245,10 @@ class Overlap:
                     spare = 0
             least.append(need)
         word, item, times = np.array(sorted(held), np.int64).reshape(-1, 3).T
-        return cls(np.searchsorted(word, np.arange(len(items.vocabulary) + 1)), item, times, np.array(least))
+        return cls(np.searchsorted(word, np.arange(len(items.vocabulary) + 1)), item, times, np.array(least), np.array([reach(len(words)) for words in items.words]))
 
     def candidates(self, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and items where the window with a chunk on either side holds `least`."""
+        """Windows and items where the window with the item's reach on either side holds `least`."""
         size = np.diff(self.begins)[c.word]
         ends = np.cumsum(size)
         at = np.repeat(self.begins[c.word] - ends + size, size) + np.arange(size.sum())
@@ -251,8 +257,14 @@ class Overlap:
         total = np.zeros((n + 1, k), np.int32)
         np.cumsum(held, axis=0, out=total[1:], dtype=np.int32)
         chunk = np.arange(n)
-        low, high = np.maximum(c.first[c.doc], chunk - 1), np.minimum(c.first[c.doc + 1], chunk + 3)
-        return np.nonzero(total[high] - total[low] >= self.least)
+        found = []
+        for r in np.unique(self.reach):
+            of = np.flatnonzero(self.reach == r)
+            part = total[:, of]
+            low, high = np.maximum(c.first[c.doc], chunk - r), np.minimum(c.first[c.doc + 1], chunk + 2 + r)
+            window, i = np.nonzero(part[high] - part[low] >= self.least[of])
+            found.append((window, of[i]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -328,8 +340,9 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         for window, item, cosine in hits:
             doc = int(c.doc[window])
             at = c.ends[doc] + (window - c.first[doc]) * STRIDE
-            region = c.flat[max(c.ends[doc], at - STRIDE) : min(c.ends[doc + 1], at + 3 * STRIDE)].tolist()
             n = len(items.words[item])
+            side = reach(n) * STRIDE
+            region = c.flat[max(c.ends[doc], at - side) : min(c.ends[doc + 1], at + 2 * STRIDE + side)].tolist()
             matched = lcs(masks[item], n, region)
             ratio = matched / n
             if ratio >= SURE or ratio >= PARAPHRASE and 2 * len(keys[item].intersection(region)) >= len(keys[item]):

@@ -110,3 +110,21 @@ def test_copy_among_rarer_benchmark_words(spark, frame):
     docs.append((5000, " ".join(words[:200:2] + hot.split() + words[1:200:2])))
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame(docs), bench(spark)).collect()}
     assert got >= {(1000 + i, 0) for i in range(100)} | {(5000, 0)}
+
+
+def test_long_items(spark, frame):
+    items = [(n, prose(9000 + n, n)) for n in (60, 130, 200, 1_000)]
+    docs = [(n, prose(n, 500) + " " + text + " " + prose(-n, 500)) for n, text in items]
+    docs += [(10_000 + n, prose(n, 31) + " " + altered(text, n, 0.1) + " " + prose(-n, 5)) for n, text in items]
+    docs += [(20_000 + n, " ".join(text.split()[: n // 2])) for n, text in items]
+    got = {(r.doc_id, r.item_id): r.ratio for r in D.find_leaks(frame(docs), bench(spark, items)).collect()}
+    it = D.read_items([type("Row", (), {"item_id": i, "text": t}) for i, t in items])
+    want = {}
+    for doc_id, text in docs:  # whole texts
+        words = [it.vocabulary.get(w, -1) for w in D.words_of(text)]
+        for i, item in zip(it.ids, it.words, strict=True):
+            masks = {}
+            for p, w in enumerate(item):
+                masks[w] = masks.get(w, 0) | 1 << p
+            want[doc_id, i] = D.lcs(masks, len(item), words) / len(item)
+    assert got == {k: v for k, v in want.items() if v >= D.SURE} and len(got) == 8
