@@ -47,7 +47,7 @@ def join_lines(x: Column | str) -> Column:
 
 def compact_letters(x: Column | str) -> Column:
     """Five or more single letters set apart by spaces become one word; URLs have no such runs."""
-    return F.regexp_replace(col(x), r"(?U)(?:(?<![\w])(?=(?:[a-zA-Z]\b\s+){4,}[a-zA-Z]\b)|(?!^)\G)([a-zA-Z])\s+(?=[a-zA-Z]\b)", "$1")
+    return F.regexp_replace(col(x), r"(?U)(?:(?<![\w])(?=(?:[a-zA-Z]\b\s+){4}[a-zA-Z]\b)|(?!^)\G)([a-zA-Z])\s+(?=[a-zA-Z]\b)", "$1")
 
 
 def sentences(x: Column | str) -> Column:

@@ -183,7 +183,7 @@ def sentence_split(spark, sf):
 
 @query
 def spaced_letter_compaction(spark, sf):
-    spaced = F.regexp_replace(F.substring("text", 1, 40), r"([A-Za-z])(?=[A-Za-z])", "$1 ")
+    spaced = F.regexp_replace("text", r"([A-Za-z])(?=[A-Za-z])", "$1 ")
     return _blocks(spark, sf).select("doc_id", "seq", T.compact_letters(spaced).alias("text"))
 
 

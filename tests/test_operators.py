@@ -1,9 +1,13 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from scholarlake.functions import text as T
 from scholarlake.operators import answers, jobs, layout, papers, retrieval
+from scholarlake.plans.queries import QUERIES
+from scholarlake.plans.views import view
 from scholarlake.sources import files, services
 
 BLOCKS = "doc_id long, seq int, page int, col int, text string"
@@ -208,3 +212,16 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     files.write_diagnostics(read.select("filename", "size_bytes"), str(tmp_path / "diag"))
     assert spark.read.json(str(tmp_path / "diag")).count() == 2
+
+
+def test_spaced_letters_of_whole_blocks(spark, tmp_path):
+    rows = [(i, "word dataset 12 " * i + "and, more; letters", "en") for i in range(1, 41)] + [(50, "letters " * 60, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.seq): r.text for r in QUERIES["spaced_letter_compaction"](spark, str(tmp_path)).collect()}
+    want = {}
+    for r in view(spark, str(tmp_path), "papers_view").collect():
+        spaced = re.sub("([A-Za-z])(?=[A-Za-z])", r"\1 ", r.text)
+        want[r.doc_id, r.seq] = re.sub(r"(?<!\w)[a-zA-Z]\b(?:\s+[a-zA-Z]\b){4,}", lambda m: "".join(m[0].split()), spaced)
+    assert got == want and max(map(len, got.values())) > 300
+    long = spark.createDataFrame([("d a t a " * 40_000 + "end",)], "text string").select(T.compact_letters("text").alias("text")).first().text
+    assert long == "data" * 40_000 + " end"
