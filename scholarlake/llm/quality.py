@@ -2,15 +2,19 @@
 
 A document's worth is w.x over features of its whole text. w is learned from preference pairs (a row labelled good is
 preferred to one labelled bad) by logistic loss on feature differences, solved by Newton steps with an L2 term. The
-decision is a quantile of the training rows' scores; a logistic map around it gives the 0..1 score, placed so that the
-quantile falls on the decision value.
+decision is a quantile of the training rows' worths, by default at the share of them that is labelled bad; a logistic
+map around it gives the 0..1 score, placed so that the quantile falls on the decision value.
+
+Features are standardised on the training rows and clipped to REACH deviations, so that a text far outside their range (a
+very long one, say) is not judged by a single feature.
 
 Training reads a bounded sample of the labelled rows (MAX_LABELLED, those with the smallest hash of their id) and forms
 MAX_PAIRS pairs; scoring covers every row and whole texts. Inputs of a score are the text's bytes and nothing else.
 
 Defined cases: null or empty text has the features of the empty text and is scored like any other; rows without a
-label or with a null id are scored, not learned from; without both kinds of labels all scores are 0.5; repeated rows
-are scored alike; an empty table gives an empty result; other columns are passed by.
+label or with a null id are scored, not learned from; an id that occurs with several texts is learned from once, by the
+least of them; without both kinds of labels all scores are 0.5; repeated rows are scored alike; very long texts are
+scored whole; an empty table gives an empty result; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ MAX_PAIRS = 200_000
 #: Hashed byte pairs beside the named features.
 PAIR_CELLS = 64
 DECISION = 0.3
+#: Standardised features are clipped to this many deviations.
+REACH = 3.0
 
 _PUNCT = [bytes([c]) for c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
 _SHOUT = re.compile(rb"[A-Z]{2,}")
@@ -65,6 +71,10 @@ def features(text: bytes) -> np.ndarray:
 N_FEATURES = len(features(b""))
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -REACH, REACH)
+
+
 @dataclass(frozen=True)
 class Ranker:
     mean: np.ndarray
@@ -75,18 +85,18 @@ class Ranker:
     decision: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weights
+        z = standard(x, self.mean, self.scale) @ self.weights
         at = np.log(self.decision / (1 - self.decision))
         return 1 / (1 + np.exp(-np.clip(self.slope * (z - self.cut) + at, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, decision: float = DECISION, max_pairs: int = MAX_PAIRS, l2: float = 1e-3, rounds: int = 12) -> Ranker | None:
-    """None without both kinds of labels."""
+def fit(x: np.ndarray, y: np.ndarray, decision: float = DECISION, max_pairs: int = MAX_PAIRS, l2: float = 1e-3, rounds: int = 12, quantile: float | None = None) -> Ranker | None:
+    """None without both kinds of labels. quantile: of the training rows' worths; the share labelled bad if not given."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return None
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = (x - mean) / scale
+    z = standard(x, mean, scale)
     rng = np.random.default_rng(7)
     a, b = rng.choice(good, max_pairs), rng.choice(bad, max_pairs)
     w = np.zeros(z.shape[1])
@@ -102,11 +112,9 @@ def fit(x: np.ndarray, y: np.ndarray, decision: float = DECISION, max_pairs: int
         if np.abs(step).max() < 1e-4:
             break
     s = z @ w
-    # the quantile: of all cuts between scores, the one with the best balanced accuracy on the training rows
-    order = np.argsort(s)
-    below_good, below_bad = np.cumsum(y[order] == 1) / len(good), np.cumsum(y[order] == 0) / len(bad)
-    best = int(np.argmax(below_bad - below_good))
-    cut = float((s[order[best]] + s[order[min(best + 1, len(s) - 1)]]) / 2)
+    ranked = np.sort(s)
+    below = min(max(round((len(bad) / (len(good) + len(bad)) if quantile is None else quantile) * len(s)), 0), len(s) - 1)
+    cut = float((ranked[max(below - 1, 0)] + ranked[below]) / 2)
     spread = float(np.median(s[good]) - np.median(s[bad]))
     return Ranker(mean, scale, w, cut, 6 / max(spread, 1e-6), decision)
 
@@ -123,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """docs: doc_id, text; labels: doc_id, quality, already restricted to the rows that may be learned from."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the documented bound
-    rows = _features_of(docs.select("doc_id", "text").join(small(chosen, 24), "doc_id")).limit(2 * max_labelled).toArrow()
+    known = docs.select("doc_id", "text").join(small(chosen, 24), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    rows = _features_of(known).toArrow()  # at most max_labelled rows
     if not rows.num_rows:
         return None
     x = np.array(rows["x"].combine_chunks().flatten()).reshape(rows.num_rows, N_FEATURES)
