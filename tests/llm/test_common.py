@@ -36,6 +36,15 @@ def test_components(spark, kind):
     assert {x.node: x.component for x in got} == brute(edges) and len(got) == len(brute(edges))
 
 
+def test_a_rising_chain_takes_few_rounds(spark, monkeypatch):
+    from scholarlake.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, what: written.append(what) or C.materialize(df, what))
+    got = components(spark.range(1000).selectExpr("id AS a", "id + 1 AS b")).collect()
+    assert len(got) == 1001 and {x.component for x in got} == {0} and len(written) < 15
+
+
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
