@@ -1,15 +1,12 @@
 """N-gram Jaccard join: exact links between documents by a blocked sparse product of document by n-gram incidence.
 
 1. Each whole text becomes its set of shingle hashes; equal sets form one class, joined once.
-2. Candidate blocks. Sets of sizes a and b with Jaccard similarity of at least t differ in at most (a + b)(1 - t)/(1 + t)
-   elements. Sets are put into size ranges (each also into the range below if a partner may be there); in a range whose
-   largest such difference is d, elements are dealt by hash into 1.5 (d + 1) parts, so linked sets agree on more parts
-   than d + 1 leaves empty, and on a part with elements if one of the two has over d such parts. Part hashes are the
-   keys; sets that share one are candidates. Shingles that are frequent in a hash sample are left out here, since parts
-   of nothing else would tie all documents that share a common passage; any set of them may be left out. A set with
-   too few parts then also emits keys over all its shingles, in d + 1 + d/16 parts, empty ones included where there are
-   over d/16 of them: two such sets agree on one of those.
-3. Sorted by key, a key's sets are tied to one pivot (rows linear in keys), and connected candidates form a family.
+2. Candidate blocks. In any common order of all shingles, linked sets share one of their first elements: of n elements
+   the first n - ceil(t n) + 1, and of the smaller set even the first n - ceil(2 t n / (1 + t)) + 1. These are the keys;
+   sets that share one, with no gap in their sizes that t forbids, are candidates. Shingles that are frequent in a hash sample come last
+   in the order, so that common passages tie few documents; the result is the same whatever counts as frequent.
+3. Sorted by key and size, a key's sets are tied to one pivot (rows linear in keys), and connected candidates form a
+   family. Families too large for one block are keyed again, shingles now ordered by their counts in these families.
 4. Each family is cut into blocks bounded in documents and shingles, and the sparse products of blocks accumulate overlap counts:
    columns of most rows by a dense product, the others by sorted runs; pairs below the size-derived bound are dropped. Every
    block meets itself and the family's first block; sets outside the largest component found so far then meet all
@@ -40,56 +37,41 @@ from scholarlake.llm.shingles import mix, shingle_set
 #: Bounds of one block.
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 400_000
+#: Shingles of one step on the way to keys.
+STEP_SHINGLES = 300_000
+#: Columns of one dense product.
+COLUMNS = 1024
 #: Rows of a batch with whole texts or sets on its way to Python.
 WIDE_ROWS = 1_500
-#: Ratio of a size range.
-RANGE = 1.4
-#: Most shingles that are left out of keys as frequent: 8 bytes each travel with the tasks.
+#: Most shingles that come last in the order as frequent: 8 bytes each, and 4 for a count, travel with the tasks.
 FREQUENT = 1_000_000
 #: Keys looked after for balance, the most frequent of a hash sample, and the tasks that each is spread over.
 HOT_KEYS = 4_096
 SALTS = 16
 
 
-def size_ranges(limit: int = 1 << 40) -> list[int]:
-    """Starts of the size ranges."""
-    starts = [1]
-    while starts[-1] < limit:
-        starts.append(max(starts[-1] + 1, int(starts[-1] * RANGE)))
-    return starts
+def prefixes(n: int, t: Fraction) -> tuple[int, int]:
+    """How many of the first elements of a set of n are keys, and how many of these are so towards sets of at least n."""
+    both = 2 * t / (1 + t)
+    return n - -(-n * t.numerator // t.denominator) + 1, n - -(-n * both.numerator // both.denominator) + 1
 
 
-_STARTS = np.array(size_ranges(), np.int64)
+def part_keys(hashes: np.ndarray, t: Fraction, frequent: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The first elements of one set (sorted hashes): sets with Jaccard similarity of at least t share one.
 
-
-def _parts(hashes: np.ndarray, parts: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the non-empty ones among `parts` hash parts of a set, and the key of each empty part."""
-    part = (mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
-    sums, count = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
-    np.add.at(sums, part, mix(hashes))
-    keys = mix(sums ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(tag << 40)) ^ (count.astype(np.uint64) << np.uint64(7)))
-    return keys[count > 0], keys[count == 0]
-
-
-def part_keys(hashes: np.ndarray, t: Fraction, frequent: np.ndarray) -> np.ndarray:
-    """Keys of one set: sets with Jaccard similarity of at least t share one, whatever `frequent` (sorted hashes) is."""
-    n = len(hashes)
-    own = int(np.searchsorted(_STARTS, n, side="right")) - 1
-    ranges = [own]
-    if own and -(-n * t.numerator // t.denominator) < _STARTS[own]:  # the least size of a partner is in the range below
-        ranges.append(own - 1)
-    rare = hashes[frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] != hashes] if len(frequent) else hashes
-    keys = []
-    for r in ranges:
-        # both sizes at most: a set of range r, and a partner as large as the bound allows
-        most = int(_STARTS[r + 1]) - 1
-        d = int((most + most * t.denominator // t.numerator) * (1 - t) / (1 + t))
-        full, _ = _parts(rare, d + 1 + (d + 1) // 2, 2 * r)
-        keys.append(full)
-        if len(full) <= d:  # agreement may be on empty parts only, unless the partner has enough
-            more, empty = _parts(hashes, d + 1 + d // 16, 2 * r + 1)
-            keys += [more] if len(empty) <= d // 16 else [more, empty]
-    return np.concatenate(keys).astype(np.int64)
+    The order of all shingles is: those that are not in `frequent` (sorted hashes) by hash, then the others by count, if given, and hash."""
+    longest, _ = prefixes(len(hashes), t)
+    if not len(frequent):
+        return hashes[:longest].view(np.int64)
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    known = frequent[at] == hashes
+    out = hashes[~known][:longest]
+    if len(out) < longest:
+        common = hashes[known]
+        if counts is not None:
+            common = common[np.argsort(counts[at[known]], kind="stable")]
+        out = np.concatenate([out, common[: longest - len(out)]])
+    return out.view(np.int64)
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,162 +101,262 @@ def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
 
 
 def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of shingles in at least three documents of a hash sample, or in so many more that at most FREQUENT are left."""
+    """Sorted hashes of shingles in at least two documents of a hash sample, or in so many more that at most FREQUENT are left."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, n) for x in texts(batch)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["g"])
 
     sample = rows.where("pmod(xxhash64(doc_id, 3), 16) = 0")
-    counts = materialize(mapped(sample.select("text"), run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m >= 3"), "frequent", WIDE_ROWS)
-    least = 3
+    return _most_frequent(mapped(sample.select("text"), run, "g long"), 2)[0]
+
+
+def _most_frequent(shingles: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles (g) that occur `least` times, or so many more that at most FREQUENT are left."""
+    counts = materialize(shingles.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least), "frequent", WIDE_ROWS)
     if counts.count() > FREQUENT:
         above = 0
-        for r in counts.groupBy("m").count().orderBy(F.desc("m")).toLocalIterator():
+        for r in counts.groupBy("m").count().orderBy(F.desc("m")).limit(FREQUENT).toLocalIterator():
             above += r["count"]
             if above > FREQUENT:
+                least = r["m"] + 1
                 break
-            least = r["m"]
-    return np.sort(np.array(counts.where(F.col("m") >= least).limit(FREQUENT).select("g").toArrow()["g"].to_numpy(), np.int64).view(np.uint64))
+    found = counts.where(F.col("m") >= least).select("g", F.least("m", F.lit(1 << 30)).cast("int").alias("m")).toArrow()
+    g, m = found["g"].to_numpy().view(np.uint64), found["m"].to_numpy()
+    order = np.argsort(g)
+    return g[order], m[order]
+
+
+KEY = "key long, size int, c1 long"
+
+
+def _keys(sets: list[np.ndarray], owners: np.ndarray, t: Fraction, frequent: tuple[np.ndarray, np.ndarray | None]) -> pa.RecordBatch:
+    """size: twice the set's, and one more for a key that is none towards larger sets."""
+    keys = [part_keys(x, t, *frequent) for x in sets]
+    sizes = [2 * len(x) + (np.arange(len(k)) >= prefixes(len(x), t)[1]) for x, k in zip(sets, keys, strict=True)]
+    owner = np.repeat(owners, [len(k) for k in keys])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(owner)], ["key", "size", "c1"])
 
 
 def key_rows(rows: DataFrame, n: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """key, c1: a row for each part key of each row's set."""
+    """key, size, c1: a row for each key of each row's set."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         sets = [s for s in (shingle_set(x, n) for x in texts(batch)) if len(s)]
         if not sets:
             return None
-        keys = [part_keys(s, t, shared.value) for s in sets]
-        owner = np.repeat(np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64), [len(k) for k in keys])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owner)], ["key", "c1"])
-
-    return mapped(rows, run, "key long, c1 long")
-
-
-def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key, salt and c1: c1 and the first c1 of its key and salt, where they differ."""
-    last_key = last_salt = last_c = pivot = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, salt, c = (batch.column(x).to_numpy() for x in ("key", "salt", "c1"))
-        fresh = np.concatenate([[(key[0], salt[0]) != (last_key, last_salt)], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-        again = np.concatenate([[not fresh[0] and c[0] == last_c], (c[1:] == c[:-1]) & ~fresh[1:]])
-        at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-        pivots = np.where(at >= 0, c[at], pivot if pivot is not None else 0)
-        last_key, last_salt, last_c, pivot = key[-1], salt[-1], c[-1], pivots[-1]
-        tied = ~again & ~fresh & (c != pivots)
-        if tied.any():
-            pairs = np.unique(np.stack([c[tied], pivots[tied]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        return _keys(sets, np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64), t, (shared.value, None))
+
+    return mapped(rows, run, KEY)
+
+
+def family_keys(sets: DataFrame, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, size, c1 of sets (family, c1, hashes); keys of different families differ."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column("hashes").values.to_numpy().view(np.uint64), batch.column("hashes").offsets.to_numpy()
+            families, owners = batch.column("family").to_numpy(), batch.column("c1").to_numpy()
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STEP_SHINGLES, side="right")) - 1)
+                part = _keys([flat[ends[i] : ends[i + 1]] for i in range(start, stop)], owners[start:stop], t, shared.value)
+                counts = [prefixes(int(ends[i + 1] - ends[i]), t)[0] for i in range(start, stop)]
+                salt = np.repeat(mix(families[start:stop].view(np.uint64)), counts)
+                keys = mix(part.column("key").to_numpy().view(np.uint64) ^ salt).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("size"), part.column("c1")], ["key", "size", "c1"])
+                start = stop
+
+    return sets.select("family", "c1", "hashes").mapInArrow(run, KEY)
+
+
+def _tie(t: Fraction):
+    """Over rows sorted by key, salt, size and c1: c1 and the pivot it may be linked with (kind 0); of salted keys also the first c1 and the key (kind 1).
+
+    A key's sets in order of size are tied to one pivot as long as no size is under t of the next. Sets before the first one whose key
+    holds towards larger sets are left out. Salted keys (salt >= 0) are tied whatever the sizes, since their rows are not all here."""
+
+    def out(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, salt, size and pivot (None: none yet) of the last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, salt, size, c = (batch.column(x).to_numpy() for x in ("key", "salt", "size", "c1"))
+            n, rows = size.astype(np.int64) >> 1, np.arange(len(key))
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            gap = np.zeros(len(key), bool)
+            gap[1:] = n[:-1] * t.denominator < t.numerator * n[1:]
+            if last is not None:
+                fresh[0] = (key[0], salt[0]) != last[:2]
+                gap[0] = last[2] * t.denominator < t.numerator * n[0]
+            if (first := fresh & (salt >= 0)).any():
+                yield out(c[first], key[first], 1)
+            fresh |= gap & (salt < 0)
+            can = (salt >= 0) | (size & 1 == 0)
+            begin = np.maximum.accumulate(np.where(fresh, rows, -1))  # -1: the last batch's
+            following = np.minimum.accumulate(np.where(can, rows, len(key))[::-1])[::-1]  # the next that can be a pivot
+            at = following[np.maximum(begin, 0)]
+            has = at <= rows
+            pivots = c[np.minimum(at, len(key) - 1)]
+            if last is not None and last[3] is not None:
+                carried = begin < 0
+                pivots, has = np.where(carried, last[3], pivots), has | carried
+            tied = has & (c != pivots)
+            if tied.any():
+                pairs = np.unique(np.stack([c[tied], pivots[tied]], 1), axis=0)
+                yield out(pairs[:, 0], pairs[:, 1], 0)
+            last = (key[-1], salt[-1], int(n[-1]), pivots[-1] if has[-1] else None)
+
+    return run
+
+
+def _tied(keyed: DataFrame, hot: list[int], t: Fraction) -> DataFrame:
+    """a, b: c1 of sets that share a key, each with a pivot of it; each pair once. Keys in `hot` are spread over SALTS
+    tasks, whose pivots are tied by a row for each salt."""
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    salted = keyed.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("c1"), F.lit(SALTS))).otherwise(-1).cast("int"))
+    dealt = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "c1").select("key", "salt", "size", "c1")
+    found = materialize(dealt.mapInArrow(_tie(t), "a long, b long, kind int").distinct(), "tied", WIDE_ROWS)
+    firsts = found.where("kind = 1").select(F.col("a").alias("c1"), F.col("b").alias("key"))
+    across = firsts.join(firsts.groupBy("key").agg(F.min("c1").alias("b")), "key").where("c1 <> b").select(F.col("c1").alias("a"), "b")
+    return found.where("kind = 0").select("a", "b").unionByName(across).distinct()
+
+
+def _hot_keys(sample: DataFrame) -> list[int]:
+    counts = materialize(sample.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m >= 16"), "keys", WIDE_ROWS)
+    return [r.key for r in counts.orderBy(F.desc("m")).limit(HOT_KEYS).collect()]
 
 
 def ties_of(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
     """a, b: fingerprints of sets that share a key, each with a pivot of it; each pair once.
 
-    The HOT_KEYS most frequent keys of a hash sample of documents are spread over SALTS tasks, whose pivots are tied by
-    a row for each salt.
-    """
+    The HOT_KEYS most frequent keys of a hash sample of documents are spread over several tasks."""
     frequent = frequent_shingles(rows, n)
-    sample = key_rows(rows.where("pmod(xxhash64(doc_id, 7), 16) = 0"), n, t, frequent)
-    counts = materialize(sample.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m >= 16"), "keys", WIDE_ROWS)
-    hot = [r.key for r in counts.orderBy(F.desc("m")).limit(HOT_KEYS).collect()]
-    keyed = key_rows(rows, n, t, frequent)
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    salted = keyed.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("c1"), F.lit(SALTS))).otherwise(0))
-    dealt = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "c1")
-    ties = dealt.mapInArrow(_tie, "a long, b long").distinct()
-    if hot:
-        firsts = salted.where(is_hot).groupBy("key", "salt").agg(F.min("c1").alias("c1"))
-        across = firsts.join(firsts.groupBy("key").agg(F.min("c1").alias("b")), "key").where("c1 <> b").select(F.col("c1").alias("a"), "b")
-        ties = ties.unionByName(across).distinct()
-    return materialize(ties, "ties", WIDE_ROWS)
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The product of the incidence matrix with its transpose: |a & b| for all pairs of one block."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    doc, values = np.repeat(np.arange(m), sizes), np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
+    hot = _hot_keys(key_rows(rows.where("pmod(xxhash64(doc_id, 7), 16) = 0"), n, t, frequent))
+    return materialize(_tied(key_rows(rows, n, t, frequent), hot, t), "ties", WIDE_ROWS)
+
+
+def ties_within(sets: DataFrame, t: Fraction) -> DataFrame:
+    """The same for sets (family, c1, hashes) within their families, shingles ordered by their counts in these sets."""
+    frequent = _most_frequent(sets.select(F.explode("hashes").alias("g")), 2)
+    hot = _hot_keys(family_keys(sets.where("pmod(xxhash64(c1, 7), 16) = 0"), t, frequent))
+    return materialize(_tied(family_keys(sets, t, frequent), hot, t), "ties", WIDE_ROWS)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """The product of left's incidence matrix with right's transpose (left's own without right): |a & b|, as int32."""
+    m, k = len(left), len(right or left)
+    both = left + (right or [])
+    doc = np.repeat(np.arange(len(both), dtype=np.int32), [len(s) for s in both])
+    values = np.concatenate(both)
+    order = np.argsort(values, kind="stable")  # left comes before right
     doc, values = doc[order], values[order]
     begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     df = np.diff(np.concatenate([begins, [len(values)]]))
-    column = np.repeat(np.arange(len(begins)), df)
-    dense = df > max(16, m // 16)
-    out = np.zeros((m, m))
-    place = np.full(len(begins), -1)
+    del order, values
+    useful = df > 1 if right is None else (doc[begins] < m) & (doc[begins + df - 1] >= m)
+    dense = useful & (df > max(16, len(both) // 16))
+    narrow = useful & ~dense
+    out = np.zeros((m, k), np.int32)
+    place = np.full(len(begins), -1, np.int32)
     place[dense] = np.arange(dense.sum())
-    of = place[column]
-    for start in range(0, int(dense.sum()), 2048):
-        here = (of >= start) & (of < start + 2048)
-        block = np.zeros((m, 2048), np.float32)
+    of = np.repeat(place, df)
+    for start in range(0, int(dense.sum()), COLUMNS):
+        here = np.flatnonzero((of >= start) & (of < start + COLUMNS))
+        block = np.zeros((len(both), COLUMNS), np.float32)
         block[doc[here], of[here] - start] = 1
-        out += block @ block.T
-    narrow = ~dense[column] & (df[column] > 1)
-    doc, column = doc[narrow], column[narrow]
-    upper = np.zeros(m * m)
-    for shift in range(1, int(df[~dense].max(initial=1))):
-        same = column[shift:] == column[:-shift]
-        if not same.any():
-            break
-        upper += np.bincount(doc[:-shift][same] * m + doc[shift:][same], minlength=m * m)
-    upper = upper.reshape(m, m)
-    return out + upper + upper.T
-
-
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one block."""
+        out += (block[:m] @ block[len(both) - k :].T).astype(np.int32)
+    place[:] = -1
+    place[narrow] = np.arange(narrow.sum())
+    of = np.repeat(place, df)
+    doc, of = doc[of >= 0], of[of >= 0]
+    flat = out.reshape(-1)
+    for shift in range(1, int(df[narrow].max(initial=1))):
+        same = of[shift:] == of[:-shift]
+        if right is not None:
+            same &= (doc[:-shift] < m) & (doc[shift:] >= m)
+        one, other = doc[:-shift][same].astype(np.int64), doc[shift:][same]
+        np.add.at(flat, one * k + (other if right is None else other - m), 1)
+        if right is None:
+            np.add.at(flat, other.astype(np.int64) * k + one, 1)
+    return out
+
+
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], t: Fraction, split: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one block, or with `split` between its first `split` sets and the others."""
+    first, second = (sets, sets) if split is None else (sets[:split], sets[split:])
+    both = overlaps(first, None if split is None else second)
+    sizes, others = (np.array([len(s) for s in x], np.int64) for x in (first, second))
+    linked = np.empty(both.shape, bool)
+    for row in range(len(first)):  # |a & b| >= t |a | b|, in whole numbers
+        linked[row] = both[row].astype(np.int64) * (t.numerator + t.denominator) >= t.numerator * (sizes[row] + others)
+    del both
     m = len(sets)
-    both = overlaps(sets).astype(np.int64)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = both * t.denominator >= t.numerator * union
-    np.fill_diagonal(linked, True)
-    label = np.arange(m)
+    label = np.arange(m, dtype=np.int32)
+    ends = (label, label) if split is None else (label[:split], label[split:])  # views: both sides of a block are one array
     while True:
-        near = np.where(linked, label[None, :], m).min(1)
-        near = near[near]
-        if (near == label).all():
+        before = label.copy()
+        np.minimum(ends[0], _least(linked, ends[1], m), out=ends[0])
+        np.minimum(ends[1], _least(linked.T, ends[0], m), out=ends[1])
+        label[:] = label[label]
+        if (before == label).all():
             break
-        label = near
-    return [(int(nodes[i]), int(nodes[label[i]])) for i in range(m) if label[i] != i]
+    return [(int(nodes[i]), int(nodes[label[i]])) for i in range(m) if label[i] != i and nodes[label[i]] != nodes[i]]
+
+
+def _least(linked: np.ndarray, label: np.ndarray, none: int) -> np.ndarray:
+    """The least label that each row is linked with."""
+    out = np.empty(len(linked), np.int32)
+    for at in range(0, len(linked), 128):
+        out[at : at + 128] = np.where(linked[at : at + 128], label, none).min(1)
+    return out
 
 
 def _products(t: Fraction):
-    """Streams rows sorted by block; holds one block (or pair of blocks) at a time."""
+    """Streams rows sorted by pair of blocks and side; holds one block (or pair of blocks) at a time."""
 
-    def flush(held: dict[int, np.ndarray]) -> pa.RecordBatch | None:
-        if len(held) < 2:
+    def flush(nodes: list[int], sets: list[np.ndarray], lefts: int) -> pa.RecordBatch | None:
+        if len(nodes) < 2 or not lefts:
             return None
-        links = block_links(np.array(list(held), np.int64), list(held.values()), t)
+        links = block_links(np.array(nodes, np.int64), sets, t, lefts if lefts < len(nodes) else None)
         return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())}) if links else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        now = None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+        lefts, now, last = 0, None, None
         for batch in batches:
-            sets = batch.column("hashes")
-            flat, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
-            keys = zip(batch.column("family").to_pylist(), batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
-            for i, (key, node) in enumerate(zip(keys, batch.column("node").to_pylist(), strict=True)):
+            hashes = batch.column("hashes")
+            flat, ends = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+            keys = zip(*(batch.column(x).to_pylist() for x in ("family", "left", "right")), strict=True)
+            for i, (key, side, node) in enumerate(zip(keys, batch.column("side").to_pylist(), batch.column("node").to_pylist(), strict=True)):
                 if key != now:
-                    if (out := flush(held)) is not None:
+                    if (out := flush(nodes, sets, lefts)) is not None:
                         yield out
-                    held, now = {}, key
-                held[node] = flat[ends[i] : ends[i + 1]].copy()
-        if (out := flush(held)) is not None:
+                    nodes, sets, lefts, now, last = [], [], 0, key, None
+                if (side, node) == last:  # repeated rows
+                    continue
+                last = (side, node)
+                nodes.append(node)
+                sets.append(flat[ends[i] : ends[i + 1]].copy())
+                lefts += side == 0
+        if (out := flush(nodes, sets, lefts)) is not None:
             yield out
 
     return run
 
 
 def _multiply(placed: DataFrame, t: Fraction) -> DataFrame:
-    """placed: family, left, right, node, hashes -> links a, b."""
-    rows = placed.repartition("family", "left", "right").sortWithinPartitions("family", "left", "right", "node")
-    return rows.select("family", "left", "right", "node", "hashes").mapInArrow(_products(t), "a long, b long")
+    """placed: family, left, right, side, node, hashes -> links a, b of left with right blocks, or within a block without rows of side 1."""
+    order = ["family", "left", "right", "side", "node"]
+    rows = placed.repartition("family", "left", "right").sortWithinPartitions(*order)
+    return rows.select(*order, "hashes").mapInArrow(_products(t), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,16 +371,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     release(docs.sparkSession)
     families = components(ties).select(F.col("node").alias("c1"), F.col("component").alias("family"))
     members = materialize(classes.join(families, "c1").select("node", "rep", "n", "family", "c1", "c2"), "members")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # text meets its class by id; where rows repeat an id the fingerprint decides
-    wanted = wanted.select(F.col("rep").alias("wanted_id"), "c1", "c2", "family", "blocks", "block", "node")
-    placed = materialize(_sets(source.join(small(wanted, 96), F.expr("doc_id <=> wanted_id")), n), "blocks", WIDE_ROWS)
+    large = _blocks(members).where("blocks > 1")
+    if not large.isEmpty():
+        again = members.join(large.select("family"), "family", "left_semi")
+        sets = materialize(_sets(source, again.select("node", "rep", "family", "c1", "c2", F.lit(0).alias("blocks"), F.lit(0).alias("block")), n).select("family", "c1", "hashes"), "sets", WIDE_ROWS)
+        closer = components(ties_within(sets, t)).select(F.col("node").alias("c1"), F.col("component").alias("closer"))
+        whole = members.join(large.select("family"), "family", "left_anti")
+        members = materialize(whole.unionByName(again.join(closer, "c1").select("node", "rep", "n", F.col("closer").alias("family"), "c1", "c2")), "members")
+        release(docs.sparkSession)
+    wanted = members.join(_blocks(members), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = materialize(_sets(source, wanted, n).select("family", "blocks", "block", "node", "hashes"), "blocks", WIDE_ROWS)
     release(docs.sparkSession)
-    own = placed.select("family", F.col("block").alias("left"), F.col("block").alias("right"), "node", "hashes")
+    own = placed.select("family", F.col("block").alias("left"), F.col("block").alias("right"), F.lit(0).alias("side"), "node", "hashes")
     many = placed.where("blocks > 1")
-    first = many.where("block > 0").select("family", F.lit(0).alias("left"), F.col("block").alias("right"), "node", "hashes").unionByName(
-        many.where("block = 0").select("family", F.lit(0).alias("left"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("right"), "node", "hashes")
+    first = many.where("block > 0").select("family", F.lit(0).alias("left"), F.col("block").alias("right"), F.lit(1).alias("side"), "node", "hashes").unionByName(
+        many.where("block = 0").select("family", F.lit(0).alias("left"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("right"), F.lit(0).alias("side"), "node", "hashes")
     )
     links = materialize(_multiply(own.unionByName(first), t), "links", WIDE_ROWS)
     if not many.isEmpty():
@@ -311,8 +398,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     return rows.where("n > 0").select("doc_id", "n", "c1", "c2").join(of_class, ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def _sets(texts_of: DataFrame, n: int) -> DataFrame:
-    """family, blocks, block, node, hashes of the rows whose text is that of their class."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """family, blocks."""
+    return members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
+
+
+def _sets(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """family, blocks, block, node, c1, hashes: wanted (rep, c1, c2, family, blocks, block, node) with the sets of its texts.
+
+    A text meets its class by id; where rows repeat an id the fingerprint decides."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, n) for x in texts(batch)]
@@ -320,10 +414,12 @@ def _sets(texts_of: DataFrame, n: int) -> DataFrame:
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
         own = pc.and_(pc.equal(c1, batch.column("c1")), pc.equal(c2, batch.column("c2")))
-        names = ["family", "blocks", "block", "node"]
+        names = ["family", "blocks", "block", "node", "c1"]
         return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), hashes], [*names, "hashes"]).filter(own)
 
-    return mapped(texts_of.select("text", "c1", "c2", "family", "blocks", "block", "node"), run, "family long, blocks int, block int, node long, hashes array<long>")
+    keys = wanted.select(F.col("rep").alias("wanted_id"), "c1", "c2", "family", "blocks", "block", "node")
+    rows = source.join(small(keys, 96), F.expr("doc_id <=> wanted_id"))
+    return mapped(rows.select("text", "c1", "c2", "family", "blocks", "block", "node"), run, "family long, blocks int, block int, node long, c1 long, hashes array<long>")
 
 
 def _outside(many: DataFrame, links: DataFrame, t: Fraction) -> DataFrame:
@@ -337,8 +433,8 @@ def _outside(many: DataFrame, links: DataFrame, t: Fraction) -> DataFrame:
         return links.limit(0)
     groups = outside.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("groups"))
     out = many.join(outside, ["family", "node"]).join(groups, "family")
-    left = out.select("family", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), "node", "hashes")
-    right = many.join(groups, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("left"), F.col("block").alias("right"), "node", "hashes")
+    left = out.select("family", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), F.lit(0).alias("side"), "node", "hashes")
+    right = many.join(groups, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("left"), F.col("block").alias("right"), F.lit(1).alias("side"), "node", "hashes")
     return materialize(_multiply(left.unionByName(right), t), "links", WIDE_ROWS)
 
 

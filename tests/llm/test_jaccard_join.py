@@ -86,6 +86,41 @@ def test_linked_sets_share_a_key():
                         assert set(J.part_keys(a, Fraction(t), frequent).tolist()) & set(J.part_keys(b, Fraction(t), frequent).tolist())
 
 
+@pytest.mark.parametrize("t", ["0.3", "0.5", "0.6", "0.65", "0.7", "0.8", "0.95"])
+def test_subsets_share_a_key(t):
+    r = np.random.default_rng(5)
+    for n in (3, 10, 40, 137, 600):
+        whole = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        for size in {n, -(-n * Fraction(t).numerator // Fraction(t).denominator), n - 1}:
+            part = np.sort(r.permutation(whole)[:size])
+            if size and Fraction(size, n) >= Fraction(t):
+                assert np.intersect1d(J.part_keys(whole, Fraction(t), whole[:0]), J.part_keys(part, Fraction(t), whole[:0])).size
+
+
+def test_products_of_blocks():
+    r = np.random.default_rng(6)
+    for m, k, low in ((5, 9, 4), (40, 30, 3), (70, 90, 60)):
+        left, right = ([np.unique(np.concatenate([r.integers(0, 50, 20), r.integers(0, 5_000, low)])).astype(np.int64) for _ in range(n)] for n in (m, k))
+        want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+        assert J.overlaps(left, right).tolist() == want
+        own = J.overlaps(left)
+        assert all(own[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(left) for j, b in enumerate(left) if i != j)
+        links = J.block_links(np.arange(m + k), left + right, Fraction("0.4"), m)
+        sure = {(i, m + j) for i in range(m) for j in range(k) if Fraction(want[i][j], len(left[i]) + len(right[j]) - want[i][j]) >= Fraction("0.4")}
+        groups = lambda pairs: {frozenset(x) for x in _classes(m + k, pairs)}
+        assert groups(links) == groups(sure)
+
+
+def _classes(n, pairs):
+    of = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for x in of[a]:
+                of[x] = of[a]
+    return of.values()
+
+
 def test_word_hashes_follow_the_definition():
     assert len(word_hashes(b"")) == len(word_hashes(b" \t\n\x0b\x0c\r")) == 0
     assert (word_hashes("É a b A".encode()) == word_hashes("É a b a".encode())).all() and len(word_hashes("É a b A".encode())) == 3
