@@ -61,6 +61,18 @@ def materialize(df: DataFrame, what: str, arrow_rows: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, keys: list[str]) -> DataFrame:
+    """Like materialize(), in as many hash buckets of `keys` as there are shuffle partitions: joins on these keys move only the other side."""
+    spark = df.sparkSession
+    path, name = new_path(spark, what), f"scholarlake_{what}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, *keys).write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", path)
+    dealt.bucketBy(n, *keys).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name: files at a path of their own stay
+    return out
+
+
 def written() -> int:
     """How many intermediates were written so far."""
     return len(_written)

@@ -16,10 +16,11 @@ same anchor at the same place. Neighbouring windows with one anchor form a run,
 
 Repeated runs and windows become byte ranges, are united for each document and cut out. Anchors so frequent that one
 would swell a task (estimated on a hash sample of documents, for balance only) are spread by salt in step 1 and their
-first runs meet again afterwards. Ranks are 128 bits in every comparison that decides.
+first runs meet again afterwards. Ranks are 128 bits in every comparison that decides. Texts are shuffled once, into buckets by
+document; steps 2, 3 and the cut visit them there, and only lists of places move.
 
 Defined cases: null text is empty; texts shorter than the window lose nothing; position order is (doc_id, a hash of the
-text where ids repeat, start), a null id first; rows that repeat id and text are one document and report the same; an
+text where ids repeat, start), a null id as the least long; rows that repeat id and text are one document and report the same; an
 empty table gives an empty result; other columns are not looked at.
 """
 
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import BROADCAST_BYTES, mapped, materialize, release, steps, table, texts
+from scholarlake.llm.common import bucketed, mapped, materialize, release, steps, table, texts
 from scholarlake.llm.shingles import _BASE, _BYTE, mix
 
 WINDOW = 100
@@ -248,20 +249,18 @@ def _around(part: pa.RecordBatch, want: str) -> pa.RecordBatch | None:
 
 
 def _with_lists(keyed: DataFrame, rows: DataFrame, entry: list[str], name: str) -> DataFrame:
-    """Texts joined with their documents' lists of entries; the lists are broadcast if their counted size is small."""
-    lists = rows.groupBy("did", "fp").agg(F.collect_list(F.struct(*entry)).alias(name))
-    if rows.count() * (16 + 8 * len(entry)) <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
-    return keyed.join(lists, ["did", "fp"])
+    """Texts joined with their documents' lists of entries, which move to the texts' buckets."""
+    return keyed.join(rows.groupBy("did", "fp").agg(F.collect_list(F.struct(*entry)).alias(name)), ["did", "fp"])
 
 
 def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) -> texts keyed by (did, fp), and repeated byte ranges (did, fp, start, size), which may overlap."""
-    many = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    """docs (doc_id, text) -> texts in buckets of (did, fp), and repeated byte ranges (did, fp, start, size), which may overlap."""
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did")
+    many = not docs.groupBy(did).count().where("count > 1").isEmpty()
     fp = F.xxhash64("text") if many else F.lit(0).cast("long")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), fp.alias("fp"), "text")
-    hot = _hot_anchors(keyed)
-    runs = mapped(keyed, _runs, RUN, limit=STEP)
+    source = docs.select(did, fp.alias("fp"), "text")
+    hot = _hot_anchors(source)
+    runs = mapped(source, _runs, RUN, limit=STEP)
     hot_g = F.col("g").isin(hot) if hot else F.lit(False)
     salted = runs.withColumn("salt", F.when(hot_g, F.pmod(F.xxhash64("did", "at"), F.lit(SALTS))).otherwise(0))
     sorted_runs = materialize(_sorted_firsts(salted, ["g", "salt"], hot), "runs")
@@ -269,6 +268,8 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         again = _sorted_firsts(sorted_runs.where("kind = 2").drop("kind"), ["g", "x"], hot).withColumn("kind", F.least("kind", F.lit(1)))
         sorted_runs = materialize(sorted_runs.where("kind < 2").unionByName(again), "runs")
     release(docs.sparkSession)
+    keyed = bucketed(docs.select("doc_id", did, fp.alias("fp"), "text"), "texts", ["did", "fp"])  # the only shuffle of texts
+    release(docs.sparkSession)
     whole = sorted_runs.where("kind = 0").select("did", "fp", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 8).bitwiseAND(255) + WINDOW).alias("size"))
     firsts = sorted_runs.where("kind = 1").select("g", "did", "fp", "at")
     sides = materialize(mapped(_with_lists(keyed, firsts, ["g", "at"], "runs"), lambda b: _around(b, "sides"), "g long, left long, right long, did long, fp long, at long"), "sides")
@@ -279,21 +280,22 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = sides.join(pair, ["g", side]).select("did", "fp", "at", F.lit(bit).alias("sides"))
         shared = found if shared is None else shared.unionByName(found)
     shared = materialize(shared.groupBy("did", "fp", "at").agg(F.sum("sides").alias("sides")), "shared")
+    release(docs.sparkSession)
     windows = mapped(_with_lists(keyed, shared, ["at", "sides"], "runs"), lambda b: _around(b, "windows"), "r long, r2 long, did long, fp long, p long")
     single = _sorted_firsts(windows, ["r", "r2"]).where("kind = 0").select("did", "fp", F.col("p").alias("start"), F.lit(WINDOW).alias("size"))
-    return keyed, materialize(whole.unionByName(single), "ranges")
+    return keyed, whole.unionByName(single)
 
 
 def united(ranges: DataFrame) -> DataFrame:
     """did, fp, spans: sorted disjoint maximal (start, size) of each document."""
-    order = "PARTITION BY did, fp ORDER BY start, size"
-    ranges.createOrReplaceTempView("_ranges")
-    merged = ranges.sparkSession.sql(f"""
-        SELECT did, fp, min(start) AS start, max(start + size) - min(start) AS size FROM (
-         SELECT *, sum(opens) OVER ({order} ROWS UNBOUNDED PRECEDING) AS span FROM (
-          SELECT *, CASE WHEN start <= max(start + size) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM _ranges))
-        GROUP BY did, fp, span""")
-    return merged
+    by = Window.partitionBy("did", "fp").orderBy("start", "size")
+    end = F.col("start") + F.col("size")
+    reached = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ranges.withColumn("opens", F.when(F.col("start") <= reached, 0).otherwise(1))
+    spans = opened.withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("did", "fp", "span").agg(
+        F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("size")
+    )
+    return spans.groupBy("did", "fp").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,10 +303,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed, ranges = repeated_ranges(rows)
     spans = materialize(united(ranges), "spans")
-    lists = spans.groupBy("did", "fp").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans"))
-    if spans.count() * 32 <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
-    keyed = keyed.join(lists, ["did", "fp"], "left").select(F.when(F.col("did") != LEAST, F.col("did")).alias("doc_id"), "text", "spans")
+    release(docs.sparkSession)
+    keyed = keyed.join(spans, ["did", "fp"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
