@@ -147,6 +147,19 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def frequent_from(counts: DataFrame, column: str, most: int) -> int:
+    """The least count (in `column`) from which on at most `most` rows are left; counts are told apart on the driver, from the highest on."""
+    if counts.count() <= most:
+        return 0
+    above, least = 0, None
+    for row in counts.groupBy(F.col(column).cast("long").alias("n")).count().orderBy(F.desc("n")).limit(most + 1).toLocalIterator():
+        above += row["count"]
+        if above > most:
+            break
+        least = row["n"]
+    return least if least is not None else row["n"] + 1
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

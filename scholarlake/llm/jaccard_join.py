@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import mapped, materialize, release, small, table, texts, without_ids
+from scholarlake.llm.common import frequent_from, mapped, materialize, release, small, table, texts, without_ids
 from scholarlake.llm.graph import components
 from scholarlake.llm.shingles import mix, shingle_set
 
@@ -114,13 +114,7 @@ def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
 def _most_frequent(shingles: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of shingles (g) that occur `least` times, or so many more that at most FREQUENT are left."""
     counts = materialize(shingles.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least), "frequent", WIDE_ROWS)
-    if counts.count() > FREQUENT:
-        above = 0
-        for r in counts.groupBy("m").count().orderBy(F.desc("m")).limit(FREQUENT).toLocalIterator():
-            above += r["count"]
-            if above > FREQUENT:
-                least = r["m"] + 1
-                break
+    least = frequent_from(counts, "m", FREQUENT)
     found = counts.where(F.col("m") >= least).select("g", F.least("m", F.lit(1 << 30)).cast("int").alias("m")).toArrow()
     g, m = found["g"].to_numpy().view(np.uint64), found["m"].to_numpy()
     order = np.argsort(g)
