@@ -3,22 +3,24 @@
 Words are lower-cased runs between white space and ASCII punctuation. Documents become word ids of the benchmark's
 vocabulary once (other words keep their place as -1). Passages are windows of two neighbouring STRIDE-word chunks.
 
-Randomised SVD of the passages' TF-IDF matrix A (columns: benchmark words in at most STOP_SHARE of all chunks, weighted by their inverse chunk frequency): every
-task adds up its part of A'A Omega for a Gaussian Omega, so one pass over all passages gives a subspace iteration step;
-the sums (words x SKETCH) are orthonormalised together with the items' own vectors, which are rows of infinite weight.
-Cosines do not depend on the rotation within that subspace, so singular values are not needed. Passages are projected
-and searched for items with a cosine of at least COSINE. Items whose words are nearly all that frequent (they stand in
+Randomised SVD of the TF-IDF matrix A of all documents' passages, laid end to end (columns: benchmark words in at most
+STOP_SHARE of all chunks, weighted by their inverse chunk frequency). Omega is a sparse sign matrix, so A'A Omega is a sum
+over pairs of words of a passage: every task adds up its part (words x SKETCH numbers) in one pass, and a Nystroem step
+turns the sum into A's leading RANK right singular vectors and singular values. Items have no part in it. Passages and items are projected,
+both normed there, and pairs with a cosine of at least COSINE are candidates. Items whose words are nearly all that frequent (they stand in
 many copies themselves) keep the weights of all their words.
 
-No leak depends on weights or cosines: a region that matches PARAPHRASE of an item's words holds enough of its rarest
-words, however its other words are chosen (`Overlap`), and every window whose region does is a candidate as well.
+A truncated space may lose an item that few documents hold, so no leak depends on it alone: a region that matches PARAPHRASE of an item's
+words holds enough of its rarest words, however its other words are chosen (`Overlap`), and every window whose region
+does is a candidate as well.
 
 A candidate is a leak if the longest common subsequence of the item and the passage with a chunk on either side, or as
 many chunks as the item has if it is longer than a passage (`reach`), reaches SURE of the item's words, or PARAPHRASE of them and half of the item's answer: the ANSWER_WORDS rarest words of its
 last sentence.
 
-The benchmark is read in blocks of about ITEMS distinct rows, each with its own pass, so its size is no bound; a block
-keeps all directions of its items, so that projecting them loses nothing.
+The benchmark is read in blocks of about ITEMS distinct rows and BLOCK_WORDS words, each with its own passes and space, so its size is no bound.
+With space="joint" candidates are searched in the span of all items of a block and the passages' leading directions
+instead, where projecting loses nothing of an item (plain TF-IDF cosines between items and passages, normed in the span).
 
 Defined cases: null texts are empty and hold nothing; items of fewer than LEAST_WORDS words are not searched for; rows
 that repeat an item or a document's id are merged into one result row with the best match; a null doc_id is reported as
@@ -43,15 +45,18 @@ from scholarlake.llm.common import mapped, materialize, table, texts, without_id
 
 STRIDE = 24
 STOP_SHARE = 0.02
-SKETCH = 64
-COSINE = 0.4
+#: Columns of the random sign matrix, signs in each of its rows, and singular vectors kept.
+SKETCH, SIGNS, RANK = 512, 2, 320
+#: Columns of the dense random matrix of the joint space.
+JOINT_SKETCH = 64
+COSINE = 0.55
 SURE, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS = 4
 LEAST_WORDS = 5
 #: Items with a smaller share of weighted words get the weights of all their words, of LEAST_WEIGHT at least.
 WEIGHTED, LEAST_WEIGHT = 0.25, 0.1
-#: Items of a block, all of whose directions are kept.
-ITEMS = 512
+#: Items of a block and their words.
+ITEMS, BLOCK_WORDS = 512, 40_000
 
 _SPLIT = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
 
@@ -174,8 +179,73 @@ def passage_counts(coded: DataFrame, n_words: int) -> tuple[int, np.ndarray]:
     return int(out[-1]), out[:-1]
 
 
-def latent_basis(coded: DataFrame, items: Items, weight: np.ndarray, sketch: int = SKETCH) -> np.ndarray:
-    """Orthonormal columns (words x directions): the items' space and the passages' leading directions."""
+def _passage_pairs(c: Chunks, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of words of each passage of two neighbouring chunks, passages laid end to end, in steps of about a million pairs."""
+    word, chunk = c.word[keep].astype(np.int64), c.chunk[keep]
+    if not len(word):
+        return
+    passage = chunk - ((chunk - c.first[c.doc[chunk]]) & 1)
+    begins = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    size = np.diff(np.concatenate([begins, [len(word)]]))
+    done = np.cumsum(size * size)
+    start = 0
+    while start < len(begins):
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + 1_000_000, side="right")))
+        each = np.repeat(size[start:stop], size[start:stop])  # of each word, the words of its passage
+        one = np.repeat(np.arange(begins[start], begins[start] + len(each)), each)
+        base = np.repeat(np.repeat(begins[start:stop], size[start:stop]), each)
+        ends = np.cumsum(each)
+        yield word[one], word[base + np.arange(len(one)) - np.repeat(ends - each, each)]
+        start = stop
+
+
+def singular_space(coded: DataFrame, weight: np.ndarray, rank: int = RANK, sketch: int = SKETCH) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors (words x at most rank) and singular values of the matrix of all passages."""
+    n_words = len(weight)
+    rng = np.random.default_rng(3)
+    column = rng.integers(0, sketch, (n_words, SIGNS))
+    sign = (rng.integers(0, 2, (n_words, SIGNS)) * 2 - 1) / np.sqrt(SIGNS)
+    shared = coded.sparkSession.sparkContext.broadcast((weight, column, sign.astype(np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, column, sign = shared.value
+        total = np.zeros(n_words * sketch, np.float32)
+        for _, c in _chunks(batches):
+            for one, other in _passage_pairs(c, w[c.word] > 0):
+                both = w[one] * w[other]
+                for i in range(SIGNS):
+                    np.add.at(total, one * sketch + column[other, i], both * sign[other, i])
+        total = total.reshape(n_words, sketch)
+        at = np.flatnonzero(total.any(1))
+        for start in range(0, len(at), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(at[start : start + 4096]), pa.array([total[i].tobytes() for i in at[start : start + 4096]], pa.binary())], ["word", "sums"])
+
+    rows = coded.select("ids").mapInArrow(run, "word long, sums binary").repartition("word").mapInArrow(_add_up, "word long, sums binary").toArrow()  # at most words x sketch numbers
+    sums = np.zeros((n_words, sketch))
+    for word, row in zip(rows["word"].to_pylist(), rows["sums"].to_pylist(), strict=True):
+        sums[word] = np.frombuffer(row, np.float64)
+    # Nystroem: A'A is about Y (Omega' Y)^-1 Y' for Y = A'A Omega
+    core = np.zeros((sketch, sketch))
+    for i in range(SIGNS):
+        np.add.at(core, column[:, i], sums * sign[:, i, None])
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    some = values > max(values[-1], 0) * 1e-7
+    left, size, _ = np.linalg.svd(sums @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    kept = size[:rank] > 1e-9
+    return left[:, :rank][:, kept].astype(np.float32), size[:rank][kept]
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word and the sum of its float32 rows, as float64."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for word, sums in zip(batch.column("word").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            held[word] = held.get(word, 0) + np.frombuffer(sums, np.float32).astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["word", "sums"])
+
+
+def latent_basis(coded: DataFrame, items: Items, weight: np.ndarray, sketch: int = JOINT_SKETCH) -> np.ndarray:
+    """The joint space: orthonormal columns (words x directions) that span the items and the passages' leading directions."""
     n_words = len(items.vocabulary)
     shared = coded.sparkSession.sparkContext.broadcast(weight)
 
@@ -200,14 +270,7 @@ def latent_basis(coded: DataFrame, items: Items, weight: np.ndarray, sketch: int
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([total[i].tobytes() for i in at], pa.binary())], ["word", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for word, sums in zip(batch.column("word").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                held[word] = held.get(word, 0) + np.frombuffer(sums, np.float32).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["word", "sums"])
-
-    rows = coded.select("ids").mapInArrow(run, "word long, sums binary").repartition("word").mapInArrow(add, "word long, sums binary").toArrow()  # at most words x sketch numbers
+    rows = coded.select("ids").mapInArrow(run, "word long, sums binary").repartition("word").mapInArrow(_add_up, "word long, sums binary").toArrow()  # at most words x sketch numbers
     spread = np.zeros((n_words, sketch))
     for word, sums in zip(rows["word"].to_pylist(), rows["sums"].to_pylist(), strict=True):
         spread[word] = np.frombuffer(sums, np.float64)
@@ -279,15 +342,16 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, space: str = "latent") -> DataFrame:
     """doc_id, item_id, matched (words of the longest common subsequence), item_words, ratio, cosine: the best match of each pair that leaks."""
     spark = docs.sparkSession
     out = None
     items_all = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-items_all.count() // ITEMS))
+    size = items_all.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.split("text", "\\s+"))).alias("words")).first()
+    blocks = max(1, -(-size.n // ITEMS), -(-(size.words or 0) // BLOCK_WORDS))
     for block in range(blocks):
         items = read_items(items_all.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect())
-        found = _leaks_of(docs, items) if items.ids else None
+        found = _leaks_of(docs, items, space) if items.ids else None
         if found is not None:
             out = found if out is None else out.unionByName(found)
     if out is None:
@@ -296,7 +360,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.matched", "m.item_words", "m.ratio", "m.cosine")
 
 
-def _leaks_of(docs: DataFrame, items: Items) -> DataFrame:
+def _leaks_of(docs: DataFrame, items: Items, space: str) -> DataFrame:
     coded = _code(docs, items)
     passages, df = passage_counts(coded, len(items.vocabulary))
     idf = np.log((passages + 1) / (df + 1.0)).astype(np.float32)
@@ -304,7 +368,7 @@ def _leaks_of(docs: DataFrame, items: Items) -> DataFrame:
     for words in items.words:
         if np.count_nonzero(weight[words]) < WEIGHTED * len(words):
             weight[words] = np.maximum(idf[words], LEAST_WEIGHT)
-    basis = latent_basis(coded, items, weight)
+    basis = latent_basis(coded, items, weight) if space == "joint" else singular_space(coded, weight)[0]
     latent = items.vectors(weight) @ basis
     norms = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
     shared = docs.sparkSession.sparkContext.broadcast((items, weight, weight[:, None] * basis, (latent / norms[:, None]).T, idf, Overlap.of(items, df)))
@@ -320,12 +384,15 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             mask[w] = mask.get(w, 0) | 1 << i
         masks.append(mask)
     keys = [set(sorted(set(a), key=lambda w: (-idf[w], w))[:ANSWER_WORDS]) for a in items.answers]
-    square = (weight * weight)[:, None]
+    holds = np.zeros((len(items.ids), len(items.vocabulary) + 1), bool)  # the last column is for other words
+    for row, words in zip(holds, items.words, strict=True):
+        row[words] = True
+    needed = np.array([PARAPHRASE * len(words) for words in items.words])
     for batch, c in _chunks(batches):
         keep = weight[c.word] > 0
-        norm = np.sqrt(c.windows(_bag(c, square, keep))[:, 0])
-        some = np.flatnonzero(norm > 0)
         z = c.windows(_bag(c, rows, keep))
+        norm = np.sqrt(np.einsum("ij,ij->i", z, z))
+        some = np.flatnonzero(norm > 1e-6)
         window, item = overlap.candidates(c)
         found = [window * len(items.ids) + item]
         for start in range(0, len(some), 4096):
@@ -334,6 +401,8 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             w, i = np.nonzero(cosine >= COSINE)
             found.append(part[w] * len(items.ids) + i)
         window, item = np.divmod(np.unique(np.concatenate(found)), len(items.ids))
+        close = _close(c, window, item, holds, needed)
+        window, item = window[close], item[close]
         cosines = np.einsum("ij,ij->i", z[window], latent.T[item]) / np.maximum(norm[window], 1e-9)
         hits = zip(window.tolist(), item.tolist(), cosines.tolist(), strict=True)
         best: dict[tuple[int, int], tuple[float, int, float]] = {}
@@ -361,6 +430,21 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             )
 
 
+def _close(c: Chunks, window: np.ndarray, item: np.ndarray, holds: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Which candidates' regions hold PARAPHRASE of the item's number of words among its words, which a match has; items that reach further are all kept."""
+    out = np.ones(len(window), bool)
+    for start in range(0, len(window), 10_000):
+        w, i = window[start : start + 10_000], item[start : start + 10_000]
+        doc = c.doc[w]
+        at = c.ends[doc] + (w - c.first[doc]) * STRIDE
+        place = np.maximum(c.ends[doc], at - STRIDE)[:, None] + np.arange(4 * STRIDE)
+        inside = place < np.minimum(c.ends[doc + 1], at + 3 * STRIDE)[:, None]
+        words = c.flat[np.minimum(place, len(c.flat) - 1)]
+        out[start : start + 10_000] = (holds[i[:, None], words] & (words >= 0) & inside).sum(1) >= needed[i] - 1e-9
+    far = needed > PARAPHRASE * 2 * STRIDE + 1e-9
+    return out | far[item]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id leaks an item; columns as they are. Rows with a null id are kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

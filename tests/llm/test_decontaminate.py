@@ -128,3 +128,73 @@ def test_long_items(spark, frame):
                 masks[w] = masks.get(w, 0) | 1 << p
             want[doc_id, i] = D.lcs(masks, len(item), words) / len(item)
     assert got == {k: v for k, v in want.items() if v >= D.SURE} and len(got) == 8
+
+
+def matrix(docs, items, weight):
+    """A plain loop: a row for each passage of two chunks, laid end to end."""
+    out = []
+    for _, text in docs:
+        ids = [items.vocabulary.get(w, -1) for w in D.words_of(text or "")]
+        for at in range(0, max(1, len(ids)), 2 * D.STRIDE):
+            row = np.zeros(len(weight))
+            for w in ids[at : at + 2 * D.STRIDE]:
+                if w >= 0:
+                    row[w] += weight[w]
+            out.append(row)
+    return np.array(out)
+
+
+def read(rows):
+    return D.read_items([type("Row", (), {"item_id": i, "text": t}) for i, t in rows])
+
+
+def test_singular_space_equals_numpy(spark, frame):
+    docs = [*rows()[:100], (900, prose(5, 1_000) + " " + ITEMS[3][1])]
+    items = read(ITEMS)
+    weight = np.random.default_rng(1).random(len(items.vocabulary)).astype(np.float32)
+    weight[::9] = 0
+    a = matrix(docs, items, weight)
+    _, size, right = np.linalg.svd(a, full_matrices=False)
+    vectors, values = D.singular_space(D._code(frame(docs), items), weight, 12)
+    assert np.allclose(values, size[:12], rtol=0.05)
+    assert (np.linalg.norm(a @ vectors, axis=0) ** 2).sum() > 0.98 * (size[:12] ** 2).sum()  # as much of the passages as any 12 directions hold
+
+
+def test_latent_search_alone_finds_paraphrases(spark, frame, monkeypatch):
+    """Recall without the exact bound, for more items than a block holds, each in one document of many."""
+    items = [(i, prose(3000 + i, 25 + i % 20)) for i in range(D.ITEMS + 88)]
+    docs = [(i, prose(i, 60) + " " + altered(text, i, 0.1 * (i % 3)) + " " + prose(-i, 60)) for i, text in items]
+    docs += [(10_000 + i, prose(90_000 + i, 200)) for i in range(300)]
+    masks = {i: len(t.split()) for i, t in items}
+    want = {(i, i) for i, text in items if sum(w != "changed" for w in altered(text, i, 0.1 * (i % 3)).split()) >= D.SURE * masks[i]}
+    monkeypatch.setattr(D.Overlap, "candidates", lambda self, c: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert len(want) > 400
+    for space in ("latent", "joint"):
+        got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame(docs), bench(spark, items), space).collect()}
+        assert len(want & got) >= 0.9 * len(want), space
+
+
+def test_paraphrases_with_and_without_the_answer(spark, frame):
+    """Both branches against whole-text loops of the test's own."""
+    body, answer = prose(1, 24).split(), prose(2, 6).split()
+    items = [(1, " ".join(body) + ". " + " ".join(answer) + ".")]
+    n = len(body) + len(answer)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    docs, want = [], set()
+    for drop in range(0, 20):
+        for with_answer in (True, False):
+            text = body[: len(body) - drop] + (answer if with_answer else ["other"] * 6)
+            ratio = lcs(body + answer, text) / n
+            docs.append((len(docs), prose(50 + drop, 40) + " " + " ".join(text) + " " + prose(70 + drop, 40)))
+            if ratio >= 0.8 or ratio >= 0.6 and with_answer:
+                want.add(docs[-1][0])
+    got = {r.doc_id for r in D.find_leaks(frame(docs), bench(spark, items)).collect()}
+    assert got == want and 5 < len(want) < 30
