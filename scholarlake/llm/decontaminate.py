@@ -46,7 +46,7 @@ from scholarlake.llm.common import mapped, materialize, table, texts, without_id
 STRIDE = 24
 STOP_SHARE = 0.02
 #: Columns of the random sign matrix, signs in each of its rows, and singular vectors kept.
-SKETCH, SIGNS, RANK = 512, 2, 320
+SKETCH, SIGNS, RANK = 512, 1, 320
 #: Columns of the dense random matrix of the joint space.
 JOINT_SKETCH = 64
 COSINE = 0.55
@@ -153,8 +153,8 @@ def _bag(c: Chunks, rows: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Sum of rows[word] for each chunk, over kept words."""
     out = np.zeros((len(c.doc), rows.shape[1]), np.float32)
     word, chunk = c.word[keep], c.chunk[keep]
-    for start in range(0, len(word), 20_000):
-        w, k = word[start : start + 20_000], chunk[start : start + 20_000]
+    for start in range(0, len(word), 2_000):  # the rows of a step stay in a core's cache
+        w, k = word[start : start + 2_000], chunk[start : start + 2_000]
         begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         out[k[begins]] += np.add.reduceat(rows[w], begins, axis=0)
     return out
@@ -384,10 +384,6 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             mask[w] = mask.get(w, 0) | 1 << i
         masks.append(mask)
     keys = [set(sorted(set(a), key=lambda w: (-idf[w], w))[:ANSWER_WORDS]) for a in items.answers]
-    holds = np.zeros((len(items.ids), len(items.vocabulary) + 1), bool)  # the last column is for other words
-    for row, words in zip(holds, items.words, strict=True):
-        row[words] = True
-    needed = np.array([PARAPHRASE * len(words) for words in items.words])
     for batch, c in _chunks(batches):
         keep = weight[c.word] > 0
         z = c.windows(_bag(c, rows, keep))
@@ -401,7 +397,7 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             w, i = np.nonzero(cosine >= COSINE)
             found.append(part[w] * len(items.ids) + i)
         window, item = np.divmod(np.unique(np.concatenate(found)), len(items.ids))
-        close = _close(c, window, item, holds, needed)
+        close = _close(c, window, item, items)
         window, item = window[close], item[close]
         cosines = np.einsum("ij,ij->i", z[window], latent.T[item]) / np.maximum(norm[window], 1e-9)
         hits = zip(window.tolist(), item.tolist(), cosines.tolist(), strict=True)
@@ -411,7 +407,8 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             at = c.ends[doc] + (window - c.first[doc]) * STRIDE
             n = len(items.words[item])
             side = reach(n) * STRIDE
-            region = c.flat[max(c.ends[doc], at - side) : min(c.ends[doc + 1], at + 2 * STRIDE + side)].tolist()
+            region = c.flat[max(c.ends[doc], at - side) : min(c.ends[doc + 1], at + 2 * STRIDE + side)]
+            region = region[region >= 0].tolist()  # benchmark words
             matched = lcs(masks[item], n, region)
             ratio = matched / n
             if ratio >= SURE or ratio >= PARAPHRASE and 2 * len(keys[item].intersection(region)) >= len(keys[item]):
@@ -430,19 +427,27 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             )
 
 
-def _close(c: Chunks, window: np.ndarray, item: np.ndarray, holds: np.ndarray, needed: np.ndarray) -> np.ndarray:
-    """Which candidates' regions hold PARAPHRASE of the item's number of words among its words, which a match has; items that reach further are all kept."""
+def _close(c: Chunks, window: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """Which candidates can match PARAPHRASE of the item's words: as many places of the region, and as many of the item, hold a word of the
+    other. Items that reach beyond the neighbouring chunks are all kept."""
     out = np.ones(len(window), bool)
-    for start in range(0, len(window), 10_000):
-        w, i = window[start : start + 10_000], item[start : start + 10_000]
+    sizes = np.array([len(words) for words in items.words])
+    short = np.flatnonzero(sizes <= 2 * STRIDE)
+    padded = np.full((len(sizes), 2 * STRIDE), -2, np.int32)
+    for i in short:
+        padded[i, : sizes[i]] = items.words[i]
+    at_all = np.flatnonzero(sizes[item] <= 2 * STRIDE)
+    for start in range(0, len(at_all), 2_000):
+        part = at_all[start : start + 2_000]
+        w, i = window[part], item[part]
         doc = c.doc[w]
         at = c.ends[doc] + (w - c.first[doc]) * STRIDE
         place = np.maximum(c.ends[doc], at - STRIDE)[:, None] + np.arange(4 * STRIDE)
         inside = place < np.minimum(c.ends[doc + 1], at + 3 * STRIDE)[:, None]
-        words = c.flat[np.minimum(place, len(c.flat) - 1)]
-        out[start : start + 10_000] = (holds[i[:, None], words] & (words >= 0) & inside).sum(1) >= needed[i] - 1e-9
-    far = needed > PARAPHRASE * 2 * STRIDE + 1e-9
-    return out | far[item]
+        region = np.where(inside, c.flat[np.minimum(place, len(c.flat) - 1)], -1)
+        equal = region[:, :, None] == padded[i][:, None, :]
+        out[part] = np.minimum(equal.any(2).sum(1), equal.any(1).sum(1)) >= PARAPHRASE * sizes[i] - 1e-9
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
