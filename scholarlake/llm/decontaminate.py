@@ -308,7 +308,7 @@ class Overlap:
                     spare = 0
             least.append(need)
         word, item, times = np.array(sorted(held), np.int64).reshape(-1, 3).T
-        return cls(np.searchsorted(word, np.arange(len(items.vocabulary) + 1)), item, times, np.array(least), np.array([reach(len(words)) for words in items.words]))
+        return cls(np.searchsorted(word, np.arange(len(items.vocabulary) + 1)), item, times.astype(np.int32), np.array(least), np.array([reach(len(words)) for words in items.words]))
 
     def candidates(self, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
         """Windows and items where the window with the item's reach on either side holds `least`."""
@@ -316,9 +316,9 @@ class Overlap:
         ends = np.cumsum(size)
         at = np.repeat(self.begins[c.word] - ends + size, size) + np.arange(size.sum())
         n, k = len(c.doc), len(self.least)
-        held = np.bincount(np.repeat(c.chunk.astype(np.int64), size) * k + self.item[at], self.times[at], n * k).reshape(n, k).astype(np.int32)
         total = np.zeros((n + 1, k), np.int32)
-        np.cumsum(held, axis=0, out=total[1:], dtype=np.int32)
+        np.add.at(total[1:].reshape(-1), np.repeat(c.chunk.astype(np.int64) * k, size) + self.item[at], self.times[at])
+        np.cumsum(total, axis=0, out=total)
         chunk = np.arange(n)
         found = []
         for r in np.unique(self.reach):
@@ -334,11 +334,9 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Longest common subsequence of words with an item of n words, whose places by word are `masks` (bit-parallel)."""
     full = (1 << n) - 1
     v = full
-    for w in words:
-        m = masks.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, map(masks.get, words)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
@@ -433,7 +431,8 @@ def _close(c: Chunks, window: np.ndarray, item: np.ndarray, items: Items) -> np.
     out = np.ones(len(window), bool)
     sizes = np.array([len(words) for words in items.words])
     short = np.flatnonzero(sizes <= 2 * STRIDE)
-    padded = np.full((len(sizes), 2 * STRIDE), -2, np.int32)
+    kind = np.int16 if len(items.vocabulary) < 1 << 15 else np.int32  # compared by the million
+    padded = np.full((len(sizes), 2 * STRIDE), -2, kind)
     for i in short:
         padded[i, : sizes[i]] = items.words[i]
     at_all = np.flatnonzero(sizes[item] <= 2 * STRIDE)
@@ -444,9 +443,9 @@ def _close(c: Chunks, window: np.ndarray, item: np.ndarray, items: Items) -> np.
         at = c.ends[doc] + (w - c.first[doc]) * STRIDE
         place = np.maximum(c.ends[doc], at - STRIDE)[:, None] + np.arange(4 * STRIDE)
         inside = place < np.minimum(c.ends[doc + 1], at + 3 * STRIDE)[:, None]
-        region = np.where(inside, c.flat[np.minimum(place, len(c.flat) - 1)], -1)
-        equal = region[:, :, None] == padded[i][:, None, :]
-        out[part] = np.minimum(equal.any(2).sum(1), equal.any(1).sum(1)) >= PARAPHRASE * sizes[i] - 1e-9
+        region = np.where(inside, c.flat[np.minimum(place, len(c.flat) - 1)], -1).astype(kind)
+        equal = region[:, None, :] == padded[i][:, :, None]
+        out[part] = np.minimum(equal.any(1).sum(1), equal.any(2).sum(1)) >= PARAPHRASE * sizes[i] - 1e-9
     return out
 
 
