@@ -10,6 +10,12 @@ from scholarlake.functions.doi import is_dataset
 from scholarlake.functions.text import any_of, col
 
 _HOSTS = ("zenodo", "dryad", "github", "gitlab", "osf")
+#: Characters that text extraction leaves behind.
+_INVISIBLE = "[\u200b\u200c\u200d\u00ad\ufeff]"
+_GATEWAY = r"(?i)https?://\s*urlde\s*fense\s*\.\s*com\s*/\s*v3\s*/\s*__\s*/?"
+_GATEWAY_END = r"(__\s*;?\s*!!\s*[A-Za-z0-9!$\-_\s+/=]+?)(\s+(?:and|the|on|at|in|from|or|to|is|are)\b|$)"
+#: White space that a URL swallows: after a closing mark of its own, or where a URL mark is among the next 13 characters.
+_GAP = r"(https?://\S*[=\-_])\s+(?=\S)|(https?://\S+)\s+(?=[/?\-_=.]|\S[^/?\-_=.]{0,11}[/?\-_=.])"
 
 
 def is_url(x: Column | str) -> Column:
@@ -27,7 +33,7 @@ def domain(x: Column | str) -> Column:
 
 def repair_urls(x: Column | str, passes: int = 10) -> Column:
     """White space inside URLs is taken out; known host names are glued again, inside URLs only."""
-    x = F.regexp_replace(col(x), "[​‌‍⁠﻿]", "")
+    x = F.regexp_replace(col(x), _INVISIBLE, "")
     x = F.regexp_replace(x, r"(?i)\b(https?)\s*:\s*/\s*/\s*", "$1://")
     for name in _HOSTS:
         x = F.regexp_replace(x, r"(?i)(https?://(?:www\.)?)" + r"\s*".join(name) + r"\s*\.\s*(?=org|com|io)", f"$1{name}.")
@@ -36,6 +42,19 @@ def repair_urls(x: Column | str, passes: int = 10) -> Column:
     return x
 
 
+def canonical(x: Column | str, passes: int = 10) -> Column:
+    """Text as links are read from it: no invisible characters, no mail gateway around links, known hosts and broken URLs glued.
+
+    Host names are glued inside URLs only."""
+    x = F.regexp_replace(col(x), _INVISIBLE, "")
+    x = F.regexp_replace(F.regexp_replace(x, _GATEWAY, ""), _GATEWAY_END, "$2")
+    for name in _HOSTS:
+        x = F.regexp_replace(x, r"(?i)(https?://(?:www\.)?)" + r"\s*".join(name) + r"\s*\.\s*(?=org|com|io)", f"$1{name}.")
+    for _ in range(passes):
+        x = F.regexp_replace(x, _GAP, "$1$2")
+    return x
+
+
 def unwrap(x: Column | str) -> Column:
     """Links rewritten by a mail gateway, as the links they stand for."""
     return F.regexp_replace(col(x), r"(?i)https?://urldefense\.(?:proofpoint\.)?com/v\d/__(https?://\S+?)__;\S*", "$1")
@@ -44,7 +63,7 @@ def unwrap(x: Column | str) -> Column:
 def layout_urls(x: Column | str, most: int = 20) -> Column:
     """For text from page layout: links unwrapped, then white space after a scheme swallowed while what follows still looks
     like a URL (it has a dot, slash or other URL mark within its next characters) and is no common word."""
-    x = unwrap(F.regexp_replace(col(x), "[​‌‍⁠﻿]", ""))
+    x = unwrap(F.regexp_replace(col(x), _INVISIBLE, ""))
     x = F.regexp_replace(x, r"(?i)\b(https?)\s*:\s*/\s*/\s*", "$1://")
     stop = r"(?!(?:and|or|the|in|at|is|are|for|from|with)\b)"
     for _ in range(most):
@@ -85,10 +104,14 @@ def is_accepted(x: Column | str, kind: str, settings: Settings = DEFAULTS) -> Co
     return F.coalesce(~any_of(F.lower(x), settings.denied) & allowed & is_url(x), F.lit(False))
 
 
+def accepted(urls: Column, kind: str, settings: Settings = DEFAULTS) -> Column:
+    """Distinct accepted links of an array, cleaned, in order."""
+    return F.array_distinct(F.filter(F.transform(urls, clean_link), lambda u: is_accepted(u, kind, settings)))
+
+
 def links(x: Column | str, kind: str, settings: Settings = DEFAULTS) -> Column:
     """Distinct accepted links of a text in order."""
-    clean = F.transform(found_urls(x), clean_link)
-    return F.array_distinct(F.filter(clean, lambda u: is_accepted(u, kind, settings)))
+    return accepted(found_urls(x), kind, settings)
 
 
 def inspected(x: Column | str) -> Column:

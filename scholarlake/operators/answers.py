@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarlake.config import DEFAULTS, Settings
 from scholarlake.functions import records as R
+from scholarlake.functions import text as T
+from scholarlake.functions import urls as U
 from scholarlake.functions.text import col, none_to_null
 
-ANSWER = "data struct<verdict:string,raw_quote:string,clean_statement:string,links:array<string>,confidence:string>, code struct<verdict:string,raw_quote:string,clean_statement:string,links:array<string>,confidence:string>"
+ANSWER = "data struct<verdict:string,raw_quote:string,clean_statement:string,links:array<string>,confidence:variant>, code struct<verdict:string,raw_quote:string,clean_statement:string,links:array<string>,confidence:variant>"
 RULES = (
     "Answer with one JSON object that has the keys data and code.",
     "Each holds verdict (present or absent), raw_quote, clean_statement, links and confidence.",
@@ -30,11 +33,27 @@ def parse_answer(reply: Column | str) -> Column:
     return F.when(inner != "", F.from_json(inner, ANSWER))
 
 
+def _number(x: Column) -> Column:
+    """A JSON number or truth value as a double; null for anything else."""
+    return F.when(F.schema_of_variant(x).isin("STRING", "VOID") | F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)"), F.lit(None)).otherwise(F.try_variant_get(x, "$", "double"))
+
+
 def grounded(answer: Column, contexts: Column, kind: str) -> Column:
-    """struct<statement, confidence> of one kind, if its verdict is present and its quote stands in a context and states availability."""
+    """struct<statement, confidence> of grounded_with_links()."""
+    found = grounded_with_links(answer, contexts, kind)
+    return F.when(found.isNotNull(), F.struct(found["statement"].alias("statement"), found["confidence"].alias("confidence")))
+
+
+def grounded_with_links(answer: Column, contexts: Column, kind: str, settings: Settings = DEFAULTS) -> Column:
+    """struct<statement, links, confidence> of one kind, if its verdict is present and its quote stands in a context and states availability.
+
+    Links are those of the answer that are accepted, fused ones cut; without any, those of the quote."""
     part = answer[kind]
-    quote = F.trim(F.regexp_replace(none_to_null(part["raw_quote"]), r"\s+", " "))
-    there = F.exists(contexts, lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")).contains(quote))
+    quote = U.canonical(T.repair_spacing(F.trim(none_to_null(part["raw_quote"]))))
+    there = F.exists(contexts, lambda c: T.collapse(U.canonical(c)).contains(T.collapse(U.canonical(quote))))
     ok = (F.lower(part["verdict"]) == "present") & there & R.states_availability(quote, kind)
-    statement = F.coalesce(none_to_null(part["clean_statement"]), quote)
-    return F.when(ok, F.struct(statement.alias("statement"), R.confidence(part["confidence"]).alias("confidence")))
+    statement = U.canonical(T.repair_spacing(F.trim(F.coalesce(none_to_null(part["clean_statement"]), quote))))
+    given = F.flatten(F.transform(F.coalesce(part["links"], F.array().cast("array<string>")), lambda u: F.split(u, "(?=https?://)")))
+    said = U.accepted(given, kind, settings)
+    links = F.when(F.size(said) > 0, said).otherwise(U.links(U.canonical(quote), kind, settings))
+    return F.when(ok, F.struct(statement.alias("statement"), links.alias("links"), R.confidence(_number(part["confidence"])).alias("confidence")))

@@ -14,6 +14,7 @@ from scholarlake.functions import doi as D
 from scholarlake.functions import records as R
 from scholarlake.functions import text as T
 from scholarlake.functions import urls as U
+from scholarlake.operators import answers as A
 
 
 def _in_order(*columns: str):
@@ -101,30 +102,45 @@ def _by_kind(fn) -> Column:
 
 
 def statements(grouped: DataFrame) -> DataFrame:
-    """grouped_contexts() with statement and confidence: from the best context with a trimmed statement, else from the best
-    context if it states availability as a whole, else null."""
-    first = F.get("contexts", F.lit(0))
+    """grouped_contexts() with cleaned contexts (their URLs in canonical form), statement and confidence: the first
+    trimmed statement of a context, in rank order, else the best context if it states availability as a whole, else null."""
+    clean = F.transform("contexts", lambda c: F.struct(c["points"].alias("points"), c["source"].alias("source"), c["idx"].alias("idx"), U.canonical(c["text"]).alias("text")))
+    grouped = grouped.withColumn("contexts", clean)
     sure = _by_kind(lambda k: F.get(F.filter(F.transform("contexts", lambda c: F.struct(_trimmed(c["text"], k).alias("text"), c["points"].alias("points"))), lambda x: x["text"].isNotNull()), F.lit(0)))
-    rows = grouped.withColumn("sure", sure).withColumn("weak", F.when(F.col("sure").isNull() & _by_kind(lambda k: R.states_availability(first["text"], k)), first))
+    first = F.get("contexts", F.lit(0))
+    whole = F.struct(U.canonical(T.repair_spacing(first["text"])).alias("text"), first["points"].alias("points"))
+    rows = grouped.withColumn("sure", sure).withColumn("whole", whole).withColumn("weak", F.when(F.col("sure").isNull() & _by_kind(lambda k: R.states_availability("whole.text", k)), F.col("whole")))
     confidence = F.when(F.col("sure").isNotNull(), F.least(F.lit(0.6), F.col("sure.points") / 80)).when(F.col("weak").isNotNull(), F.least(F.lit(0.4), F.col("weak.points") / 100))
-    statement = T.repair_spacing(F.coalesce("sure.text", "weak.text"))
-    return rows.withColumns({"statement": statement, "confidence": F.round(confidence, 6)}).drop("sure", "weak")
+    return rows.withColumns({"statement": F.coalesce("sure.text", "weak.text"), "confidence": F.round(confidence, 6)}).drop("sure", "weak", "whole")
 
 
-def with_links(grouped: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """grouped_contexts() with links: accepted links of the contexts in rank order, each once."""
-    text = U.glue_host(F.array_join(F.transform("contexts", lambda c: c["text"]), " "))
-    return grouped.withColumn("links", _by_kind(lambda k: U.links(text, k, settings)))
+def with_links(stated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """statements() with links: the accepted links of the statement in order, each once; none without a statement."""
+    found = _by_kind(lambda k: U.links(U.canonical("statement"), k, settings))
+    return stated.withColumn("links", F.coalesce(found, F.array().cast("array<string>")))
 
 
 def paper_links(grouped: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """doc_id, kind, pos, url."""
-    return with_links(grouped, settings).select("doc_id", "kind", F.posexplode("links").alias("pos", "url"))
+    return with_links(statements(grouped), settings).select("doc_id", "kind", F.posexplode("links").alias("pos", "url"))
+
+
+def with_answers(found: DataFrame, replies: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """with_links() where a language model's reply (doc_id, reply) that is grounded in the contexts takes the place of the fallback.
+
+    Without a reply, or with one that is not JSON, absent, not quoted from a context or not about availability, the fallback stays."""
+    rows = found.join(replies.select("doc_id", A.parse_answer("reply").alias("answer")), "doc_id", "left")
+    texts = F.transform("contexts", lambda c: c["text"])
+    rows = rows.withColumn("said", _by_kind(lambda k: A.grounded_with_links(F.col("answer"), texts, k, settings)))
+    pick = lambda c: F.when(F.col("said").isNotNull(), F.col(f"said.{c}")).otherwise(F.col(c))
+    return rows.withColumns({"statement": pick("statement"), "links": pick("links"), "confidence": pick("confidence"), "fallback": F.col("said").isNull()}).drop("said", "answer")
 
 
-def availability(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """doc_id, kind, statement, confidence, links (array), status."""
-    rows = statements(with_links(grouped_contexts(segment(blocks), settings), settings))
+def availability(blocks: DataFrame, settings: Settings = DEFAULTS, replies: DataFrame | None = None) -> DataFrame:
+    """doc_id, kind, statement, confidence, links (array), status; from the contexts, or from replies (doc_id, reply) where they hold."""
+    rows = with_links(statements(grouped_contexts(segment(blocks), settings)), settings)
+    if replies is not None:
+        rows = with_answers(rows, replies, settings)
     status = _by_kind(lambda k: R.availability_status("statement", F.size("links"), k))
     return rows.select("doc_id", "kind", "statement", "confidence", "links", status.alias("status"))
 
@@ -201,20 +217,46 @@ def resolved_title(blocks: DataFrame) -> DataFrame:
 # --- registry
 
 
-def best_registry_match(titles: DataFrame, registry: DataFrame, preferred: str = "crossref", most: int = 50) -> DataFrame:
-    """doc_id, doi, similarity, source: the registry's most similar title.
+def best_registry_match(titles: DataFrame, registry: DataFrame, preferred: str = "crossref", least: float = 0.4, rare: int = 50) -> DataFrame:
+    """doc_id, doi, similarity, source: the registry's most similar title by tokens, if its similarity is at least `least`.
 
-    Hits are titles that share a token which at most `most` registry titles hold, as a search engine's few hits would;
-    so rows grow with titles times `most`, not with all pairs.
+    Exact in two ways that meet. Entries that share a token which at most `rare` registry titles hold are compared one by one. For all others only
+    an entry's frequent tokens and the number of its tokens count, so entries and titles that agree in these are one
+    profile, represented by its preferred entry; profiles meet by the first of their frequent tokens, rarest first, of which
+    a match shares one. An entry of a profile that shares a rare token as well is found better by the first way.
     """
-    entries = registry.select(D.doi_key("doi").alias("doi"), "source", T.tokens("title").alias("r"))
-    tokens = entries.select("doi", F.explode("r").alias("token"))
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("token")
-    mine = titles.select("doc_id", T.tokens("title").alias("t"))
-    hits = mine.select("doc_id", F.explode("t").alias("token")).join(tokens.join(rare, "token"), "token").select("doc_id", "doi").distinct()
-    scored = hits.join(mine, "doc_id").join(entries, "doi").withColumn("similarity", T.jaccard(F.col("t"), F.col("r")))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), F.desc(F.col("source") == preferred), "doi")
-    return scored.where("similarity > 0").withColumn("n", F.row_number().over(order)).where("n = 1").select("doc_id", "doi", "similarity", "source")
+    entries = registry.select(D.doi_key("doi").alias("doi"), "source", T.tokens("title").alias("tokens")).distinct()
+    counts = entries.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    mine = titles.select("doc_id", T.tokens("title").alias("tokens"))
+    rank = lambda doi, source: (F.coalesce(source != preferred, F.lit(True)).alias("other"), doi.alias("doi"), source.alias("source"))
+
+    some = entries.select("doi", "source", F.col("tokens").alias("r"), F.explode("tokens").alias("token")).join(counts.where(F.col("held") <= rare).select("token"), "token")
+    shared = mine.select("doc_id", F.col("tokens").alias("t"), F.explode("tokens").alias("token")).join(some, "token")
+    near = shared.select("doc_id", T.jaccard(F.col("t"), F.col("r")).alias("similarity"), *rank(F.col("doi"), F.col("source"))).where(F.col("similarity") >= least)
+
+    common = counts.where(F.col("held") > rare)
+
+    def profiled(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """rows with common (frequent tokens, rarest first) and size (all tokens)."""
+        held = rows.select(*keys, F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(common, "token")
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("held", "token"))), lambda x: x["token"])
+        return held.groupBy(*keys, "size").agg(in_order.alias("common"))
+
+    def keyed(profiles: DataFrame) -> DataFrame:
+        first = F.size("common") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1
+        return profiles.where(first > 0).withColumn("token", F.explode(F.slice("common", F.lit(1), first)))
+
+    sets = profiled(mine, ["doc_id"])
+    ours = keyed(sets.select("common", "size").distinct()).select("token", "common", "size")
+    theirs = profiled(entries.select("doi", "source", "tokens"), ["doi", "source"]).groupBy("common", "size").agg(F.min(F.struct(*rank(F.col("doi"), F.col("source")))).alias("best"))
+    theirs = keyed(theirs).select("token", F.col("common").alias("r_common"), F.col("size").alias("r_size"), "best")
+    both = F.size(F.array_intersect("common", "r_common"))
+    pairs = ours.join(theirs, "token").withColumn("similarity", both / (F.col("size") + F.col("r_size") - both)).where(F.col("similarity") >= least)
+    far = pairs.groupBy("common", "size").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "best")).alias("m"))
+    far = sets.join(far, ["common", "size"]).select("doc_id", (-F.col("m.minus")).alias("similarity"), "m.best.other", "m.best.doi", "m.best.source")
+
+    best = near.unionByName(far).groupBy("doc_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "other", "doi", "source")).alias("m"))
+    return best.select("doc_id", "m.doi", (-F.col("m.minus")).alias("similarity"), "m.source")
 
 
 def verify_doi(best: DataFrame, titles: DataFrame, registry: DataFrame) -> DataFrame:

@@ -110,14 +110,29 @@ def repair_spacing(x: str) -> str:
     return rf"regexp_replace(regexp_replace(replace({x}, ' - ', '-'), '\s+', ' ', 'g'), '\s+([,.:])', '\1', 'g')"
 
 
+def canonical(x: str) -> str:
+    x = f"regexp_replace({x}, '[\u200b\u200c\u200d\u00ad\ufeff]', '', 'g')"
+    x = rf"regexp_replace({x}, '(?i)https?://\s*urlde\s*fense\s*\.\s*com\s*/\s*v3\s*/\s*__\s*/?', '', 'g')"
+    x = rf"regexp_replace({x}, '(__\s*;?\s*!!\s*[A-Za-z0-9!$\-_\s+/=]+?)(\s+(?:and|the|on|at|in|from|or|to|is|are)\b|$)', '\2', 'g')"
+    for name in ("zenodo", "dryad", "github", "gitlab", "osf"):
+        spaced = r"\s*".join(name)
+        x = rf"regexp_replace({x}, '(?i)(https?://(?:www\.)?){spaced}\s*\.\s*(org|com|io)', '\1{name}.\2', 'g')"
+    for _ in range(10):
+        x = rf"regexp_replace({x}, '(https?://\S*[=\-_])\s+(\S)', '\1\2', 'g')"
+        x = rf"regexp_replace({x}, '(https?://\S+)\s+([/?\-_=.]|\S[^/?\-_=.]{{0,11}}[/?\-_=.])', '\1\2', 'g')"
+    return x
+
+
 STATEMENTS = (
     CONTEXTS
     + f""",
+clean AS (SELECT * REPLACE ({canonical("text")} AS text) FROM ctx),
+top AS (SELECT doc_id, kind, {canonical(repair_spacing("text"))} AS whole_text FROM clean WHERE rank = 1),
 cut AS (SELECT *, CASE kind WHEN 'data' THEN {_first("data")} ELSE {_first("code")} END AS trimmed,
- rank = 1 AND CASE kind WHEN 'data' THEN {states("text", "data")} ELSE {states("text", "code")} END AS whole FROM (SELECT *, {_S} AS s FROM ctx)),
+ rank = 1 AND CASE kind WHEN 'data' THEN {states("whole_text", "data")} ELSE {states("whole_text", "code")} END AS whole FROM (SELECT *, {_S} AS s FROM clean JOIN top USING (doc_id, kind))),
 picked AS (SELECT doc_id, kind, min_by(trimmed, rank) FILTER (trimmed IS NOT NULL) AS a, min_by(points, rank) FILTER (trimmed IS NOT NULL) AS pa,
- min_by(text, rank) FILTER (whole) AS b, min_by(points, rank) FILTER (whole) AS pb FROM cut GROUP BY doc_id, kind),
-stmt AS (SELECT doc_id, kind, {repair_spacing("coalesce(a, b)")} AS statement, round(CASE WHEN a IS NOT NULL THEN least(0.6, pa / 80) WHEN b IS NOT NULL THEN least(0.4, pb / 100) END, 6) AS confidence FROM picked)"""
+ min_by(whole_text, rank) FILTER (whole) AS b, min_by(points, rank) FILTER (whole) AS pb FROM cut GROUP BY doc_id, kind),
+stmt AS (SELECT doc_id, kind, coalesce(a, b) AS statement, round(CASE WHEN a IS NOT NULL THEN least(0.6, pa / 80) WHEN b IS NOT NULL THEN least(0.4, pb / 100) END, 6) AS confidence FROM picked)"""
 )
 
 
@@ -137,7 +152,7 @@ def clean_link(x: str) -> str:
 LINKS = (
     STATEMENTS
     + rf""",
-l0 AS (SELECT doc_id, kind, regexp_replace(string_agg(text, ' ' ORDER BY rank), '(https?://[a-z]+)\s+([a-z]+\.(?:org|com|io))', '\1\2', 'g') AS text FROM ctx GROUP BY doc_id, kind),
+l0 AS (SELECT doc_id, kind, {canonical("statement")} AS text FROM stmt WHERE statement IS NOT NULL),
 l1 AS (SELECT doc_id, kind, list_filter(flatten(list_transform(regexp_extract_all(text, '(https?://[^\s)]+)', 1), lambda u: string_split(regexp_replace(u, '(https?://)', chr(1) || '\1', 'g'), chr(1)))), lambda u: u <> '') AS l FROM l0),
 l2 AS (SELECT doc_id, kind, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS raw FROM l1),
 l3 AS (SELECT doc_id, kind, i, {clean_link("raw")} AS url FROM l2),
@@ -166,12 +181,8 @@ _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, ''))
 _MATCH = f"""
 mine AS (SELECT doc_id, title, {_TOKENS.format("title")} AS t FROM titles),
 entries AS (SELECT lower(trim(doi)) AS doi, title AS record_title, source, {_TOKENS.format("title")} AS r FROM registry_view),
-etok AS (SELECT doi, unnest(r) AS token FROM entries),
-rare AS (SELECT token FROM etok GROUP BY token HAVING count(*) <= 50),
-mtok AS (SELECT doc_id, unnest(t) AS token FROM mine),
-hits AS (SELECT DISTINCT m.doc_id, e.doi FROM mtok m JOIN rare USING (token) JOIN etok e USING (token)),
-sims AS (SELECT h.doc_id, h.doi, e.source, len(list_intersect(m.t, e.r)) / len(list_distinct(list_concat(m.t, e.r))) AS similarity FROM hits h JOIN mine m USING (doc_id) JOIN entries e USING (doi)),
-matched AS (SELECT doc_id, doi, similarity, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, source = 'crossref' DESC, doi) AS n FROM sims WHERE similarity > 0) WHERE n = 1)"""
+sims AS (SELECT m.doc_id, e.doi, e.source, len(list_intersect(m.t, e.r)) / len(list_distinct(list_concat(m.t, e.r))) AS similarity FROM mine m, entries e WHERE len(m.t) > 0 AND len(e.r) > 0),
+matched AS (SELECT doc_id, doi, similarity, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, source = 'crossref' DESC, doi) AS n FROM sims WHERE similarity >= 0.4) WHERE n = 1)"""
 _TITLES = "titles AS (SELECT doc_id, text AS title FROM papers_view WHERE seq = 1)"
 _VERIFY = f"""
 own AS (SELECT t.doc_id, b.doi, b.confidence, e.record_title, m.doi AS found, coalesce(m.similarity, 0) AS sim,
@@ -283,7 +294,7 @@ WITH {_LAYOUT}, p0 AS (SELECT page_id, col, line, min(top) AS top, arg_max(botto
 p1 AS (SELECT *, CASE WHEN top - lag(bottom) OVER (PARTITION BY page_id, col ORDER BY line) > 12 THEN 1 ELSE 0 END AS opens FROM p0),
 p2 AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY page_id, col ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM p1)
 SELECT page_id, col, paragraph, count(*) AS lines, CAST(sum(words) AS BIGINT) AS words FROM p2 GROUP BY page_id, col, paragraph""",
-    "llm_response_parse": "SELECT doc_id, CASE WHEN k IN (0, 2) THEN text END AS statement, CAST(CASE WHEN k IN (0, 2) THEN 0.9 END AS DOUBLE) AS confidence FROM papers_view WHERE seq = 5",
+    "llm_response_parse": f"SELECT doc_id, CASE WHEN k IN (0, 2) THEN {canonical(repair_spacing('text'))} END AS statement, CAST(CASE WHEN k IN (0, 2) THEN 0.9 END AS DOUBLE) AS confidence FROM papers_view WHERE seq = 5",
     "list_jobs_newest": "SELECT job_id, user_id, status, created_at FROM jobs_view ORDER BY created_at DESC, job_id DESC LIMIT 100",
     "list_user_jobs": "SELECT job_id, user_id, status, created_at FROM jobs_view WHERE user_id = 7 ORDER BY created_at DESC, job_id DESC LIMIT 100",
     "list_pending": "SELECT job_id, user_id, status, created_at FROM jobs_view WHERE status = 'pending' ORDER BY created_at, job_id LIMIT 100",

@@ -255,7 +255,7 @@ def layout_paragraphs(spark, sf):
 @query
 def llm_response_parse(spark, sf):
     rows = _blocks(spark, sf).where("seq = 5")
-    part = F.struct(F.when(F.col("k").isin(0, 2), "present").otherwise("absent").alias("verdict"), F.col("text").alias("raw_quote"), F.col("text").alias("clean_statement"), F.lit("0.9").alias("confidence"))
+    part = F.struct(F.when(F.col("k").isin(0, 2), "present").otherwise("absent").alias("verdict"), F.col("text").alias("raw_quote"), F.col("text").alias("clean_statement"), F.lit(0.9).alias("confidence"))
     reply = F.concat(F.lit("Here it is: "), F.to_json(F.struct(part.alias("data"))), F.lit(" Done."))
     found = answers.grounded(answers.parse_answer(reply), F.array("text"), "data")
     return rows.select("doc_id", found.alias("f")).select("doc_id", "f.statement", "f.confidence")
