@@ -96,6 +96,12 @@ def percent(current: Column, total: Column) -> Column:
     return F.when(total > 0, F.bround(current / total * 100, 0)).otherwise(0).cast("int")
 
 
+def serves_model(name: Column | str, required: str) -> Column:
+    """Whether a served model's name is the required one, with or without a tag."""
+    name = col(name)
+    return F.coalesce((name == required) | name.startswith(required + ":"), F.lit(False))
+
+
 def duration_text(ms: Column | str) -> Column:
     s = F.floor(col(ms) / 1000)
     return F.format_string("%dm %ds", F.floor(s / 60), s % 60)

@@ -139,6 +139,12 @@ def none_to_null(x: Column | str) -> Column:
     return F.when(~F.lower(F.trim(x)).isin("none", "not found", "n/a", "na", ""), x)
 
 
+def split_simple(x: Column | str) -> Column:
+    """Parts between blank lines, trimmed; any kind of line end."""
+    x = F.regexp_replace(F.regexp_replace(col(x), "\r\n?", "\n"), "\n{3,}", "\n\n")
+    return F.filter(F.transform(F.split(x, "\n\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
 def merge_headings(paragraphs: Column | str) -> Column:
     """A paragraph under 80 characters that ends with a colon takes the next one; one that was taken takes none."""
 

@@ -102,15 +102,39 @@ def claim_next(docs: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
 
 def cancel(docs: DataFrame, job_ids: DataFrame) -> DataFrame:
     """docs with unfinished documents of the given jobs set to error."""
-    marked = docs.join(job_ids.select("job_id").distinct().withColumn("hit", F.lit(True)), "job_id", "left")
-    stop = F.col("hit") & F.col("status").isin(*OPEN_OR_UPLOADED)
-    return marked.withColumn("error", F.when(stop, CANCELLED)).withColumn("status", F.when(stop, "error").otherwise(F.col("status"))).drop("hit")
+    return _cancelled(docs, job_ids, F.col("status").isin(*OPEN_OR_UPLOADED))
 
 
-def rerun(docs: DataFrame, jobs: DataFrame, job_ids: DataFrame, offset: int) -> DataFrame:
-    """Copies of finished jobs' documents for new jobs: queued again, without results."""
-    done = jobs.where(F.col("status").isin(*FINISHED)).join(job_ids, "job_id", "left_semi").select("job_id")
-    return docs.join(done, "job_id", "left_semi").select((F.col("job_id") + offset).alias("job_id"), F.concat(F.col("doc_id"), F.lit("-r")).alias("doc_id"), "filename", "size_bytes", F.lit("queued").alias("status"))
+def cancel_jobs(jobs: DataFrame, job_ids: DataFrame) -> DataFrame:
+    """jobs with the given ones set to error."""
+    return _cancelled(jobs, job_ids, F.lit(True))
+
+
+def _cancelled(rows: DataFrame, job_ids: DataFrame, stoppable: Column) -> DataFrame:
+    """Earlier errors of other rows stay."""
+    marked = rows.join(job_ids.select("job_id").distinct().withColumn("hit", F.lit(True)), "job_id", "left")
+    stop = F.coalesce(F.col("hit") & stoppable, F.lit(False))
+    before = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    return marked.withColumn("error", F.when(stop, CANCELLED).otherwise(before)).withColumn("status", F.when(stop, "error").otherwise(F.col("status"))).drop("hit")
+
+
+def _finished(jobs: DataFrame, job_ids: DataFrame) -> DataFrame:
+    return jobs.where(F.col("status").isin(*FINISHED)).join(job_ids, "job_id", "left_semi")
+
+
+def rerun(docs: DataFrame, jobs: DataFrame, job_ids: DataFrame, offset: int, suffix: str = "-r") -> DataFrame:
+    """Copies of finished jobs' documents for new jobs (id + offset): queued again, without results. A second rerun of
+    the same job takes another offset and suffix."""
+    done = _finished(jobs, job_ids).select("job_id")
+    return docs.join(done, "job_id", "left_semi").select((F.col("job_id") + offset).alias("job_id"), F.concat(F.col("doc_id"), F.lit(suffix)).alias("doc_id"), "filename", "size_bytes", F.lit("queued").alias("status"))
+
+
+def rerun_jobs(jobs: DataFrame, docs: DataFrame, job_ids: DataFrame, offset: int, now) -> DataFrame:
+    """The new jobs of rerun(): pending, created now, with the number of their documents; none for jobs without documents."""
+    total = docs.join(job_ids, "job_id", "left_semi").groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    return _finished(jobs, job_ids).join(total, "job_id").select(
+        (F.col("job_id") + offset).alias("job_id"), F.col("job_id").alias("original_job_id"), "user_id", F.lit("pending").alias("status"), F.lit(now).cast("timestamp").alias("created_at"), "total"
+    )
 
 
 def delete_jobs(rows: DataFrame, job_ids: DataFrame) -> DataFrame:
@@ -162,9 +186,57 @@ def log_rollup(jobs: DataFrame, logs: DataFrame, tail: int = 5) -> DataFrame:
     return rows.select("job_id", "job_error_field", zero("total_logs"), zero("error_logs_count"), "first_error", "last_phase", F.coalesce("error_log_tail", F.array().cast("array<bigint>")).alias("error_log_tail"))
 
 
+def op_sequence(logs: DataFrame) -> DataFrame:
+    """job_id, pos, op: each job's operations in order, a row each, since a job's log may be long."""
+    return logs.select("job_id", (F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "log_id")) - 1).cast("long").alias("pos"), "op")
+
+
+def log_download(jobs: DataFrame, logs: DataFrame, descending: bool = False, page: int = 1000) -> DataFrame:
+    """job_id, ts, log_id, value: the NDJSON lines of each job, to be written in order of (ts, log_id); descending, the
+    last page alone. A job without logs has one line that says so."""
+    rows = logs.join(jobs.select("job_id"), "job_id", "left_semi")
+    if descending:
+        place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("log_id")))
+        rows = rows.withColumn("place", place).where(F.col("place") <= page).drop("place")
+    lines = rows.select("job_id", "ts", "log_id", F.to_json(F.struct(*logs.columns)).alias("value"))
+    none = jobs.select("job_id").join(logs.select("job_id"), "job_id", "left_anti")
+    said = F.to_json(F.struct(F.col("job_id").cast("string").alias("job_id"), F.lit("no logs available").alias("info")))
+    return lines.unionByName(none.select("job_id", said.alias("value")), allowMissingColumns=True)
+
+
+def listing(jobs: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """jobs with duration_ms and, if pending, queue_position; for an admin, who passes users (user_id, email), also created_by."""
+    rows = jobs.join(queue_positions(jobs).select("job_id", "queue_position"), "job_id", "left")
+    rows = rows.withColumn("duration_ms", duration_ms(F.col("started_at"), F.col("finished_at")))
+    if users is None:
+        return rows
+    return rows.join(users.select("user_id", "email"), "user_id", "left").withColumn("created_by", F.struct("user_id", "email")).drop("email")
+
+
 # --- rollups and exports
 
 
+def all_checks(*checks: Column) -> Column:
+    """Whether there are checks and every one is true."""
+    out = F.lit(bool(checks))
+    for check in checks:
+        out = out & F.coalesce(check, F.lit(False))
+    return out
+
+
+def workflow_report(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """runs (success, duration_ms, accurate) by the given columns: counts, rates in percent, durations of the successful ones."""
+    good = F.coalesce(F.col("success"), F.lit(False))
+    accurate = F.count_if(good & F.coalesce(F.col("accurate"), F.lit(False)))
+    ms = F.when(good, F.col("duration_ms"))
+    share = lambda n, of: F.round(n * 100 / F.nullif(of, F.lit(0)), 1)
+    total, done = F.count(F.lit(1)), F.count_if(good)
+    return runs.groupBy(*by).agg(
+        total.alias("total"), done.alias("successful"), (total - done).alias("failed"), share(done, total).alias("success_rate"),
+        F.round(F.avg(ms), 3).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), accurate.alias("accurate"), share(accurate, done).alias("accuracy_rate"),
+    )
+
+
 def quality_rollup(docs: DataFrame) -> DataFrame:
     """Counts, missing fields and confidence quartiles (the value at floor(q * (n - 1)) of the sorted list) of each job."""
     done = F.col("status") == "done"
@@ -181,6 +253,9 @@ def quality_rollup(docs: DataFrame) -> DataFrame:
         F.count_if(done & (F.col("n_code_links") == 0)).alias("empty_code_links"),
         F.round(F.avg(F.when(done, F.col("confidence"))), 6).alias("confidence_mean"),
     )
+    if "error" in docs.columns:
+        place = F.when(F.col("error").isNotNull(), F.struct("created_at", "doc_id"))
+        sums = sums.join(docs.groupBy("job_id").agg(F.min_by("error", place).alias("sample_error")), "job_id")
     return sums.join(quartiles, "job_id", "left")
 
 
@@ -207,5 +282,25 @@ def export_records(records: DataFrame) -> DataFrame:
     return records.select(*(F.coalesce(held.get(c, F.lit(None).cast("string")), F.lit("")).alias(c) for c in EXPORT_COLUMNS))
 
 
+def export_documents(docs: DataFrame, records: DataFrame) -> DataFrame:
+    """The export of finished documents (job_id, doc_id, filename, status, error) with their paper_records(): job_id and the
+    export's columns in order; nulls are empty, links joined by `; `. A document without a record has its file and error."""
+    from scholarlake.config import EXPORT_COLUMNS
+
+    none = F.lit(None).cast("string")
+    rows = docs.where(F.col("status").isin(*FINISHED)).select("job_id", "doc_id", "filename", "error").join(records, "doc_id", "left")
+    file = F.coalesce(F.nullif(F.col("filename"), F.lit("")), F.lit("unknown.pdf"))
+    n = lambda c: F.greatest(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))), F.lit(0)).cast("string")
+    links = lambda c: F.array_join(F.col(c), "; ")
+    held = {
+        "source_file": file, "filename": R.basename(file), "title": F.col("title"), "title_source": F.when(F.col("title").isNotNull(), F.col("title_source")), "doi": F.col("doi"),
+        "doi_from_title_search": F.when(F.col("doi_from_title_search"), "true"),
+        "data_availability_statement": F.col("data_statement"), "code_availability_statement": F.col("code_statement"),
+        "data_sharing_license": F.col("data_license") if "data_license" in records.columns else none, "code_license": F.col("code_license") if "code_license" in records.columns else none,
+        "data_links_count": n("data_links"), "code_links_count": n("code_links"), "data_links": links("data_links"), "code_links": links("code_links"), "error": F.col("error"),
+    }
+    return rows.select("job_id", *(F.coalesce(held[c], F.lit("")).alias(c) for c in EXPORT_COLUMNS))
+
+
 def ndjson(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))

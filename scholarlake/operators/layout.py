@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarlake.functions import text as T
+
 LINE_STEP = 2.5
 PARAGRAPH_GAP = 12.0
 
@@ -49,6 +51,23 @@ def tokens(lines: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "col", "line", "token").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("words"))
 
 
+def line_text(lines: DataFrame) -> DataFrame:
+    """page_id, col, line, top, bottom, text: the words (with text) of each line from left to right, blank ones left out."""
+    words = F.sort_array(F.collect_list(F.struct("x0", "word_id", F.trim("text").alias("text"))))
+    joined = F.array_join(F.filter(F.transform(words, lambda w: w["text"]), lambda t: t != ""), " ")
+    return lines.groupBy("page_id", "col", "line").agg(F.min("top").alias("top"), F.max_by("bottom", F.struct("top", "x0", "word_id")).alias("bottom"), joined.alias("text"))
+
+
+def paragraph_text(lines: DataFrame, gap: float = PARAGRAPH_GAP) -> DataFrame:
+    """page_id, col, pos, text: paragraphs of words with text, by column; broken URLs and short headings take what follows them."""
+    order = Window.partitionBy("page_id", "col").orderBy("line")
+    rows = line_text(lines).withColumn("opens", F.when(F.col("top") - F.lag("bottom").over(order) > gap, 1).otherwise(0))
+    rows = rows.withColumn("paragraph", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("text <> ''")
+    per = rows.groupBy("page_id", "col", "paragraph").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
+    held = per.groupBy("page_id", "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]).alias("texts"))
+    return held.select("page_id", "col", F.posexplode(T.merge_headings(T.merge_broken_urls("texts"))).alias("pos", "text"))
+
+
 def paragraphs(lines: DataFrame, gap: float = PARAGRAPH_GAP) -> DataFrame:
     """page_id, col, paragraph, lines, words: a new paragraph where a line starts more than `gap` under the last word of the line before."""
     per = lines.groupBy("page_id", "col", "line").agg(F.min("top").alias("top"), F.max_by("bottom", F.struct("top", "x0", "word_id")).alias("bottom"), F.count(F.lit(1)).alias("words"))

@@ -148,17 +148,32 @@ def availability(blocks: DataFrame, settings: Settings = DEFAULTS, replies: Data
 # --- DOIs
 
 
-def front_text(blocks: DataFrame, chars: int = DEFAULTS.front_chars) -> DataFrame:
+def whole_text(blocks: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "col", "seq", "text"))), lambda b: b["text"]), "\n")
-    return blocks.groupBy("doc_id").agg(joined.alias("text")).select("doc_id", D.front_matter("text", chars).alias("text"))
+    return blocks.groupBy("doc_id").agg(joined.alias("text"))
 
 
 def doi_candidates(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """doc_id, ordinal, doi, score: article DOI candidates of the front matter."""
-    rows = front_text(blocks, settings.front_chars).select("doc_id", "text", F.posexplode(D.candidates("text", settings.dataset_prefixes)).alias("ordinal", "doi"))
+    """doc_id, ordinal, doi, score: article DOI candidates of the front matter; without any there, of the whole text."""
+    parts = F.array(D.front_matter("text", settings.front_chars), F.col("text"))
+    found = F.filter(F.transform(parts, lambda x: D.candidates(x, settings.dataset_prefixes)), lambda c: F.size(c) > 0)
+    rows = whole_text(blocks).select("doc_id", "text", F.posexplode(F.get(found, F.lit(0))).alias("ordinal", "doi"))
     return rows.select("doc_id", "ordinal", "doi", D.score("text", "doi").alias("score"))
 
 
+def complete_dois(best: DataFrame, blocks: DataFrame, replies: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """best_doi() with papers that it has none for: a model's DOI (replies: doc_id, doi_reply) if it stands in the text (0.5),
+    else the first DOI of the text that is no dataset's (0.45)."""
+    rows = whole_text(blocks).withColumn("swept", D.first_doi("text"))  # a column of its own: expressions that use it stay small
+    rows = rows.withColumn("swept", F.when(~D.is_dataset("swept", settings.dataset_prefixes), F.col("swept"))).join(best, "doc_id", "left")
+    if replies is not None:
+        rows = rows.join(replies.select("doc_id", D.validate_doi("doi_reply").alias("said")), "doc_id", "left").withColumn("said", F.when(F.contains("text", "said"), F.col("said")))
+    else:
+        rows = rows.withColumn("said", F.lit(None).cast("string"))
+    sure = F.when(F.col("doi").isNotNull(), F.col("confidence")).when(F.col("said").isNotNull(), 0.5).when(F.col("swept").isNotNull(), 0.45)
+    return rows.select("doc_id", F.coalesce("doi", "said", "swept").alias("doi"), sure.alias("confidence")).where("doi IS NOT NULL")
+
+
 def best_doi(candidates: DataFrame) -> DataFrame:
     """doc_id, doi, confidence: the highest score, the earliest among equals."""
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal"))
@@ -272,14 +287,20 @@ def verify_doi(best: DataFrame, titles: DataFrame, registry: DataFrame) -> DataF
 # --- records
 
 
-def paper_records(blocks: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row a paper: title, DOI, statements, status, links, confidences, warnings."""
+def paper_records(blocks: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS, replies: DataFrame | None = None) -> DataFrame:
+    """One row a paper: title, DOI, statements, status, links, licenses, confidences, warnings.
+
+    replies: doc_id and a language model's reply, doi_reply, data_license and code_license, each of which may be null."""
     titles = resolved_title(blocks).withColumnRenamed("confidence", "title_confidence")
-    dois = verify_doi(best_doi(doi_candidates(blocks, settings)), titles.select("doc_id", "title"), registry).withColumnRenamed("confidence", "doi_confidence")
-    kinds = availability(blocks, settings).groupBy("doc_id").agg(
+    dois = verify_doi(complete_dois(best_doi(doi_candidates(blocks, settings)), blocks, replies, settings), titles.select("doc_id", "title"), registry).withColumnRenamed("confidence", "doi_confidence")
+    kinds = availability(blocks, settings, replies).groupBy("doc_id").agg(
         *(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("data", "code") for c in ("statement", "status", "confidence", "links"))
     )
-    none = F.lit(None).cast("string")
+    for k in ("data", "code"):
+        kinds = kinds.withColumn(f"{k}_license", F.lit(None).cast("string"))
+    if replies is not None:
+        answer = lambda k: R.normalize_license(R.license_answer(T.none_to_null(f"{k}_license"))).alias(f"{k}_license")
+        kinds = kinds.drop("data_license", "code_license").join(replies.select("doc_id", answer("data"), answer("code")), "doc_id", "left")
     scores = F.create_map(*(x for c in ("title", "doi", "data", "code") for x in (F.lit(c), F.col(f"{c}_confidence"))))
     return titles.join(dois, "doc_id").join(kinds, "doc_id", "left").select(
         "doc_id",
@@ -290,6 +311,8 @@ def paper_records(blocks: DataFrame, registry: DataFrame, settings: Settings = D
         *(f"{k}_{c}" for k in ("data", "code") for c in ("statement", "status")),
         F.coalesce("data_links", F.array().cast("array<string>")).alias("data_links"),
         F.coalesce("code_links", F.array().cast("array<string>")).alias("code_links"),
+        "data_license",
+        "code_license",
         F.map_filter(scores, lambda k, v: v.isNotNull()).alias("confidences"),
-        R.quality_warnings("data_statement", "code_statement", F.coalesce(F.size("data_links"), F.lit(0)), F.coalesce(F.size("code_links"), F.lit(0)), none, none).alias("warnings"),
+        R.quality_warnings("data_statement", "code_statement", F.coalesce(F.size("data_links"), F.lit(0)), F.coalesce(F.size("code_links"), F.lit(0)), "data_license", "code_license").alias("warnings"),
     )

@@ -53,11 +53,11 @@ def doi_of(table: str, raw: str, keep: str) -> str:
 CAND = r'(?i)(?:doi:\s*)?(?:https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/[^\s"<>]+)'
 DOIS = rf"""
 joined AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, col, seq) AS text FROM papers_view GROUP BY doc_id),
-front AS (SELECT doc_id, substr(regexp_replace(text, '(?ims)^\s*(?:references|bibliography)\b.*', ''), 1, 20000) AS text FROM joined),
-raws AS (SELECT doc_id, text, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS raw FROM (SELECT *, regexp_extract_all(text, '{CAND}', 1) AS l FROM front)),
-valid AS ({doi_of("raws", "raw", "doc_id, text, i")}),
-kept AS (SELECT doc_id, text, doi, min(i) AS i FROM valid WHERE doi IS NOT NULL AND NOT ({" OR ".join(f"starts_with(doi, '{p}/')" for p in DATASET_PREFIXES)}) GROUP BY ALL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal, instr(text, doi) AS ix FROM kept),
+front AS (SELECT doc_id, text, 0 AS f, substr(regexp_replace(text, '(?ims)^\s*(?:references|bibliography)\b.*', ''), 1, 20000) AS part FROM joined UNION ALL SELECT doc_id, text, 1, text FROM joined),
+raws AS (SELECT doc_id, text, f, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS raw FROM (SELECT *, regexp_extract_all(part, '{CAND}', 1) AS l FROM front)),
+valid AS ({doi_of("raws", "raw", "doc_id, text, f, i")}),
+kept AS (SELECT doc_id, text, f, doi, min(i) AS i FROM valid WHERE doi IS NOT NULL AND NOT ({" OR ".join(f"starts_with(doi, '{p}/')" for p in DATASET_PREFIXES)}) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal, instr(text, doi) AS ix FROM (SELECT * FROM kept QUALIFY f = min(f) OVER (PARTITION BY doc_id))),
 around AS (SELECT *, substr(text, greatest(1, ix - 30), least(30, ix - 1)) AS before FROM placed),
 candidates AS (SELECT doc_id, ordinal, doi, CAST(round(CASE WHEN ix > 0 AND ix <= 5000 THEN 1.0 ELSE 0.6 END + CASE WHEN ix > 0 AND regexp_matches(before, '(?i)doi:\s*$') THEN 0.4 ELSE 0 END
  + CASE WHEN ix > 0 AND regexp_matches(before, '(?i)https?://(?:dx\.)?doi\.org/$') THEN 0.3 ELSE 0 END, 3) AS DOUBLE) AS score FROM around),
@@ -223,7 +223,7 @@ _PROGRESS = """
 per AS (SELECT job_id, count(*) AS total, count(*) FILTER (status IN ('done', 'error')) AS current, count(*) FILTER (status IN ('queued', 'processing')) AS remaining FROM docs_view GROUP BY job_id),
 prog AS (SELECT j.job_id, j.status, coalesce(total, 0) AS total, coalesce(current, 0) AS current, coalesce(remaining, 0) AS remaining,
  CAST(coalesce(CASE WHEN total > 0 THEN round_even(current / total * 100, 0) END, 0) AS INT) AS percent FROM jobs_view j LEFT JOIN per USING (job_id))"""
-_MULTI = "SELECT job_id FROM jobs_view WHERE user_id % 10 = 3"
+_OPEN, _FAILED, _DONE = ("SELECT job_id FROM jobs_view WHERE status IN " + x for x in ("('pending', 'running')", "('error')", "('done')"))
 
 SQL = {
     "validate_doi": f"SELECT doc_id, raw, doi FROM ({doi_of('(SELECT doc_id, text AS raw FROM papers_view WHERE seq = 2)', 'raw', 'doc_id, raw')})",
@@ -310,10 +310,25 @@ ORDER BY created_at, job_id LIMIT 1""",
     "job_detail": f"""
 WITH {_PROGRESS} SELECT p.job_id, p.status, p.total, p.current, p.percent, CAST(floor((epoch_us(j.finished_at) - epoch_us(j.started_at)) / 1000) AS BIGINT) AS duration_ms, j.error FROM prog p JOIN jobs_view j USING (job_id)""",
     "cancel_job": f"""
-SELECT doc_id, job_id, CASE WHEN hit THEN 'error' ELSE status END AS status, CASE WHEN hit THEN 'Cancelled by user' END AS error
-FROM (SELECT *, job_id IN ({_MULTI}) AND status IN ('queued', 'processing', 'uploaded') AS hit FROM docs_view)""",
-    "rerun_job": f"SELECT job_id + 100000000 AS job_id, doc_id || '-r' AS doc_id, filename, size_bytes, 'queued' AS status FROM docs_view WHERE job_id IN (SELECT job_id FROM jobs_view WHERE status IN ('done', 'error') AND job_id IN ({_MULTI}))",
-    "delete_job": f"SELECT doc_id, job_id FROM docs_view WHERE job_id NOT IN ({_MULTI})",
+SELECT doc_id, job_id, CASE WHEN hit THEN 'error' ELSE status END AS status, CASE WHEN hit THEN 'Cancelled by user' ELSE error END AS error
+FROM (SELECT *, job_id IN ({_OPEN}) AND status IN ('queued', 'processing', 'uploaded') AS hit FROM docs_view)""",
+    "rerun_job": f"SELECT job_id + 100000000 AS job_id, doc_id || '-r' AS doc_id, filename, size_bytes, 'queued' AS status FROM docs_view WHERE job_id IN (SELECT job_id FROM jobs_view WHERE status IN ('done', 'error') AND job_id IN ({_FAILED}))",
+    "delete_job": f"SELECT doc_id, job_id FROM docs_view WHERE job_id NOT IN ({_DONE})",
+    "cancel_job_rows": f"SELECT job_id, CASE WHEN hit THEN 'error' ELSE status END AS status, CASE WHEN hit THEN 'Cancelled by user' ELSE error END AS error FROM (SELECT *, job_id IN ({_OPEN}) AS hit FROM jobs_view)",
+    "rerun_job_rows": f"SELECT j.job_id + 100000000 AS job_id, j.job_id AS original_job_id, user_id, 'pending' AS status, TIMESTAMP '2024-06-01 00:00:00' AS created_at, total FROM jobs_view j JOIN (SELECT job_id, count(*) AS total FROM docs_view GROUP BY job_id) USING (job_id) WHERE status IN ('done', 'error') AND job_id IN ({_FAILED})",
+    "delete_job_rows": f"SELECT job_id, status FROM jobs_view WHERE job_id NOT IN ({_DONE})",
+    "job_op_sequence": "SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, log_id) - 1 AS pos, op FROM logs_view",
+    "log_download": "SELECT l.job_id, l.log_id, l.op, NULL AS info FROM logs_view l WHERE l.job_id IN (SELECT job_id FROM jobs_view) UNION ALL SELECT job_id, NULL, NULL, 'no logs available' FROM jobs_view WHERE job_id NOT IN (SELECT job_id FROM logs_view)",
+    "list_jobs_admin": """
+WITH q AS (SELECT job_id, rank() OVER (ORDER BY created_at) AS queue_position FROM jobs_view WHERE status = 'pending')
+SELECT j.job_id, j.status, j.user_id, c.c_name AS email, q.queue_position, CAST(floor((epoch_us(j.finished_at) - epoch_us(j.started_at)) / 1000) AS BIGINT) AS duration_ms
+FROM jobs_view j LEFT JOIN q USING (job_id) LEFT JOIN customer c ON c.c_custkey = j.user_id""",
+    "workflow_report": """
+WITH r AS (SELECT user_id, status = 'done' AS success, (epoch_us(finished_at) - epoch_us(started_at)) / 1000 AS ms, status = 'done' AND coalesce(t, false) AND coalesce(d, false) AS accurate
+ FROM jobs_view LEFT JOIN (SELECT job_id, bool_and(title IS NOT NULL) AS t, bool_and(doi IS NOT NULL) AS d FROM docs_view GROUP BY job_id) USING (job_id))
+SELECT user_id, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, round(count(*) FILTER (success) * 100 / count(*), 1) AS success_rate,
+ round(avg(ms) FILTER (success), 3) AS avg_ms, CAST(min(ms) FILTER (success) AS BIGINT) AS min_ms, CAST(max(ms) FILTER (success) AS BIGINT) AS max_ms,
+ count(*) FILTER (accurate) AS accurate, round(count(*) FILTER (accurate) * 100 / nullif(count(*) FILTER (success), 0), 1) AS accuracy_rate FROM r GROUP BY user_id""",
     "status_fold": "SELECT job_id, arg_max(op, (ts, log_id)) AS op, max(ts) AS at, count(*) AS events FROM logs_view GROUP BY job_id",
     "job_logs_page": "SELECT log_id, job_id, ts, op FROM logs_view WHERE (ts, log_id) > (TIMESTAMP '2024-01-10 00:00:00', 0) ORDER BY ts, log_id LIMIT 1000",
     "job_logs_page_desc": "SELECT log_id, job_id, ts, op FROM logs_view ORDER BY ts DESC, log_id DESC LIMIT 1000",
@@ -325,11 +340,25 @@ FROM jobs_view j LEFT JOIN s USING (job_id) LEFT JOIN t USING (job_id)""",
     "job_quality_rollup": """
 WITH q AS (SELECT job_id, list_sort(list(confidence) FILTER (status = 'done')) AS l, count(*) AS total_docs, count(*) FILTER (status = 'error') AS error_docs, count(*) FILTER (status = 'done') AS analyzed_docs,
  count(*) FILTER (status = 'done' AND title IS NULL) AS missing_title, count(*) FILTER (status = 'done' AND doi IS NULL) AS missing_doi,
- count(*) FILTER (status = 'done' AND n_data_links = 0) AS empty_data_links, count(*) FILTER (status = 'done' AND n_code_links = 0) AS empty_code_links, round(avg(confidence) FILTER (status = 'done'), 6) AS confidence_mean FROM docs_view GROUP BY job_id)
+ count(*) FILTER (status = 'done' AND n_data_links = 0) AS empty_data_links, count(*) FILTER (status = 'done' AND n_code_links = 0) AS empty_code_links, round(avg(confidence) FILTER (status = 'done'), 6) AS confidence_mean, arg_min(error, (created_at, doc_id)) FILTER (error IS NOT NULL) AS sample_error FROM docs_view GROUP BY job_id)
 SELECT * EXCLUDE (l), round(l[CAST(floor(0.25 * (len(l) - 1)) AS BIGINT) + 1], 6) AS confidence_p25, round(l[CAST(floor(0.75 * (len(l) - 1)) AS BIGINT) + 1], 6) AS confidence_p75 FROM q""",
     "export_csv_rows": """
 SELECT job_id, doc_id, split_part(filename, '/', -1) AS filename, coalesce(title, '') AS title, coalesce(doi, '') AS doi, n_data_links AS data_links_count, n_code_links AS code_links_count
 FROM docs_view d WHERE status IN ('done', 'error') AND EXISTS (SELECT 1 FROM jobs_view j WHERE j.job_id = d.job_id)""",
+    "export_documents": f"""
+WITH {STATUS}, {DOIS}, {_LINES}, titles AS (SELECT doc_id, title FROM title), {_MATCH}, {_VERIFY},
+per AS (SELECT doc_id, kind, max(statement) AS statement FROM stmt GROUP BY doc_id, kind),
+urls AS (SELECT doc_id, kind, count(*) AS n, string_agg(url, '; ' ORDER BY pos) AS l FROM links GROUP BY doc_id, kind),
+f AS (SELECT *, coalesce(filename, 'unknown.pdf') AS file FROM runs_view WHERE status IN ('done', 'error'))
+SELECT f.job_id, file AS source_file, split_part(file, '/', -1) AS filename, coalesce(t.title, '') AS title, CASE WHEN t.title IS NULL THEN '' ELSE 'heuristic' END AS title_source, coalesce(v.doi, '') AS doi,
+ CASE WHEN v.doi_from_title_search THEN 'true' ELSE '' END AS doi_from_title_search, coalesce(pd.statement, '') AS data_availability_statement, coalesce(pc.statement, '') AS code_availability_statement,
+ '' AS data_sharing_license, '' AS code_license, CAST(coalesce(ud.n, 0) AS VARCHAR) AS data_links_count, CAST(coalesce(uc.n, 0) AS VARCHAR) AS code_links_count, coalesce(ud.l, '') AS data_links, coalesce(uc.l, '') AS code_links, coalesce(f.error, '') AS error
+FROM f LEFT JOIN title t ON t.doc_id = f.doc_id LEFT JOIN verified v ON v.doc_id = f.doc_id LEFT JOIN per pd ON pd.doc_id = f.doc_id AND pd.kind = 'data' LEFT JOIN per pc ON pc.doc_id = f.doc_id AND pc.kind = 'code'
+ LEFT JOIN urls ud ON ud.doc_id = f.doc_id AND ud.kind = 'data' LEFT JOIN urls uc ON uc.doc_id = f.doc_id AND uc.kind = 'code'""",
+    "layout_line_text": f"WITH {_LAYOUT} SELECT page_id, col, line, coalesce(string_agg(trim(text), ' ' ORDER BY x0, word_id) FILTER (trim(text) <> ''), '') AS text FROM lines GROUP BY page_id, col, line",
+    "split_simple": r"""
+WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents)
+SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS text FROM a""",
     "logs_tumbling": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, op, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM logs_view GROUP BY 1, 2",
     "logs_session": """
 WITH o AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM logs_view),

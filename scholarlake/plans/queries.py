@@ -176,6 +176,11 @@ def dehyphenate_and_collapse(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.collapse(T.dehyphenate("text")).alias("text"))
 
 
+@query
+def split_simple(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_simple("text")).alias("pos", "text"))
+
+
 @query
 def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
@@ -252,6 +257,16 @@ def layout_paragraphs(spark, sf):
     return layout.paragraphs(_lines(spark, sf))
 
 
+@query
+def layout_line_text(spark, sf):
+    return layout.line_text(_lines(spark, sf)).select("page_id", "col", "line", "text")
+
+
+@query
+def layout_text(spark, sf):
+    return layout.paragraph_text(_lines(spark, sf))
+
+
 @query
 def llm_response_parse(spark, sf):
     rows = _blocks(spark, sf).where("seq = 5")
@@ -320,23 +335,63 @@ def job_detail(spark, sf):
     return jobs.job_detail(view(spark, sf, "jobs_view"), view(spark, sf, "docs_view"))
 
 
-def _chosen(spark, sf):
-    return view(spark, sf, "jobs_view").where("user_id % 10 = 3").select("job_id")
+def _in_state(spark, sf, *states):
+    return view(spark, sf, "jobs_view").where(F.col("status").isin(*states)).select("job_id")
 
 
 @query
 def cancel_job(spark, sf):
-    return jobs.cancel(view(spark, sf, "docs_view"), _chosen(spark, sf)).select("doc_id", "job_id", "status", "error")
+    return jobs.cancel(view(spark, sf, "docs_view"), _in_state(spark, sf, "pending", "running")).select("doc_id", "job_id", "status", "error")
 
 
 @query
 def rerun_job(spark, sf):
-    return jobs.rerun(view(spark, sf, "docs_view"), view(spark, sf, "jobs_view"), _chosen(spark, sf), 100_000_000)
+    return jobs.rerun(view(spark, sf, "docs_view"), view(spark, sf, "jobs_view"), _in_state(spark, sf, "error"), 100_000_000)
 
 
 @query
 def delete_job(spark, sf):
-    return jobs.delete_jobs(view(spark, sf, "docs_view"), _chosen(spark, sf)).select("doc_id", "job_id")
+    return jobs.delete_jobs(view(spark, sf, "docs_view"), _in_state(spark, sf, "done")).select("doc_id", "job_id")
+
+
+@query
+def cancel_job_rows(spark, sf):
+    return jobs.cancel_jobs(view(spark, sf, "jobs_view"), _in_state(spark, sf, "pending", "running")).select("job_id", "status", "error")
+
+
+@query
+def rerun_job_rows(spark, sf):
+    return jobs.rerun_jobs(view(spark, sf, "jobs_view"), view(spark, sf, "docs_view"), _in_state(spark, sf, "error"), 100_000_000, "2024-06-01 00:00:00")
+
+
+@query
+def delete_job_rows(spark, sf):
+    return jobs.delete_jobs(view(spark, sf, "jobs_view"), _in_state(spark, sf, "done")).select("job_id", "status")
+
+
+@query
+def job_op_sequence(spark, sf):
+    return jobs.op_sequence(view(spark, sf, "logs_view"))
+
+
+@query
+def log_download(spark, sf):
+    rows = jobs.log_download(view(spark, sf, "jobs_view"), view(spark, sf, "logs_view"))
+    return rows.select("job_id", "log_id", *(F.get_json_object("value", f"$.{c}").alias(c) for c in ("op", "info")))
+
+
+@query
+def list_jobs_admin(spark, sf):
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"))
+    return jobs.listing(view(spark, sf, "jobs_view"), users).select("job_id", "status", "user_id", "created_by.email", "queue_position", "duration_ms")
+
+
+@query
+def workflow_report(spark, sf):
+    whole = view(spark, sf, "docs_view").groupBy("job_id").agg(F.bool_and(F.col("title").isNotNull()).alias("t"), F.bool_and(F.col("doi").isNotNull()).alias("d"))
+    rows = view(spark, sf, "jobs_view").join(whole, "job_id", "left")
+    ms = jobs.duration_ms(F.col("started_at"), F.col("finished_at"))
+    return jobs.workflow_report(rows.select("user_id", (F.col("status") == "done").alias("success"), ms.alias("duration_ms"), jobs.all_checks(F.col("t"), F.col("d")).alias("accurate")), ("user_id",))
 
 
 @query
@@ -400,3 +455,8 @@ def paper_record(spark, sf):
 @query
 def export_records(spark, sf):
     return jobs.export_records(papers.paper_records(_blocks(spark, sf), view(spark, sf, "registry_view")))
+
+
+@query
+def export_documents(spark, sf):
+    return jobs.export_documents(view(spark, sf, "runs_view"), papers.paper_records(_blocks(spark, sf), view(spark, sf, "registry_view")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -14,7 +17,9 @@ WITH tmpl(k, head_d, stmt_d, head_c, stmt_c) AS (VALUES
  (2,'Data accessibility:','Data deposited in the Dryad Digital Repository: http://dx.doi.org/10.5061/dryad.q{id}(Smith et al. 2015).','Software availability','The software is available at https://gitlab.com/lab/p{id}, see also https://orcid.org/0000-0001.'),
  (3,'Data availability','All datasets will be made available upon publication.','Acknowledgements','Data of others are at https://zenodo.org/record/9{id}, their code is at https://github.com/other/x{id}.'),
  (4,'Data availability','All data are provided in the article and in the supplementary materials.','Code availability','Code is available at https://github.com/a/b{id}https://github.com/c/d{id}'),
- (5,'Introduction','Nothing relevant is stated here.','Methods','Samples were counted twice. All data were shared by https://zenodo.org/record/7{id}?a= b.'),
+ (5,'Introduction','Nothing relevant is stated here.','Methods','Samples were counted twice. All data were shared by https://zenodo.org/record/7{id}?a= b.
+References
+Nobody (1999), doi:10.9999/late.{id}'),
  (6,'Data availability','Data are available at https://zenod o.org/record/{id}.','Code availability','Code available at www.bitbucket.org/lab/{id}.'),
  (7,'Data availability:','','Code availability:',''))
 SELECT d.doc_id, b.seq, CASE WHEN b.seq < 4 THEN 1 ELSE 2 END AS page, CASE WHEN b.seq IN (3, 6, 7) THEN 1 ELSE 0 END AS col, CAST(d.doc_id % 8 AS INT) AS k,
@@ -48,7 +53,8 @@ SELECT l_orderkey AS job_id,
  CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 'Title ' || CAST(l_partkey AS STRING) END AS title,
  CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE '10.1234/p.' || CAST(l_partkey AS STRING) END AS doi,
  CAST(l_linenumber % 3 AS INT) AS n_data_links, CAST(l_suppkey % 2 AS INT) AS n_code_links,
- 1.0 - l_discount AS confidence
+ 1.0 - l_discount AS confidence,
+ CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Failed on page ' || CAST(l_linenumber AS STRING) END AS error
 FROM lineitem""",
     "logs_view": """
 SELECT event_id AS log_id, user_id AS job_id, ts, event_type AS op,
@@ -60,6 +66,11 @@ SELECT CASE doc_id % 8 WHEN 0 THEN '10.1234/ref.' WHEN 1 THEN '10.2345/ref.' WHE
  CASE WHEN doc_id % 3 = 0 THEN 'Unrelated Title About Rocks' ELSE 'Seasonal Patterns in ' || upper(lang) || ' Records from Station ' || CAST(doc_id AS STRING) END AS title,
  CAST(1990 + doc_id % 30 AS INT) AS issued_year,
  CASE WHEN doc_id % 2 = 0 THEN 'crossref' ELSE 'openalex' END AS source
+FROM documents""",
+    "runs_view": """
+SELECT doc_id % 25 AS job_id, doc_id, CASE WHEN doc_id % 13 <> 0 THEN 'dir/paper_' || CAST(doc_id AS STRING) || '.pdf' END AS filename,
+ CASE WHEN doc_id % 7 = 0 THEN 'error' WHEN doc_id % 11 = 0 THEN 'queued' ELSE 'done' END AS status,
+ CASE WHEN doc_id % 7 = 0 THEN 'Failed on page 1' END AS error
 FROM documents""",
     "words_view": """
 SELECT CAST(floor(l_orderkey / 50) AS INT) AS page_id, CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS word_id,
@@ -67,7 +78,8 @@ SELECT CAST(floor(l_orderkey / 50) AS INT) AS page_id, CAST(l_orderkey AS STRING
  CAST((l_partkey % 25) * 10 + 8 + CASE WHEN l_orderkey % 2 = 0 AND l_suppkey % 2 = 0 THEN 340 ELSE 0 END AS DOUBLE) AS x1,
  CAST(l_linenumber * 14 + CASE WHEN l_linenumber > 4 THEN 20 ELSE 0 END AS DOUBLE) AS top,
  CAST(l_linenumber * 14 + 10 + CASE WHEN l_linenumber > 4 THEN 20 ELSE 0 END AS DOUBLE) AS bottom,
- CAST(600 AS DOUBLE) AS page_width
+ CAST(600 AS DOUBLE) AS page_width,
+ CASE WHEN l_suppkey % 9 = 0 THEN ' ' WHEN l_suppkey % 9 = 1 THEN 'Data:' ELSE ' w' || CAST(l_partkey AS STRING) || ' ' END AS text
 FROM lineitem""",
 }
 
@@ -77,12 +89,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view; the tables it names are registered for this call."""
-    sql = VIEWS[name]
+    """A derived view; the tables it reads have names of their own for this call, so views of the caller stay as they are."""
+    sql, mark, made = VIEWS[name], uuid.uuid4().hex, []
     for t in TABLES:
-        if t in sql:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+        named = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {t}_{mark}", sql)
+        if named != sql:
+            table(spark, sf_dir, t).createOrReplaceTempView(f"{t}_{mark}")
+            sql, made = named, [*made, f"{t}_{mark}"]
+    try:
+        return spark.sql(sql)
+    finally:
+        for t in made:
+            spark.catalog.dropTempView(t)
 
 
 def with_views(sql: str) -> str:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scholarlake.config import DEFAULTS
 from scholarlake.operators.jobs import FINISHED, promote
@@ -24,18 +26,22 @@ def read_events(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(path)
 
 
-def run_worker(documents: DataFrame, jobs: Callable[[], DataFrame], analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Analyze documents of the running job as they arrive; append doc_id, job_id, status, error and the analysis to `out`.
+def run_worker(documents: DataFrame, jobs: Callable[[], DataFrame], analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True, settle: Callable[[DataFrame, DataFrame], None] | None = None) -> StreamingQuery:
+    """Analyze documents of the running job as they arrive; write doc_id, job_id, status, error and the analysis to `out`.
 
-    analyze adds its columns and may fill `error`; a row with an error is recorded as such and the batch goes on.
+    analyze adds its columns and may fill `error`; a row with an error is recorded as such and the batch goes on. Each
+    batch is a folder of its own (batch_id), so a batch that is replayed after a failure overwrites what it wrote.
+    settle(jobs, results) is called after each batch with all results so far, to finalize jobs and promote the next.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         running = jobs().where("status = 'running'").select("job_id")
         done = analyze(rows.join(running, "job_id", "left_semi"))
         if "error" not in done.columns:
             done = done.withColumn("error", F.lit(None).cast("string"))
-        done.withColumn("status", F.when(F.col("error").isNull(), "done").otherwise("error")).write.mode("append").parquet(out)
+        done.withColumn("status", F.when(F.col("error").isNull(), "done").otherwise("error")).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+        if settle is not None:
+            settle(jobs(), rows.sparkSession.read.parquet(out))
 
     query = documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime="500 milliseconds")).start()
@@ -47,6 +53,31 @@ def expire(docs: DataFrame, now, seconds: int = DEFAULTS.document_timeout_second
     return docs.withColumns({"error": F.when(late, TIMEOUT).otherwise(F.col("error")), "status": F.when(late, "error").otherwise(F.col("status"))})
 
 
+def expired(events: DataFrame, seconds: int = DEFAULTS.document_timeout_seconds, delay: str = "0 seconds") -> DataFrame:
+    """A stream of doc_id, status and error: documents of a stream of events (doc_id, status, ts) that were `processing` for longer
+    than the limit without an end. A timer in each document's state fires when event time passes the limit."""
+
+    def watch(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"doc_id": [key[0]], "status": ["error"], "error": [TIMEOUT]})
+            return
+        rows = pd.concat(list(frames)).sort_values("ts")
+        if rows.status.isin(FINISHED).any():
+            if state.exists:
+                state.remove()
+            return
+        claimed = rows.ts[rows.status == "processing"]
+        if len(claimed):
+            at = int(pd.Timestamp(claimed.iloc[-1]).tz_localize(None).value // 1_000_000)
+            state.update((at,))
+            state.setTimeoutTimestamp(max(at + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    kind = dict(events.dtypes)["doc_id"]
+    rows = events.select("doc_id", "status", "ts").withWatermark("ts", delay).groupBy("doc_id")
+    return rows.applyInPandasWithState(watch, f"doc_id {kind}, status string, error string", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def progress(results: DataFrame) -> DataFrame:
     """Running finished counts of each job, for update mode."""
     return results.where(F.col("status").isin(*FINISHED)).groupBy("job_id").agg(F.count(F.lit(1)).alias("current"))

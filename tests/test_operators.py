@@ -126,6 +126,67 @@ def test_record(spark):
     assert tuple(out.columns) == EXPORT_COLUMNS and out.first().doi_from_title_search == "true" and out.first().data_links_count == "1"
 
 
+def test_dois_beyond_the_front_matter(spark):
+    page = blocks(spark, "No identifier", "References", "Nobody 1999, 10.9999/late.1 and doi:10.9999/late.2")
+    assert papers.best_doi(papers.doi_candidates(page)).first().doi == "10.9999/late.2"
+    none = papers.best_doi(papers.doi_candidates(blocks(spark, "Only 10.5281/zenodo.7 here")))
+    reply = lambda x: spark.createDataFrame([(1, x)], "doc_id long, doi_reply string")
+    assert none.collect() == [] and papers.complete_dois(none, blocks(spark, "Only 10.5281/zenodo.7 here")).collect() == []
+    said = blocks(spark, "the id 10.5281/zenodo.7 10.1234/ab")
+    guard = lambda x: [(r.doi, r.confidence) for r in papers.complete_dois(none, said, reply(x)).collect()]
+    assert guard("doi:10.1234/ab") == [("10.1234/ab", 0.5)] and guard("10.7777/made.up") == guard(None) == []
+    assert [tuple(r) for r in papers.complete_dois(none, blocks(spark, "at 10.1234/cd"), reply("10.7777/no")).collect()] == [(1, "10.1234/cd", 0.45)]
+
+
+def test_record_with_replies(spark):
+    registry = spark.createDataFrame([], "doi string, title string, issued_year int, source string")
+    quote = "Data are available at https://osf.io/ab12c."
+    answer = json.dumps({"data": {"verdict": "present", "raw_quote": quote, "clean_statement": "Data are on OSF.", "confidence": 1}})
+    replies = spark.createDataFrame([(1, answer, None, "Creative Commons Attribution 4.0", "None")], "doc_id long, reply string, doi_reply string, data_license string, code_license string")
+    records = papers.paper_records(blocks(spark, "Seasonal patterns in alpine birds", "Data availability", quote), registry, replies=replies)
+    r = records.first()
+    assert (r.data_statement, r.data_links, r.code_license) == ("Data are on OSF.", ["https://osf.io/ab12c"], None) and r.data_license and r.confidences["data"] == 1.0
+    docs = spark.createDataFrame([(5, 1, "x/a.pdf", "done", None), (5, 2, None, "error", "broken"), (5, 3, "c.pdf", "queued", None)], "job_id long, doc_id long, filename string, status string, error string")
+    rows = {x.source_file: x for x in jobs.export_documents(docs, records).collect()}
+    assert set(rows) == {"x/a.pdf", "unknown.pdf"} and rows["unknown.pdf"].error == "broken" and rows["unknown.pdf"].data_links_count == "0" and rows["unknown.pdf"].title == ""
+    a = rows["x/a.pdf"]
+    assert (a.filename, a.data_availability_statement, a.data_sharing_license, a.data_links, a.data_links_count) == ("a.pdf", "Data are on OSF.", r.data_license, "https://osf.io/ab12c", "1")
+
+
+def test_cancel_keeps_earlier_errors(spark):
+    docs = spark.createDataFrame([(1, "a", "error", "broken"), (1, "b", "queued", None), (2, "c", "queued", "warned")], "job_id long, doc_id string, status string, error string")
+    one = spark.createDataFrame([(1,), (1,)], "job_id long")
+    assert {r.doc_id: (r.status, r.error) for r in jobs.cancel(docs, one).collect()} == {"a": ("error", "broken"), "b": ("error", "Cancelled by user"), "c": ("queued", "warned")}
+    j = spark.createDataFrame([(1, "running", None), (2, "done", "old")], "job_id long, status string, error string")
+    assert {r.job_id: (r.status, r.error) for r in jobs.cancel_jobs(j, one).collect()} == {1: ("error", "Cancelled by user"), 2: ("done", "old")}
+
+
+def test_downloads_and_reports(spark):
+    j = spark.createDataFrame([(1,), (2,)], "job_id long")
+    logs = spark.createDataFrame([(i, 1, T0 + datetime.timedelta(seconds=i // 2), "op") for i in range(7)] + [(9, 3, T0, "x")], "log_id long, job_id long, ts timestamp, op string")
+    rows = jobs.log_download(j, logs).orderBy("job_id", "ts", "log_id").collect()
+    assert [r.log_id for r in rows] == [0, 1, 2, 3, 4, 5, 6, None] and json.loads(rows[-1].value) == {"job_id": "2", "info": "no logs available"} and json.loads(rows[0].value)["op"] == "op"
+    assert sorted(r.log_id for r in jobs.log_download(j, logs, descending=True, page=3).where("job_id = 1").collect()) == [4, 5, 6]
+    runs = spark.createDataFrame([(True, 10, True), (True, 30, None), (False, 99, True), (None, None, None)], "success boolean, duration_ms long, accurate boolean")
+    assert jobs.workflow_report(runs).first() == (4, 2, 2, 50.0, 20.0, 10, 30, 1, 50.0)
+    assert jobs.workflow_report(runs.limit(0)).first()[:4] == (0, 0, 0, None)
+    checks = spark.createDataFrame([(True, True), (True, None), (False, True)], "a boolean, b boolean").select(jobs.all_checks(F.col("a"), F.col("b")).alias("x"), jobs.all_checks().alias("none"))
+    assert [tuple(r) for r in checks.collect()] == [(True, False), (False, False), (False, False)]
+
+
+def test_text_of_lines(spark):
+    words = [(1, f"w{i}", x, x + 8.0, top, top + 10.0, 600.0, t) for i, (x, top, t) in enumerate([(20.0, 10.0, "here:"), (10.0, 10.0, " See "), (30.0, 10.0, " "), (10.0, 50.0, "the text."), (10.0, 90.0, "At https:"), (10.0, 130.0, "//osf.io/x")])]
+    lines = layout.with_lines(layout.with_columns(spark.createDataFrame(words, "page_id int, word_id string, x0 double, x1 double, top double, bottom double, page_width double, text string")))
+    assert [r.text for r in layout.line_text(lines).orderBy("line").collect()] == ["See here:", "the text.", "At https:", "//osf.io/x"]
+    assert [r.text for r in layout.paragraph_text(lines).orderBy("pos").collect()] == ["See here: the text.", "At https://osf.io/x"]
+    got = spark.createDataFrame([("a\r\n\r\n\r\n b \n\n\n\n \n\nc\rd",), (None,), ("",)], "t string").select(T.split_simple("t").alias("p")).collect()
+    assert [r.p for r in got] == [["a", "b", "c\nd"], None, []]
+    from scholarlake.functions import records as R
+
+    names = spark.createDataFrame([("m",), ("m:latest",), ("mm",), (None,)], "n string").select(R.serves_model("n", "m").alias("x")).collect()
+    assert [r.x for r in names] == [True, True, False, False]
+
+
 T0 = datetime.datetime(2024, 1, 1)
 
 

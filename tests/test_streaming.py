@@ -21,6 +21,35 @@ def test_worker_processes_each_document_once(spark, tmp_path):
     assert worker.progress(got).first().current == 3
 
 
+def test_a_replayed_batch_writes_its_rows_once(spark, tmp_path):
+    import shutil
+
+    schema = "doc_id long, job_id long, text string"
+    source, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    seen = []
+    run = lambda: worker.run_worker(
+        worker.read_events(spark, source, schema), lambda: spark.createDataFrame([(1, "running")], "job_id long, status string"), lambda d: d, out, ck,
+        settle=lambda jobs, done: seen.append((jobs.count(), done.count())),
+    ).awaitTermination()
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema).write.mode("append").parquet(source)
+    run()
+    shutil.rmtree(f"{ck}/commits")  # as if the driver was lost before the batch was committed
+    run()
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [1, 2] and seen == [(1, 2), (1, 2)]
+
+
+def test_timer_expires_documents(spark, tmp_path):
+    schema = "doc_id long, status string, ts timestamp"
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    batches = [[(1, "processing", at(0)), (2, "processing", at(0))], [(2, "done", at(10)), (3, "processing", at(800))], [(4, "processing", at(1001))], [(5, "queued", at(1100))]]
+    source = str(tmp_path / "in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        q = worker.expired(worker.read_events(spark, source, schema)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out"))
+        q.trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "error", "timeout")]
+
+
 def test_late_documents_expire(spark):
     rows = spark.createDataFrame([(1, "processing", T0, None), (2, "processing", T0 + datetime.timedelta(seconds=900), None), (3, "done", T0, None)], "doc_id int, status string, claimed_at timestamp, error string")
     got = {r.doc_id: (r.status, r.error) for r in worker.expire(rows, T0 + datetime.timedelta(seconds=901)).collect()}
