@@ -7,9 +7,11 @@ words), so the model is a proper distribution over known words and one unknown w
 
 Baum-Welch runs over all training rows: each task adds up the expected counts of its rows, the sums over tasks make the
 next model (emissions of a state are smoothed by the corpus's). For training, texts are taken in segments of SEGMENT
-tokens; scoring runs the scaled forward recursion over whole texts and is exact.
+tokens: the first of a text starts from the start distribution, which is learned from these alone, all others from
+the chain's stationary distribution; the move across a cut is not counted. Scoring runs the scaled forward recursion over
+whole texts and is exact.
 
-Word counts of the DICTIONARY most frequent words (a bound, about 10 MB) travel with the tasks; each other occurrence meets its count in a
+Word counts of the most frequent words, DICTIONARY at most (words of a count are carried all or none; about 10 MB), travel with the tasks; each other occurrence meets its count in a
 shuffled join, so base scores and class shares are exact for every word.
 
 Defined cases: null text is the empty text (one token, its end); rows with a null id are learned from; repeated rows
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import fold, materialize, steps, table, texts
+from scholarlake.llm.common import fold, frequent_from, materialize, steps, table, texts
 
 TOP = 16_384
 BUCKETS = 2_048
@@ -97,8 +99,9 @@ def count_words(train: DataFrame, dictionary: int = DICTIONARY, top: int = TOP)
     vocabulary = materialize(train.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = train.count()
     whole = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    frequent = vocabulary.orderBy(F.desc("n"), "word").limit(dictionary).toArrow()
-    words, n = frequent["word"].to_pylist(), np.array(frequent["n"].to_pylist(), np.int64)
+    frequent = vocabulary.where(F.col("n") >= frequent_from(vocabulary, "n", dictionary)).toArrow()  # at most `dictionary` rows
+    listed = sorted(zip((-x for x in frequent["n"].to_pylist()), frequent["word"].to_pylist(), strict=True))
+    words, n = [w for _, w in listed], np.array([-x for x, _ in listed], np.int64)
     bucket = (F.crc32(F.expr("substring(word, -3, 3)")) % BUCKETS).cast("int").alias("bucket")
     per = vocabulary.groupBy(bucket).agg((F.sum("n") + F.count(F.lit(1))).alias("total")).collect()  # at most BUCKETS rows
     total = np.zeros(BUCKETS)
@@ -198,15 +201,18 @@ def log10_likelihood(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np
     return out
 
 
-def expected_counts(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and moves expected for the sequences; emissions are added to `emitted`."""
+def expected_counts(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, emitted: np.ndarray, opening: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and moves expected for the sequences; emissions are added to `emitted`. opening: which sequences open a text (all,
+    if not given); the others start from the stationary distribution and have no part in the starts."""
     r = _Ragged(flat, begins, sizes)
     states = model.move.shape[0]
     move = model.move.astype(np.float32)
     seen = model.emit.astype(np.float32)[r.ids]
     alpha = np.empty((len(r.ids), states), np.float32)
     scale = np.empty((len(r.ids), 1), np.float32)
-    a = np.repeat(model.start[None, :].astype(np.float32), len(sizes), 0)
+    opens = np.ones(len(sizes), bool) if opening is None else opening[r.order]
+    settled = np.linalg.matrix_power(model.move, 256)[0]
+    a = np.where(opens[:, None], model.start, settled).astype(np.float32)
     for t, n in enumerate(r.active):
         here = slice(r.offset[t], r.offset[t] + n)
         a = (a[:n] @ move if t else a) * seen[here]
@@ -227,15 +233,16 @@ def expected_counts(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.
         alpha[at : at + n] *= beta  # posteriors in place
     for s in range(states):
         emitted[:, s] += np.bincount(r.ids, alpha[:, s], minlength=len(emitted))
-    return alpha[: int(r.active[0])].sum(0, dtype=np.float64), moves * model.move
+    return alpha[: int(r.active[0])][opens].sum(0, dtype=np.float64), moves * model.move
 
 
-def _segments(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segments(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and of each segment where it begins, its size, and whether it opens a text."""
     ids = batch.column("ids")
     flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
     begins = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(ends[:-1], ends[1:], strict=True)])
     stop = np.repeat(ends[1:], -(-np.diff(ends) // SEGMENT))
-    return flat, begins, np.minimum(stop - begins, SEGMENT)
+    return flat, begins, np.minimum(stop - begins, SEGMENT), np.isin(begins, ends[:-1])
 
 
 def _cut(sizes: np.ndarray, limit: int) -> list[slice]:
@@ -263,12 +270,12 @@ def baum_welch(coded: DataFrame, classes: int, states: int = STATES, rounds: int
             m = shared.value
             emitted, moves, starts = np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states)
             for batch in batches:
-                flat, begins, sizes = _segments(batch)
+                flat, begins, sizes, opening = _segments(batch)
                 if m is None:  # the first round counts the classes themselves
                     emitted[:, 0] += np.bincount(flat, minlength=classes)
                     continue
                 for part in _cut(sizes, BATCH_TOKENS):
-                    s, v = expected_counts(m, flat, begins[part], sizes[part], emitted)
+                    s, v = expected_counts(m, flat, begins[part], sizes[part], emitted, opening[part])
                     starts, moves = starts + s, moves + v
             rows = np.concatenate([emitted, moves, starts[None, :]])
             some = np.flatnonzero(rows.any(1))

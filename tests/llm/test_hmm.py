@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,45 @@ def test_empty(frame):
     assert H.score_texts(frame([]), F.lit(False)).collect() == []
     only = H.score_texts(frame([(1, "all held out")]), F.lit(True)).first()
     assert (only.train_tokens, only.n_known, only.n_tokens) == (0, 0, 4)
+
+
+def test_inner_segments_have_no_part_in_the_starts():
+    m, ids = model(), np.array([2, 0, 3, 3, 1, 4])
+    at = lambda *x: np.array(x)
+    whole, inner = np.zeros((5, 3)), np.zeros((5, 3))
+    starts, _ = H.expected_counts(m, ids, at(0, 3), at(3, 3), whole, at(True, False))
+    alone, _ = H.expected_counts(m, ids, at(0), at(3), inner)
+    assert np.allclose(starts, alone, atol=1e-5) and np.isclose(whole.sum(), 6, atol=1e-4)
+    settled = H.Hmm(np.linalg.matrix_power(m.move, 256)[0], m.move, m.emit)
+    H.expected_counts(settled, ids, at(3), at(3), inner)
+    assert np.allclose(whole, inner, atol=1e-4)
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([[1] * (H.SEGMENT + 3), [2], [3] * (2 * H.SEGMENT)])})
+    _, begins, sizes, opening = H._segments(batch)
+    assert sizes.tolist() == [H.SEGMENT, 3, 1, H.SEGMENT, H.SEGMENT] and opening.tolist() == [True, False, True, True, False] and begins[2] == H.SEGMENT + 3
+
+
+def test_joined_scores_equal_a_plain_forward_loop(spark, frame, monkeypatch):
+    """score: the classes' forward recursion times the shares of pooled words in their classes, for a model taken as trained."""
+    monkeypatch.setattr(H.count_words, "__defaults__", (6, 3))
+    kept = {}
+    train = H.baum_welch
+    monkeypatch.setattr(H, "baum_welch", lambda coded, classes, states, rounds: kept.setdefault("m", train(coded, classes, states, rounds)))
+    rows = [(i, prose(i % 5, 20 + i) + " often" * (3 + i % 2) + " seldom" * (i % 3) * 2 + " rarer" * (i % 4)) for i in range(30)] + [(50, "never seen words"), (51, ""), (52, None)]
+    got = {r.doc_id: r.score for r in H.score_texts(frame(rows), F.col("doc_id") >= 50, 2, 2).collect()}
+    m, words = kept["m"], lambda t: (t or "").encode().lower().split()
+    c = Counter(w for d, t in rows if d < 50 for w in words(t))
+    least = sorted(c.values(), reverse=True)
+    least = next(v for v in sorted(set(least)) if sum(x >= v for x in c.values()) <= 6)
+    top = [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n >= least][:3]
+    total = Counter()
+    for w, n in c.items():
+        if w not in top:
+            total[H.bucket_of(w)] += n + 1
+    for doc_id, text in rows:
+        a, out = m.start, 0.0
+        for i, w in enumerate([*words(text), None]):
+            k = len(top) + H.BUCKETS if w is None else top.index(w) if w in top else len(top) + H.bucket_of(w)
+            a = (a @ m.move if i else a) * m.emit[k]
+            out += math.log10(a.sum()) + (0 if w is None or w in top else math.log10((c[w] + 1) / (total[H.bucket_of(w)] + 1)))
+            a = a / a.sum()
+        assert math.isclose(got[doc_id], out, rel_tol=1e-9, abs_tol=1e-9)

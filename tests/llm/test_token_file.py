@@ -58,3 +58,33 @@ def test_empty_table(spark, frame, tmp_path):
     out = str(tmp_path / "ids")
     T.write_token_ids(frame([]), out, PATH)
     assert T.read_token_ids(spark, out).collect() == []
+
+
+def test_file_holds_run_lengths_row_indexes_and_bloom_filters(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setitem(T.OPTIONS, "orc.stripe.size", "20000")
+    monkeypatch.setitem(T.OPTIONS, "orc.stripe.row.count", "2000")
+    out = str(tmp_path / "ids")
+    T.write_token_ids(frame([(i, f"text {i * 7919 % 4001}") for i in range(6000)], extra=False), out, PATH)
+    jvm = spark.sparkContext._jvm
+    conf, stripes = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for file in sorted(tmp_path.glob("ids/*.orc")):
+        path = jvm.org.apache.hadoop.fs.Path(str(file))
+        reader = jvm.org.apache.orc.OrcFile.createReader(path, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        for i in range(reader.getStripes().size()):
+            footer = rows.readStripeFooter(reader.getStripes().get(i))
+            kinds = {(footer.getStreams(k).getColumn(), footer.getStreams(k).getKind().toString()) for k in range(footer.getStreamsCount())}
+            assert {(1, "ROW_INDEX"), (1, "BLOOM_FILTER_UTF8"), (4, "ROW_INDEX")} <= kinds and (4, "BLOOM_FILTER_UTF8") not in kinds
+            assert {footer.getColumns(k).getKind().toString() for k in (1, 4, 6)} == {"DIRECT_V2"}  # ids, sizes and tokens
+            stripes += 1
+        assert reader.getRowIndexStride() == 1000
+    assert stripes > len(list(tmp_path.glob("ids/*.orc")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert T.read_token_ids(spark, out).rdd.getNumPartitions() > len(list(tmp_path.glob("ids/*.orc")))  # a file's stripes are read in parallel
+        found = T.read_token_ids(spark, out).where("doc_id = 4321")
+        assert found.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
