@@ -6,6 +6,7 @@ import atexit
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; bounds a Python worker's memory whatever the size of Spark's Arrow batches.
 STEP_BYTES = 2 << 20
+#: Rows of a batch with whole texts or lists on its way to Python.
+WIDE_ROWS = 1_500
 #: A side of a join is broadcast only when its counted rows times their bytes stay below this.
 BROADCAST_BYTES = 8 << 20
 
@@ -49,16 +52,23 @@ def materialize(df: DataFrame, what: str, arrow_rows: int | None = None) -> Data
     arrow_rows: at most so many rows in a batch that goes to Python, for wide rows."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    with batches_of(spark, arrow_rows):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, arrow_rows: int | None) -> Iterator[None]:
+    """Actions inside send at most so many rows in a batch to Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     if arrow_rows:
         spark.conf.set(key, str(arrow_rows))
     try:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        yield
     finally:
         if arrow_rows:
             spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, what: str, keys: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import fold, frequent_from, materialize, steps, table, texts
+from scholarlake.llm.common import WIDE_ROWS, batches_of, fold, frequent_from, materialize, steps, table, texts
 
 TOP = 16_384
 BUCKETS = 2_048
@@ -96,7 +96,7 @@ def _index(blob: bytes) -> dict[bytes, int]:
 
 def count_words(train: DataFrame, dictionary: int = DICTIONARY, top: int = TOP) -> tuple[DataFrame, Counts]:
     """The whole table of word counts (word, n), and what of it tasks carry."""
-    vocabulary = materialize(train.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    vocabulary = materialize(train.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words", WIDE_ROWS)
     ends = train.count()
     whole = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     frequent = vocabulary.where(F.col("n") >= frequent_from(vocabulary, "n", dictionary)).toArrow()  # at most `dictionary` rows
@@ -281,7 +281,9 @@ def baum_welch(coded: DataFrame, classes: int, states: int = STATES, rounds: int
             some = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(rows[some, i]) for i in range(states))], ["row", *columns])
 
-        sums = coded.select("ids").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        added = coded.select("ids").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns))
+        with batches_of(spark, WIDE_ROWS):
+            sums = added.toArrow()  # a row for each class
         rows = np.zeros((classes + states + 1, states))
         rows[np.array(sums["row"].to_pylist(), np.int64)] = np.stack([np.array(sums[c].to_pylist(), float) for c in columns], 1) if sums.num_rows else 0
         shared.unpersist()
@@ -312,7 +314,7 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = STATES, rounds:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     vocabulary, counts = count_words(rows.where("NOT held_out"))
-    coded = materialize(encode(rows, counts).withColumn("row_no", F.monotonically_increasing_id()), "coded")
+    coded = materialize(encode(rows, counts).withColumn("row_no", F.monotonically_increasing_id()), "coded", WIDE_ROWS)
     model = baum_welch(coded.where("NOT held_out"), counts.classes, states, rounds)
     # occurrences of words outside the dictionary meet their counts
     rare = coded.select("row_no", F.explode("rare").alias("word")).join(vocabulary, "word", "left")
@@ -320,6 +322,7 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = STATES, rounds:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "row_no long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, within double"
     scored = coded.select(*(x.split()[0] for x in fields.split(", ")), "ids").mapInArrow(lambda b: _forward(b, shared), fields + ", classes_score double")
+    scored = materialize(scored, "scored", WIDE_ROWS)
     more = F.coalesce("rare_log", F.lit(0.0))
     return scored.join(rare, "row_no", "left").select(
         "doc_id",

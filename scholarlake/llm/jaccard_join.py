@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import frequent_from, mapped, materialize, release, small, table, texts, without_ids
+from scholarlake.llm.common import WIDE_ROWS, frequent_from, mapped, materialize, release, small, table, texts, without_ids
 from scholarlake.llm.graph import components
 from scholarlake.llm.shingles import mix, shingle_set
 
@@ -41,8 +41,6 @@ BLOCK_SHINGLES = 400_000
 STEP_SHINGLES = 300_000
 #: Columns of one dense product.
 COLUMNS = 1024
-#: Rows of a batch with whole texts or sets on its way to Python.
-WIDE_ROWS = 1_500
 #: Most shingles that come last in the order as frequent: 8 bytes each, and 4 for a count, travel with the tasks.
 FREQUENT = 1_000_000
 #: Keys looked after for balance, the most frequent of a hash sample, and the tasks that each is spread over.
