@@ -1,12 +1,18 @@
 """N-gram Jaccard join: exact links between documents by a blocked sparse product of document by n-gram incidence.
 
 1. Each whole text becomes its set of shingle hashes; equal sets form one class, joined once.
-2. Candidate blocks. In any common order of all shingles, linked sets share one of their first elements: of n elements
-   the first n - ceil(t n) + 1, and of the smaller set even the first n - ceil(2 t n / (1 + t)) + 1. These are the keys;
-   sets that share one, with no gap in their sizes that t forbids, are candidates. Shingles that are frequent in a hash sample come last
-   in the order, so that common passages tie few documents; the result is the same whatever counts as frequent.
+2. Candidate blocks, by keys that linked sets share. Prefix keys: in any common order of all shingles, linked sets share
+   one of their first elements: of n elements the first n - ceil(t n) + 1, and of the smaller set even the first
+   n - ceil(2 t n / (1 + t)) + 1. Shingles that are frequent in a hash sample come last in the order. Part keys, for thresholds from
+   PARTS_FROM: sets of sizes a and b differ in at most (a + b)(1 - t)/(1 + t) elements; in a size range whose largest such
+   difference is d, elements that are not frequent are dealt by hash into 1.5 (d + 1) parts, so linked sets agree on more
+   parts than d + 1 leaves empty, and on a part with elements if one of the two has over d such parts; a set with fewer also
+   emits keys over all its shingles, in d + 1 + d/16 parts, empty ones included where there are over d/16 of them. A set is put into
+   its own range and all below in which a partner may be. Leaving frequent shingles to the end keeps common passages from
+   tying their documents; the result is the same whatever counts as frequent.
 3. Sorted by key and size, a key's sets are tied to one pivot (rows linear in keys), and connected candidates form a
-   family. Families too large for one block are keyed again, shingles now ordered by their counts in these families.
+   family. Families too large for one block are keyed again, shingles now ordered by their counts in these families, as
+   long as that makes them smaller.
 4. Each family is cut into blocks bounded in documents and shingles, and the sparse products of blocks accumulate overlap counts:
    columns of most rows by a dense product, the others by sorted runs; pairs below the size-derived bound are dropped. Every
    block meets itself and the family's first block; sets outside the largest component found so far then meet all
@@ -37,10 +43,14 @@ from scholarlake.llm.shingles import mix, shingle_set
 #: Bounds of one block.
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 400_000
+#: Threshold from which on part keys are taken: there are few of them, and they tie fewer sets than single shingles do.
+PARTS_FROM = Fraction(9, 10)
 #: Shingles of one step on the way to keys.
 STEP_SHINGLES = 300_000
 #: Columns of one dense product.
 COLUMNS = 1024
+#: Ratio of a size range.
+RANGE = 1.4
 #: Most shingles that come last in the order as frequent: 8 bytes each, and 4 for a count, travel with the tasks.
 FREQUENT = 1_000_000
 #: Keys looked after for balance, the most frequent of a hash sample, and the tasks that each is spread over.
@@ -48,13 +58,53 @@ HOT_KEYS = 4_096
 SALTS = 16
 
 
+def size_ranges(limit: int = 1 << 40) -> list[int]:
+    """Starts of the size ranges."""
+    starts = [1]
+    while starts[-1] < limit:
+        starts.append(max(starts[-1] + 1, int(starts[-1] * RANGE)))
+    return starts
+
+
+_STARTS = np.array(size_ranges(), np.int64)
+
+
+def _parts(hashes: np.ndarray, parts: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the non-empty ones among `parts` hash parts of a set, and the key of each empty part."""
+    part = (mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
+    sums, count = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
+    np.add.at(sums, part, mix(hashes))
+    keys = mix(sums ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(tag << 40)) ^ (count.astype(np.uint64) << np.uint64(7)))
+    return keys[count > 0], keys[count == 0]
+
+
+def part_keys(hashes: np.ndarray, t: Fraction, frequent: np.ndarray) -> np.ndarray:
+    """Keys of one set: sets with Jaccard similarity of at least t share one, whatever `frequent` (sorted hashes) is."""
+    n = len(hashes)
+    own = int(np.searchsorted(_STARTS, n, side="right")) - 1
+    lowest = int(np.searchsorted(_STARTS, -(-n * t.numerator // t.denominator), side="right")) - 1  # of the least partner
+    ranges = range(lowest, own + 1)
+    rare = hashes[frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] != hashes] if len(frequent) else hashes
+    keys = []
+    for r in ranges:
+        # both sizes at most: a set of range r, and a partner as large as the bound allows
+        most = int(_STARTS[r + 1]) - 1
+        d = int((most + most * t.denominator // t.numerator) * (1 - t) / (1 + t))
+        full, _ = _parts(rare, d + 1 + (d + 1) // 2, 2 * r)
+        keys.append(full)
+        if len(full) <= d:  # agreement may be on empty parts only, unless the partner has enough
+            more, empty = _parts(hashes, d + 1 + d // 16, 2 * r + 1)
+            keys += [more] if len(empty) <= d // 16 else [more, empty]
+    return np.concatenate(keys).astype(np.int64)
+
+
 def prefixes(n: int, t: Fraction) -> tuple[int, int]:
     """How many of the first elements of a set of n are keys, and how many of these are so towards sets of at least n."""
     both = 2 * t / (1 + t)
     return n - -(-n * t.numerator // t.denominator) + 1, n - -(-n * both.numerator // both.denominator) + 1
 
 
-def part_keys(hashes: np.ndarray, t: Fraction, frequent: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+def prefix_keys(hashes: np.ndarray, t: Fraction, frequent: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """The first elements of one set (sorted hashes): sets with Jaccard similarity of at least t share one.
 
     The order of all shingles is: those that are not in `frequent` (sorted hashes) by hash, then the others by count, if given, and hash."""
@@ -122,15 +172,19 @@ def _most_frequent(shingles: DataFrame, least: int) -> tuple[np.ndarray, np.ndar
 KEY = "key long, size int, c1 long"
 
 
-def _keys(sets: list[np.ndarray], owners: np.ndarray, t: Fraction, frequent: tuple[np.ndarray, np.ndarray | None]) -> pa.RecordBatch:
+def _keys(sets: list[np.ndarray], owners: np.ndarray, t: Fraction, frequent: tuple[np.ndarray, np.ndarray | None], parts: bool = False) -> pa.RecordBatch:
     """size: twice the set's, and one more for a key that is none towards larger sets."""
-    keys = [part_keys(x, t, *frequent) for x in sets]
-    sizes = [2 * len(x) + (np.arange(len(k)) >= prefixes(len(x), t)[1]) for x, k in zip(sets, keys, strict=True)]
+    if parts:
+        keys = [part_keys(x, t, frequent[0]) for x in sets]
+        sizes = [np.full(len(k), 2 * len(x)) for x, k in zip(sets, keys, strict=True)]
+    else:
+        keys = [prefix_keys(x, t, *frequent) for x in sets]
+        sizes = [2 * len(x) + (np.arange(len(k)) >= prefixes(len(x), t)[1]) for x, k in zip(sets, keys, strict=True)]
     owner = np.repeat(owners, [len(k) for k in keys])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(owner)], ["key", "size", "c1"])
 
 
-def key_rows(rows: DataFrame, n: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
+def key_rows(rows: DataFrame, n: int, t: Fraction, frequent: np.ndarray, parts: bool) -> DataFrame:
     """key, size, c1: a row for each key of each row's set."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -138,7 +192,7 @@ def key_rows(rows: DataFrame, n: int, t: Fraction, frequent: np.ndarray) -> Data
         sets = [s for s in (shingle_set(x, n) for x in texts(batch)) if len(s)]
         if not sets:
             return None
-        return _keys(sets, np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64), t, (shared.value, None))
+        return _keys(sets, np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64), t, (shared.value, None), parts)
 
     return mapped(rows, run, KEY)
 
@@ -225,13 +279,13 @@ def _hot_keys(sample: DataFrame) -> list[int]:
     return [r.key for r in counts.orderBy(F.desc("m")).limit(HOT_KEYS).collect()]
 
 
-def ties_of(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
+def ties_of(rows: DataFrame, n: int, t: Fraction, parts: bool) -> DataFrame:
     """a, b: fingerprints of sets that share a key, each with a pivot of it; each pair once.
 
     The HOT_KEYS most frequent keys of a hash sample of documents are spread over several tasks."""
     frequent = frequent_shingles(rows, n)
-    hot = _hot_keys(key_rows(rows.where("pmod(xxhash64(doc_id, 7), 16) = 0"), n, t, frequent))
-    return materialize(_tied(key_rows(rows, n, t, frequent), hot, t), "ties", WIDE_ROWS)
+    hot = _hot_keys(key_rows(rows.where("pmod(xxhash64(doc_id, 7), 16) = 0"), n, t, frequent, parts))
+    return materialize(_tied(key_rows(rows, n, t, frequent, parts), hot, t), "ties", WIDE_ROWS)
 
 
 def ties_within(sets: DataFrame, t: Fraction) -> DataFrame:
@@ -351,26 +405,31 @@ def _multiply(placed: DataFrame, t: Fraction) -> DataFrame:
     return rows.select(*order, "hashes").mapInArrow(_products(t), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs; threshold is a decimal number as text, kept exact."""
+def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", parts: bool | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs; threshold is a decimal number as text, kept exact. parts:
+    whether candidates come from part keys or from prefix keys; by the threshold if not given, the result is the same."""
     t = Fraction(threshold)
     source = _identified(docs, id_col, text_col)
     rows = materialize(shingle_rows(source, n), "shingles", WIDE_ROWS)
     classes = materialize(
         rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes"
     )
-    ties = ties_of(source, n, t)
+    ties = ties_of(source, n, t, t >= PARTS_FROM if parts is None else parts)
     release(docs.sparkSession)
     families = components(ties).select(F.col("node").alias("c1"), F.col("component").alias("family"))
     members = materialize(classes.join(families, "c1").select("node", "rep", "n", "family", "c1", "c2"), "members")
-    large = _blocks(members).where("blocks > 1")
-    if not large.isEmpty():
-        again = members.join(large.select("family"), "family", "left_semi")
+    before = None
+    while not (large := _blocks(members).where("blocks > 1")).isEmpty():
+        again = materialize(members.join(large.select("family"), "family", "left_semi"), "large")
+        size = again.count()
+        if before is not None and size > 0.8 * before:  # these are close sets, not chains of common passages
+            break
         sets = materialize(_sets(source, again.select("node", "rep", "family", "c1", "c2", F.lit(0).alias("blocks"), F.lit(0).alias("block")), n).select("family", "c1", "hashes"), "sets", WIDE_ROWS)
         closer = components(ties_within(sets, t)).select(F.col("node").alias("c1"), F.col("component").alias("closer"))
         whole = members.join(large.select("family"), "family", "left_anti")
         members = materialize(whole.unionByName(again.join(closer, "c1").select("node", "rep", "n", F.col("closer").alias("family"), "c1", "c2")), "members")
         release(docs.sparkSession)
+        before = size
     wanted = members.join(_blocks(members), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = materialize(_sets(source, wanted, n).select("family", "blocks", "block", "node", "hashes"), "blocks", WIDE_ROWS)
     release(docs.sparkSession)

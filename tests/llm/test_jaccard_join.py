@@ -61,6 +61,16 @@ def test_equals_brute_force(frame, n, t):
     assert got == brute(ROWS, n, Fraction(t))
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_both_kinds_of_keys_give_the_same(frame, monkeypatch, parts):
+    monkeypatch.setattr(J, "BLOCK_DOCS", 9)
+    passage = prose(31, 60)
+    rows = family(prose(4, 200), 30, 12, 1000) + [(2000 + i, prose(100 + i, 90) + " " + passage + " " + prose(500 + i // 2, 70)) for i in range(40)] + [(3000 + i, edited(prose(100 + i, 90) + " " + passage, i, 2)) for i in range(20)]
+    for n, t in ((3, "0.9"), (5, "0.7"), (2, "0.45")):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(frame(rows), n, t, parts=parts).collect()), key=str)
+        assert got == brute(rows, n, Fraction(t))
+
+
 @pytest.mark.parametrize("common", [False, True])
 def test_families_over_many_blocks(frame, monkeypatch, common):
     monkeypatch.setattr(J, "BLOCK_DOCS", 7)
@@ -94,7 +104,10 @@ def test_subsets_share_a_key(t):
         for size in {n, -(-n * Fraction(t).numerator // Fraction(t).denominator), n - 1}:
             part = np.sort(r.permutation(whole)[:size])
             if size and Fraction(size, n) >= Fraction(t):
-                assert np.intersect1d(J.part_keys(whole, Fraction(t), whole[:0]), J.part_keys(part, Fraction(t), whole[:0])).size
+                frequent = whole[r.random(n) < 0.6]
+                for keys, counts in ((J.part_keys, ()), (J.prefix_keys, ()), (J.prefix_keys, (r.integers(2, 9, len(frequent)),))):
+                    assert np.intersect1d(keys(whole, Fraction(t), frequent, *counts), keys(part, Fraction(t), frequent, *counts)).size
+                    assert np.intersect1d(keys(whole, Fraction(t), whole[:0]), keys(part, Fraction(t), whole[:0])).size
 
 
 def test_products_of_blocks():
