@@ -6,13 +6,14 @@ which a word has the share (c + 1) / (C + V + 1) of its class (c its count, C an
 words), so the model is a proper distribution over known words and one unknown word for each class.
 
 Baum-Welch runs over all training rows: each task adds up the expected counts of its rows, the sums over tasks make the
-next model (emissions of a state are smoothed by the corpus's). For training, texts are taken in segments of SEGMENT
-tokens: the first of a text starts from the start distribution, which is learned from these alone, all others from
-the chain's stationary distribution; the move across a cut is not counted. Scoring runs the scaled forward recursion over
-whole texts and is exact.
+next model (emissions of a state are smoothed by the corpus's). Expected counts are those of whole texts: long texts are
+worked on in segments of SEGMENT tokens side by side, for which the products of their steps first carry forward and
+backward messages over the cuts, so a worker's memory is bounded and the counts are as without cuts. Scoring runs the
+scaled forward recursion over whole texts and is exact.
 
-Word counts of the most frequent words, DICTIONARY at most (words of a count are carried all or none; about 10 MB), travel with the tasks; each other occurrence meets its count in a
-shuffled join, so base scores and class shares are exact for every word.
+Word counts of the most frequent words, DICTIONARY at most (words of a count are carried all or none; about 10 MB), travel
+with the tasks; each other occurrence meets its count in a shuffled join, so base scores and class shares are exact for
+every word.
 
 Defined cases: null text is the empty text (one token, its end); rows with a null id are learned from; repeated rows
 count as often as they occur; ties in frequency go by the word's bytes; without training rows counts are 0 and the
@@ -40,7 +41,7 @@ BUCKETS = 2_048
 DICTIONARY = 1 << 18
 STATES = 8
 ROUNDS = 5
-SEGMENT = 512
+SEGMENT = 1_024
 #: Tokens of one vectorized step.
 BATCH_TOKENS = 400_000
 #: Weight of the corpus's distribution in each state's emissions.
@@ -201,9 +202,10 @@ def log10_likelihood(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np
     return out
 
 
-def expected_counts(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, emitted: np.ndarray, opening: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def expected_counts(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, emitted: np.ndarray, opening: np.ndarray | None = None, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and moves expected for the sequences; emissions are added to `emitted`. opening: which sequences open a text (all,
-    if not given); the others start from the stationary distribution and have no part in the starts."""
+    if not given); the others have no part in the starts. enter, leave: messages() of each sequence; without them those that
+    do not open a text start from the stationary distribution, and all end as texts do."""
     r = _Ragged(flat, begins, sizes)
     states = model.move.shape[0]
     move = model.move.astype(np.float32)
@@ -211,8 +213,12 @@ def expected_counts(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.
     alpha = np.empty((len(r.ids), states), np.float32)
     scale = np.empty((len(r.ids), 1), np.float32)
     opens = np.ones(len(sizes), bool) if opening is None else opening[r.order]
-    settled = np.linalg.matrix_power(model.move, 256)[0]
-    a = np.where(opens[:, None], model.start, settled).astype(np.float32)
+    if enter is None:
+        enter = np.where(opens[:, None], model.start, np.linalg.matrix_power(model.move, 256)[0])
+    else:
+        enter = enter[r.order]
+    after = np.ones((len(sizes), states), np.float32) if leave is None else leave[r.order].astype(np.float32)
+    a = enter.astype(np.float32)
     for t, n in enumerate(r.active):
         here = slice(r.offset[t], r.offset[t] + n)
         a = (a[:n] @ move if t else a) * seen[here]
@@ -221,21 +227,66 @@ def expected_counts(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.
         alpha[here], scale[here] = a, c
     seen /= scale
     moves = np.zeros((states, states))
-    beta = np.ones((int(r.active[-1]), states), np.float32)
+    beta = np.empty((0, states), np.float32)
     for t in range(len(r.active) - 1, -1, -1):
         n, at = int(r.active[t]), int(r.offset[t])
-        if t < len(r.active) - 1:
-            ahead = seen[r.offset[t + 1] : r.offset[t + 1] + len(beta)] * beta
-            moves += alpha[at : at + len(beta)].T @ ahead
-            back = np.ones((n, states), np.float32)
-            back[: len(beta)] = ahead @ move.T
-            beta = back
+        held = len(beta)
+        if held:
+            ahead = seen[r.offset[t + 1] : r.offset[t + 1] + held] * beta
+            moves += alpha[at : at + held].T @ ahead
+            beta = ahead @ move.T
+        if n > held:  # these sequences end here; their posteriors sum to 1
+            last = after[held:n]
+            beta = np.concatenate([beta, last / (alpha[at + held : at + n] * last).sum(1, keepdims=True)])
         alpha[at : at + n] *= beta  # posteriors in place
     for s in range(states):
         emitted[:, s] += np.bincount(r.ids, alpha[:, s], minlength=len(emitted))
     return alpha[: int(r.active[0])][opens].sum(0, dtype=np.float64), moves * model.move
 
 
+def _products(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each sequence the matrix that takes the state weights before its first emission to those after its last, scaled."""
+    r = _Ragged(flat, begins, sizes)
+    states = model.move.shape[0]
+    move = model.move.astype(np.float32)
+    emit = (model.emit / model.emit.max(1, keepdims=True)).astype(np.float32)
+    out = np.empty((len(sizes), states, states))
+    p = np.repeat(np.eye(states, dtype=np.float32)[None], len(sizes), 0)
+    for t, n in enumerate(r.active):
+        out[r.order[n : len(p)]] = p[n:]
+        if t:
+            p = (p[:n].reshape(-1, states) @ move).reshape(n, states, states)
+        p = p * emit[r.ids[r.offset[t] : r.offset[t] + n], None, :]
+        if t % 4 == 3:
+            p /= p.sum((1, 2), keepdims=True)
+    out[r.order[: len(p)]] = p
+    return out / out.sum((1, 2), keepdims=True)
+
+
+def messages(model: Hmm, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each segment the state weights before its first emission and the backward weights after its last, as the rest of its
+    text has them; and the moves expected across the cuts. Segments of a text follow each other, the first one opens it."""
+    states = len(model.start)
+    enter, leave, across = np.repeat(model.start[None, :], len(sizes), 0), np.ones((len(sizes), states)), np.zeros((states, states))
+    goes_on = np.append(~opening[1:], False)
+    cut = np.flatnonzero(~opening | goes_on)
+    through = {}
+    for part in _cut(sizes[cut], BATCH_TOKENS):
+        through.update(zip(cut[part].tolist(), _products(model, flat, begins[cut[part]], sizes[cut[part]]), strict=True))
+    for j in cut.tolist():
+        if not opening[j]:
+            a = enter[j - 1] @ through[j - 1] @ model.move
+            enter[j] = a / a.sum()
+    for j in cut[::-1].tolist():
+        if goes_on[j]:
+            ahead = through[j + 1] @ leave[j + 1]
+            back = model.move @ ahead
+            leave[j] = back / back.sum()
+            both = (enter[j] @ through[j])[:, None] * model.move * ahead
+            across += both / both.sum()
+    return enter, leave, across
+
+
 def _segments(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All ids, and of each segment where it begins, its size, and whether it opens a text."""
     ids = batch.column("ids")
@@ -274,8 +325,10 @@ def baum_welch(coded: DataFrame, classes: int, states: int = STATES, rounds: int
                 if m is None:  # the first round counts the classes themselves
                     emitted[:, 0] += np.bincount(flat, minlength=classes)
                     continue
+                enter, leave, across = messages(m, flat, begins, sizes, opening)
+                moves += across
                 for part in _cut(sizes, BATCH_TOKENS):
-                    s, v = expected_counts(m, flat, begins[part], sizes[part], emitted, opening[part])
+                    s, v = expected_counts(m, flat, begins[part], sizes[part], emitted, opening[part], enter[part], leave[part])
                     starts, moves = starts + s, moves + v
             rows = np.concatenate([emitted, moves, starts[None, :]])
             some = np.flatnonzero(rows.any(1))

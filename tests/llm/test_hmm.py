@@ -117,6 +117,33 @@ def test_inner_segments_have_no_part_in_the_starts():
     assert sizes.tolist() == [H.SEGMENT, 3, 1, H.SEGMENT, H.SEGMENT] and opening.tolist() == [True, False, True, True, False] and begins[2] == H.SEGMENT + 3
 
 
+def test_counts_over_cuts_are_those_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(H, "SEGMENT", 16)
+    monkeypatch.setattr(H, "BATCH_TOKENS", 50)
+    r = np.random.default_rng(3)
+    m = H.Hmm(model(4, 9).start, 0.9 * np.eye(4) + 0.1 * model(4, 9).move, model(4, 9).emit)
+    listed = [r.integers(0, 9, n).tolist() for n in (1, 16, 17, 5, 160, 33, 7)]
+    flat, begins, sizes, opening = H._segments(pa.RecordBatch.from_pydict({"ids": pa.array(listed, pa.list_(pa.int32()))}))
+    enter, leave, moves = H.messages(m, flat, begins, sizes, opening)
+    emitted, starts = np.zeros((9, 4)), np.zeros(4)
+    for part in H._cut(sizes, 50):
+        s, v = H.expected_counts(m, flat, begins[part], sizes[part], emitted, opening[part], enter[part], leave[part])
+        starts, moves = starts + s, moves + v
+    n = np.array([len(x) for x in listed])
+    want = np.zeros((9, 4))
+    s, v = H.expected_counts(m, flat, np.cumsum(n) - n, n, want)
+    assert np.allclose(emitted, want, atol=1e-3) and np.allclose(starts, s, atol=1e-4) and np.allclose(moves, v, atol=1e-3)
+    assert math.isclose(moves.sum(), n.sum() - len(n), rel_tol=1e-4)
+
+
+def test_products_survive_unlikely_words():
+    emit = np.full((3, 2), 1e-30)
+    emit[0] = [1, 1e-12]
+    m = H.Hmm(np.array([0.5, 0.5]), np.array([[0.999999, 1e-6], [1e-6, 0.999999]]), emit)
+    out = H._products(m, np.array([0, 1, 2] * 700), np.array([0, 3]), np.array([3, 2_097]))
+    assert np.isfinite(out).all() and np.allclose(out.sum((1, 2)), 1)
+
+
 def test_joined_scores_equal_a_plain_forward_loop(spark, frame, monkeypatch):
     """score: the classes' forward recursion times the shares of pooled words in their classes, for a model taken as trained."""
     monkeypatch.setattr(H.count_words, "__defaults__", (6, 3))
