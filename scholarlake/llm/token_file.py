@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import new_path, steps, table
+from scholarlake.llm.common import new_path, small, steps, table
 from scholarlake.llm.parts import PartCoder
 
 END_ID = 0
@@ -103,7 +103,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row a file
     starts = list(accumulate((t.n for t in totals), initial=0))[:-1]
     offsets = spark.createDataFrame([(t.shard, s) for t, s in zip(totals, starts, strict=True)], "shard int, offset long")
-    return rows.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    return rows.join(small(offsets, 16), "shard").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
