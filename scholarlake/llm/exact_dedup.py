@@ -45,8 +45,8 @@ def frequent(rows: DataFrame, counters: int = COUNTERS) -> tuple[DataFrame, int]
     return summed.where(F.col("hits") >= least).select("digest"), least
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize: Callable[[Column], Column] | None = None, counters: int = COUNTERS) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, normalize: Callable[[Column], Column] | None, counters: int) -> DataFrame:
+    """exact_groups() with hot: whether the row's text is one of the verified frequent ones."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalize(text) if normalize else text
@@ -58,7 +58,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = rows.join(F.broadcast(winners), "digest")
     cold = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     cold = cold.join(cold.groupBy("digest").agg(*best), "digest")
-    return hot.unionByName(cold).select(
+    return hot.withColumn("hot", F.lit(True)).unionByName(cold.withColumn("hot", F.lit(False))).select(
+        "hot",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("group_size"),
@@ -67,16 +68,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that another row with the same text and a larger id makes redundant; columns as they are."""
-    groups = materialize(exact_groups(docs, id_col, text_col), "groups")
-    key = unused(docs, "dedup_key")
-    of = groups.groupBy(F.struct("doc_id", "text_sha256").alias(key)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    dropped, repeated = of.where(~F.col("kept")).select(key), of.where("kept AND rows > 1").select(key)
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize: Callable[[Column], Column] | None = None, counters: int = COUNTERS) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs, id_col, text_col, normalize, counters).drop("hot")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """docs without the rows that another row with the same text and a larger id makes redundant; columns as they are.
+
+    Rows of frequent texts are dropped by their broadcast winners where they are read; only the others meet their keys."""
+    groups = materialize(_groups(docs, id_col, text_col, None, counters), "groups")
+    key, winner = unused(docs, "dedup_key"), unused(docs, "dedup_winner")
+    same = F.struct("doc_id", "text_sha256")
+    of = groups.groupBy(same.alias(key)).agg(F.max("kept").alias("kept"), F.max("hot").alias("hot"), F.count(F.lit(1)).alias("rows"))
+    winners = groups.where("hot AND kept").select(same.alias(winner))  # one row a frequent text, at most `counters`
+    dropped, repeated = of.where("NOT kept AND NOT hot").select(key), of.where("kept AND rows > 1").select(key)
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("doc_id"), sha.alias("text_sha256")))
+    won = keyed.join(F.broadcast(winners), F.col(f"{key}.text_sha256") == F.col(f"{winner}.text_sha256"), "left")
+    won = won.where(F.col(winner).isNull() | F.col(f"{key}.doc_id").eqNullSafe(F.col(f"{winner}.doc_id"))).drop(winner)
     on = F.expr(f"d.{key} <=> x.{key}")  # ids may be null
-    kept = keyed.alias("d").join(small(dropped, 96).alias("x"), on, "left_anti")
+    kept = won.alias("d").join(small(dropped, 96).alias("x"), on, "left_anti")
     if not repeated.isEmpty():
         again = small(repeated, 96)
         once = kept.alias("d").join(again.alias("x"), on, "left_semi").dropDuplicates([key])

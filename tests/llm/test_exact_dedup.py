@@ -42,6 +42,16 @@ def test_filter_keeps_columns_and_one_row(frame):
     assert got == sorted([(2, "a"), (4, ""), (6, "b"), ROWS[8], (8, "A"), (None, "only"), (9, "x"), (9, "y")], key=str)
 
 
+def test_filter_of_frequent_and_other_texts(frame):
+    rows = [(i, ("hot", "hot", f"pair {i // 12}", f"one {i}")[i % 4]) for i in range(240)] + [(None, "hot"), (None, "pair 3"), (None, "alone"), (237, "hot"), (237, "hot")]
+    want = {}
+    for doc_id, text in rows:
+        want[text] = max(want.get(text, -1), -1 if doc_id is None else doc_id)
+    for counters in (2, 8, 1024):  # from most texts cold to every repeated one hot
+        got = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in exact_dedup(frame(rows), counters=counters).collect()]
+        assert sorted(got) == sorted((d, t) for t, d in want.items())
+
+
 def test_empty_table(frame):
     assert exact_groups(frame([])).collect() == []
     assert exact_dedup(frame([])).collect() == []
