@@ -14,6 +14,8 @@ from scholarlake.functions.text import chunks
 
 #: Query vectors of one pass; more are searched in further passes.
 QUERY_BLOCK = 2_048
+#: Scores of one numpy step.
+STEP_SCORES = 2_000_000
 
 
 def chunk_documents(docs: DataFrame, size: int = DEFAULTS.chunk_chars, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
@@ -21,6 +23,20 @@ def chunk_documents(docs: DataFrame, size: int = DEFAULTS.chunk_chars, overlap:
     return docs.where("text <> ''").select("doc_id", F.posexplode(chunks("text", size, overlap)).alias("chunk", "text"))
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column (a query) the k rows with the largest scores, the smaller id among equals."""
+    if len(ids) <= k:
+        return ids, scores
+    key = np.round(scores, 9)
+    key[np.isnan(key)] = -np.inf
+    row, query = np.nonzero(key >= np.partition(key, len(key) - k, axis=0)[len(key) - k])
+    order = np.lexsort((ids[row, query], -key[row, query], query))
+    row, query = row[order], query[order]
+    rows = row[np.arange(len(row)) - np.searchsorted(query, query) < k].reshape(ids.shape[1], k).T
+    at = np.arange(ids.shape[1])
+    return ids[rows, at], scores[rows, at]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k vectors with the largest inner product; ties go to the smaller id.
 
@@ -38,15 +54,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
         names, matrix = [r.query_id for r in part], np.array([r.q for r in part], float).T
 
         def search(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            n, rows = len(names), max(1, STEP_SCORES // len(names))
+            ids, scores = np.empty((0, n), np.int64), np.empty((0, n))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec = batch.column("vec_id").to_numpy()
-                flat = batch.column("embedding").values.to_numpy().astype(float)
-                scores = flat.reshape(len(vec), -1) @ matrix
-                for q, name in enumerate(names):
-                    best = np.lexsort((vec, -np.round(scores[:, q], 9)))[:k]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([name] * len(best), pa.int64()), "vec_id": pa.array(vec[best]), "similarity": pa.array(scores[best, q])})
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    vec = part.column("vec_id").to_numpy()
+                    found = part.column("embedding").flatten().to_numpy().astype(float).reshape(len(vec), -1) @ matrix
+                    ids = np.concatenate([ids, np.broadcast_to(vec[:, None], found.shape)])
+                    ids, scores = _best(ids, np.concatenate([scores, found]), k)
+            if len(ids):
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.tile(np.array(names, np.int64), len(ids))), "vec_id": pa.array(ids.ravel()), "similarity": pa.array(scores.ravel())})
 
         rows = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, similarity double")
         found = rows if found is None else found.unionByName(rows)

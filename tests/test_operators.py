@@ -270,6 +270,21 @@ def test_retrieval(spark):
     got = retrieval.nearest(v, v.where("vec_id = 2"), 3).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [2, 5, 8]
     assert retrieval.nearest(v, v.limit(0)).collect() == []
+
+
+def test_nearest_over_many_steps_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "STEP_SCORES", 30)
+    r = random.Random(4)
+    rows = [(i, [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(90)] + [(90, [float("nan")] * 3)]  # small whole numbers: many ties
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = v.where("vec_id % 9 = 0 AND vec_id < 90")
+    got = {}
+    for x in retrieval.nearest(v, queries, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.similarity))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for q, e in rows[:90:9]:
+        assert got[q] == sorted(((i, dot(e, f)) for i, f in rows[:90]), key=lambda x: (-x[1], x[0]))[:7]
+    assert len(got) == 10
     rows = spark.createDataFrame([(1, 0, "aaaa"), (1, 1, "aaaa"), (1, 2, "bbbb"), (1, 3, "cccc")], "doc_id int, ord int, text string")
     assert retrieval.capped_context(rows, 7).first().context == "aaaa\nbb"
 
