@@ -1,5 +1,7 @@
 import datetime
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholarlake.streaming import logs as W
@@ -8,36 +10,6 @@ from scholarlake.streaming import worker
 T0 = datetime.datetime(2024, 1, 1)
 
 
-def test_worker_processes_each_document_once(spark, tmp_path):
-    schema = "doc_id long, job_id long, text string"
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    jobs = lambda: spark.createDataFrame([(1, "running"), (2, "pending")], "job_id long, status string")
-    analyze = lambda d: d.withColumn("n", F.length("text")).withColumn("error", F.when(F.col("text") == "bad", "failed"))
-    for i in range(3):
-        spark.createDataFrame([(i, 1, "bad" if i == 1 else "fine"), (10 + i, 2, "later")], schema).write.mode("append").parquet(source)
-        worker.run_worker(worker.read_events(spark, source, schema), jobs, analyze, out, str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(out)
-    assert sorted((r.doc_id, r.status) for r in got.collect()) == [(0, "done"), (1, "error"), (2, "done")]
-    assert worker.progress(got).first().current == 3
-
-
-def test_a_replayed_batch_writes_its_rows_once(spark, tmp_path):
-    import shutil
-
-    schema = "doc_id long, job_id long, text string"
-    source, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    seen = []
-    run = lambda: worker.run_worker(
-        worker.read_events(spark, source, schema), lambda: spark.createDataFrame([(1, "running")], "job_id long, status string"), lambda d: d, out, ck,
-        settle=lambda jobs, done: seen.append((jobs.count(), done.count())),
-    ).awaitTermination()
-    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema).write.mode("append").parquet(source)
-    run()
-    shutil.rmtree(f"{ck}/commits")  # as if the driver was lost before the batch was committed
-    run()
-    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [1, 2] and seen == [(1, 2), (1, 2)]
-
-
 def test_timer_expires_documents(spark, tmp_path):
     schema = "doc_id long, status string, ts timestamp"
     at = lambda s: T0 + datetime.timedelta(seconds=s)
@@ -50,6 +22,50 @@ def test_timer_expires_documents(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "error", "timeout")]
 
 
+def test_timers_with_events_out_of_order(spark, tmp_path):
+    schema = "doc_id long, status string, ts timestamp"
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    batches = [
+        [(1, "done", at(20)), (2, "done", at(20)), (2, "processing", at(30)), (3, "processing", at(40))],  # 2: ended, then claimed again
+        [(1, "processing", at(10)), (3, "done", at(40))],  # the claim of 1 comes after its end
+        [(4, "processing", at(900)), (5, "error", at(900))],
+        [(6, "queued", at(2000))],
+        [(6, "queued", at(2001))],
+    ]
+    source = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        late = worker.expired(worker.read_events(spark, source, schema), delay="100 seconds")
+        q = late.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out"))
+        q.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(2, "error", "timeout"), (4, "error", "timeout")]
+
+
+@pytest.mark.parametrize("seconds", [1, 600, 0])
+def test_cached_records_are_served(spark, tmp_path, seconds):
+    schema, asked = "doi string, n int", tmp_path / "asked"
+    source = str(tmp_path / "in")
+
+    def lookup(key):
+        with asked.open("a") as f:
+            f.write(key + "\n")
+        return None if key == "10.1/none" else f"record of {key}"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        found = worker.cached_lookups(worker.read_events(spark, source, schema), lookup, seconds)
+        query = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out"))
+        query.trigger(once=True).start().awaitTermination()
+
+    run([(" 10.1/A ", 1), ("10.1/a", 2), ("10.1/none", 3), (None, 4)])
+    time.sleep(1.2)
+    run([("10.1/a", 5), ("10.1/none", 6)])
+    rows = {r.n: (r.doi, r.record, r.hit) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {n: r[1] for n, r in rows.items()} == {n: None if n in (3, 6) else "record of 10.1/a" for n in (1, 2, 3, 5, 6)}
+    assert rows[1][0] == " 10.1/A " and not rows[1][2] and rows[5][2] == rows[6][2] == (seconds != 1)
+    assert sorted(asked.read_text().split()) == sorted(["10.1/a", "10.1/none"] * (2 if seconds == 1 else 1))
+
+
 def test_late_documents_expire(spark):
     rows = spark.createDataFrame([(1, "processing", T0, None), (2, "processing", T0 + datetime.timedelta(seconds=900), None), (3, "done", T0, None)], "doc_id int, status string, claimed_at timestamp, error string")
     got = {r.doc_id: (r.status, r.error) for r in worker.expire(rows, T0 + datetime.timedelta(seconds=901)).collect()}
