@@ -38,6 +38,19 @@ EMBEDDED = (
 )
 DATA_HINTS = ("zenodo.org", "figshare.com", "dryad", "dataverse", "osf.io", "openneuro", "doi.org/10.")
 CODE_HINTS = ("github.com", "gitlab", "bitbucket", "huggingface.co", "codeberg.org")
+#: What a mail gateway puts before and behind a link.
+GATEWAY = r"(?i)https?://\s*urlde\s*fense\s*\.\s*com\s*/\s*v3\s*/\s*__\s*/?"
+GATEWAY_END = r"(__\s*;?\s*!!\s*[A-Za-z0-9!$\-_\s+/=]+?)(\s+(?:and|the|on|at|in|from|or|to|is|are)\b|$)"
+#: Characters that text extraction leaves behind.
+INVISIBLE = "[\u200b\u200c\u200d\u00ad\ufeff]"
+#: Words that end a URL of a page's layout, its most characters after the scheme, and those that it may have.
+URL_ENDS = ("and", "the", "on", "at", "in", "from", "or", "to", "are", "is")
+URL_CHARS = 200
+URL_CLASS = r"[\p{L}\p{N}.\-_/=?&:#%]"
+#: Starts of paragraphs that a page's layout clean-up drops.
+DROPPED_STARTS = ("orcid", "keywords", "received", "accepted", "submitted", "correspondence", "references")
+#: Where the recursive splitter cuts, coarsest first; between characters after these.
+SPLIT_AT = ("\n\n", "\n", " ")
 #: Pattern and license, the first that matches wins.
 LICENSES = (
     (r"creative\s+commons\s+attribution\s+4\.0", "CC-BY-4.0"),

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholarlake.config import SPLIT_AT
+
 _MARK = "\u0001"
+#: What belongs to a word.
+WORD = r"[\p{L}\p{N}_]"
 
 
 def col(x: Column | str) -> Column:
@@ -46,8 +50,11 @@ def join_lines(x: Column | str) -> Column:
 
 
 def compact_letters(x: Column | str) -> Column:
-    """Five or more single letters set apart by spaces become one word; URLs have no such runs."""
-    return F.regexp_replace(col(x), r"(?U)(?:(?<![\w])(?=(?:[a-zA-Z]\b\s+){4}[a-zA-Z]\b)|(?!^)\G)([a-zA-Z])\s+(?=[a-zA-Z]\b)", "$1")
+    """Five or more single letters set apart by spaces become one word; URLs have no such runs.
+
+    A character beyond 16 bits before a run does not count as a part of its first letter's word."""
+    letter = rf"[a-zA-Z](?!{WORD})"
+    return F.regexp_replace(col(x), rf"(?U)(?:(?<!{WORD})(?=(?:{letter}\s+){{4}}{letter})|(?!^)\G)([a-zA-Z])\s+(?={letter})", "$1")
 
 
 def sentences(x: Column | str) -> Column:
@@ -75,19 +82,6 @@ def paragraphs(x: Column | str) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " "))), lambda p: p != "")
 
 
-_DROPPED = r"(?i)^(?:orcid|keywords?|received|accepted|submitted|correspondence|references)\b|©|(?i)copyright"
-
-
-def clean_paragraph(x: Column | str) -> Column:
-    """Layout clean-up of a paragraph; null if it is one of those that are dropped."""
-    x = F.regexp_replace(col(x), "[–—]", "-")
-    x = collapse(dehyphenate(x))
-    x = F.regexp_replace(x, r"\s+([.,])", "$1")
-    x = compact_letters(repair_scheme(x))
-    x = F.regexp_replace(x, r"(https?://\S{10,}?)(?=https?://)", "$1 ")
-    return F.when(~x.rlike(_DROPPED), x)
-
-
 def repair_spacing(x: Column | str) -> Column:
     x = F.regexp_replace(col(x), r"(\w)-\s+(\w)", "$1$2")
     x = F.regexp_replace(F.replace(x, F.lit(" - "), F.lit("-")), r"\s+", " ")
@@ -126,6 +120,59 @@ def chunks(x: Column | str, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(x, i * (size - overlap) + 1, F.lit(size)))
 
 
+def _pieces(x: Column, at: str) -> Column:
+    """x cut before each `at`, which stays with what follows; no empty pieces."""
+    parts = F.transform(F.split(x, at, -1), lambda p, i: F.when(i > 0, F.concat(F.lit(at), p)).otherwise(p))
+    return F.filter(parts, lambda p: p != "")
+
+
+def _leaves(x: Column, size: int, overlap: int, at: tuple[str, ...]) -> Column:
+    """Array of (text, opens): pieces shorter than size, each from the coarsest cut that makes it so; opens: no merge with the one before.
+
+    What has no cut left is given as windows, which nothing is merged with."""
+    leaf = lambda text, opens: F.struct(text.alias("text"), opens.alias("opens"))
+    if not at:
+        return F.transform(chunks(x, size, overlap), lambda w: leaf(w, F.lit(True)))
+    pieces = F.transform(_pieces(x, at[0]), lambda p: F.struct(p.alias("p"), (F.length(p) >= size).alias("long")))
+
+    def expand(all_: Column, piece: Column, i: Column) -> Column:
+        opens = (i == 0) | F.coalesce(F.get(all_, i - 1)["long"], F.lit(False))
+        return F.when(piece["long"], _leaves(piece["p"], size, overlap, at[1:])).otherwise(F.array(leaf(piece["p"], opens)))
+
+    # the pieces as one element of an array: made once, and each can look at its neighbour
+    return F.flatten(F.transform(F.array(pieces), lambda all_: F.flatten(F.transform(all_, lambda p, i: expand(all_, p, i)))))
+
+
+def recursive_chunks(x: Column | str, size: int, overlap: int, at: tuple[str, ...] = SPLIT_AT) -> Column:
+    """Array of chunks of at most `size` characters: x is cut at the coarsest marks, pieces that stay too long at the next
+    finer ones, at last between characters; then pieces are merged greedily, each chunk beginning with pieces of the one
+    before it of at most `overlap` characters. White space around a chunk is left out, and so are blank ones.
+
+    A fold over the pieces holds those of the open chunk and the chunks so far."""
+    strip = lambda t: F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+    def closed(held: Column) -> Column:
+        return F.when(F.size(held["open"]) > 0, F.concat(held["out"], F.array(strip(F.array_join(held["open"], ""))))).otherwise(held["out"])
+
+    def fold(held: Column, leaf: Column) -> Column:
+        more = F.length(leaf["text"])
+        full = held["total"] + more > size
+        first = F.struct(F.lit(0).alias("gone"), held["total"].alias("left"))
+
+        def drop(state: Column, piece: Column) -> Column:
+            over = (state["left"] > overlap) | ((state["left"] + more > size) & (state["left"] > 0))
+            return F.when(over, F.struct((state["gone"] + 1).alias("gone"), (state["left"] - F.length(piece)).alias("left"))).otherwise(state)
+
+        kept = F.aggregate(held["open"], first, drop)
+        rest = F.slice(held["open"], kept["gone"] + 1, F.size(held["open"]))
+        none = F.array().cast("array<string>")
+        make = lambda open_, total, out: F.struct(F.concat(open_, F.array(leaf["text"])).alias("open"), (total + more).alias("total"), out.alias("out"))
+        return F.when(leaf["opens"], make(none, F.lit(0), closed(held))).when(full, make(rest, kept["left"], closed(held))).otherwise(make(held["open"], held["total"], held["out"]))
+
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("total"), F.array().cast("array<string>").alias("out"))
+    return F.filter(F.aggregate(_leaves(col(x), size, overlap, at), start, fold, closed), lambda c: c != "")
+
+
 def parse_list(x: Column | str) -> Column:
     """A JSON array or comma list as trimmed lower-case entries."""
     x = col(x)

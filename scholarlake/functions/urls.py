@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholarlake.config import CODE_HINTS, DATA_HINTS, DEFAULTS, Settings
+from scholarlake.config import CODE_HINTS, DATA_HINTS, DEFAULTS, DROPPED_STARTS, GATEWAY, GATEWAY_END, INVISIBLE, URL_CHARS, URL_CLASS, URL_ENDS, Settings
 from scholarlake.functions.doi import is_dataset
-from scholarlake.functions.text import any_of, col
+from scholarlake.functions.text import WORD, any_of, col, compact_letters, repair_scheme
 
 _HOSTS = ("zenodo", "dryad", "github", "gitlab", "osf")
-#: Characters that text extraction leaves behind.
-_INVISIBLE = "[\u200b\u200c\u200d\u00ad\ufeff]"
-_GATEWAY = r"(?i)https?://\s*urlde\s*fense\s*\.\s*com\s*/\s*v3\s*/\s*__\s*/?"
-_GATEWAY_END = r"(__\s*;?\s*!!\s*[A-Za-z0-9!$\-_\s+/=]+?)(\s+(?:and|the|on|at|in|from|or|to|is|are)\b|$)"
 #: White space that a URL swallows: after a closing mark of its own, or where a URL mark is among the next 13 characters.
 _GAP = r"(https?://\S*[=\-_])\s+(?=\S)|(https?://\S+)\s+(?=[/?\-_=.]|\S[^/?\-_=.]{0,11}[/?\-_=.])"
 
@@ -31,23 +27,12 @@ def domain(x: Column | str) -> Column:
     return F.nullif(host, F.lit(""))
 
 
-def repair_urls(x: Column | str, passes: int = 10) -> Column:
-    """White space inside URLs is taken out; known host names are glued again, inside URLs only."""
-    x = F.regexp_replace(col(x), _INVISIBLE, "")
-    x = F.regexp_replace(x, r"(?i)\b(https?)\s*:\s*/\s*/\s*", "$1://")
-    for name in _HOSTS:
-        x = F.regexp_replace(x, r"(?i)(https?://(?:www\.)?)" + r"\s*".join(name) + r"\s*\.\s*(?=org|com|io)", f"$1{name}.")
-    for _ in range(passes):
-        x = F.regexp_replace(x, r"(https?://\S*[=\-_])\s+(\S)|(https?://\S+)\s+([/?\-_=.]|\S(?=\S{0,11}[/?\-_=]))", "$1$2$3$4")
-    return x
-
-
 def canonical(x: Column | str, passes: int = 10) -> Column:
     """Text as links are read from it: no invisible characters, no mail gateway around links, known hosts and broken URLs glued.
 
     Host names are glued inside URLs only."""
-    x = F.regexp_replace(col(x), _INVISIBLE, "")
-    x = F.regexp_replace(F.regexp_replace(x, _GATEWAY, ""), _GATEWAY_END, "$2")
+    x = F.regexp_replace(col(x), INVISIBLE, "")
+    x = F.regexp_replace(F.regexp_replace(x, GATEWAY, ""), GATEWAY_END, "$2")
     for name in _HOSTS:
         x = F.regexp_replace(x, r"(?i)(https?://(?:www\.)?)" + r"\s*".join(name) + r"\s*\.\s*(?=org|com|io)", f"$1{name}.")
     for _ in range(passes):
@@ -55,20 +40,44 @@ def canonical(x: Column | str, passes: int = 10) -> Column:
     return x
 
 
-def unwrap(x: Column | str) -> Column:
-    """Links rewritten by a mail gateway, as the links they stand for."""
-    return F.regexp_replace(col(x), r"(?i)https?://urldefense\.(?:proofpoint\.)?com/v\d/__(https?://\S+?)__;\S*", "$1")
+#: A URL of a page's layout: a scheme, then URL characters up to the most, white space between them swallowed unless an
+#: end word follows. After the last character of the most no white space is swallowed. Possessive, so it never backtracks.
+_SPACE = r"(?:[\t\n\r]|(?! (?:" + "|".join(URL_ENDS) + ") ) )"
+_LAYOUT_URL = rf"(?i:https?://)(?:(?:{_SPACE}*+{URL_CLASS}){{{URL_CHARS}}}+|(?:{_SPACE}*+{URL_CLASS}){{0,{URL_CHARS - 1}}}+{_SPACE}*+)"
 
 
-def layout_urls(x: Column | str, most: int = 20) -> Column:
-    """For text from page layout: links unwrapped, then white space after a scheme swallowed while what follows still looks
-    like a URL (it has a dot, slash or other URL mark within its next characters) and is no common word."""
-    x = unwrap(F.regexp_replace(col(x), _INVISIBLE, ""))
-    x = F.regexp_replace(x, r"(?i)\b(https?)\s*:\s*/\s*/\s*", "$1://")
-    stop = r"(?!(?:and|or|the|in|at|is|are|for|from|with)\b)"
-    for _ in range(most):
-        x = F.regexp_replace(x, r"(?i)(https?://\S{0,200})\s+" + stop + r"(?=[A-Za-z0-9]*[./_=?&%#~-])([A-Za-z0-9./_=?&%#~-])", "$1$2")
-    return x
+def layout_urls(x: Column | str) -> Column:
+    """For text from page layout: no invisible characters, no mail gateway, schemes repaired, then in each URL all white space
+    taken out up to an end word, another character or the most characters. One pass over the text: what matches is a URL,
+    what is between matches stays."""
+    x = repair_scheme(F.regexp_replace(F.regexp_replace(col(x), INVISIBLE, ""), GATEWAY, ""))
+    between = F.split(x, _LAYOUT_URL, -1)
+    glued = F.transform(F.regexp_extract_all(x, F.lit(_LAYOUT_URL), F.lit(0)), lambda u: F.translate(u, " \t\n\r", ""))
+    parts = F.zip_with(between, glued, lambda text, url: F.concat(text, F.coalesce(url, F.lit(""))))
+    return F.when(x.rlike("(?i)https?://"), F.array_join(parts, "")).otherwise(x)
+
+
+def outside_urls(x: Column | str, change) -> Column:
+    """x with `change` made to what is between URLs; neighbours of a URL count as within a word."""
+    x = col(x)
+    between, urls = F.split(x, r"(?i:https?://)\S+", -1), F.regexp_extract_all(x, F.lit(r"(?i:https?://)\S+"), F.lit(0))
+    edge = lambda on: F.when(on, "_").otherwise("")
+    held = F.transform(between, lambda text, i: F.struct(text.alias("text"), (i > 0).alias("after"), (i < F.size(urls)).alias("before")))
+    changed = F.transform(held, lambda h: F.struct(change(F.concat(edge(h["after"]), h["text"], edge(h["before"]))).alias("text"), h["after"].cast("int").alias("after"), h["before"].cast("int").alias("before")))
+    inner = F.transform(changed, lambda h: F.substr(h["text"], h["after"] + 1, F.length(h["text"]) - h["after"] - h["before"]))
+    return F.array_join(F.zip_with(inner, urls, lambda text, url: F.concat(text, F.coalesce(url, F.lit("")))), "")
+
+
+def clean_paragraph(x: Column | str) -> Column:
+    """Layout clean-up of a paragraph: dashes, broken words, spacing, URLs, spaced letters outside URLs, fused URLs cut; null if it is one of those that are dropped."""
+    x = F.regexp_replace(col(x), "[\u2013\u2014]", "-")
+    x = F.regexp_replace(x, rf"(?U)({WORD})-\s*\n\s*({WORD})", "$1$2")
+    x = F.regexp_replace(x, r"(?U)\s+", " ")
+    x = F.regexp_replace(x, r" ([.,])", "$1")
+    x = outside_urls(layout_urls(x), compact_letters)
+    x = F.regexp_replace(x, r"(https?://\S{10,}?)(https?://)", "$1 $2")
+    dropped = x.rlike("(?i)^(?:" + "|".join(DROPPED_STARTS) + ")|\u00a9|copyright")
+    return F.when(~dropped, F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
 
 
 def glue_host(x: Column | str) -> Column:

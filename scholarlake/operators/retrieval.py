@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlake.config import DEFAULTS
-from scholarlake.functions.text import chunks
+from scholarlake.functions.text import chunks, recursive_chunks
 
 #: Query vectors of one pass; more are searched in further passes.
 QUERY_BLOCK = 2_048
@@ -18,9 +18,10 @@ QUERY_BLOCK = 2_048
 STEP_SCORES = 2_000_000
 
 
-def chunk_documents(docs: DataFrame, size: int = DEFAULTS.chunk_chars, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
-    """doc_id, chunk, text: overlapping windows of characters."""
-    return docs.where("text <> ''").select("doc_id", F.posexplode(chunks("text", size, overlap)).alias("chunk", "text"))
+def chunk_documents(docs: DataFrame, size: int = DEFAULTS.chunk_chars, overlap: int = DEFAULTS.chunk_overlap, recursive: bool = False) -> DataFrame:
+    """doc_id, chunk, text: overlapping windows of characters, or chunks that end where paragraphs, lines or words do."""
+    cut = recursive_chunks if recursive else chunks
+    return docs.where("text <> ''").select("doc_id", F.posexplode(cut("text", size, overlap)).alias("chunk", "text"))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

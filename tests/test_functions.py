@@ -38,10 +38,10 @@ CASES = [
     (T.statement_sentences, "A is here. B is there; C.", ["A is here.", "B is there; C."]),
     (T.normalize, "exam-\nple text\ngoes on. Next one", "example text goes on.\nNext one"),
     (T.paragraphs, "a\r\nb\n \n\n c \n\n", ["a b", "c"]),
-    (T.clean_paragraph, "a — b , c", "a - b, c"),
-    (T.clean_paragraph, "Received 5 May", None),
-    (T.clean_paragraph, "© 2020 Someone", None),
-    (T.clean_paragraph, "https://github.com/a/bhttps://github.com/c", "https://github.com/a/b https://github.com/c"),
+    (U.clean_paragraph, "a — b , c", "a - b, c"),
+    (U.clean_paragraph, "Received 5 May", None),
+    (U.clean_paragraph, "© 2020 Someone", None),
+    (U.clean_paragraph, "https://github.com/a/bhttps://github.com/c", "https://github.com/a/b https://github.com/c"),
     (T.repair_spacing, "exam- ple a - b , c .", "example a-b, c."),
     (T.alpha_ratio, "ab12", 0.5),
     (T.singleton_ratio, "a b cd e", 0.75),
@@ -49,6 +49,9 @@ CASES = [
     (T.tokens, "The the DATA-set of 12 123", ["the", "data", "set", "123"]),
     (lambda c: T.chunks(c, 4, 1), "abcdefgh", ["abcd", "defg", "gh"]),
     (lambda c: T.chunks(c, 4, 1), "abc", ["abc"]),
+    (lambda c: T.recursive_chunks(c, 10, 4), "aa bb cc dd ee", ["aa bb cc", "cc dd ee"]),
+    (lambda c: T.recursive_chunks(c, 10, 4), " \n\n ", []),
+    (lambda c: T.recursive_chunks(c, 4, 1), "abcdefgh", ["abcd", "defg", "gh"]),
     (T.parse_list, '["A.org", " b "]', ["a.org", "b"]),
     (T.parse_list, "A.org, b ,,", ["a.org", "b"]),
     (T.none_to_null, " N/A ", None),
@@ -68,11 +71,15 @@ CASES = [
     (U.clean_link, "ftp://x.org", None),
     (lambda c: U.links(c, "data"), "https://zenodo.org/1, https://zenodo.org/1 https://github.com/a https://doi.org/10.5281/z https://doi.org/10.1/z https://orcid.org/1", ["https://zenodo.org/1", "https://doi.org/10.5281/z"]),
     (lambda c: U.links(c, "code"), "https://www.github.com/a/b https://doi.org/10.5281/z https://gitlab.com/c", ["https://www.github.com/a/b", "https://gitlab.com/c"]),
-    (U.repair_urls, "at https://zenod o.org/record/12?a= 5 now", "at https://zenodo.org/record/12?a=5 now"),
-    (U.repair_urls, "videos for all", "videos for all"),
-    (U.unwrap, "see https://urldefense.com/v3/__https://zenodo.org/record/1__;!!N11eV! ok", "see https://zenodo.org/record/1 ok"),
     (U.layout_urls, "at http : // zen odo.org/rec ord/12 and more", "at http://zenodo.org/record/12 and more"),
     (U.layout_urls, "at https://x.org/a in the end", "at https://x.org/a in the end"),
+    (U.layout_urls, "HTTPS://X.org/ a b\tc (d) e", "HTTPS://X.org/abc(d) e"),
+    (U.layout_urls, "no scheme here , at all", "no scheme here , at all"),
+    (U.layout_urls, "http s://a.b c", "http s://a.b c"),
+    (U.layout_urls, "https:// urlde fense .com / v3 / __ https://osf.io/a\u200bb ok", "https://osf.io/abok"),
+    (U.clean_paragraph, "a b c d e f https://x.org/a b c d e and so", "abcdef https://x.org/abcde and so"),
+    (U.clean_paragraph, "keywordless", "keywordless"),
+    (U.clean_paragraph, "Keywords: x", None),
     (U.inspected, "www.x.org/a,", "https://www.x.org/a"),
     (U.inspected, "mailto:x", None),
     (U.link_kind, "https://doi.org/10.1/x", "data"),
