@@ -16,6 +16,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, body) -> Column:
+    """body(x) with x worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def any_of(x: Column, words) -> Column:
     """Whether x contains one of the words."""
     out = F.lit(False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.config import CODE_HINTS, DATA_HINTS, DEFAULTS, DROPPED_STARTS, GATEWAY, GATEWAY_END, INVISIBLE, URL_CHARS, URL_CLASS, URL_ENDS, Settings
 from scholarlake.functions.doi import is_dataset
-from scholarlake.functions.text import WORD, any_of, col, compact_letters, repair_scheme
+from scholarlake.functions.text import WORD, any_of, col, compact_letters, let, repair_scheme
 
 _HOSTS = ("zenodo", "dryad", "github", "gitlab", "osf")
 #: White space that a URL swallows: after a closing mark of its own, or where a URL mark is among the next 13 characters.
@@ -51,21 +51,30 @@ def layout_urls(x: Column | str) -> Column:
     taken out up to an end word, another character or the most characters. One pass over the text: what matches is a URL,
     what is between matches stays."""
     x = repair_scheme(F.regexp_replace(F.regexp_replace(col(x), INVISIBLE, ""), GATEWAY, ""))
-    between = F.split(x, _LAYOUT_URL, -1)
-    glued = F.transform(F.regexp_extract_all(x, F.lit(_LAYOUT_URL), F.lit(0)), lambda u: F.translate(u, " \t\n\r", ""))
-    parts = F.zip_with(between, glued, lambda text, url: F.concat(text, F.coalesce(url, F.lit(""))))
-    return F.when(x.rlike("(?i)https?://"), F.array_join(parts, "")).otherwise(x)
+
+    def glue(text: Column) -> Column:
+        glued = F.transform(F.regexp_extract_all(text, F.lit(_LAYOUT_URL), F.lit(0)), lambda u: F.translate(u, " \t\n\r", ""))
+        parts = F.zip_with(F.split(text, _LAYOUT_URL, -1), glued, lambda between, url: F.concat(between, F.coalesce(url, F.lit(""))))
+        return F.when(text.rlike("(?i)https?://"), F.array_join(parts, "")).otherwise(text)
+
+    return let(x, glue)
 
 
 def outside_urls(x: Column | str, change) -> Column:
     """x with `change` made to what is between URLs; neighbours of a URL count as within a word."""
-    x = col(x)
-    between, urls = F.split(x, r"(?i:https?://)\S+", -1), F.regexp_extract_all(x, F.lit(r"(?i:https?://)\S+"), F.lit(0))
-    edge = lambda on: F.when(on, "_").otherwise("")
-    held = F.transform(between, lambda text, i: F.struct(text.alias("text"), (i > 0).alias("after"), (i < F.size(urls)).alias("before")))
-    changed = F.transform(held, lambda h: F.struct(change(F.concat(edge(h["after"]), h["text"], edge(h["before"]))).alias("text"), h["after"].cast("int").alias("after"), h["before"].cast("int").alias("before")))
-    inner = F.transform(changed, lambda h: F.substr(h["text"], h["after"] + 1, F.length(h["text"]) - h["after"] - h["before"]))
-    return F.array_join(F.zip_with(inner, urls, lambda text, url: F.concat(text, F.coalesce(url, F.lit("")))), "")
+    url = r"(?i:https?://)\S+"
+
+    def one(part: Column, i: Column) -> Column:
+        after, before = (i > 0).cast("int"), part["url"].isNotNull().cast("int")
+        edge = lambda n: F.repeat(F.lit("_"), n)
+        changed = let(change(F.concat(edge(after), part["text"], edge(before))), lambda t: F.substr(t, after + 1, F.length(t) - after - before))
+        return F.concat(changed, F.coalesce(part["url"], F.lit("")))
+
+    def every(text: Column) -> Column:
+        parts = F.zip_with(F.split(text, url, -1), F.regexp_extract_all(text, F.lit(url), F.lit(0)), lambda t, u: F.struct(t.alias("text"), u.alias("url")))
+        return F.when(text.rlike(url), F.array_join(F.transform(parts, one), "")).otherwise(change(text))
+
+    return let(col(x), every)
 
 
 def clean_paragraph(x: Column | str) -> Column:
@@ -76,8 +85,8 @@ def clean_paragraph(x: Column | str) -> Column:
     x = F.regexp_replace(x, r" ([.,])", "$1")
     x = outside_urls(layout_urls(x), compact_letters)
     x = F.regexp_replace(x, r"(https?://\S{10,}?)(https?://)", "$1 $2")
-    dropped = x.rlike("(?i)^(?:" + "|".join(DROPPED_STARTS) + ")|\u00a9|copyright")
-    return F.when(~dropped, F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    dropped = "(?i)^(?:" + "|".join(DROPPED_STARTS) + ")|\u00a9|copyright"
+    return let(x, lambda text: F.when(~text.rlike(dropped), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")))
 
 
 def glue_host(x: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlake.functions import text as T
+from scholarlake.functions import urls as U
 
 LINE_STEP = 2.5
 PARAGRAPH_GAP = 12.0
@@ -58,12 +59,16 @@ def line_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy("page_id", "col", "line").agg(F.min("top").alias("top"), F.max_by("bottom", F.struct("top", "x0", "word_id")).alias("bottom"), joined.alias("text"))
 
 
-def paragraph_text(lines: DataFrame, gap: float = PARAGRAPH_GAP) -> DataFrame:
-    """page_id, col, pos, text: paragraphs of words with text, by column; broken URLs and short headings take what follows them."""
+def paragraph_text(lines: DataFrame, gap: float = PARAGRAPH_GAP, clean: bool = False) -> DataFrame:
+    """page_id, col, pos, text: paragraphs of words with text, by column; broken URLs and short headings take what follows them.
+
+    clean: each paragraph is cleaned first, and those that the clean-up drops are left out."""
     order = Window.partitionBy("page_id", "col").orderBy("line")
     rows = line_text(lines).withColumn("opens", F.when(F.col("top") - F.lag("bottom").over(order) > gap, 1).otherwise(0))
     rows = rows.withColumn("paragraph", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("text <> ''")
     per = rows.groupBy("page_id", "col", "paragraph").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
+    if clean:
+        per = per.withColumn("text", U.clean_paragraph("text")).where("text <> ''")
     held = per.groupBy("page_id", "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]).alias("texts"))
     return held.select("page_id", "col", F.posexplode(T.merge_headings(T.merge_broken_urls("texts"))).alias("pos", "text"))
 

@@ -14,6 +14,8 @@ from scholarlake.functions.text import chunks, recursive_chunks
 
 #: Query vectors of one pass; more are searched in further passes.
 QUERY_BLOCK = 2_048
+#: Vectors of one key that meet in one task.
+KEY_BLOCK = 16_384
 #: Scores of one numpy step.
 STEP_SCORES = 2_000_000
 
@@ -75,6 +77,58 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best_within(k: int):
+    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("key", queries.schema.field("key").type), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        rows = lambda t: t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        ids, names, matrix = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy(), rows(queries)
+        held = rows(vectors)
+        out_ids, scores = np.empty((0, len(names)), np.int64), np.empty((0, len(names)))
+        step = max(1, STEP_SCORES // len(names))
+        for start in range(0, len(ids), step):
+            found = held[start : start + step] @ matrix.T
+            part = np.broadcast_to(ids[start : start + step, None], found.shape)
+            out_ids, scores = _best(np.concatenate([out_ids, part]), np.concatenate([scores, found]), k)
+        key = pa.array([queries["key"][0].as_py()] * scores.size, schema.field("key").type)
+        return pa.table([key, pa.array(np.tile(names, len(out_ids))), pa.array(out_ids.ravel()), pa.array(scores.ravel())], schema=schema)
+
+    return search
+
+
+def nearest_within(vectors: DataFrame, queries: DataFrame, k: int = 4, key: str = "doc_id") -> DataFrame:
+    """key, query_id, vec_id, similarity, rank: for each query (its own key, vec_id, embedding) the k vectors of the same key with
+    the largest inner product; ties go to the smaller id. Null keys and null embeddings take no part.
+
+    The vectors and queries of a key meet in blocks of bounded size, so a key with very many of them is shared among tasks;
+    each block keeps k rows a query. Vectors of a key are of one length.
+    """
+    wide = lambda rows: rows.where(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(F.col(key).alias("key"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = wide(queries).withColumnRenamed("vec_id", "query_id")
+    held = wide(vectors).join(asked.select("key").distinct(), "key", "left_semi")  # keys without a query are done
+    blocks = lambda rows, size, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    plan = blocks(held, KEY_BLOCK, "v").join(blocks(asked, QUERY_BLOCK, "q"), "key")
+
+    def dealt(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        placed = rows.join(plan, "key").withColumn(f"at_{own}", F.pmod(F.xxhash64(name), F.col(own)).cast("int"))
+        return placed.withColumn(f"at_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("v", "q")
+
+    keys = ("key", "at_v", "at_q")
+    both = dealt(held, "v", "q", "vec_id").groupBy(*keys).cogroup(dealt(asked, "q", "v", "query_id").groupBy(*keys))
+    found = both.applyInArrow(_best_within(k), f"key {dict(held.dtypes)['key']}, query_id long, vec_id long, similarity double")
+    order = Window.partitionBy("key", "query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("key", key)
+
+
+def retrieved_context(chunks: DataFrame, queries: DataFrame, k: int, max_chars: int) -> DataFrame:
+    """doc_id, context: of each document's chunks (doc_id, vec_id, text, embedding) those that any of its queries finds, nearest
+    first, as one text of at most max_chars."""
+    found = nearest_within(chunks, queries, k).groupBy("doc_id", "vec_id").agg(F.min(F.struct("rank", (-F.col("similarity")).alias("minus"), "query_id")).alias("ord"))
+    return capped_context(found.join(chunks.select("doc_id", "vec_id", "text"), ["doc_id", "vec_id"]).select("doc_id", "ord", "text"), max_chars)
+
+
 def capped_context(rows: DataFrame, max_chars: int) -> DataFrame:
     """doc_id, context: distinct texts (doc_id, ord, text) in order, joined by line feeds, stopping once max_chars is reached and cut there."""
     first = rows.groupBy("doc_id", "text").agg(F.min("ord").alias("ord"))

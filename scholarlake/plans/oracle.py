@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from scholarlake.config import (
     CODE_DOMAINS, CODE_HEADINGS, CODE_HINTS, CODE_KEYWORDS, DATA_DOMAINS, DATA_HEADINGS, DATA_HINTS, DATA_KEYWORDS, DATASET_PREFIXES, DENIED, EMBEDDED,
-    FUTURE, LICENSES, RESOLVER_STOPWORDS, RESTRICTED, STATEMENT_GAP, STATEMENT_WORDS, TITLE_STOPWORDS,
+    FUTURE, GATEWAY, INVISIBLE, LICENSES, RESOLVER_STOPWORDS, RESTRICTED, STATEMENT_GAP, STATEMENT_WORDS, TITLE_STOPWORDS, URL_CHARS, URL_CLASS, URL_ENDS,
 )
 from scholarlake.plans.views import with_views
 
@@ -249,6 +249,19 @@ k AS (SELECT DISTINCT page_id AS id, url, CASE WHEN {has("lower(url)", DATA_HINT
 SELECT * FROM k""",
     "url_domains": f"SELECT {domain('url')} AS domain, count(*) AS n, count(*) FILTER ({is_url('url')}) AS valid FROM pages GROUP BY 1",
     "url_repair": r"SELECT doc_id, seq, regexp_replace(text, '(https?://[a-z]+)\s+([a-z]+\.(?:org|com|io))', '\1\2', 'g') AS text FROM papers_view WHERE contains(text, 'http')",
+    # one URL a step: what is before its scheme is done, then the run up to an end word, another character or the most characters
+    "layout_url_repair": rf"""
+WITH RECURSIVE u0 AS (
+ SELECT doc_id, seq, '' AS done, regexp_replace(regexp_replace(regexp_replace(text, '{INVISIBLE}', '', 'g'), '{GATEWAY}', '', 'g'), '(?i)(https?)\s*:\s*/\s*/\s*', '\1://', 'g') AS rest
+ FROM papers_view WHERE contains(text, 'http')
+ UNION ALL
+ SELECT doc_id, seq, done || before || scheme || regexp_replace(run, '[ \t\n\r]', '', 'g'), substr(tail, length(run) + 1)
+ FROM (SELECT *, CASE WHEN full_ <> '' THEN full_ ELSE piece END AS run
+  FROM (SELECT *, regexp_extract(piece, '^(?:[ \t\n\r]*[^ \t\n\r]){{{URL_CHARS}}}', 0) AS full_
+   FROM (SELECT *, left(tail, CAST(least(length(regexp_extract(tail, '^(?:[ \t\n\r]|{URL_CLASS})*', 0)), {", ".join(f"CASE WHEN contains(tail, ' {w} ') THEN instr(tail, ' {w} ') - 1 END" for w in URL_ENDS)}) AS INT)) AS piece
+    FROM (SELECT *, left(rest, instr(rest, scheme) - 1) AS before, substr(rest, instr(rest, scheme) + length(scheme)) AS tail
+     FROM (SELECT *, regexp_extract(rest, '(?i)https?://', 0) AS scheme FROM u0) WHERE scheme <> '')))))
+SELECT doc_id, seq, done || rest AS text FROM u0 WHERE NOT regexp_matches(rest, '(?i)https?://')""",
     "sanitize_filename": r"SELECT doc_id, CASE WHEN f = '' THEN 'unnamed.pdf' ELSE f END AS safe, lower(regexp_extract(filename, '[^/]*$', 0)) AS base FROM (SELECT doc_id, filename, regexp_replace(replace(replace(filename, '/', '_'), '\', '_'), '^[. ]+', '') AS f FROM docs_view)",
     "file_gate": "SELECT job_id, count(*) AS files, count(*) FILTER (lower(split_part(filename, '.', -1)) = 'pdf') AS pdf, count(*) FILTER (size_bytes <= 50000) AS small FROM docs_view GROUP BY job_id",
     "pdf_magic_gate": "SELECT status, n_code_links, count(*) AS n, CAST(sum(CASE WHEN n_data_links > 0 THEN 1 ELSE 0 END) AS BIGINT) AS pdf FROM docs_view GROUP BY ALL",
@@ -273,6 +286,11 @@ FROM papers_view GROUP BY doc_id""",
 WITH n AS (SELECT doc_id, text, greatest(0, CAST(ceil((length(text) - 250) / 1550) AS BIGINT) - 1) AS last FROM documents WHERE text <> ''),
 c AS (SELECT doc_id, text, unnest(range(0, last + 1)) AS chunk FROM n)
 SELECT doc_id, chunk, substr(text, chunk * 1550 + 1, 1800) AS text FROM c""",
+    "vector_topk_within": """
+WITH q AS (SELECT label, vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT label, query_id, vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), q) AS similarity FROM q JOIN embeddings USING (label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM s)
+SELECT label, query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 4""",
     "vector_topk": """
 WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), q) AS similarity FROM q, embeddings),

@@ -128,6 +128,17 @@ def url_repair(spark, sf):
     return _blocks(spark, sf).where("contains(text, 'http')").select("doc_id", "seq", U.glue_host("text").alias("text"))
 
 
+@query
+def layout_url_repair(spark, sf):
+    return _blocks(spark, sf).where("contains(text, 'http')").select("doc_id", "seq", U.layout_urls("text").alias("text"))
+
+
+@query
+def layout_clean_paragraphs(spark, sf):
+    parts = _blocks(spark, sf).select("doc_id", "seq", F.posexplode(T.split_simple("text")).alias("pos", "part"))
+    return parts.select("doc_id", "seq", "pos", U.clean_paragraph("part").alias("text")).where("text <> ''")
+
+
 @query
 def sanitize_filename(spark, sf):
     return view(spark, sf, "docs_view").select("doc_id", R.sanitize_filename("filename").alias("safe"), F.lower(R.basename("filename")).alias("base"))
@@ -222,6 +233,18 @@ def chunk_documents(spark, sf):
     return retrieval.chunk_documents(table(spark, sf, "documents"))
 
 
+@query
+def chunk_documents_recursive(spark, sf):
+    return retrieval.chunk_documents(table(spark, sf, "documents"), recursive=True)
+
+
+@query
+def vector_topk_within(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    found = retrieval.nearest_within(vectors, vectors.where("vec_id % 100 = 0"), key="label")
+    return found.select("label", "query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query
 def vector_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")

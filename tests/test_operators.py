@@ -3,6 +3,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,3 +349,24 @@ def test_spaced_letters_of_whole_blocks(spark, tmp_path):
     assert got == want and max(map(len, got.values())) > 300
     long = spark.createDataFrame([("d a t a " * 40_000 + "end",)], "text string").select(T.compact_letters("text").alias("text")).first().text
     assert long == "data" * 40_000 + " end"
+
+
+def test_nearest_within_a_document(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(f"d{i % 7}" if i % 50 else None, i, [float(x) for x in r.integers(-2, 3, 5)] if i % 31 else None, f"t{i % 40}") for i in range(600)]
+    rows += [("big", 1000 + i, [float(x) for x in r.integers(-2, 3, 5)], f"t{i}") for i in range(500)]
+    chunks = spark.createDataFrame(rows, "doc_id string, vec_id long, embedding array<float>, text string")
+    monkeypatch.setattr(retrieval, "KEY_BLOCK", 60)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "STEP_SCORES", 100)
+    queries = [(d, q, [float(x) for x in r.integers(-2, 3, 5)]) for d in ("d1", "d2", "big", "none") for q in range(8)] + [(None, 1, [1.0] * 5)]
+    found = retrieval.nearest_within(chunks, spark.createDataFrame(queries, "doc_id string, vec_id long, embedding array<double>"))
+    want = set()
+    for d, q, v in queries:
+        near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for doc, i, w, _ in rows if d is not None and doc == d and w is not None)
+        want |= {(d, q, i, -s, n) for n, (s, i) in enumerate(near[:4], 1)}
+    assert {tuple(x) for x in found.select("doc_id", "query_id", "vec_id", "similarity", "rank").collect()} == want
+    context = {x.doc_id: x.context for x in retrieval.retrieved_context(chunks, spark.createDataFrame(queries[:1], "doc_id string, vec_id long, embedding array<double>"), 3, 1000).collect()}
+    text = {i: t for _, i, _, t in rows}
+    best = [i for *_, i, _, n in sorted(((q, n, i, s, n) for d, q, i, s, n in want if (d, q) == ("d1", 0)), key=lambda x: x[1]) if n <= 3]
+    assert list(context) == ["d1"] and context["d1"].split("\n") == list(dict.fromkeys(text[i] for i in best))
