@@ -237,12 +237,35 @@ def workflow_report(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def counted_quantiles(rows: DataFrame, key: str, value: str, at: dict[str, float], bins: int = 4_096) -> DataFrame:
+    """key and a column for each quantile q in `at`: the value at place floor(q * (n - 1)) of the key's sorted values, nulls left out.
+
+    Exact, by selection over counts: values are counted before they meet, a key's counts are summed in bins of its range, and
+    running sums over at most `bins` rows tell in which bin a place is; only the distinct values of that bin are put in order.
+    """
+    values = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    counted = values.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    spans = counted.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("all_"))
+    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    c, s = counted.alias("c"), spans.alias("s")
+    binned = c.join(s, F.expr("c.key <=> s.key")).select("c.*", "low", "high", "all_")
+    binned = binned.withColumn("bin", F.when(F.col("high") > F.col("low"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(0).cast("int"))
+    bins_ = binned.groupBy("key", "bin").agg(F.sum("n").alias("inside"), F.max("all_").alias("all_"))
+    before = F.coalesce(F.sum("inside").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.floor(F.lit(q) * (F.col("all_") - 1)).alias("place")) for name, q in at.items()))).alias("w")
+    found = bins_.withColumn("before", before).select("key", "bin", "before", "inside", wanted).select("key", "bin", "before", "inside", "w.*")
+    found = found.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("inside"))).drop("inside")
+    b, f = binned.alias("b"), found.alias("f")
+    inside = b.join(f, F.expr("b.key <=> f.key AND b.bin = f.bin")).select("b.key", "value", "n", "name", "before", "place")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("key", "name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    first = inside.withColumn("upto", upto).where(F.col("upto") > F.col("place"))
+    return first.groupBy(F.col("key").alias(key)).agg(*(F.min(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in at))
+
+
 def quality_rollup(docs: DataFrame) -> DataFrame:
     """Counts, missing fields and confidence quartiles (the value at floor(q * (n - 1)) of the sorted list) of each job."""
     done = F.col("status") == "done"
-    ranked = docs.where(done & F.col("confidence").isNotNull()).select("job_id", "confidence", F.row_number().over(Window.partitionBy("job_id").orderBy("confidence")).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("job_id")).alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.floor(F.lit(q) * (F.col("n") - 1)) + 1, F.col("confidence")))
-    quartiles = ranked.groupBy("job_id").agg(at(0.25).alias("confidence_p25"), at(0.75).alias("confidence_p75"))
+    quartiles = counted_quantiles(docs.where(done), "job_id", "confidence", {"confidence_p25": 0.25, "confidence_p75": 0.75})
     sums = docs.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("total_docs"),
         F.count_if(F.col("status") == "error").alias("error_docs"),

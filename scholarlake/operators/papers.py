@@ -232,13 +232,50 @@ def resolved_title(blocks: DataFrame) -> DataFrame:
 # --- registry
 
 
+def _needed(n: Column, m: Column, least: float) -> Column:
+    """How many tokens sets of n and m must share for their Jaccard similarity to be at least `least`."""
+    return F.ceil(F.lit(least / (1 + least)) * (n + m) - 1e-9).cast("int")
+
+
+def set_keys(sets: DataFrame, partner_sizes: DataFrame, least: float) -> DataFrame:
+    """Keys of sets (id, common: tokens in the order of all sets, size): own, other, a, b and id, rest.
+
+    For each size of a partner that can be similar enough, sets that share enough tokens share two among the first few of
+    them (one, if one is enough); each pair of these is a key (a, b) for the two sizes. rest: how many tokens come after b, so
+    that a pair of sets can be left out whose later tokens can't be enough.
+    """
+    n, m, k = F.col("size"), F.col("other"), F.size("common")
+    sized = sets.join(F.broadcast(partner_sizes.select(F.col("size").alias("other"))), (F.col("other") >= F.ceil(F.lit(least) * F.col("size") - 1e-9)) & (F.col("other") * least <= F.col("size") + 1e-9))
+    rows = sized.withColumn("need", _needed(n, m, least)).withColumn("first", F.slice("common", F.lit(1), F.greatest(F.lit(0), k - F.col("need") + F.least(F.col("need"), F.lit(2)))))
+    item = lambda a, b, at: F.struct(a.alias("a"), b.alias("b"), (F.size("common") - at - 1).cast("int").alias("rest"))
+    single = F.transform("first", lambda t, i: item(t, F.lit(""), i))
+    after = lambda i: F.slice("first", i + 2, F.size("first"))
+    double = F.flatten(F.transform("first", lambda t, i: F.transform(after(i), lambda u, j: item(t, u, i + 1 + j))))
+    keyed = rows.select("id", F.col("size").alias("own"), "other", F.explode(F.when(F.col("need") < 2, single).otherwise(double)).alias("key"))
+    return keyed.select("id", "own", "other", "key.*")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """l_id, r_id, similarity of the sets (id, common, size) whose shared tokens of `common` make them similar enough: by keys of
+    two tokens for each pair of sizes, so that neither frequent tokens nor sizes far apart bring sets together."""
+    ours = set_keys(left, right.select("size").distinct(), least).select(*(F.col(c).alias(f"l_{c}") for c in ("id", "own", "other", "a", "b", "rest")))
+    theirs = set_keys(right, left.select("size").distinct(), least).select(*(F.col(c).alias(f"r_{c}") for c in ("id", "own", "other", "a", "b", "rest")))
+    same = (F.col("l_own") == F.col("r_other")) & (F.col("l_other") == F.col("r_own")) & (F.col("l_a") == F.col("r_a")) & (F.col("l_b") == F.col("r_b"))
+    held = F.when(F.col("l_b") == "", 1).otherwise(2) + F.least("l_rest", "r_rest")
+    pairs = ours.join(theirs, same & (held >= _needed(F.col("l_own"), F.col("r_own"), least))).select("l_id", "r_id").distinct()
+    pairs = pairs.join(left.select(F.col("id").alias("l_id"), F.col("common").alias("l"), F.col("size").alias("n")), "l_id")
+    pairs = pairs.join(right.select(F.col("id").alias("r_id"), F.col("common").alias("r"), F.col("size").alias("m")), "r_id")
+    both = F.size(F.array_intersect("l", "r"))
+    return pairs.select("l_id", "r_id", (both / (F.col("n") + F.col("m") - both)).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def best_registry_match(titles: DataFrame, registry: DataFrame, preferred: str = "crossref", least: float = 0.4, rare: int = 50) -> DataFrame:
     """doc_id, doi, similarity, source: the registry's most similar title by tokens, if its similarity is at least `least`.
 
     Exact in two ways that meet. Entries that share a token which at most `rare` registry titles hold are compared one by one. For all others only
     an entry's frequent tokens and the number of its tokens count, so entries and titles that agree in these are one
-    profile, represented by its preferred entry; profiles meet by the first of their frequent tokens, rarest first, of which
-    a match shares one. An entry of a profile that shares a rare token as well is found better by the first way.
+    profile, represented by its preferred entry; profiles are joined by similar_sets(), whose keys are pairs of their rarest
+    tokens. An entry of a profile that shares a rare token as well is found better by the first way.
     """
     entries = registry.select(D.doi_key("doi").alias("doi"), "source", T.tokens("title").alias("tokens")).distinct()
     counts = entries.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
@@ -252,23 +289,16 @@ def best_registry_match(titles: DataFrame, registry: DataFrame, preferred: str =
     common = counts.where(F.col("held") > rare)
 
     def profiled(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """rows with common (frequent tokens, rarest first) and size (all tokens)."""
+        """rows with common (frequent tokens, rarest first), size (all tokens) and their digest as id."""
         held = rows.select(*keys, F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(common, "token")
         in_order = F.transform(F.sort_array(F.collect_list(F.struct("held", "token"))), lambda x: x["token"])
-        return held.groupBy(*keys, "size").agg(in_order.alias("common"))
-
-    def keyed(profiles: DataFrame) -> DataFrame:
-        first = F.size("common") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1
-        return profiles.where(first > 0).withColumn("token", F.explode(F.slice("common", F.lit(1), first)))
+        return held.groupBy(*keys, "size").agg(in_order.alias("common")).withColumn("id", F.unhex(F.md5(F.concat_ws(" ", F.col("size").cast("string"), "common").cast("binary"))))
 
     sets = profiled(mine, ["doc_id"])
-    ours = keyed(sets.select("common", "size").distinct()).select("token", "common", "size")
-    theirs = profiled(entries.select("doi", "source", "tokens"), ["doi", "source"]).groupBy("common", "size").agg(F.min(F.struct(*rank(F.col("doi"), F.col("source")))).alias("best"))
-    theirs = keyed(theirs).select("token", F.col("common").alias("r_common"), F.col("size").alias("r_size"), "best")
-    both = F.size(F.array_intersect("common", "r_common"))
-    pairs = ours.join(theirs, "token").withColumn("similarity", both / (F.col("size") + F.col("r_size") - both)).where(F.col("similarity") >= least)
-    far = pairs.groupBy("common", "size").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "best")).alias("m"))
-    far = sets.join(far, ["common", "size"]).select("doc_id", (-F.col("m.minus")).alias("similarity"), "m.best.other", "m.best.doi", "m.best.source")
+    theirs = profiled(entries.select("doi", "source", "tokens"), ["doi", "source"]).groupBy("id", "common", "size").agg(F.min(F.struct(*rank(F.col("doi"), F.col("source")))).alias("best"))
+    pairs = similar_sets(sets.select("id", "common", "size").distinct(), theirs, least).join(theirs.select(F.col("id").alias("r_id"), "best"), "r_id")
+    far = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "best")).alias("m"))
+    far = sets.join(far, "id").select("doc_id", (-F.col("m.minus")).alias("similarity"), "m.best.other", "m.best.doi", "m.best.source")
 
     best = near.unionByName(far).groupBy("doc_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "other", "doi", "source")).alias("m"))
     return best.select("doc_id", "m.doi", (-F.col("m.minus")).alias("similarity"), "m.source")

@@ -370,3 +370,48 @@ def test_nearest_within_a_document(spark, monkeypatch):
     text = {i: t for _, i, _, t in rows}
     best = [i for *_, i, _, n in sorted(((q, n, i, s, n) for d, q, i, s, n in want if (d, q) == ("d1", 0)), key=lambda x: x[1]) if n <= 3]
     assert list(context) == ["d1"] and context["d1"].split("\n") == list(dict.fromkeys(text[i] for i in best))
+
+
+@pytest.mark.parametrize("bins", [1, 3, 4096])
+def test_counted_quantiles(spark, bins):
+    r = random.Random(bins)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 0.1, 0.5, r.random(), r.gauss(0, 9), 1e300, -1e300])) for _ in range(900)]
+    rows += [("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", None)]
+    got = jobs.counted_quantiles(spark.createDataFrame(rows, "job_id string, v double"), "job_id", "v", {"lo": 0.25, "hi": 0.75, "top": 1.0, "mid": 0.5}, bins)
+    held = {}
+    for k, v in rows:
+        if v is not None:
+            held.setdefault(k, []).append(v)
+    want = {k: tuple(sorted(v)[int(q * (len(v) - 1))] for q in (0.25, 0.75, 1.0, 0.5)) for k, v in held.items()}
+    assert {x.job_id: (x.lo, x.hi, x.top, x.mid) for x in got.collect()} == want
+
+
+@pytest.mark.parametrize(("least", "rare"), [(0.4, 0), (0.4, 3), (0.7, 2), (0.15, 1), (1.0, 0)])
+def test_title_join_equals_all_pairs(spark, least, rare):
+    r = random.Random(17)
+    words = [f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    title = lambda: " ".join(r.choice(words[: r.choice([4, 12, 26])]) for _ in range(r.randrange(0, 11)))
+    mine, theirs = [(i, title()) for i in range(150)], [(f"10.1/{i}", title(), r.choice(["crossref", "openalex", None])) for i in range(200)]
+    got = papers.best_registry_match(spark.createDataFrame(mine, "doc_id long, title string"), spark.createDataFrame(theirs, "doi string, title string, source string"), least=least, rare=rare)
+    want = {}
+    for i, t in mine:
+        a = set(t.split())
+        near = [(-len(a & b) / len(a | b), s != "crossref", d) for d, u, s in theirs if (b := set(u.split())) and a and len(a & b) / len(a | b) >= least]
+        if near:
+            want[i] = min(near)
+    assert {x.doc_id: (round(-x.similarity, 9), x.source != "crossref", x.doi) for x in got.collect()} == {i: (round(s, 9), o, d) for i, (s, o, d) in want.items()}
+
+
+def test_keys_of_similar_sets_grow_with_the_sets(spark):
+    """Random titles over a Zipf vocabulary: what the keys join stays near the number of titles, where single frequent tokens would join far more."""
+    joined = []
+    for n in (1000, 5000):
+        r = np.random.default_rng(5)
+        chance = 1 / np.arange(1, 20_001)
+        sets = lambda: spark.createDataFrame([(i, [f"{99999 - t:05d}" for t in sorted(set(x.tolist()), reverse=True)]) for i, x in enumerate(r.choice(20_000, (n, 9), p=chance / chance.sum()))], "id long, common array<string>").withColumn("size", F.size("common"))  # noqa: E731, B023
+        left, right = sets().persist(), sets().persist()
+        keys = [papers.set_keys(a, b.select("size").distinct(), 0.4) for a, b in ((left, right), (right, left))]
+        one, two = keys[0].alias("x"), keys[1].alias("y")
+        joined.append(one.join(two, F.expr("x.own = y.other AND x.other = y.own AND x.a = y.a AND x.b = y.b")).count())
+        left.unpersist(), right.unpersist()
+    assert joined[1] < 30 * joined[0] and joined[1] < 5 * 5000
