@@ -10,6 +10,15 @@ from scholarlake.config import SPLIT_AT
 _MARK = "\u0001"
 #: What belongs to a word.
 WORD = r"[\p{L}\p{N}_]"
+#: White space of any kind, and that within a line.
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_INLINE = SPACE.replace(r"\x09-\x0d", r"\x09\x0b-\x0d")
+#: Marks that end a sentence, also several in this order.
+_MARKS = (".", "!", "?", ";", ".!", "!?", "?;", ".!?", "!?;", ".!?;")
+#: What starts a sentence: upper case, digits also where they are raised, lowered or circled.
+_UPPER = r"\p{IsUppercase}\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}"
+#: Characters of which texts hardly have one, and never all.
+_CUTS = ("\u0001", "\u0002", "\u0003", "\u0004")
 
 
 def col(x: Column | str) -> Column:
@@ -34,6 +43,11 @@ def collapse(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(x), r"\s+", " "))
 
 
+def strip(x: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def dehyphenate(x: Column | str) -> Column:
     """Words broken by a hyphen at a line end are joined."""
     return F.regexp_replace(col(x), r"(\w)-\n(\w)", "$1$2")
@@ -43,14 +57,12 @@ def repair_scheme(x: Column | str) -> Column:
     return F.regexp_replace(col(x), r"(?i)(https?)\s*:\s*/\s*/\s*", "$1://")
 
 
-def unify_lines(x: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(col(x), "\r\n?", "\n"), "[ \\t]+", " ")
-
-
 def join_lines(x: Column | str) -> Column:
-    """Lines are joined by a space unless the line before ends a sentence; blank lines keep one paragraph break."""
-    x = F.regexp_replace(col(x), r"\n\s*\n+", _MARK)
-    x = F.regexp_replace(x, r"(?<![.!?;\x01])[ ]*\n[ ]*", " ")
+    """Lines are trimmed and joined by a space unless the one before ends a sentence; blank lines keep one paragraph break."""
+    x = F.regexp_replace(col(x), rf"(?<!{SPACE}){_INLINE}++\z", "")
+    x = F.regexp_replace(x, rf"(?<!{_INLINE}){_INLINE}*+\n(?:{_INLINE}*+\n)++{_INLINE}*+", _MARK)
+    x = F.regexp_replace(x, rf"(?<!{_INLINE}){_INLINE}*+\n{_INLINE}*+", "\n")
+    x = F.regexp_replace(x, r"(?<![.!?;\x01])\n", " ")
     return F.regexp_replace(x, _MARK, "\n\n")
 
 
@@ -59,13 +71,51 @@ def compact_letters(x: Column | str) -> Column:
 
     A character beyond 16 bits before a run does not count as a part of its first letter's word."""
     letter = rf"[a-zA-Z](?!{WORD})"
-    return F.regexp_replace(col(x), rf"(?U)(?:(?<!{WORD})(?=(?:{letter}\s+){{4}}{letter})|(?!^)\G)([a-zA-Z])\s+(?={letter})", "$1")
+    return F.regexp_replace(col(x), rf"(?:(?<!{WORD})(?=(?:{letter}{SPACE}+){{4}}{letter})|(?!^)\G)([a-zA-Z]){SPACE}+(?={letter})", "$1")
+
+
+def outside_urls(x: Column | str, change) -> Column:
+    """x with `change` made to what is between URLs; neighbours of a URL count as within a word."""
+    url = r"(?i:https?://)\S+"
+
+    def one(part: Column, i: Column) -> Column:
+        after, before = (i > 0).cast("int"), part["url"].isNotNull().cast("int")
+        edge = lambda n: F.repeat(F.lit("_"), n)
+        changed = let(change(F.concat(edge(after), part["text"], edge(before))), lambda t: F.substr(t, after + 1, F.length(t) - after - before))
+        return F.concat(changed, F.coalesce(part["url"], F.lit("")))
+
+    def every(text: Column) -> Column:
+        parts = F.zip_with(F.split(text, url, -1), F.regexp_extract_all(text, F.lit(url), F.lit(0)), lambda t, u: F.struct(t.alias("text"), u.alias("url")))
+        return F.when(text.rlike(url), F.array_join(F.transform(parts, one), "")).otherwise(change(text))
+
+    return let(col(x), every)
 
 
 def sentences(x: Column | str) -> Column:
-    """Array of sentences: cut after . ! ? ; and white space before an upper-case letter or a digit."""
-    marked = F.regexp_replace(F.trim(col(x)), r"(?U)([.!?;])\s+(?=[\p{Lu}\p{Nd}])", "$1" + _MARK)
-    return F.filter(F.transform(F.split(marked, _MARK), lambda s: F.trim(s)), lambda s: s != "")
+    """Array of sentences. Cuts are possible after . ! ? ; and white space; a cut is made where nothing, an upper-case letter or a digit
+    follows, else the parts are joined again by one space, a mark without space before it. What consists of such marks alone,
+    in this order, counts as one.
+
+    Whether a cut is made depends on the part before and after it alone, so the parts are joined with a character that the text
+    does not have at each cut, and taken apart there."""
+
+    def cut(text: Column) -> Column:
+        unused = F.lit(_CUTS[-1])
+        for mark in reversed(_CUTS[:-1]):
+            unused = F.when(~text.contains(mark), mark).otherwise(unused)
+        marks = F.regexp_extract_all(text, F.lit(rf"([.!?;]){SPACE}+"), F.lit(1))
+        parts = F.filter(F.flatten(F.zip_with(F.split(text, rf"[.!?;]{SPACE}+", -1), marks, lambda t, m: F.array(t, m))), lambda p: p.isNotNull())
+
+        def piece(part: Column, following: Column) -> Column:
+            next_mark = F.coalesce(following.isin(*_MARKS), F.lit(False))
+            ends = F.coalesce(~strip(following).rlike(rf"^[^{_UPPER}]"), F.lit(True))
+            of_mark = F.concat(part, F.when(ends, unused).when(next_mark, "").otherwise(" "))
+            return F.when(part.isin(*_MARKS), of_mark).otherwise(F.concat(strip(part), F.when(next_mark, "").otherwise(" ")))
+
+        joined = let(parts, lambda all_: F.array_join(F.zip_with(all_, F.slice(all_, F.lit(2), F.size(all_)), lambda p, f: F.when(p.isNotNull(), piece(p, f))), ""))
+        return F.filter(F.transform(F.split(joined, unused), strip), lambda s: s != "")
+
+    return let(col(x), cut)
 
 
 def statement_sentences(x: Column | str) -> Column:
@@ -76,9 +126,11 @@ def statement_sentences(x: Column | str) -> Column:
 
 def normalize(x: Column | str) -> Column:
     """The whole chain over raw text; one sentence a line, three or more line feeds as two."""
-    x = compact_letters(join_lines(unify_lines(repair_scheme(dehyphenate(x)))))
-    lines = F.transform(F.split(x, "\n\n"), lambda p: F.array_join(sentences(p), "\n"))
-    return F.regexp_replace(F.array_join(lines, "\n\n"), r"\n{3,}", "\n\n")
+    x = F.regexp_replace(col(x), rf"({WORD})-\n({WORD})", "$1$2")
+    x = F.regexp_replace(x, rf"(?i)(https?){SPACE}*:{SPACE}*//{SPACE}*", "$1://")
+    x = F.regexp_replace(F.regexp_replace(x, "\r\n?", "\n"), "[ \\t]{2,}", " ")
+    lines = F.array_join(sentences(outside_urls(join_lines(x), compact_letters)), "\n")
+    return F.regexp_replace(lines, r"\n{3,}", "\n\n")
 
 
 def paragraphs(x: Column | str) -> Column:
@@ -154,7 +206,6 @@ def recursive_chunks(x: Column | str, size: int, overlap: int, at: tuple[str, ..
     before it of at most `overlap` characters. White space around a chunk is left out, and so are blank ones.
 
     A fold over the pieces holds those of the open chunk and the chunks so far."""
-    strip = lambda t: F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
     def closed(held: Column) -> Column:
         return F.when(F.size(held["open"]) > 0, F.concat(held["out"], F.array(strip(F.array_join(held["open"], ""))))).otherwise(held["out"])

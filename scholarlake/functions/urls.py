@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.config import CODE_HINTS, DATA_HINTS, DEFAULTS, DROPPED_STARTS, GATEWAY, GATEWAY_END, INVISIBLE, URL_CHARS, URL_CLASS, URL_ENDS, Settings
 from scholarlake.functions.doi import is_dataset
-from scholarlake.functions.text import WORD, any_of, col, compact_letters, let, repair_scheme
+from scholarlake.functions.text import WORD, any_of, col, compact_letters, let, outside_urls, repair_scheme
 
 _HOSTS = ("zenodo", "dryad", "github", "gitlab", "osf")
 #: White space that a URL swallows: after a closing mark of its own, or where a URL mark is among the next 13 characters.
@@ -60,23 +60,6 @@ def layout_urls(x: Column | str) -> Column:
     return let(x, glue)
 
 
-def outside_urls(x: Column | str, change) -> Column:
-    """x with `change` made to what is between URLs; neighbours of a URL count as within a word."""
-    url = r"(?i:https?://)\S+"
-
-    def one(part: Column, i: Column) -> Column:
-        after, before = (i > 0).cast("int"), part["url"].isNotNull().cast("int")
-        edge = lambda n: F.repeat(F.lit("_"), n)
-        changed = let(change(F.concat(edge(after), part["text"], edge(before))), lambda t: F.substr(t, after + 1, F.length(t) - after - before))
-        return F.concat(changed, F.coalesce(part["url"], F.lit("")))
-
-    def every(text: Column) -> Column:
-        parts = F.zip_with(F.split(text, url, -1), F.regexp_extract_all(text, F.lit(url), F.lit(0)), lambda t, u: F.struct(t.alias("text"), u.alias("url")))
-        return F.when(text.rlike(url), F.array_join(F.transform(parts, one), "")).otherwise(change(text))
-
-    return let(col(x), every)
-
-
 def clean_paragraph(x: Column | str) -> Column:
     """Layout clean-up of a paragraph: dashes, broken words, spacing, URLs, spaced letters outside URLs, fused URLs cut; null if it is one of those that are dropped."""
     x = F.regexp_replace(col(x), "[\u2013\u2014]", "-")

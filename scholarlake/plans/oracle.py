@@ -218,6 +218,17 @@ w1 AS (SELECT *, CASE WHEN abs(top - lag(top) OVER (PARTITION BY page_id, col OR
 lines AS (SELECT * EXCLUDE (opens), CAST(sum(opens) OVER (PARTITION BY page_id, col ORDER BY top, x0, word_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM w1)"""
 )
 
+_WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _mark(x: str) -> str:
+    return f"coalesce({x} <> '' AND contains('.!?;', {x}), false)"
+
+
 _D = "docs_view"
 _PROGRESS = """
 per AS (SELECT job_id, count(*) AS total, count(*) FILTER (status IN ('done', 'error')) AS current, count(*) FILTER (status IN ('queued', 'processing')) AS remaining FROM docs_view GROUP BY job_id),
@@ -276,6 +287,14 @@ w AS (SELECT doc_id, 0 AS o, 'data_statement_truncated_url' AS warning FROM p WH
  UNION ALL SELECT doc_id, 3, 'code_fused_links_possible' FROM p WHERE len(regexp_extract_all(lower(cs), 'https?://')) > n + 1
  UNION ALL SELECT doc_id, 4, 'data_license_missing_version' FROM p WHERE doc_id % 2 = 0)
 SELECT doc_id, warning FROM w""",
+    "sentence_split": rf"""
+WITH a AS (SELECT doc_id, regexp_split_to_array(text, '[.!?;]{_WS}+') AS t, regexp_extract_all(text, '([.!?;]){_WS}+', 1) AS m FROM documents),
+b AS (SELECT doc_id, list_filter(flatten(list_transform(range(1, len(t) + 1), lambda i: [t[i], m[i]])), lambda x: x IS NOT NULL) AS l FROM a),
+c AS (SELECT doc_id, list_transform(range(1, len(l) + 1), lambda i: CASE
+  WHEN {_mark("l[i]")} THEN l[i] || CASE WHEN {_stripped("l[i + 1]")} IS NULL OR {_stripped("l[i + 1]")} = '' OR regexp_matches({_stripped("l[i + 1]")}, '^[\p{{Lu}}\p{{Nd}}]') THEN chr(1) WHEN {_mark("l[i + 1]")} THEN '' ELSE ' ' END
+  ELSE {_stripped("l[i]")} || CASE WHEN {_mark("l[i + 1]")} THEN '' ELSE ' ' END END) AS z FROM b),
+d AS (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(z, ''), chr(1)), lambda s: {_stripped("s")}), lambda s: s <> '') AS s FROM c)
+SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM d""",
     "dehyphenate_and_collapse": rf"SELECT doc_id, {collapse(r'''regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g')''')} AS text FROM documents",
     "content_sha256_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "text_blocks_meta": r"""
@@ -373,10 +392,22 @@ SELECT f.job_id, file AS source_file, split_part(file, '/', -1) AS filename, coa
  '' AS data_sharing_license, '' AS code_license, CAST(coalesce(ud.n, 0) AS VARCHAR) AS data_links_count, CAST(coalesce(uc.n, 0) AS VARCHAR) AS code_links_count, coalesce(ud.l, '') AS data_links, coalesce(uc.l, '') AS code_links, coalesce(f.error, '') AS error
 FROM f LEFT JOIN title t ON t.doc_id = f.doc_id LEFT JOIN verified v ON v.doc_id = f.doc_id LEFT JOIN per pd ON pd.doc_id = f.doc_id AND pd.kind = 'data' LEFT JOIN per pc ON pc.doc_id = f.doc_id AND pc.kind = 'code'
  LEFT JOIN urls ud ON ud.doc_id = f.doc_id AND ud.kind = 'data' LEFT JOIN urls uc ON uc.doc_id = f.doc_id AND uc.kind = 'code'""",
+    "export_records": f"""
+WITH {STATUS}, {DOIS}, {_LINES}, titles AS (SELECT doc_id, title FROM title), {_MATCH}, {_VERIFY},
+per AS (SELECT doc_id, kind, max(statement) AS statement FROM stmt GROUP BY doc_id, kind),
+urls AS (SELECT doc_id, kind, count(*) AS n, string_agg(url, '; ' ORDER BY pos) AS l FROM links GROUP BY doc_id, kind)
+SELECT CAST(t.doc_id AS VARCHAR) AS source_file, 'unknown.pdf' AS filename, coalesce(t.title, '') AS title, 'heuristic' AS title_source, coalesce(v.doi, '') AS doi,
+ CASE WHEN v.doi_from_title_search THEN 'true' ELSE '' END AS doi_from_title_search, coalesce(pd.statement, '') AS data_availability_statement, coalesce(pc.statement, '') AS code_availability_statement,
+ '' AS data_sharing_license, '' AS code_license, CAST(coalesce(ud.n, 0) AS VARCHAR) AS data_links_count, CAST(coalesce(uc.n, 0) AS VARCHAR) AS code_links_count, coalesce(ud.l, '') AS data_links, coalesce(uc.l, '') AS code_links, '' AS error
+FROM title t JOIN verified v ON v.doc_id = t.doc_id LEFT JOIN per pd ON pd.doc_id = t.doc_id AND pd.kind = 'data' LEFT JOIN per pc ON pc.doc_id = t.doc_id AND pc.kind = 'code'
+ LEFT JOIN urls ud ON ud.doc_id = t.doc_id AND ud.kind = 'data' LEFT JOIN urls uc ON uc.doc_id = t.doc_id AND uc.kind = 'code'""",
     "layout_line_text": f"WITH {_LAYOUT} SELECT page_id, col, line, coalesce(string_agg(trim(text), ' ' ORDER BY x0, word_id) FILTER (trim(text) <> ''), '') AS text FROM lines GROUP BY page_id, col, line",
     "split_simple": r"""
 WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents)
 SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS text FROM a""",
+    "export_ndjson_rows": r"""
+SELECT '{"log_id":' || log_id || ',"job_id":' || job_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","op":' || to_json(op) || ',"level":' || to_json(level)
+ || ',"duration_ms":' || duration_ms || CASE WHEN extra IS NULL THEN '' ELSE ',"extra":' || to_json(extra) END || '}' AS value FROM logs_view""",
     "logs_tumbling": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, op, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM logs_view GROUP BY 1, 2",
     "logs_session": """
 WITH o AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM logs_view),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.functions import text as T
 from scholarlake.functions import urls as U
+from scholarlake.plans.views import view
 
 ENDS = tuple(f" {w} " for w in ("and", "the", "on", "at", "in", "from", "or", "to", "are", "is"))
 
@@ -138,3 +139,82 @@ def test_chunks_of_whole_documents(spark):
         held.setdefault(row.doc_id, []).append(row.text)
     want = {d.doc_id: split(d.text, 1800, 250) for d in docs.where(F.col("text") != "").collect()}
     assert held == {k: v for k, v in want.items() if v} and sum(map(len, held.values())) > len(held)
+
+
+def sentences(text):
+    out, now = [], ""
+    parts = re.split(r"([.!?;])\s+", text)
+    for i, part in enumerate(parts):
+        if not part:
+            continue
+        if part in ".!?;":
+            now = now.rstrip() + part
+            after = parts[i + 1].strip() if i + 1 < len(parts) else ""
+            if not after or after[0].isupper() or after[0].isdigit():
+                out.append(now.strip())
+                now = ""
+            else:
+                now += " "
+        else:
+            now += part.strip() + " "
+    return [*out, now.strip()] if now.strip() else out
+
+
+def compacted(text):
+    return re.sub(r"(?:\b[a-zA-Z]\b\s+){4,}[a-zA-Z]\b", lambda m: "".join(m[0].split()), text)
+
+
+def normalized(text):
+    text = re.sub(r"(\w)-\n(\w)", r"\1\2", text)
+    text = re.sub(r"(?i)(https?)\s*:\s*//\s*", r"\1://", text)
+    text = re.sub(r"[ \t]{2,}", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
+    lines, now = [], ""
+    for line in map(str.strip, text.split("\n")):
+        if not line:
+            lines += [now] if now else []
+            lines += [""] if lines and lines[-1] else []
+            now = ""
+        elif now and now[-1] in ".!?;":
+            lines.append(now)
+            now = line
+        else:
+            now = f"{now} {line}" if now else line
+    text = "\n".join([*lines, now] if now else lines)
+    urls = re.findall(r"(?i:https?://)\S+", text)
+    held = compacted(re.sub(r"(?i:https?://)\S+", "__URL__", text))
+    text = "".join(a + b for a, b in zip(held.split("__URL__"), [*urls, ""], strict=True))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(sentences(text)))
+
+
+def rough(seed, n=400):
+    r = random.Random(seed)
+    bits = ["One", "two", "three", "É", "5", ".", "!", "?", ";", ". ", "! ", "?; ", "; ", ".!? ", "...", "\n", "\n", "\n\n", " \n\t\n ", "\r\n", "\r", " ", "  ", "\t", "\u00a0", "\x1f", "\x85", "a b c d e ", "x-\ny", "http : // x.org/a. B", "https://y.z/a b", "²", "ǅ", "Ⓐ", "\x01", "(", "e.g. "]
+    return ["".join(r.choice(bits) for _ in range(r.randrange(0, 30))) for _ in range(n)] + ["", " ", ".", ". . .", "\n\n", "a. " * 3000, " " * 20_000 + "a" + "\n" * 5000 + "b", None]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_sentences_and_normalize(spark, seed):
+    values = rough(seed)
+    got = mapped(spark, values, T.sentences("t"), T.normalize("t"), T.compact_letters("t"))
+    for v, (cut, whole, compact) in zip(values, got, strict=True):
+        assert cut == (None if v is None else sentences(v)), repr(v)[:200]
+        assert compact == (None if v is None else compacted(v)), repr(v)[:200]
+        if v is None or "\x01" not in v:  # the mark of paragraph breaks
+            assert whole == (None if v is None else normalized(v)), repr(v)[:200]
+
+
+def test_queries_on_whole_tables(spark):
+    from scholarlake.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = {d.doc_id: d.text for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in QUERIES["text_normalize"](spark, sf).collect()} == {i: normalized(t) for i, t in docs.items()}
+    held = {}
+    for r in QUERIES["sentence_split"](spark, sf).orderBy("doc_id", "pos").collect():
+        held.setdefault(r.doc_id, []).append(r.sentence)
+    assert held == {i: s for i, t in docs.items() if (s := sentences(t))}
+    blocks = {(r.doc_id, r.seq): r.text for r in view(spark, sf, "papers_view").collect()}
+    spaced = {k: compacted(re.sub(r"([A-Za-z])(?=[A-Za-z])", r"\1 ", t)) for k, t in blocks.items()}
+    assert {(r.doc_id, r.seq): r.text for r in QUERIES["spaced_letter_compaction"](spark, sf).collect()} == spaced
+    parts = {(k, i): c for k, t in blocks.items() for i, p in enumerate([p.strip() for p in re.sub(r"\n{3,}", "\n\n", t.replace("\r\n", "\n").replace("\r", "\n")).split("\n\n") if p.strip()]) if (c := cleaned(p))}
+    assert {((r.doc_id, r.seq), r.pos): r.text for r in QUERIES["layout_clean_paragraphs"](spark, sf).collect()} == parts
