@@ -7,12 +7,14 @@ Randomised SVD of the TF-IDF matrix A of all documents' passages, laid end to en
 STOP_SHARE of all chunks, weighted by their inverse chunk frequency). Omega is a sparse sign matrix, so A'A Omega is a sum
 over pairs of words of a passage: every task adds up its part (words x SKETCH numbers) in one pass, and a Nystroem step
 turns the sum into A's leading RANK right singular vectors and singular values. Items have no part in it. Passages and items are projected,
-both normed there, and pairs with a cosine of at least COSINE are candidates. Items whose words are nearly all that frequent (they stand in
+both normed there, and pairs with a cosine of at least COSINE are candidates, as are pairs where the passage's part along
+the item has COVERED of the item's length (a copy among rarer words). Items whose words are nearly all that frequent (they stand in
 many copies themselves) keep the weights of all their words.
 
-A truncated space may lose an item that few documents hold, so no leak depends on it alone: a region that matches PARAPHRASE of an item's
-words holds enough of its rarest words, however its other words are chosen (`Overlap`), and every window whose region
-does is a candidate as well.
+The space is the search: what it does not bring together is not compared. It keeps little of an item whose words few
+passages share, so items that keep less than KEPT of their norm in it are searched for by an exact bound instead: a
+region that matches PARAPHRASE of an item's words holds enough of its rarest words, however its other words are chosen
+(`Overlap`). With exact=True that bound adds its candidates for all items.
 
 A candidate is a leak if the longest common subsequence of the item and the passage with a chunk on either side, or as
 many chunks as the item has if it is longer than a passage (`reach`), reaches SURE of the item's words, or PARAPHRASE of them and half of the item's answer: the ANSWER_WORDS rarest words of its
@@ -49,7 +51,11 @@ STOP_SHARE = 0.02
 SKETCH, SIGNS, RANK = 512, 1, 320
 #: Columns of the dense random matrix of the joint space.
 JOINT_SKETCH = 64
-COSINE = 0.55
+COSINE = 0.4
+#: A passage whose part along an item is at least so much of the item's length is a candidate too, whatever else it holds.
+COVERED = 0.8
+#: Items that keep a smaller share of their norm in the space are searched for by the exact bound.
+KEPT = 0.2
 SURE, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS = 4
 LEAST_WORDS = 5
@@ -292,11 +298,12 @@ class Overlap:
     times: np.ndarray
     least: np.ndarray
     reach: np.ndarray
+    of_items: np.ndarray  # the items it is for, as the columns of `least`
 
     @classmethod
-    def of(cls, items: Items, df: np.ndarray) -> Overlap:
+    def of(cls, items: Items, df: np.ndarray, some: np.ndarray) -> Overlap:
         held, least = [], []
-        for i, words in enumerate(items.words):
+        for i, words in enumerate(items.words[j] for j in some):
             need = next(m for m in range(int(PARAPHRASE * len(words)), len(words) + 1) if m / len(words) >= PARAPHRASE)
             spare = need * 2 // 3
             for w, n in sorted(Counter(words).items(), key=lambda x: (-df[x[0]], x[0])):
@@ -308,10 +315,12 @@ class Overlap:
                     spare = 0
             least.append(need)
         word, item, times = np.array(sorted(held), np.int64).reshape(-1, 3).T
-        return cls(np.searchsorted(word, np.arange(len(items.vocabulary) + 1)), item, times.astype(np.int32), np.array(least), np.array([reach(len(words)) for words in items.words]))
+        return cls(np.searchsorted(word, np.arange(len(items.vocabulary) + 1)), item, times.astype(np.int32), np.array(least), np.array([reach(len(items.words[j])) for j in some]), some)
 
     def candidates(self, c: Chunks) -> tuple[np.ndarray, np.ndarray]:
         """Windows and items where the window with the item's reach on either side holds `least`."""
+        if not len(self.least):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         size = np.diff(self.begins)[c.word]
         ends = np.cumsum(size)
         at = np.repeat(self.begins[c.word] - ends + size, size) + np.arange(size.sum())
@@ -326,7 +335,7 @@ class Overlap:
             part = total[:, of]
             low, high = np.maximum(c.first[c.doc], chunk - r), np.minimum(c.first[c.doc + 1], chunk + 2 + r)
             window, i = np.nonzero(part[high] - part[low] >= self.least[of])
-            found.append((window, of[i]))
+            found.append((window, self.of_items[of[i]]))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
@@ -340,8 +349,10 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, space: str = "latent") -> DataFrame:
-    """doc_id, item_id, matched (words of the longest common subsequence), item_words, ratio, cosine: the best match of each pair that leaks."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, space: str = "latent", exact: bool = False, kept: float = KEPT) -> DataFrame:
+    """doc_id, item_id, matched (words of the longest common subsequence), item_words, ratio, cosine: the best match of each pair that leaks.
+
+    exact, kept: see the module; kept=0 leaves the search to the space alone."""
     spark = docs.sparkSession
     out = None
     items_all = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -349,7 +360,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, space: str = "latent") ->
     blocks = max(1, -(-size.n // ITEMS), -(-(size.words or 0) // BLOCK_WORDS))
     for block in range(blocks):
         items = read_items(items_all.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect())
-        found = _leaks_of(docs, items, space) if items.ids else None
+        found = _leaks_of(docs, items, space, exact, kept) if items.ids else None
         if found is not None:
             out = found if out is None else out.unionByName(found)
     if out is None:
@@ -358,7 +369,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, space: str = "latent") ->
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.matched", "m.item_words", "m.ratio", "m.cosine")
 
 
-def _leaks_of(docs: DataFrame, items: Items, space: str) -> DataFrame:
+def _leaks_of(docs: DataFrame, items: Items, space: str, exact: bool, kept: float) -> DataFrame:
     coded = _code(docs, items)
     passages, df = passage_counts(coded, len(items.vocabulary))
     idf = np.log((passages + 1) / (df + 1.0)).astype(np.float32)
@@ -367,14 +378,33 @@ def _leaks_of(docs: DataFrame, items: Items, space: str) -> DataFrame:
         if np.count_nonzero(weight[words]) < WEIGHTED * len(words):
             weight[words] = np.maximum(idf[words], LEAST_WEIGHT)
     basis = latent_basis(coded, items, weight) if space == "joint" else singular_space(coded, weight)[0]
-    latent = items.vectors(weight) @ basis
+    of, latent, share = _pieces(items, weight, basis)
     norms = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((items, weight, weight[:, None] * basis, (latent / norms[:, None]).T, idf, Overlap.of(items, df)))
+    lost = np.arange(len(items.ids)) if exact else np.unique(of[share < kept])
+    covered = np.where(norms > 1e-6, COVERED * norms, np.inf)
+    shared = docs.sparkSession.sparkContext.broadcast((items, weight, weight[:, None] * basis, of, (latent / norms[:, None]).T, covered, idf, Overlap.of(items, df, lost)))
     return coded.mapInArrow(functools.partial(_search, shared=shared), "doc_id long, item_id long, matched long, item_words long, ratio double, cosine double")
 
 
+def _pieces(items: Items, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items as passages would hold them: item, latent vector and the share of the norm that it keeps, of each piece of at most a
+    passage's words (of 1.5 passages, where the rest is less than half of one)."""
+    of, latent, share = [], [], []
+    for i, words in enumerate(items.words):
+        n = max(1, round(len(words) / (2 * STRIDE)))
+        for part in np.array_split(np.array(words), n):
+            word, times = np.unique(part, return_counts=True)
+            held = times * weight[word]
+            of.append(i)
+            latent.append(held @ basis[word])
+            norm = np.linalg.norm(held)
+            share.append(np.linalg.norm(latent[-1]) / norm if norm > 1e-9 else 0.0)
+    return np.array(of), np.array(latent, np.float32), np.array(share)
+
+
 def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    items, weight, rows, latent, idf, overlap = shared.value
+    items, weight, rows, of, latent, covered, idf, overlap = shared.value
+    begins = np.searchsorted(of, np.arange(len(items.ids) + 1))
     masks = []
     for words in items.words:
         mask: dict[int, int] = {}
@@ -391,13 +421,15 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         found = [window * len(items.ids) + item]
         for start in range(0, len(some), 4096):
             part = some[start : start + 4096]
-            cosine = z[part] @ latent / norm[part][:, None]
-            w, i = np.nonzero(cosine >= COSINE)
-            found.append(part[w] * len(items.ids) + i)
+            along = z[part] @ latent
+            w, i = np.nonzero((along >= COSINE * norm[part][:, None]) | (along >= covered))
+            found.append(part[w] * len(items.ids) + of[i])
         window, item = np.divmod(np.unique(np.concatenate(found)), len(items.ids))
         close = _close(c, window, item, items)
         window, item = window[close], item[close]
-        cosines = np.einsum("ij,ij->i", z[window], latent.T[item]) / np.maximum(norm[window], 1e-9)
+        cosines = np.einsum("ij,ij->i", z[window], latent.T[begins[item]]) / np.maximum(norm[window], 1e-9)
+        for at in np.flatnonzero(begins[item + 1] - begins[item] > 1):  # the best of a long item's pieces
+            cosines[at] = (z[window[at]] @ latent[:, begins[item[at]] : begins[item[at] + 1]]).max() / max(norm[window[at]], 1e-9)
         hits = zip(window.tolist(), item.tolist(), cosines.tolist(), strict=True)
         best: dict[tuple[int, int], tuple[float, int, float]] = {}
         for window, item, cosine in hits:

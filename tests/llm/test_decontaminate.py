@@ -198,3 +198,19 @@ def test_paraphrases_with_and_without_the_answer(spark, frame):
                 want.add(docs[-1][0])
     got = {r.doc_id for r in D.find_leaks(frame(docs), bench(spark, items)).collect()}
     assert got == want and 5 < len(want) < 30
+
+
+def test_the_space_decides_what_is_compared(spark, frame, monkeypatch):
+    """A basis without directions finds nothing but what the bound for lost items adds; with the space, recall at 40, 200 and 600 items."""
+    nothing = lambda coded, weight: (np.zeros((len(weight), 1), np.float32), np.zeros(1))
+    for n in (40, 200, 600):
+        items = [(i, prose(3000 + i, 25 + i % 20)) for i in range(n)]
+        docs = frame([(i, prose(i, 60) + " " + altered(text, i, 0.1 * (i % 2)) + " " + prose(-i, 60)) for i, text in items] + [(10_000 + i, prose(90_000 + i, 100)) for i in range(100)])
+        whole = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench(spark, items), exact=True).collect()}
+        alone = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench(spark, items), kept=0).collect()}
+        both = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench(spark, items)).collect()}
+        assert alone <= both <= whole and len(alone) >= 0.9 * len(whole) and len(both) >= 0.98 * len(whole) > 0.8 * n
+        with monkeypatch.context() as m:
+            m.setattr(D, "singular_space", nothing)
+            assert D.find_leaks(docs, bench(spark, items), kept=0).count() == 0
+            assert {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench(spark, items)).collect()} == whole  # all items are lost, so the bound searches for all
