@@ -3,8 +3,8 @@
 Texts are split by the vocabulary's pattern; each distinct piece of a step that is not held from before is encoded once.
 Pieces are bucketed by byte length into matrices padded with -1. In each round every row looks up all its adjacent pairs in a
 hashed pair table, merges its leftmost pair of least rank and is compacted by one column; rows without a known pair
-leave the matrix. Pieces longer than WIDEST bytes take the same merges with a heap over a linked list, so that one very
-long run costs n log n.
+leave the matrix. Pieces longer than WIDEST bytes are matrices of one row, in which a round merges all places of the least
+pair from the left at once, up to one that brings up a pair of lower rank, and looks up only the pairs beside them.
 
 Defined cases: null text is the empty text (no ids); repeated rows are encoded alike; an empty table gives an empty
 result; other columns are passed by. Decoding is exact: bytes of ids concatenated.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 from itertools import chain
 
 import numpy as np
@@ -145,31 +144,28 @@ class Bpe:
 
     def _long(self, piece: bytes) -> np.ndarray:
         ids = self.single[np.frombuffer(piece, np.uint8)]
-        n = len(ids)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        first = self.pairs.find(ids[:-1], ids[1:])
-        heap = [(int(first[i]), int(i), int(ids[i]), int(ids[i + 1])) for i in np.flatnonzero(first != _NONE)]
-        heapq.heapify(heap)
-        ids, after, before = ids.tolist(), after.tolist(), before.tolist()
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (joined := self.ranks.get(self.bytes_of[ids[i]] + self.bytes_of[ids[j]])) is not None:
-                heapq.heappush(heap, (joined, i, ids[i], ids[j]))
-
-        while heap:
-            joined, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # one of the two was merged meanwhile
-            ids[i], ids[j] = joined, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return np.array([x for x in ids if x >= 0], "<u4")
+        ranks = self.pairs.find(ids[:-1], ids[1:])  # of each id with the next
+        while len(ranks) and (least := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == least)
+            run = np.concatenate([[True], np.diff(at) > 1])  # neighbouring places overlap: every other one of a run is merged
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
+            # from left to right, a merge may bring up a pair of lower rank with what is beside it then: it is the last of this round
+            merged_before = np.concatenate([[False], np.diff(at) == 2])
+            left = np.where(merged_before, least, ids[np.maximum(at - 1, 0)])
+            lower = (self.pairs.find(left, np.full(len(at), least)) < least) & (at > 0)
+            inner = at + 2 < len(ids)
+            lower[inner] |= self.pairs.find(np.full(inner.sum(), least), ids[at[inner] + 2]) < least
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            ranks = ranks[keep[1:]] if len(ids) > 1 else ranks[:0]  # the pair before a removed id goes with it
+            now = at - np.arange(len(at))
+            beside = np.unique(np.concatenate([now[now > 0] - 1, now[now < len(ids) - 1]]))
+            ranks[beside] = self.pairs.find(ids[beside], ids[beside + 1])
+        return ids.astype("<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         out = []

@@ -62,3 +62,22 @@ def test_pair_table_finds_all_and_nothing_else():
 def test_wide_pieces(n):
     text = ("abc" * n)[:n]
     assert ids([text]) == [TRUTH.encode_ordinary(text)]
+
+
+def test_long_pieces_of_any_kind():
+    r = np.random.default_rng(4)
+    long = ["".join(r.choice(list(letters), n)) for n in (257, 300, 1000, 4000) for letters in ("ab", "abcdefghij", "etaoinshrdlu", "\u00e9\u00e8\u4e00", "=-")]
+    long += ["a" * n for n in (257, 258, 511)] + ["the" * 400, "zyx" * 333 + "a"]
+    assert ids(long) == [TRUTH.encode_ordinary(x) for x in long]
+
+
+def test_a_vocabulary_out_of_order():
+    """Tokens that rank before their own parts: one place at a time, as the library does."""
+    ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"abc": 1, b"ab": 5, b"bc": 3, b"ca": 4, b"abcabc": 2, b"aa": 7, b"aaaa": 6}
+    own = B.Bpe(ranks)
+    truth = tiktoken.Encoding("odd", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    r = np.random.default_rng(1)
+    for n in (260, 300, 900):
+        for letters in ("abc", "ab", "a"):
+            text = "".join(r.choice(list(letters), n))
+            assert own.encode_pieces([text.encode()])[0].tolist() == truth.encode_ordinary(text)
