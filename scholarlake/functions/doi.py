@@ -58,7 +58,8 @@ def score(text: Column | str, doi: Column | str) -> Column:
 
 
 def doi_key(x: Column | str) -> Column:
-    return F.lower(F.trim(col(x)))
+    """A DOI as registries are joined by it: lower case, without the resolver's address that some put before it."""
+    return F.regexp_replace(F.lower(F.trim(col(x))), r"^https://doi\.org/", "")
 
 
 def doi_href(x: Column | str) -> Column:

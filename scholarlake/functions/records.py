@@ -116,9 +116,3 @@ def confidence(x: Column | str, base: float = 0.75) -> Column:
     """A number clamped to 0..1; base for anything else."""
     number = F.coalesce(F.when(F.lower(col(x).cast("string")).isin("true", "false"), (F.lower(col(x).cast("string")) == "true").cast("double")), col(x).try_cast("double"))
     return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(base)  # least() skips nulls
-
-
-def is_model(name: Column | str, required: str) -> Column:
-    """Whether a served model's name is the required one, with or without a tag after a colon."""
-    name = col(name)
-    return F.coalesce((name == required) | name.startswith(required + ":"), F.lit(False))

@@ -32,12 +32,16 @@ def canonical(x: Column | str, passes: int = 10) -> Column:
 
     Host names are glued inside URLs only."""
     x = F.regexp_replace(col(x), INVISIBLE, "")
-    x = F.regexp_replace(F.regexp_replace(x, GATEWAY, ""), GATEWAY_END, "$2")
-    for name in _HOSTS:
-        x = F.regexp_replace(x, r"(?i)(https?://(?:www\.)?)" + r"\s*".join(name) + r"\s*\.\s*(?=org|com|io)", f"$1{name}.")
-    for _ in range(passes):
-        x = F.regexp_replace(x, _GAP, "$1$2")
-    return x
+
+    def glue(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, GATEWAY, ""), GATEWAY_END, "$2")
+        for name in _HOSTS:
+            x = F.regexp_replace(x, r"(?i)(https?://(?:www\.)?)" + r"\s*".join(name) + r"\s*\.\s*(?=org|com|io)", f"$1{name}.")
+        for _ in range(passes):
+            x = F.regexp_replace(x, _GAP, "$1$2")
+        return x
+
+    return let(x, lambda text: F.when(text.contains("__") | F.lower(text).contains("http"), glue(text)).otherwise(text))  # most texts have no link
 
 
 #: A URL of a page's layout: a scheme, then URL characters up to the most, white space between them swallowed unless an

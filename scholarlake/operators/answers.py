@@ -26,6 +26,12 @@ def build_prompt(contexts: DataFrame) -> DataFrame:
     return contexts.groupBy("doc_id").agg(F.concat_ws("\n", F.lit("\n".join(RULES)), F.array_join(F.transform(listed, lambda x: x["line"]), "\n")).alias("prompt"))
 
 
+def build_messages(contexts: DataFrame) -> DataFrame:
+    """doc_id, system, prompt: the rules as the system text, each kind's contexts numbered by rank as the prompt."""
+    head = len("\n".join(RULES)) + 1
+    return build_prompt(contexts).select("doc_id", F.lit("\n".join(RULES)).alias("system"), F.substr("prompt", F.lit(head + 1)).alias("prompt"))
+
+
 def parse_answer(reply: Column | str) -> Column:
     """The reply's JSON object, else that between its outermost braces; null without one."""
     reply = col(reply)

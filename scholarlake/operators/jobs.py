@@ -5,6 +5,8 @@ State is a snapshot table or, preferably, an append-only event log folded to the
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,9 +156,16 @@ def fold_states(events: DataFrame, key: str, state: str, order=("ts", "log_id"),
 # --- logs
 
 
+def since(text: str) -> datetime.datetime:
+    """An ISO 8601 time as UTC without a zone, as logs have it; a time without an offset is UTC. Anything else is a ValueError."""
+    at = datetime.datetime.fromisoformat(text)
+    return at.astimezone(datetime.timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+
+
 def log_page(logs: DataFrame, limit: int = 1000, after: tuple | None = None, descending: bool = False) -> DataFrame:
-    """The next page after (ts, log_id), in that order; a time alone is inclusive."""
+    """The next page after (ts, log_id), in that order; a time alone is inclusive. Times may be ISO strings with an offset."""
     if after is not None:
+        after = (since(after[0]) if isinstance(after[0], str) else after[0], *after[1:])
         ts, log_id = F.lit(after[0]).cast(logs.schema["ts"].dataType), after[1] if len(after) > 1 else None
         if log_id is None:
             logs = logs.where(F.col("ts") <= ts if descending else F.col("ts") >= ts)
@@ -187,8 +196,15 @@ def log_rollup(jobs: DataFrame, logs: DataFrame, tail: int = 5) -> DataFrame:
 
 
 def op_sequence(logs: DataFrame) -> DataFrame:
-    """job_id, pos, op: each job's operations in order, a row each, since a job's log may be long."""
-    return logs.select("job_id", (F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "log_id")) - 1).cast("long").alias("pos"), "op")
+    """job_id, pos, op: each job's operations in order, a row each, since a job's log may be long.
+
+    Rows are numbered within an hour of a job, and hours by running sums over their counts, so a long log is not one task's."""
+    rows = logs.select("job_id", "op", "ts", "log_id", F.date_trunc("hour", "ts").alias("hour"))
+    hours = rows.groupBy("job_id", "hour").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("job_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("job_id", "hour").orderBy("ts", "log_id"))
+    r, h = rows.withColumn("inside", inside).alias("r"), hours.withColumn("before", before).alias("h")
+    return r.join(h, F.expr("r.job_id <=> h.job_id AND r.hour <=> h.hour")).select("r.job_id", (F.col("before") + F.col("inside") - 1).alias("pos"), "op")
 
 
 def log_download(jobs: DataFrame, logs: DataFrame, descending: bool = False, page: int = 1000) -> DataFrame:

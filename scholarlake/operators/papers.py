@@ -229,6 +229,24 @@ def resolved_title(blocks: DataFrame) -> DataFrame:
     return title_lines(blocks).select("doc_id", F.coalesce(*(t for t, _ in options)).alias("title"), sure.alias("confidence"))
 
 
+def record_titles(blocks: DataFrame, replies: DataFrame | None = None, prefer_model: bool = False) -> DataFrame:
+    """doc_id, title, title_source, title_confidence: the resolver's title, else the first block that looks like one (both
+    `heuristic`), else a model's of 10 to 300 characters (replies: doc_id, title_reply; `llm`), which prefer_model puts first.
+    Papers without any have nulls; a confidence comes with the resolver's titles alone."""
+    rows = resolved_title(blocks).withColumnsRenamed({"title": "resolved", "confidence": "sure"})
+    rows = rows.join(heuristic_title(blocks).withColumnRenamed("title", "looked"), "doc_id", "left")
+    if replies is not None and "title_reply" in replies.columns:
+        said = F.trim(T.none_to_null("title_reply"))
+        rows = rows.join(replies.select("doc_id", F.when(F.length(said).between(10, 300), said).alias("said")), "doc_id", "left")
+    else:
+        rows = rows.withColumn("said", F.lit(None).cast("string"))
+    own = F.coalesce("resolved", "looked")
+    title = F.coalesce(F.col("said"), own) if prefer_model else F.coalesce(own, F.col("said"))
+    by_model = F.col("said").isNotNull() & (F.lit(True) if prefer_model else own.isNull())
+    source = F.when(by_model, "llm").when(own.isNotNull(), "heuristic")
+    return rows.select("doc_id", title.alias("title"), source.alias("title_source"), F.when(~by_model, F.col("sure")).alias("title_confidence"))
+
+
 # --- registry
 
 
@@ -317,11 +335,12 @@ def verify_doi(best: DataFrame, titles: DataFrame, registry: DataFrame) -> DataF
 # --- records
 
 
-def paper_records(blocks: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS, replies: DataFrame | None = None) -> DataFrame:
+def paper_records(blocks: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS, replies: DataFrame | None = None, prefer_model: bool = False) -> DataFrame:
     """One row a paper: title, DOI, statements, status, links, licenses, confidences, warnings.
 
-    replies: doc_id and a language model's reply, doi_reply, data_license and code_license, each of which may be null."""
-    titles = resolved_title(blocks).withColumnRenamed("confidence", "title_confidence")
+    replies: doc_id and a language model's reply, doi_reply, data_license and code_license, each of which may be null, and
+    title_reply if it is there; prefer_model: see record_titles()."""
+    titles = record_titles(blocks, replies, prefer_model)
     dois = verify_doi(complete_dois(best_doi(doi_candidates(blocks, settings)), blocks, replies, settings), titles.select("doc_id", "title"), registry).withColumnRenamed("confidence", "doi_confidence")
     kinds = availability(blocks, settings, replies).groupBy("doc_id").agg(
         *(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("data", "code") for c in ("statement", "status", "confidence", "links"))
@@ -335,7 +354,7 @@ def paper_records(blocks: DataFrame, registry: DataFrame, settings: Settings = D
     return titles.join(dois, "doc_id").join(kinds, "doc_id", "left").select(
         "doc_id",
         "title",
-        F.lit("heuristic").alias("title_source"),
+        "title_source",
         "doi",
         "doi_from_title_search",
         *(f"{k}_{c}" for k in ("data", "code") for c in ("statement", "status")),

@@ -14,7 +14,7 @@ VIEWS = {
 WITH tmpl(k, head_d, stmt_d, head_c, stmt_c) AS (VALUES
  (0,'Data availability:','All data are available at https://zenodo.org/record/{id} and archived under DOI 10.5281/zenodo.{id}.','Code availability:','Analysis code is available at https://github.com/lab/repo{id}.'),
  (1,'DATA ACCESSIBILITY','The data are available upon reasonable request from the corresponding author.','CODE AVAILABILITY','Scripts are available on request.'),
- (2,'Data accessibility:','Data deposited in the Dryad Digital Repository: http://dx.doi.org/10.5061/dryad.q{id}(Smith et al. 2015).','Software availability','The software is available at https://gitlab.com/lab/p{id}, see also https://orcid.org/0000-0001.'),
+ (2,'Data accessibility:','Readings of all loggers count as open data, available from http://dx.doi.org/10.6084/m9.figshare.{id}[S2].','Software availability','The software is available at https://gitlab.com/lab/p{id}, see also https://orcid.org/0000-0001.'),
  (3,'Data availability','All datasets will be made available upon publication.','Acknowledgements','Data of others are at https://zenodo.org/record/9{id}, their code is at https://github.com/other/x{id}.'),
  (4,'Data availability','All data are provided in the article and in the supplementary materials.','Code availability','Code is available at https://github.com/a/b{id}https://github.com/c/d{id}'),
  (5,'Introduction','Nothing relevant is stated here.','Methods','Samples were counted twice. All data were shared by https://zenodo.org/record/7{id}?a= b.
@@ -28,7 +28,7 @@ SELECT d.doc_id, b.seq, CASE WHEN b.seq < 4 THEN 1 ELSE 2 END AS page, CASE WHEN
    WHEN 1 THEN 'Seasonal Patterns in ' || upper(d.lang) || ' Records from Station {id}'
    WHEN 2 THEN CASE t.k WHEN 0 THEN 'doi:10.1234/ref.{id}' WHEN 1 THEN 'https://doi.org/10.2345/ref.{id}'
         WHEN 2 THEN 'Early mention 10.2222/other.{id} then doi:10.1111/chosen.{id}' WHEN 3 THEN 'Archived as 10.5281/zenodo.{id}'
-        WHEN 4 THEN 'See 10.3456/ref.{id}(Smith et al. 2015).' ELSE 'No identifier given' END
+        WHEN 4 THEN 'See 10.3456/ref.{id}(table 2).' ELSE 'No identifier given' END
    WHEN 3 THEN d.text
    WHEN 4 THEN t.head_d WHEN 5 THEN t.stmt_d WHEN 6 THEN t.head_c ELSE t.stmt_c END,
   '{id}', CAST(d.doc_id AS STRING)) AS text

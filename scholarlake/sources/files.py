@@ -35,6 +35,16 @@ def gate(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def gate_calls(files: DataFrame, call: str = "call_id", place: str = "place", settings: Settings = DEFAULTS) -> DataFrame:
+    """gate() for uploads of several files (place: a file's position in its call): call_reject, the reason of the first bad file,
+    rejects the whole call, whose row `queued` is then false; `stored` files are those before it. A call is one file or more."""
+    rows = gate(files, settings)
+    first = F.min(F.when(F.col("reject").isNotNull(), F.struct(F.col(place).alias("place"), F.col("filename"), F.col("reject").alias("reason"))))
+    bad = rows.groupBy(F.col(call).alias("of_call")).agg(first.alias("call_reject"))
+    rows = rows.join(bad, F.col(call).eqNullSafe(F.col("of_call"))).drop("of_call")
+    return rows.withColumns({"queued": F.col("call_reject").isNull(), "stored": F.col("call_reject").isNull() | (F.col(place) < F.col("call_reject.place"))})
+
+
 def text_pages(content: bytes) -> list[str]:
     """The extractor of plain text files: form feeds part the pages."""
     return content.decode("utf-8", "replace").split("\f")

@@ -29,22 +29,46 @@ def with_retries(call: Callable, delays=CHAT_DELAYS, sleep: Callable[[float], No
     return run
 
 
-def ask(prompts: DataFrame, chat: Callable[[str], str], delays=CHAT_DELAYS) -> DataFrame:
-    """prompts (doc_id, prompt) with reply and error; a failed row keeps its error and the others go on."""
+#: Makers of chat clients by name; each gives a callable of a system text and a prompt.
+_CLIENTS: dict[str, Callable[..., Callable[[str, str], str]]] = {}
+
+
+def register_client(name: str, make: Callable[..., Callable[[str, str], str]]) -> None:
+    """Names a kind of chat client: make(**settings) is called in each task, so that connections need not travel."""
+    _CLIENTS[name] = make
+
+
+def chat_client(name: str, **settings) -> Callable[[str, str], str]:
+    """A chat callable for ask() that makes its client of the named kind where it is first used."""
+    make, held = _CLIENTS[name], []
+
+    def chat(system: str, prompt: str) -> str:
+        if not held:
+            held.append(make(**settings))
+        return held[0](system, prompt)
+
+    return chat
+
+
+def ask(prompts: DataFrame, chat: Callable[..., str], delays=CHAT_DELAYS) -> DataFrame:
+    """prompts (doc_id, prompt) with reply and error; a failed row keeps its error and the others go on.
+
+    With a column `system`, chat is called with it and the prompt, else with the prompt alone."""
+    columns = ["doc_id", "system", "prompt"] if "system" in prompts.columns else ["doc_id", "prompt"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = with_retries(chat, delays)
         for frame in frames:
             replies, errors = [], []
-            for prompt in frame.prompt:
+            for said in frame[columns[1:]].itertuples(index=False):
                 try:
-                    replies.append(call(prompt) or ""), errors.append(None)
+                    replies.append(call(*said) or ""), errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     replies.append(None), errors.append(str(e)[-2000:])
             yield frame.assign(reply=replies, error=errors)[["doc_id", "reply", "error"]]
 
     kind = prompts.schema["doc_id"].dataType.simpleString()
-    return prompts.select("doc_id", "prompt").mapInPandas(run, f"doc_id {kind}, reply string, error string")
+    return prompts.select(*columns).mapInPandas(run, f"doc_id {kind}, reply string, error string")
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64, delays=EMBED_DELAYS) -> DataFrame:

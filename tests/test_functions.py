@@ -13,7 +13,7 @@ CASES = [
     (D.validate_doi, " doi:10.1234/abc. ", "10.1234/abc"),
     (D.validate_doi, "https://doi.org/10.1234/a-b_c", "10.1234/a-b_c"),
     (D.validate_doi, "http://dx.doi.org/10.1234/a;", "10.1234/a"),
-    (D.validate_doi, "10.5061/dryad.q205m(Lucas et al. 2015).", "10.5061/dryad.q205m"),
+    (D.validate_doi, "10.6084/m9.figshare.99(table 4).", "10.6084/m9.figshare.99"),
     (D.validate_doi, "11.1234/abc", None),
     (D.validate_doi, "10.12/abc", None),
     (D.validate_doi, "", None),
@@ -21,6 +21,8 @@ CASES = [
     (D.first_doi, "see 10.1234/x.1, and 10.9999/y", "10.1234/x.1"),
     (D.first_doi, "nothing", None),
     (D.doi_key, " 10.1234/ABC ", "10.1234/abc"),
+    (D.doi_key, "HTTPS://doi.org/10.1234/ABC", "10.1234/abc"),
+    (U.canonical, "no link \u200bhere __ ; !!abc and more", "no link here  and more"),
     (D.doi_href, "10.1234/a", "https://doi.org/10.1234/a"),
     (D.doi_href, "https://x.org", "https://x.org"),
     (D.candidates, "doi:10.1234/a 10.5281/zenodo.1 https://doi.org/10.1234/a 10.2345/b,", ["10.1234/a", "10.2345/b"]),

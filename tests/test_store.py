@@ -40,4 +40,4 @@ def test_timing_line_also_on_failure():
 
 def test_model_names(spark):
     rows = spark.createDataFrame([("m",), ("m:latest",), ("mm",), ("x:m",), ("",), (None,)], "name string")
-    assert [r.ok for r in rows.select(R.is_model("name", "m").alias("ok")).collect()] == [True, True, False, False, False, False]
+    assert [r.ok for r in rows.select(R.serves_model("name", "m").alias("ok")).collect()] == [True, True, False, False, False, False]
