@@ -48,6 +48,8 @@ ROOTS = 64
 #: Documents of the sample that places range borders: one in so many, by hash.
 SAMPLED = 16
 BORDERS_FROM = 20_000
+#: Bytes of a border's words; a border need not be a path that is there.
+BORDER_BYTES = 64
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 
@@ -325,7 +327,7 @@ def _borders(rows: DataFrame, parts: int) -> list[tuple[bytes, ...]]:
                     continue
                 n = len(trie.levels[2][0])
                 chosen = np.unique(np.linspace(0, n - 1, min(n, 512)).astype(int))
-                paths = [trie.path(2, int(i)) for i in chosen]
+                paths = [tuple(x[:BORDER_BYTES] for x in trie.path(2, int(i))) for i in chosen]
                 lang, first, second = zip(*paths, strict=True)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.binary()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary()), "weight": pa.array(np.full(len(chosen), n / len(chosen)))})
 

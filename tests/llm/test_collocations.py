@@ -81,6 +81,13 @@ def test_shards_that_are_handed_on_early(spark, monkeypatch):
     assert rows(P.collocations(frame(spark, docs), least=10, parts=6)) == brute(docs, 10)
 
 
+def test_words_longer_than_borders(spark, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLED", 1)
+    monkeypatch.setattr(P, "BORDER_BYTES", 2)
+    docs = [(" ".join(f"long{w}" * (1 + w) if w % 3 else f"w{w}" for w in range(i % 7, i % 7 + 12)), "en") for i in range(60)] + documents(9, 40)
+    assert rows(P.collocations(frame(spark, docs), least=8, parts=9)) == brute(docs, 8)
+
+
 def test_full_bits_change_nothing(spark, monkeypatch):
     docs = documents(6, 60)
     monkeypatch.setattr(P, "MOST_BITS", 1 << 6)
