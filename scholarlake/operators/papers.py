@@ -25,7 +25,7 @@ def heading_label(text: Column) -> Column:
     low = F.lower(text)
     starts = lambda words: low.rlike("^(?:" + "|".join(words) + ")")
     letters = (F.upper(text) == text) & (F.lower(text) != text)
-    return F.when(starts(DATA_HEADINGS), "data").when(starts(CODE_HEADINGS), "code").when((T.word_count(text) <= 6) & letters, "generic")
+    return F.when(starts(DATA_HEADINGS), "data").when(starts(CODE_HEADINGS), "code").when(letters & (T.word_count(text) <= 6), "generic")
 
 
 def segment(blocks: DataFrame) -> DataFrame:
@@ -91,10 +91,14 @@ def rank_contexts(paragraphs: DataFrame, settings: Settings = DEFAULTS) -> DataF
 
 def _trimmed(text: Column, kind: str) -> Column:
     """The first sentence, else the first pair of neighbours, that states availability."""
-    s = T.statement_sentences(text)
-    pairs = F.zip_with(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     ok = lambda x: R.states_availability(x, kind)
-    return F.coalesce(F.get(F.filter(s, ok), F.lit(0)), F.get(F.filter(pairs, ok), F.lit(0)))
+
+    def first(s: Column) -> Column:
+        left, right = F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0)))
+        pairs = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.coalesce(F.get(F.filter(s, ok), F.lit(0)), F.get(F.filter(pairs, ok), F.lit(0)))
+
+    return T.let(T.statement_sentences(text), first)
 
 
 def _by_kind(fn) -> Column:
@@ -109,9 +113,10 @@ def statements(grouped: DataFrame) -> DataFrame:
     sure = _by_kind(lambda k: F.get(F.filter(F.transform("contexts", lambda c: F.struct(_trimmed(c["text"], k).alias("text"), c["points"].alias("points"))), lambda x: x["text"].isNotNull()), F.lit(0)))
     first = F.get("contexts", F.lit(0))
     whole = F.struct(U.canonical(T.repair_spacing(first["text"])).alias("text"), first["points"].alias("points"))
-    rows = grouped.withColumn("sure", sure).withColumn("whole", whole).withColumn("weak", F.when(F.col("sure").isNull() & _by_kind(lambda k: R.states_availability("whole.text", k)), F.col("whole")))
+    stated = T.let(whole, lambda w: F.when(_by_kind(lambda k: R.states_availability(w["text"], k)), w))
+    rows = grouped.withColumn("sure", sure).withColumn("weak", F.when(F.col("sure").isNull(), stated))  # only where no sentence says it
     confidence = F.when(F.col("sure").isNotNull(), F.least(F.lit(0.6), F.col("sure.points") / 80)).when(F.col("weak").isNotNull(), F.least(F.lit(0.4), F.col("weak.points") / 100))
-    return rows.withColumns({"statement": F.coalesce("sure.text", "weak.text"), "confidence": F.round(confidence, 6)}).drop("sure", "weak", "whole")
+    return rows.withColumns({"statement": F.coalesce("sure.text", "weak.text"), "confidence": F.round(confidence, 6)}).drop("sure", "weak")
 
 
 def with_links(stated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
