@@ -367,6 +367,7 @@ SELECT user_id, count(*) AS total, count(*) FILTER (success) AS successful, coun
  round(avg(ms) FILTER (success), 3) AS avg_ms, CAST(min(ms) FILTER (success) AS BIGINT) AS min_ms, CAST(max(ms) FILTER (success) AS BIGINT) AS max_ms,
  count(*) FILTER (accurate) AS accurate, round(count(*) FILTER (accurate) * 100 / nullif(count(*) FILTER (success), 0), 1) AS accuracy_rate FROM r GROUP BY user_id""",
     "status_fold": "SELECT job_id, arg_max(op, (ts, log_id)) AS op, max(ts) AS at, count(*) AS events FROM logs_view GROUP BY job_id",
+    "status_fold_incremental": "SELECT job_id, arg_max(op, (ts, log_id)) AS op, max(ts) AS at, count(*) AS events FROM logs_view GROUP BY job_id",
     "job_logs_page": "SELECT log_id, job_id, ts, op FROM logs_view WHERE (ts, log_id) > (TIMESTAMP '2024-01-10 00:00:00', 0) ORDER BY ts, log_id LIMIT 1000",
     "job_logs_page_desc": "SELECT log_id, job_id, ts, op FROM logs_view ORDER BY ts DESC, log_id DESC LIMIT 1000",
     "job_log_rollup": """

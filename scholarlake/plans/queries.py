@@ -13,6 +13,7 @@ from scholarlake.functions import text as T
 from scholarlake.functions import urls as U
 from scholarlake.operators import answers, jobs, layout, papers, retrieval
 from scholarlake.plans.views import table, view
+from scholarlake.sources.states import States, scratch
 from scholarlake.streaming import logs as windows
 from scholarlake.streaming import worker
 
@@ -422,6 +423,21 @@ def status_fold(spark, sf):
     return jobs.fold_states(view(spark, sf, "logs_view"), "job_id", "op")
 
 
+@query
+def status_fold_incremental(spark, sf):
+    """status_fold() over the log as it came in three batches: each is folded once and merged with what was there."""
+    logs = view(spark, sf, "logs_view")
+    first, last = logs.agg(F.min("ts"), F.max("ts")).first()
+    states = States(scratch(spark, "states"), "job_id", "op", buckets=8, compact_every=2)
+    if first is None:
+        return jobs.fold_states(logs, "job_id", "op")
+    cuts = [first + (last - first) * i / 3 for i in (1, 2)]
+    for batch, (after, upto) in enumerate(((None, cuts[0]), cuts, (cuts[1], None))):
+        part = logs if after is None else logs.where(F.col("ts") > F.lit(after).cast("timestamp_ntz"))
+        states.advance(part if upto is None else part.where(F.col("ts") <= F.lit(upto).cast("timestamp_ntz")), batch)
+    return states.read(spark)
+
+
 @query
 def job_logs_page(spark, sf):
     return jobs.log_page(view(spark, sf, "logs_view"), after=("2024-01-10 00:00:00", 0)).select("log_id", "job_id", "ts", "op")

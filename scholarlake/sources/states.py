@@ -8,6 +8,7 @@ the states as they were or as they should be.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +102,14 @@ class States:
         return list(held.values())
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder below the session's shared one (spark.checkpoint.dir); on a local master without one, below /tmp."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or '/tmp/checkpoints/scholarlake').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def file_system(spark: SparkSession, path: str):
     """The file system that holds path, and the constructor of its paths."""
     jvm = spark.sparkContext._jvm
