@@ -6,6 +6,7 @@ from scholarlake.config import (
     CODE_DOMAINS, CODE_HEADINGS, CODE_HINTS, CODE_KEYWORDS, DATA_DOMAINS, DATA_HEADINGS, DATA_HINTS, DATA_KEYWORDS, DATASET_PREFIXES, DENIED, EMBEDDED,
     FUTURE, GATEWAY, INVISIBLE, LICENSES, RESOLVER_STOPWORDS, RESTRICTED, STATEMENT_GAP, STATEMENT_WORDS, TITLE_STOPWORDS, URL_CHARS, URL_CLASS, URL_ENDS,
 )
+from scholarlake.operators.answers import RULES
 from scholarlake.plans.views import with_views
 
 
@@ -393,6 +394,7 @@ SELECT f.job_id, file AS source_file, split_part(file, '/', -1) AS filename, coa
  '' AS data_sharing_license, '' AS code_license, CAST(coalesce(ud.n, 0) AS VARCHAR) AS data_links_count, CAST(coalesce(uc.n, 0) AS VARCHAR) AS code_links_count, coalesce(ud.l, '') AS data_links, coalesce(uc.l, '') AS code_links, coalesce(f.error, '') AS error
 FROM f LEFT JOIN title t ON t.doc_id = f.doc_id LEFT JOIN verified v ON v.doc_id = f.doc_id LEFT JOIN per pd ON pd.doc_id = f.doc_id AND pd.kind = 'data' LEFT JOIN per pc ON pc.doc_id = f.doc_id AND pc.kind = 'code'
  LEFT JOIN urls ud ON ud.doc_id = f.doc_id AND ud.kind = 'data' LEFT JOIN urls uc ON uc.doc_id = f.doc_id AND uc.kind = 'code'""",
+    "llm_prompts": f"WITH {CONTEXTS} SELECT doc_id, {' || chr(10) || '.join(map(text, RULES))} || chr(10) || string_agg('[' || kind || ' ' || rank || '] ' || text, chr(10) ORDER BY kind, rank) AS prompt FROM ctx GROUP BY doc_id",
     "export_records": f"""
 WITH {STATUS}, {DOIS}, {_LINES}, titles AS (SELECT doc_id, title FROM title), {_MATCH}, {_VERIFY},
 per AS (SELECT doc_id, kind, max(statement) AS statement FROM stmt GROUP BY doc_id, kind),
