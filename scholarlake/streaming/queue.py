@@ -30,6 +30,13 @@ EVENTS = "kind string, job_id string, created_at timestamp, total long, payload
 #: The job of documents without one.
 NO_JOB = ""
 _LAST = pd.Timestamp("2200-01-01")
+#: Documents that leave the operator in one frame.
+RELEASED_AT_ONCE = 1_000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    made = pd.DataFrame(rows, columns=["kind", "job_id", "created_at", "total", "payload"])
+    return made.astype({"total": "Int64"}).assign(created_at=pd.to_datetime(made.created_at))
 
 
 class JobGate(StatefulProcessor):
@@ -56,10 +63,16 @@ class JobGate(StatefulProcessor):
                 out.append((event.kind, job_id, event.created_at, total, None))
         if status in ("running", "cancelled"):
             kind = "document" if status == "running" else "cancelled"
-            held = [x for (x,) in self.waiting.get()] if self.waiting.exists() else []
-            self.waiting.clear()
+            held = []
+            for (payload,) in self.waiting.get() if self.waiting.exists() else ():
+                held.append((kind, job_id, None, None, payload))
+                if len(held) == RELEASED_AT_ONCE:
+                    released += len(held)
+                    yield _frame(held)
+                    held = []
             released += len(held)
-            out += [(kind, job_id, None, None, x) for x in held]
+            out += held
+            self.waiting.clear()
             if status == "running" and (total is None or released >= total):
                 status = "done"
                 out.append(("done", job_id, None, total, None))
@@ -68,8 +81,7 @@ class JobGate(StatefulProcessor):
             out.append(("pending", job_id, _LAST if job_id == NO_JOB else None, total, None))
         self.job.update((status, total, released))
         if out:
-            made = pd.DataFrame(out, columns=["kind", "job_id", "created_at", "total", "payload"])
-            yield made.astype({"total": "Int64"}).assign(created_at=pd.to_datetime(made.created_at))
+            yield _frame(out)
 
     def close(self) -> None:
         pass

@@ -97,6 +97,13 @@ def test_a_job_without_total_ends_when_none_waits_and_wakes_up_again(desk):
     assert [r[0] for r in desk.results()] == [1, 2] and desk.states()["a"] == "done"
 
 
+def test_more_documents_than_a_frame(desk):
+    desk.put("docs", [(i, "a", "x") for i in range(2 * Q.RELEASED_AT_ONCE + 7)])
+    desk.put("jobs", [("pending", "a", at(0), 2 * Q.RELEASED_AT_ONCE + 7)])
+    desk.run()
+    assert [r[0] for r in sorted(desk.results())] == list(range(2 * Q.RELEASED_AT_ONCE + 7)) and desk.states() == {"a": "done"}
+
+
 def test_cancelled_documents_are_errors(desk):
     desk.put("docs", [(1, "a", "x"), (2, "b", "y"), (3, "b", "z")])
     desk.put("jobs", [("pending", "a", at(0), 2), ("pending", "b", at(1), 2)])
