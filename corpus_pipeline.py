@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.bpe import decode_bpe, encode_bpe, multi_path
+from scholarlake.llm.bpe import encode_bpe, multi_path
 from scholarlake.llm.common import drop_written, materialize, table, written
 from scholarlake.llm.decontaminate import decontaminate
 from scholarlake.llm.exact_dedup import exact_dedup
@@ -40,9 +40,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the decoded ids are the text."""
     path, pattern = multi_path()
-    coded = decode_bpe(encode_bpe(docs.select("doc_id", "text", "lang", "source"), path, pattern), path)
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("exact"))
+    coded = encode_bpe(docs.select("doc_id", "text", "lang", "source"), path, pattern, exact=True)  # one Python worker a task holds the vocabulary
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import mapped, table
+from scholarlake.llm.common import mapped, table, texts
 from scholarlake.llm.parts import PartCoder, spread
 
 WIDEST = 256
@@ -209,16 +209,23 @@ def bpe_coder(path: str, pattern: str) -> BpeCoder:
     return BpeCoder(load_ranks(path), pattern)
 
 
-def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with ids (array<int>) added; an existing column of that name is replaced."""
-    rows = docs.drop("ids")
+def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", exact: bool = False) -> DataFrame:
+    """docs with ids (array<int>) added; an existing column of that name is replaced. exact: and with a column of that name, whether the ids
+    decode to the text, in the same pass."""
+    rows = docs.drop("ids", *["exact"] * exact)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, sizes = bpe_coder(path, pattern).encode(batch.column(text_col))
         ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int32)))
-        return pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
-
-    return mapped(rows, run, rows.withColumn("ids", F.lit(None).cast("array<int>")).schema, text_col, STEP)
+        columns, names = [*batch.columns, ids], [*batch.schema.names, "ids"]
+        if exact:
+            decoded = _decoded(load_ranks(path), flat.astype(np.int64), sizes)
+            same = [x == y for x, y in zip(decoded, texts(batch, text_col), strict=True)]
+            columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "exact"]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    added = {"ids": F.lit(None).cast("array<int>")} | ({"exact": F.lit(None).cast("boolean")} if exact else {})
+    return mapped(rows, run, rows.withColumns(added).schema, text_col, STEP)
 
 
 def _decoded(bpe: Bpe, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:

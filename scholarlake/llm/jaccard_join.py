@@ -10,8 +10,10 @@
    emits keys over all its shingles, in d + 1 + d/16 parts, empty ones included where there are over d/16 of them. A set is put into
    its own range and all below in which a partner may be. Leaving frequent shingles to the end keeps common passages from
    tying their documents; the result is the same whatever counts as frequent.
-3. Sorted by key and size, a key's sets are tied to one pivot (rows linear in keys), and connected candidates form a
-   family. Families too large for one block are keyed again, shingles now ordered by their counts in these families, as
+3. Sorted by key and size, a key's sets are tied to one pivot (rows linear in keys); where there are at most PAIRED of them, each
+   pair is taken instead, and kept only if parity sketches of the two sets (about a bit and a half a shingle, never more bits apart than the
+   sets are elements) allow a link. Texts that meet by chance in a shingle are let go there: how many do grows with the square of the
+   input. Connected candidates form a family. Families too large for one block are keyed again, shingles now ordered by their counts in these families, as
    long as that makes them smaller.
 4. Each family is cut into blocks bounded in documents and shingles, and the sparse products of blocks accumulate overlap counts:
    columns of most rows by a dense product, the others by sorted runs; pairs below the size-derived bound are dropped. Every
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,8 @@ COLUMNS = 1024
 RANGE = 1.4
 #: Most shingles that come last in the order as frequent: 8 bytes each, and 4 for a count, travel with the tasks.
 FREQUENT = 1_000_000
+#: Most sets of a key that are taken pair by pair.
+PAIRED = 32
 #: Keys looked after for balance, the most frequent of a hash sample, and the tasks that each is spread over.
 HOT_KEYS = 4_096
 SALTS = 16
@@ -137,15 +142,41 @@ def _longs(x: list) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of how many elements fall on each of as many bits as the power of two from the set's size on, 64 at least."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
+    fallen = np.bincount((mix(s ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((fallen & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the other's length: at most as many as elements are in one set alone."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    m, n = 8 * len(a), 8 * len(b)
+    while m > n:
+        m //= 2
+        x = (x >> m) ^ (x & ((1 << m) - 1))
+    while n > m:
+        n //= 2
+        y = (y >> n) ^ (y & ((1 << n) - 1))
+    return (x ^ y).bit_count()
+
+
+def may_link(a: bytes, b: bytes, both: int, t: Fraction) -> bool:
+    """False only if sets with these sketches, of `both` elements together, have a Jaccard similarity under t."""
+    return bits_apart(a, b) * (t.denominator + t.numerator) <= both * (t.denominator - t.numerator)
+
+
 def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, c1, c2 (the fingerprint) of each row."""
+    """doc_id, n, c1, c2 (the fingerprint), sketch of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, n) for x in texts(batch)]
         c1, c2 = zip(*map(fingerprint, sets), strict=True)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _longs(c1), _longs(c2)], ["doc_id", "n", "c1", "c2"])
+        sizes, sketches = pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, _longs(c1), _longs(c2), sketches], ["doc_id", "n", "c1", "c2", "sketch"])
 
-    return mapped(rows, run, "doc_id long, n long, c1 long, c2 long")
+    return mapped(rows, run, "doc_id long, n long, c1 long, c2 long, sketch binary")
 
 
 def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
@@ -219,20 +250,31 @@ def family_keys(sets: DataFrame, t: Fraction, frequent: tuple[np.ndarray, np.nda
 
 
 def _tie(t: Fraction):
-    """Over rows sorted by key, salt, size and c1: c1 and the pivot it may be linked with (kind 0); of salted keys also the first c1 and the key (kind 1).
+    """Over rows sorted by key, salt, size and c1: c1 and the pivot it may be linked with (kind 0); of salted keys also the first c1 and the
+    key (kind 1); of keys with at most PAIRED sets each pair instead (kind 2).
 
-    A key's sets in order of size are tied to one pivot as long as no size is under t of the next. Sets before the first one whose key
+    A key's sets in order of size are one group as long as no size is under t of the next. Sets before the first one whose key
     holds towards larger sets are left out. Salted keys (salt >= 0) are tied whatever the sizes, since their rows are not all here."""
+    columns = ("key", "salt", "size", "c1")
 
     def out(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
 
+    def distinct(a: list[np.ndarray], b: list[np.ndarray], kind: int) -> Iterator[pa.RecordBatch]:
+        if a and len(ends := np.stack([np.concatenate(a), np.concatenate(b)], 1)):
+            ends = np.unique(ends, axis=0)
+            yield out(ends[:, 0], ends[:, 1], kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, salt, size and pivot (None: none yet) of the last row
-        for batch in batches:
-            if not batch.num_rows:
+        last = None  # key, salt, size and pivot (None: none yet) of the last row that is done with; its group is tied to a pivot
+        held = [np.empty(0, np.int64)] * 4  # rows of a last group that may still be taken pair by pair
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
                 continue
-            key, salt, size, c = (batch.column(x).to_numpy() for x in ("key", "salt", "size", "c1"))
+            rows_ = held if batch is None else [np.concatenate([h, batch.column(x).to_numpy()]) for h, x in zip(held, columns, strict=True)]
+            key, salt, size, c = rows_
+            if not len(key):
+                return
             n, rows = size.astype(np.int64) >> 1, np.arange(len(key))
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
@@ -241,11 +283,33 @@ def _tie(t: Fraction):
             if last is not None:
                 fresh[0] = (key[0], salt[0]) != last[:2]
                 gap[0] = last[2] * t.denominator < t.numerator * n[0]
-            if (first := fresh & (salt >= 0)).any():
-                yield out(c[first], key[first], 1)
+            first = fresh & (salt >= 0)
             fresh |= gap & (salt < 0)
-            can = (salt >= 0) | (size & 1 == 0)
             begin = np.maximum.accumulate(np.where(fresh, rows, -1))  # -1: the last batch's
+            if batch is not None and begin[-1] >= 0 and salt[-1] < 0 and len(key) - begin[-1] <= PAIRED:
+                done = int(begin[-1])
+                held = [x[done:] for x in rows_]
+                if not done:
+                    continue
+                key, salt, size, c, n, rows, fresh, first, begin = (x[:done] for x in (key, salt, size, c, n, rows, fresh, first, begin))
+            else:
+                held = [x[:0] for x in rows_]
+            if first.any():
+                yield out(c[first], key[first], 1)
+            can = (salt >= 0) | (size & 1 == 0)
+            members = np.bincount(begin + 1, minlength=len(key) + 1)[begin + 1]
+            few = (begin >= 0) & (salt < 0) & (members <= PAIRED)
+            some = np.flatnonzero(few & (members > 1))
+            pairs: list[list[np.ndarray]] = [[], []]
+            for shift in range(1, min(PAIRED, len(some))):
+                one, other = some[:-shift], some[shift:]
+                if not (same := begin[one] == begin[other]).any():
+                    break
+                same &= can[one] & (c[one] != c[other])
+                a, b = c[one[same]], c[other[same]]
+                pairs[0].append(np.minimum(a, b))
+                pairs[1].append(np.maximum(a, b))
+            yield from distinct(*pairs, 2)
             following = np.minimum.accumulate(np.where(can, rows, len(key))[::-1])[::-1]  # the next that can be a pivot
             at = following[np.maximum(begin, 0)]
             has = at <= rows
@@ -253,25 +317,40 @@ def _tie(t: Fraction):
             if last is not None and last[3] is not None:
                 carried = begin < 0
                 pivots, has = np.where(carried, last[3], pivots), has | carried
-            tied = has & (c != pivots)
-            if tied.any():
-                pairs = np.unique(np.stack([c[tied], pivots[tied]], 1), axis=0)
-                yield out(pairs[:, 0], pairs[:, 1], 0)
+            tied = has & ~few & (c != pivots)
+            yield from distinct([c[tied]], [pivots[tied]], 0)
             last = (key[-1], salt[-1], int(n[-1]), pivots[-1] if has[-1] else None)
 
     return run
 
 
-def _tied(keyed: DataFrame, hot: list[int], t: Fraction) -> DataFrame:
-    """a, b: c1 of sets that share a key, each with a pivot of it; each pair once. Keys in `hot` are spread over SALTS
-    tasks, whose pivots are tied by a row for each salt."""
+def _allowed(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Those pairs (a, b: c1) whose sketches in sets (n, c1, c2, sketch) allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(x).to_pylist() for x in ("a_sketch", "b_sketch", "both"))
+            keep = [may_link(a, b, both, t) for a, b, both in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("c1")).unionByName(pairs.select(F.col("b").alias("c1"))).distinct()
+    wanted = sets.join(ends, "c1", "left_semi").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    of = lambda x: wanted.select(F.col("c1").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("a_n") + F.col("b_n")).alias("both"), "a_sketch", "b_sketch")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _tied(keyed: DataFrame, hot: list[int], t: Fraction, sets: DataFrame) -> DataFrame:
+    """a, b: c1 of sets that share a key, in pairs or each with a pivot of it; each pair once. Keys in `hot` are spread over SALTS
+    tasks, whose pivots are tied by a row for each salt. sets: n, c1, c2, sketch of all."""
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     salted = keyed.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("c1"), F.lit(SALTS))).otherwise(-1).cast("int"))
     dealt = salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "c1").select("key", "salt", "size", "c1")
     found = materialize(dealt.mapInArrow(_tie(t), "a long, b long, kind int").distinct(), "tied", WIDE_ROWS)
     firsts = found.where("kind = 1").select(F.col("a").alias("c1"), F.col("b").alias("key"))
     across = firsts.join(firsts.groupBy("key").agg(F.min("c1").alias("b")), "key").where("c1 <> b").select(F.col("c1").alias("a"), "b")
-    return found.where("kind = 0").select("a", "b").unionByName(across).distinct()
+    pairs = _allowed(found.where("kind = 2").select("a", "b"), sets, t)
+    return found.where("kind = 0").select("a", "b").unionByName(across).unionByName(pairs).distinct()
 
 
 def _hot_keys(sample: DataFrame) -> list[int]:
@@ -279,20 +358,20 @@ def _hot_keys(sample: DataFrame) -> list[int]:
     return [r.key for r in counts.orderBy(F.desc("m")).limit(HOT_KEYS).collect()]
 
 
-def ties_of(rows: DataFrame, n: int, t: Fraction, parts: bool) -> DataFrame:
-    """a, b: fingerprints of sets that share a key, each with a pivot of it; each pair once.
+def ties_of(rows: DataFrame, n: int, t: Fraction, parts: bool, sets: DataFrame) -> DataFrame:
+    """a, b: fingerprints of sets that share a key, in pairs or each with a pivot of it; each pair once. sets: n, c1, c2, sketch of all.
 
     The HOT_KEYS most frequent keys of a hash sample of documents are spread over several tasks."""
     frequent = frequent_shingles(rows, n)
     hot = _hot_keys(key_rows(rows.where("pmod(xxhash64(doc_id, 7), 16) = 0"), n, t, frequent, parts))
-    return materialize(_tied(key_rows(rows, n, t, frequent, parts), hot, t), "ties", WIDE_ROWS)
+    return materialize(_tied(key_rows(rows, n, t, frequent, parts), hot, t, sets), "ties", WIDE_ROWS)
 
 
-def ties_within(sets: DataFrame, t: Fraction) -> DataFrame:
+def ties_within(sets: DataFrame, t: Fraction, rows: DataFrame) -> DataFrame:
     """The same for sets (family, c1, hashes) within their families, shingles ordered by their counts in these sets."""
     frequent = _most_frequent(sets.select(F.explode("hashes").alias("g")), 2)
     hot = _hot_keys(family_keys(sets.where("pmod(xxhash64(c1, 7), 16) = 0"), t, frequent))
-    return materialize(_tied(family_keys(sets, t, frequent), hot, t), "ties", WIDE_ROWS)
+    return materialize(_tied(family_keys(sets, t, frequent), hot, t, rows), "ties", WIDE_ROWS)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -414,7 +493,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
     classes = materialize(
         rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes"
     )
-    ties = ties_of(source, n, t, t >= PARTS_FROM if parts is None else parts)
+    sketches = rows.where("n > 0").select("n", "c1", "c2", "sketch")
+    ties = ties_of(source, n, t, t >= PARTS_FROM if parts is None else parts, sketches)
     release(docs.sparkSession)
     families = components(ties).select(F.col("node").alias("c1"), F.col("component").alias("family"))
     members = materialize(classes.join(families, "c1").select("node", "rep", "n", "family", "c1", "c2"), "members")
@@ -425,7 +505,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_c
         if before is not None and size > 0.8 * before:  # these are close sets, not chains of common passages
             break
         sets = materialize(_sets(source, again.select("node", "rep", "family", "c1", "c2", F.lit(0).alias("blocks"), F.lit(0).alias("block")), n).select("family", "c1", "hashes"), "sets", WIDE_ROWS)
-        closer = components(ties_within(sets, t)).select(F.col("node").alias("c1"), F.col("component").alias("closer"))
+        closer = components(ties_within(sets, t, sketches)).select(F.col("node").alias("c1"), F.col("component").alias("closer"))
         whole = members.join(large.select("family"), "family", "left_anti")
         members = materialize(whole.unionByName(again.join(closer, "c1").select("node", "rep", "n", F.col("closer").alias("family"), "c1", "c2")), "members")
         release(docs.sparkSession)

@@ -152,3 +152,49 @@ def test_near_dedup_keeps_least(frame):
 def test_empty_table(frame):
     assert J.jaccard_components(frame([])).collect() == []
     assert J.near_dedup(frame([(1, None), (2, None)])).count() == 2
+
+
+def test_sketches_never_deny_a_link():
+    r = np.random.default_rng(8)
+    for n in (1, 5, 63, 64, 65, 200, 1500):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        for gone, new in ((0, 0), (1, 0), (0, 1), (n // 9, n // 9), (n // 5, 0), (0, n // 4), (n // 2, n)):
+            b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 1 << 63, new, dtype=np.uint64)]))
+            inter, both = len(np.intersect1d(a, b)), len(a) + len(b)
+            assert J.bits_apart(J.sketch(a), J.sketch(b)) <= both - 2 * inter
+            for t in ("0.5", "0.8", "0.9"):
+                if inter and Fraction(inter, both - inter) >= Fraction(t):
+                    assert J.may_link(J.sketch(a), J.sketch(b), both, Fraction(t))
+    a, b = (np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(2))
+    assert not J.may_link(J.sketch(a), J.sketch(b), 800, Fraction("0.8"))
+
+
+@pytest.mark.parametrize("paired", [1, 3, 32])
+def test_ties_whatever_the_batches(monkeypatch, paired):
+    monkeypatch.setattr(J, "PAIRED", paired)
+    r = np.random.default_rng(9)
+    t = Fraction("0.8")
+    rows = sorted({(int(r.integers(0, 60)), int(2 * r.integers(20, 30) + r.integers(0, 2)), int(r.integers(0, 400))) for _ in range(300)})
+    want = {frozenset((c, d)) for i, (k, size, c) in enumerate(rows) for k2, size2, d in rows[i + 1 :] if k == k2 and c != d and size & 1 == 0 and 5 * (size >> 1) >= 4 * (size2 >> 1)}
+    for step in (1, 2, 7, 1000):
+        parts = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = [J.pa.RecordBatch.from_pydict({"key": J.pa.array([x[0] for x in p], J.pa.int64()), "salt": J.pa.array([-1] * len(p), J.pa.int32()), "size": J.pa.array([x[1] for x in p], J.pa.int32()), "c1": J.pa.array([x[2] for x in p], J.pa.int64())}) for p in parts]
+        found = [(a, b, kind) for out in J._tie(t)(iter(batches)) for a, b, kind in zip(*(out.column(x).to_pylist() for x in ("a", "b", "kind")), strict=True)]
+        if paired == 32:
+            assert {kind for *_, kind in found} == {2} and {frozenset(x[:2]) for x in found} >= want
+        together = {x: {x} for _, _, x in rows}
+        for a, b, _ in found:
+            if together[a] is not together[b]:
+                together[a] |= together[b]
+                for x in together[a]:
+                    together[x] = together[a]
+        assert all(len({id(together[x]) for x in pair}) == 1 for pair in want)
+
+
+def test_texts_that_share_a_shingle_by_chance_are_no_family(frame):
+    rows = [(i, prose(100 + i, 150) + f" shared {i // 2} by two texts alone " + prose(900 + i, 150)) for i in range(20)] + family(prose(4, 200), 3, 2, 1000)
+    source = J._identified(frame(rows), "doc_id", "text")
+    sets = J.shingle_rows(source, 5).where("n > 0")
+    of = {r.c1: r.doc_id for r in sets.collect()}
+    ties = J.ties_of(source, 5, Fraction("0.8"), False, sets.select("n", "c1", "c2", "sketch")).collect()
+    assert {of[x] for r in ties for x in (r.a, r.b)} == {1000, 1001, 1002}
