@@ -461,3 +461,28 @@ def test_chat_with_a_system_text_and_a_named_client(spark):
     assert got == {i: f"#{len(chr(10).join(answers.RULES))}:{p.split(chr(10), len(answers.RULES))[-1]}" for i, p in whole.items()}
     with pytest.raises(KeyError):
         services.chat_client("unknown")
+
+
+def test_what_states_availability_passes_the_cheap_test(spark):
+    import itertools
+
+    from scholarlake.functions import records as R
+
+    said = {
+        "data": ("code and raw data", "DATASETS", "Supplementary  materials", "materials", "open data"),
+        "code": ("Code", "softWARE", "scripts", "Analysis", "notebook", "pipeline", "source code"),
+    }
+    verbs = ("available", "ACCESSIBLE", "deposited", "provided", "shared", "request", "archived", "badge", "repository", "GitHub", "gitlab", "bitbucket")
+    for kind, subjects in said.items():
+        rows = spark.createDataFrame([(f"The {s} {gap} {v}.",) for s, v, gap in itertools.product(subjects, verbs, ("are", "were (of all)\n", "."))], "t string")
+        found = rows.select(R.states_availability("t", kind).alias("states"), R.may_state(F.lower("t"), kind).alias("may")).collect()
+        assert any(r.states for r in found) and all(r.may for r in found if r.states)
+
+
+def test_paragraphs_are_worked_out_once(spark):
+    blocks = spark.createDataFrame([(1, 0, 1, 0, "Data availability: all  data\nare available at https://zenodo.org/record/1.\n\nMore \t text")], "doc_id long, seq int, page int, col int, text string")
+    links = papers.paper_links(papers.grouped_contexts(papers.segment(blocks)))
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "size(" in x]
+    assert [r.url for r in links.collect() if r.kind == "data"] == ["https://zenodo.org/record/1"]
+    assert [r.text for r in papers.segment(blocks).orderBy("idx").collect()] == ["Data availability:", "all data are available at https://zenodo.org/record/1.", "More text"]
