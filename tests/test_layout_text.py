@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,25 @@ def test_queries_on_whole_tables(spark):
     assert {(r.doc_id, r.seq): r.text for r in QUERIES["spaced_letter_compaction"](spark, sf).collect()} == spaced
     parts = {(k, i): c for k, t in blocks.items() for i, p in enumerate([p.strip() for p in re.sub(r"\n{3,}", "\n\n", t.replace("\r\n", "\n").replace("\r", "\n")).split("\n\n") if p.strip()]) if (c := cleaned(p))}
     assert {((r.doc_id, r.seq), r.pos): r.text for r in QUERIES["layout_clean_paragraphs"](spark, sf).collect()} == parts
+
+
+def took(spark, text, *exprs):
+    """Seconds of each expression over copies of a text in one task, the least of three runs."""
+    frame = spark.range(0, 24, 1, 1).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("t")).persist()
+    frame.count()
+
+    def once(e):
+        began = time.perf_counter()
+        frame.select(F.sum(F.length(e))).collect()
+        return time.perf_counter() - began
+
+    out = [min(once(e) for _ in range(3)) for e in exprs]
+    frame.unpersist()
+    return out
+
+
+def test_prose_is_cut_without_an_array_of_its_parts(spark):
+    prose = "The stations were read twice a day, and again at night. All of them are open; none was moved.\n" * 800
+    cut, plain = took(spark, prose, F.array_join(T.sentences("t"), "\n"), F.regexp_replace("t", rf"([.!?;]){T.SPACE}+", "$1\n"))
+    assert cut < 10 * plain, (cut, plain)
+    assert mapped(spark, [prose, " A b . c ?  D. ", "a. É ! b; ²x .", "?\n"], T.sentences("t")) == [(sentences(v),) for v in (prose, " A b . c ?  D. ", "a. É ! b; ²x .", "?\n")]
