@@ -241,3 +241,10 @@ def test_prose_is_cut_without_an_array_of_its_parts(spark):
     cut, plain = took(spark, prose, F.array_join(T.sentences("t"), "\n"), F.regexp_replace("t", rf"([.!?;]){T.SPACE}+", "$1\n"))
     assert cut < 10 * plain, (cut, plain)
     assert mapped(spark, [prose, " A b . c ?  D. ", "a. É ! b; ²x .", "?\n"], T.sentences("t")) == [(sentences(v),) for v in (prose, " A b . c ?  D. ", "a. É ! b; ²x .", "?\n")]
+
+
+def test_letters_of_a_run_are_looked_at_once(spark):
+    spaced = ("a" + " " * 60) * 1500 + "b"
+    compact, plain = took(spark, spaced, T.compact_letters("t"), F.regexp_replace("t", rf"([a-zA-Z]){T.SPACE}+(?=[a-zA-Z])", "$1"))
+    assert compact < 3 * plain, (compact, plain)
+    assert mapped(spark, [spaced], T.compact_letters("t")) == [("a" * 1500 + "b",)]
