@@ -248,3 +248,11 @@ def test_letters_of_a_run_are_looked_at_once(spark):
     compact, plain = took(spark, spaced, T.compact_letters("t"), F.regexp_replace("t", rf"([a-zA-Z]){T.SPACE}+(?=[a-zA-Z])", "$1"))
     assert compact < 3 * plain, (compact, plain)
     assert mapped(spark, [spaced], T.compact_letters("t")) == [("a" * 1500 + "b",)]
+
+
+def test_only_what_follows_a_scheme_is_glued(spark):
+    prose = "The stations were read twice a day, and again at night; none was moved.\n" * 2000
+    text = prose + "See https://zen odo.org/ab c/d1 which lies in the archive, and http://x.org/q= 7 end"
+    glued, plain = took(spark, text, U.canonical("t"), F.regexp_replace("t", "(?i)https?://|__", "#"))
+    assert glued < 8 * plain, (glued, plain)
+    assert mapped(spark, [text, "no link", "a__b", None], U.canonical("t")) == [(prose + "See https://zenodo.org/abc/d1 which lies in the archive, and http://x.org/q=7 end",), ("no link",), ("a__b",), (None,)]
