@@ -492,6 +492,13 @@ def _plan(rows):
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_titles_of_records_are_worked_out_once(spark):
+    registry = spark.createDataFrame([("10.1/a", "Seasonal patterns in alpine birds", "crossref")], "doi string, title string, source string")
+    rows = papers.paper_records(blocks(spark, "Seasonal patterns in alpine birds", "No identifier"), registry)
+    assert papers.RESOLVER_STOPWORDS[0] + "|" not in _plan(rows)
+    assert [(r.title, r.doi) for r in rows.collect()] == [("Seasonal patterns in alpine birds", "10.1/a")]
+
+
 def test_points_of_both_kinds_share_their_searches(spark):
     page = ["Data availability", "The dataset is available upon request, see orcid.org and x.com", "Code availability: all scripts are on github", "plain"]
     rows = papers.rank_contexts(papers.segment(blocks(spark, *page)))
